@@ -4,9 +4,11 @@ Every document of a source gets the same expected number of copies, the
 source's target over its size.  The whole part is sure.  The fractional parts
 are rounded dependently: two documents are paired, and mass (words) moves from
 one to the other, in a random direction weighted so that no expectation
-changes, until one of the two is integral.  The sum of words never moves, so
-at the end one document of a source is left fractional, and the words taken
-miss the target by less than that document.
+changes, until one of the two is integral.  The sum of words never moves.
+Documents are paired with others of their size class (powers of two), so at
+the end each class of a source leaves one fractional document.  These few are
+rounded together, largest first, each against the error so far; as their sizes
+fall geometrically, the words taken end near the target.
 
 The reduction is a tree: documents are dealt by hash into small blocks of one
 source, each block folds to at most one fractional document, and those are
@@ -96,6 +98,19 @@ def _fold(items: Column, level: int, seed: int) -> Column:
     return F.aggregate(items, start, move)
 
 
+def _settle(items: Column) -> Column:
+    """Round a source's last fractional documents, one of each size class, so that their errors cancel."""
+    start = F.struct(F.lit(0.0).alias("error"), F.array().cast("array<struct<doc_id:bigint,size:bigint,p:bigint>>").alias("done"))
+
+    def step(state: Column, x: Column) -> Column:
+        up, down = state["error"] + (1 - x["p"]) * x["size"], state["error"] - x["p"] * x["size"]
+        taken = F.abs(up) < F.abs(down)
+        row = F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), taken.cast("bigint").alias("p"))
+        return F.struct(F.when(taken, up).otherwise(down).alias("error"), F.concat(state["done"], F.array(row)).alias("done"))
+
+    return F.aggregate(items, start, step, lambda state: state["done"])
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = 20) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row per row of ``docs``.
 
@@ -114,10 +129,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blo
     joined = repeats.join(small, repeats["source"].eqNullSafe(small["source"]), "inner").drop(small["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rated = joined.withColumn("rate", rate).withColumn("sure", F.floor("rate")).withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.col("sure")).otherwise(F.lit(0.0)))
-    key = ["source", "source_size", "target", "n_docs", "sure"]
+    key = ["source", "source_size", "target", "n_docs", "sure", "class"]
     out = ["doc_id", "source", "size", "source_size", "target", "copies"]
     whole = rated.where("p = 0").select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("sure")).otherwise(F.lit(0)).alias("copies"))
-    open_, done, level, span = rated.where("p > 0").select(*key, "doc_id", "rep", "size", "p"), [whole], 0, float(most)
+    open_, done, level, span = rated.where("p > 0").withColumn("class", F.floor(F.log2("size"))).select(*key, "doc_id", "rep", "size", "p"), [whole], 0, float(most)
     while True:
         level, span = level + 1, span / block
         last = span <= 1
@@ -125,14 +140,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blo
         dealt = open_.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(level), "doc_id", "rep"), n_blocks))
         folded = dealt.groupBy(*key, "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "rep", "size", "p"))).alias("items")).select(*key, _fold(F.col("items"), level, seed).alias("f"))
         rows = checkpoint(folded.select(*key, F.inline(F.filter(F.concat(F.array("f.held"), F.col("f.done")), lambda v: v.isNotNull()))))
-        p = F.col("p")
-        if last:
-            p = F.when((p > 0) & (p < 1), F.when(_chance(F.col("doc_id"), F.col("rep"), 0, seed) < p, 1.0).otherwise(0.0)).otherwise(p)
-        closed = rows.select("*", p.alias("q")).where("q <= 0 OR q >= 1")
-        done.append(closed.select("doc_id", "source", "size", "source_size", "target", (F.col("sure") + F.col("q").cast("bigint")).alias("copies")))
+        done.append(rows.where("p <= 0 OR p >= 1").select(*out[:-1], (F.col("sure") + F.col("p").cast("bigint")).alias("copies")))
+        open_ = rows.where("p > 0 AND p < 1")
         if last:
             break
-        open_ = rows.where("p > 0 AND p < 1")
+    left = open_.groupBy(*key[:-1]).agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "rep", "p")), asc=False).alias("items"))
+    done.append(left.select(*key[:-1], F.inline(_settle(F.col("items")))).select(*out[:-1], (F.col("sure") + F.col("p")).alias("copies")))
     result = done[0].select(*out)
     for more in done[1:]:
         result = result.unionByName(more.select(*out))
