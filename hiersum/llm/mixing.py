@@ -6,7 +6,8 @@ are rounded dependently: two documents are paired, and mass (words) moves from
 one to the other, in a random direction weighted so that no expectation
 changes, until one of the two is integral.  The sum of words never moves.
 Documents are paired with others of their size class (powers of two), so at
-the end each class of a source leaves one fractional document.  These few are
+the end each class of a source leaves one fractional document, and a few are held
+back.  These are
 rounded together, largest first, each against the error so far; as their sizes
 fall geometrically, the words taken end near the target.
 
@@ -25,6 +26,8 @@ from .common import bind, checkpoint
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK = 64
+#: So many documents of each source and size class are rounded at the end, against the error so far.
+RESERVE = 8
 #: Sources are joined by broadcast up to this many, and by a shuffle beyond.
 BROADCAST_SOURCES = 50_000
 
@@ -99,7 +102,7 @@ def _fold(items: Column, level: int, seed: int) -> Column:
 
 
 def _settle(items: Column) -> Column:
-    """Round a source's last fractional documents, one of each size class, so that their errors cancel."""
+    """Round a source's last fractional documents, a few of each size class, so that their errors cancel."""
     start = F.struct(F.lit(0.0).alias("error"), F.array().cast("array<struct<doc_id:bigint,size:bigint,p:bigint>>").alias("done"))
 
     def step(state: Column, x: Column) -> Column:
@@ -138,8 +141,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blo
         last = span <= 1
         n_blocks = F.lit(1) if last else F.greatest(F.lit(1), F.ceil(F.col("n_docs") / float(block**level))).cast("int")
         dealt = open_.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(level), "doc_id", "rep"), n_blocks))
-        folded = dealt.groupBy(*key, "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "rep", "size", "p"))).alias("items")).select(*key, _fold(F.col("items"), level, seed).alias("f"))
-        rows = checkpoint(folded.select(*key, F.inline(F.filter(F.concat(F.array("f.held"), F.col("f.done")), lambda v: v.isNotNull()))))
+        folded = dealt.groupBy(*key, "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "rep", "size", "p"))).alias("items"))
+        # a few documents of the last block stay out of the fold, for the settlement
+        n_kept = F.lit(RESERVE if last else 0)
+        folded = folded.select(*key, F.slice("items", F.lit(1), n_kept).alias("kept"), _fold(F.slice("items", n_kept + 1, F.size("items")), level, seed).alias("f"))
+        rows = checkpoint(folded.select(*key, F.inline(F.filter(F.concat(F.col("kept"), F.array("f.held"), F.col("f.done")), lambda v: v.isNotNull()))))
         done.append(rows.where("p <= 0 OR p >= 1").select(*out[:-1], (F.col("sure") + F.col("p").cast("bigint")).alias("copies")))
         open_ = rows.where("p > 0 AND p < 1")
         if last:
