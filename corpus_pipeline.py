@@ -1,27 +1,74 @@
-"""The corpus pipeline: stages that each read the documents the stage before kept."""
+"""The corpus pipeline: stages that each work on all documents that the stage before kept.
+
+Every stage takes (spark, docs, sf_dir).  All but the last return the columns
+of documents; the last returns the mix.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from hiersum.llm import decontaminate, mixing, neardup, pii, quality
+from hiersum.llm.common import checkpoint, table
+from hiersum.llm.q04_quality import trained
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    docs = docs.select(*COLUMNS)
+    return quality.keep_good(docs, trained(spark, sf_dir, docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id.
+
+    Rows that repeat a doc_id leave one row; rows without a doc_id stay.
+    """
+    docs = docs.select(*COLUMNS)
+    groups = neardup.find(docs, words=2, percent=80)
+    kept = docs.join(groups.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti")
+    repeats = checkpoint(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if not repeats.isEmpty():
+        kept = kept.join(repeats, "doc_id", "left_anti").unionByName(kept.join(repeats, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*"))
+    return kept.select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    docs = docs.select(*COLUMNS)
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
 
-from hiersum.llm import mixing
-from hiersum.llm.common import checkpoint
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and disclosing terms taken out of their texts."""
+    found = pii.find(docs.select(*COLUMNS))
+    text = pii.sanitised(F.col("text"), F.col("base"), F.col("added"), F.col("flagged"))
+    return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("base") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: words and copies that each document contributes."""
-    return mixing.mix(docs)
+    """The mix: how often each document is taken, and the words that makes."""
+    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-STAGES = [("mix_sources", mix_sources)]
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("mix_sources", mix_sources),
+]
 
-#: Trained models and random rounding have no SQL; tests hold the stages against brute force.
+#: A trained model and random rounding have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, with a cut of lineage between them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
