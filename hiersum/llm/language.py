@@ -17,10 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import checkpoint
+
 UNKNOWN = "und"
 BUCKETS = 4096
 #: Texts of each language that are learnt from, at most about; and in all, at most.
 SAMPLE_PER_LANGUAGE, SAMPLE = 700, 6000
+BROADCAST_LANGUAGES = 100_000
 LETTER = re.compile(r"[^\W\d_]")
 AMBIGUOUS_LEAD = 0.1
 
@@ -102,7 +105,8 @@ def fit(vectors: np.ndarray, labels: list[str], bits: int = 31, steps: int = 150
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE) -> DataFrame:
     """A bounded sample (text, lang) with every language in it, chosen by a hash of doc_id and text."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = checkpoint(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes  # else the texts would be dealt by language
     chance = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     return known.join(sizes, "lang").where(chance * F.col("n") < per_language).select("text", "lang").orderBy(F.xxhash64("text"), "lang").limit(most)
 
