@@ -130,29 +130,36 @@ def _pair(a: Column, b: Column) -> Column:
     return F.struct(F.least(a["id"], b["id"]).alias("a"), F.greatest(a["id"], b["id"]).alias("b"))
 
 
-def branch(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Grow the trees over ``reps`` (d: struct<id, n, s1, s2>, sig).
+def branch(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Grow the trees over ``reps`` (id, sig).
 
-    Returns the star candidates (a, b) of all nodes, the members (node, d) of
-    small nodes, and the members of nodes still large at the last level.
+    Returns the star candidates (a, b) of all nodes, the members (node, id) of
+    small nodes, and those of nodes still large at the last level.  Rows hold
+    ids only: signatures are joined again to the few that go a level deeper.
     """
     stars, leaves, large = [], [], None
     for level in range(1, LEVELS + 1):
-        key = lambda t, n: F.xxhash64(t, F.slice("sig", t * LEVELS + 1, F.lit(n)))
         if large is None:
-            rows = reps.select("d", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+            rows = reps.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
         else:
-            rows = large.select("d", "sig", "tree")
-        rows = rows.select("d", "sig", "tree", key(F.col("tree"), level).alias("node"))
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("pivot")).where("size > 1")
+            rows = large.select("id", "tree").join(reps, "id")
+        rows = rows.select("id", "tree", F.xxhash64("tree", F.slice("sig", F.col("tree") * LEVELS + 1, F.lit(level))).alias("node"))
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1")
         members = checkpoint(rows.join(sizes, "node"))
-        stars.append(members.where((F.col("pivot.id") != F.col("d.id")) & _alike(F.col("pivot"), F.col("d"), percent)).select(_pair(F.col("pivot"), F.col("d")).alias("p")))
-        leaves.append(members.where(F.col("size").between(3, LEAF)).select("node", "d"))
+        stars.append(members.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        leaves.append(members.where(F.col("size").between(3, LEAF)).select("node", "id"))
         large = members.where(F.col("size") > LEAF)
         if large.isEmpty():
             break
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    return union(stars).select("p.a", "p.b").distinct(), union(leaves), large.select("node", "d")
+    return union(stars).distinct(), union(leaves), large.select("node", "id")
+
+
+def alike_stars(stars: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The star candidates that sizes and sketches allow."""
+    with_b = stars.join(sketches.select(F.col("d.id").alias("b"), F.col("d").alias("d_b")), "b")
+    with_a = with_b.join(sketches.select(F.col("d.id").alias("a"), F.col("d").alias("d_a")), "a")
+    return with_a.where(_alike(F.col("d_a"), F.col("d_b"), percent)).select("a", "b")
 
 
 def leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
@@ -240,16 +247,19 @@ def find(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     signed = checkpoint(signatures(slim, words))
     full = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.min_by("s1", "doc_id").alias("s1"), F.min_by("s2", "doc_id").alias("s2"), F.min_by("sig", "doc_id").alias("sig"))
-    reps = classes.select(F.struct("id", "n", "s1", "s2").alias("d"), "sig")
-    stars, leaves, large = branch(reps, percent)
-    links = confirm(stars, slim, words, percent)
+    reps = checkpoint(classes.select("id", F.struct("id", "n", "s1", "s2").alias("d"), "sig"))
+    sketches = reps.select("d")
+    sketched = lambda rows: rows.join(sketches.withColumn("id", F.col("d.id")), "id").select("node", "d")
+    stars, leaves, large = branch(reps.select("id", "sig"))
+    leaves, large = sketched(leaves), sketched(large)
+    links = confirm(alike_stars(stars, sketches, percent), slim, words, percent)
     joined = checkpoint(components(links))
     pairs = leaf_pairs(leaves, percent).unionByName(across(large, joined, percent)).distinct()
     apart = with_component(with_component(pairs.withColumn("id", F.col("a")), joined).withColumnRenamed("component", "ca").withColumn("id", F.col("b")), joined).where("ca <> component").select("a", "b")
     more = confirm(apart, slim, words, percent)
     if not more.isEmpty():
         joined = checkpoint(components(more.unionByName(joined.select(F.col("id").alias("a"), F.col("component").alias("b")))))
-    placed = with_component(classes.select("n", "f1", "f2", "id"), joined).drop("id")
+    placed = with_component(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id")), joined).drop("id")
     everyone = signed.select("doc_id", "n", "f1", "f2").join(placed, ["n", "f1", "f2"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component")))
     return everyone.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
