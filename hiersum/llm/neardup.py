@@ -5,11 +5,14 @@ the same set form a class, and one of each class takes part in the join.
 
 Join: each of TREES independent trees branches the documents by the minwise
 token of their set under the hash of the tree and level, so that a pair of
-similarity s stays together with probability s a level.  A node of at most
-LEAF documents is compared exhaustively.  A larger one branches again; besides,
-its members are compared with one pivot, which links a large group of near
-copies at one comparison each.  What is still large at the last level is
-compared across components, so no pair is dropped for the size of its node.
+similarity s stays together with probability s a level.  The members of every
+node are compared with one pivot, which links a large group of near copies at
+one comparison each; what the first level links is contracted, and from then
+on only pairs of different components are looked at, which loses no component.
+A node of at most LEAF documents is compared exhaustively, and a larger one
+branches again while it holds more than one component.  What is still large at
+the last level is compared across components, so no pair is dropped for the
+size of its node.
 
 A comparison first looks at 128 one-bit minwise sketches and then confirms the
 link on the full sets.  The sketch alone never makes a link, and a pair at the
@@ -126,57 +129,73 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
     return sizes & (differ <= DIFFERING)
 
 
+def _open(a: Column, b: Column, percent: int) -> Column:
+    """Alike, and not yet in one component."""
+    return (a["c"] != b["c"]) & _alike(a, b, percent)
+
+
 def _pair(a: Column, b: Column) -> Column:
     return F.struct(F.least(a["id"], b["id"]).alias("a"), F.greatest(a["id"], b["id"]).alias("b"))
 
 
-def branch(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Grow the trees over ``reps`` (id, sig).
+def _nodes(rows: DataFrame, level: int) -> DataFrame:
+    """Adds the node of each row (id, tree, sig) at a level: the path of its minwise tokens."""
+    return rows.withColumn("node", F.xxhash64("tree", F.slice("sig", F.col("tree") * LEVELS + 1, F.lit(level)))).drop("sig")
+
+
+def roots(reps: DataFrame) -> DataFrame:
+    """First level of all trees: id, tree, node, and the node's size and pivot.  Rows hold ids, not sketches."""
+    rows = _nodes(reps.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")), 1)
+    return rows.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1"), "node")
+
 
-    Returns the star candidates (a, b) of all nodes, the members (node, id) of
-    small nodes, and those of nodes still large at the last level.  Rows hold
-    ids only: signatures are joined again to the few that go a level deeper.
+def branch(first: DataFrame, reps: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Branch the large nodes of the first level on, as long as they hold more than one component.
+
+    Returns star candidates (a, b), the members (node, d) of small nodes of
+    all levels, and those of nodes still large at the last level.
     """
-    stars, leaves, large = [], [], None
-    for level in range(1, LEVELS + 1):
-        if large is None:
-            rows = reps.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-        else:
-            rows = large.select("id", "tree").join(reps, "id")
-        rows = rows.select("id", "tree", F.xxhash64("tree", F.slice("sig", F.col("tree") * LEVELS + 1, F.lit(level))).alias("node"))
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1")
+    by_id = sketches.withColumn("id", F.col("d.id"))
+    placed = lambda rows: rows.join(by_id, "id").select("node", "d")
+    leaves, stars = [first.where(F.col("size").between(3, LEAF)).select("node", "id")], []
+    large = checkpoint(first.where(F.col("size") > LEAF).select("id", "tree").join(by_id.select("id", F.col("d.c").alias("c")), "id"))
+    ends = large.select(F.lit(0).cast("bigint").alias("node"), "id").limit(0)
+    for level in range(2, LEVELS + 1):
+        if large.isEmpty():
+            break
+        rows = _nodes(large.join(reps, "id"), level)
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").drop("low", "high")
         members = checkpoint(rows.join(sizes, "node"))
         stars.append(members.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         leaves.append(members.where(F.col("size").between(3, LEAF)).select("node", "id"))
-        large = members.where(F.col("size") > LEAF)
-        if large.isEmpty():
-            break
+        large = members.where(F.col("size") > LEAF).select("id", "tree", "c", "node")
+        ends, large = large.select("node", "id"), large.drop("node")
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    return union(stars).distinct(), union(leaves), large.select("node", "id")
+    stars = union(stars).distinct() if stars else ends.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    return stars, placed(union(leaves)), placed(ends)
 
 
-def alike_stars(stars: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The star candidates that sizes and sketches allow."""
+def star_pairs(stars: DataFrame, sketches: DataFrame, test) -> DataFrame:
+    """The star candidates that pass a test on both sketches."""
     with_b = stars.join(sketches.select(F.col("d.id").alias("b"), F.col("d").alias("d_b")), "b")
     with_a = with_b.join(sketches.select(F.col("d.id").alias("a"), F.col("d").alias("d_a")), "a")
-    return with_a.where(_alike(F.col("d_a"), F.col("d_b"), percent)).select("a", "b")
+    return with_a.where(test(F.col("d_a"), F.col("d_b"))).select("a", "b")
 
 
 def leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
-    """Distinct alike pairs of small nodes, by exhaustive comparison of at most LEAF members."""
+    """Open pairs of small nodes, by exhaustive comparison of at most LEAF members."""
     grouped = leaves.groupBy("node").agg(F.sort_array(F.collect_list("d")).alias("ds"))
-    pairs = F.flatten(F.transform("ds", lambda x, i: F.transform(F.filter(F.slice("ds", i + 2, F.size("ds")), lambda y: _alike(x, y, percent)), lambda y: _pair(x, y))))
-    return grouped.select(F.inline(pairs)).distinct()
+    pairs = F.flatten(F.transform("ds", lambda x, i: F.transform(F.filter(F.slice("ds", i + 2, F.size("ds")), lambda y: _open(x, y, percent)), lambda y: _pair(x, y))))
+    return grouped.select(F.inline(pairs))
 
 
-def across(members: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Alike pairs of different components in nodes that stayed large."""
-    placed = with_component(members.select("node", "d", F.col("d.id").alias("id")), components)
-    main = placed.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by("component", "n").alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """Open pairs in nodes that stayed large: what is outside a node's main component, against all of the node."""
+    placed = members.select("node", "d", F.col("d.c").alias("c"))
+    main = placed.groupBy("node", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by("c", "n").alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
     some = placed.join(main, "node")
-    rest = some.where(F.col("component") != F.col("main")).select("node", F.col("d").alias("e"), F.col("component").alias("other"))
-    pairs = some.join(rest, "node").where((F.col("component") != F.col("other")) & _alike(F.col("d"), F.col("e"), percent))
-    return pairs.select(_pair(F.col("d"), F.col("e")).alias("p")).select("p.a", "p.b").distinct()
+    rest = some.where("c <> main").select("node", F.col("d").alias("e"))
+    return some.join(rest, "node").where(_open(F.col("d"), F.col("e"), percent)).select(_pair(F.col("d"), F.col("e")).alias("p")).select("p.a", "p.b")
 
 
 def with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
@@ -247,16 +266,16 @@ def find(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     signed = checkpoint(signatures(slim, words))
     full = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.min_by("s1", "doc_id").alias("s1"), F.min_by("s2", "doc_id").alias("s2"), F.min_by("sig", "doc_id").alias("sig"))
-    reps = checkpoint(classes.select("id", F.struct("id", "n", "s1", "s2").alias("d"), "sig"))
-    sketches = reps.select("d")
-    sketched = lambda rows: rows.join(sketches.withColumn("id", F.col("d.id")), "id").select("node", "d")
-    stars, leaves, large = branch(reps.select("id", "sig"))
-    leaves, large = sketched(leaves), sketched(large)
-    links = confirm(alike_stars(stars, sketches, percent), slim, words, percent)
+    reps = checkpoint(classes.select("id", "n", "s1", "s2", "sig"))
+    sketch = lambda rows, c: checkpoint(rows.select(F.struct("id", "n", "s1", "s2", c.alias("c")).alias("d")))
+    first = checkpoint(roots(reps.select("id", "sig")))
+    stars = first.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    links = confirm(star_pairs(stars, sketch(reps, F.col("id")), lambda x, y: _alike(x, y, percent)), slim, words, percent)
     joined = checkpoint(components(links))
-    pairs = leaf_pairs(leaves, percent).unionByName(across(large, joined, percent)).distinct()
-    apart = with_component(with_component(pairs.withColumn("id", F.col("a")), joined).withColumnRenamed("component", "ca").withColumn("id", F.col("b")), joined).where("ca <> component").select("a", "b")
-    more = confirm(apart, slim, words, percent)
+    sketches = sketch(with_component(reps.drop("sig"), joined), F.col("component"))
+    stars, leaves, large = branch(first, reps.select("id", "sig"), sketches)
+    pairs = star_pairs(stars, sketches, lambda x, y: _open(x, y, percent)).unionByName(leaf_pairs(leaves, percent)).unionByName(across(large, percent)).distinct()
+    more = confirm(pairs, slim, words, percent)
     if not more.isEmpty():
         joined = checkpoint(components(more.unionByName(joined.select(F.col("id").alias("a"), F.col("component").alias("b")))))
     placed = with_component(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id")), joined).drop("id")
