@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -37,6 +38,8 @@ TREES, LEVELS, LEAF = 16, 8, 32
 DIFFERING = 32
 #: Ids that are broadcast to pick texts, at most.
 BROADCAST_IDS = 2_000_000
+#: Tokens of one side of a block of a large node, about.
+BLOCK_TOKENS = 1_000_000
 
 _rng = np.random.default_rng(64)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -189,13 +192,56 @@ def leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
     return grouped.select(F.inline(pairs))
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """Open pairs in nodes that stayed large: what is outside a node's main component, against all of the node."""
-    placed = members.select("node", "d", F.col("d.c").alias("c"))
-    main = placed.groupBy("node", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by("c", "n").alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    some = placed.join(main, "node")
-    rest = some.where("c <> main").select("node", F.col("d").alias("e"))
-    return some.join(rest, "node").where(_open(F.col("d"), F.col("e"), percent)).select(_pair(F.col("d"), F.col("e")).alias("p")).select("p.a", "p.b")
+def texts_of(ids: DataFrame, docs: DataFrame, n_ids: int) -> DataFrame:
+    """doc_id, text of the documents named by ``ids`` (doc_id)."""
+    ids = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
+    return docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def across(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) in nodes that stayed large: what is outside a node's main component, against all of the node.
+
+    The full sets travel once to each block of a node, not with each pair; an
+    inverted index of the block counts what is common, and only links come
+    out, one for each document and component.
+    """
+    rows = members.select("node", F.col("d.id").alias("id"), F.col("d.c").alias("c"), F.col("d.n").alias("n"))
+    by_c = rows.groupBy("node", "c").agg(F.sum("n").alias("n"))
+    main = by_c.groupBy("node").agg(F.max_by("c", "n").alias("main"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"), F.max("n").alias("most")).where("k > 1")
+    blocks = main.select("node", "main", F.ceil(F.col("all") / BLOCK_TOKENS).cast("int").alias("n_m"), F.ceil((F.col("all") - F.col("most")) / BLOCK_TOKENS).cast("int").alias("n_s"))
+    some = checkpoint(rows.join(blocks, "node"))
+    ids = some.select(F.col("id").alias("doc_id")).distinct()
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "tokens"])
+
+    sets = texts_of(ids, docs, some.count()).mapInArrow(to_sets, "id bigint, tokens binary")
+    full = checkpoint(some.join(sets, "id"))
+    deal = lambda n: F.pmod(F.hash("id"), F.col(n))
+    key = ["node", "m", "s"]
+    left = full.withColumn("m", deal("n_m")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n_s") - 1))).select(*key, "id", "c", "tokens")
+    right = full.where("c <> main").withColumn("s", deal("n_s")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n_m") - 1))).select(*(F.col(k).alias(f"{k}2") for k in key), F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("tokens").alias("tokens2"))
+
+    def compare(m: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        if len(m) and len(y):
+            parts = [np.frombuffer(t, np.uint64) for t in m["tokens"]]
+            sizes, ids, cs = np.array([len(p) for p in parts]), m["id"].to_numpy(), m["c"].to_numpy()
+            tokens = np.concatenate(parts)
+            order = np.argsort(tokens, kind="stable")
+            owner, tokens = np.repeat(np.arange(len(parts)), sizes)[order], tokens[order]
+            for other, c, own in zip(y["id2"], y["c2"], y["tokens2"], strict=True):
+                own = np.frombuffer(own, np.uint64)
+                low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+                n = high - low
+                at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(parts))
+                hit = np.flatnonzero((100 * common >= percent * (sizes + len(own) - common)) & (cs != c))
+                out += [(int(other), int(ids[h])) for h in hit[np.unique(cs[hit], return_index=True)[1]]]
+        return pd.DataFrame({"a": np.array([p[0] for p in out], np.int64), "b": np.array([p[1] for p in out], np.int64)})
+
+    return left.groupBy(*key).cogroup(right.groupBy(*(f"{k}2" for k in key))).applyInPandas(compare, "a bigint, b bigint")
 
 
 def with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
@@ -207,8 +253,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     """The pairs (a, b) whose full sets are similar enough.  Sets are made anew from the texts of the pairs alone."""
     pairs = checkpoint(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if pairs.count() * 2 <= BROADCAST_IDS else ids
-    texts = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = texts_of(ids, docs, pairs.count() * 2)
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -274,8 +319,10 @@ def find(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     joined = checkpoint(components(links))
     sketches = sketch(with_component(reps.drop("sig"), joined), F.col("component"))
     stars, leaves, large = branch(first, reps.select("id", "sig"), sketches)
-    pairs = star_pairs(stars, sketches, lambda x, y: _open(x, y, percent)).unionByName(leaf_pairs(leaves, percent)).unionByName(across(large, percent)).distinct()
+    pairs = star_pairs(stars, sketches, lambda x, y: _open(x, y, percent)).unionByName(leaf_pairs(leaves, percent)).distinct()
     more = confirm(pairs, slim, words, percent)
+    if not large.isEmpty():
+        more = checkpoint(more.unionByName(across(large, slim, words, percent)))
     if not more.isEmpty():
         joined = checkpoint(components(more.unionByName(joined.select(F.col("id").alias("a"), F.col("component").alias("b")))))
     placed = with_component(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id")), joined).drop("id")
