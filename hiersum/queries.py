@@ -400,8 +400,8 @@ def _direct_sql(points: str, dim: int, values: dict[str, str], near: bool = Fals
     d = ", ".join(f"b.{a} - a.{a} AS d{a}" for a in "xyz"[:dim])
     r2 = " + ".join(f"d{a} * d{a}" for a in "xyz"[:dim])
     where = f" AND {_near(dim)}" if near else ""
-    sums = ", ".join(f"round(sum({v}) * {scale})::BIGINT AS {n}" for n, v in values.items())
-    return f"WITH p AS ({_boxed(points, height, dim)}), d AS (SELECT a.pid, a.q AS qt, b.q AS qs, {d} FROM p a JOIN p b ON a.pid <> b.pid{where}), r AS (SELECT *, {r2} AS r2 FROM d) SELECT pid, {sums} FROM r GROUP BY pid"
+    sums = ", ".join(f"coalesce(round(sum({v}) * {scale})::BIGINT, 0) AS {n}" for n, v in values.items())
+    return f"WITH p AS ({_boxed(points, height, dim)}), d AS (SELECT a.pid, a.q AS qt, b.q AS qs, {d} FROM p a LEFT JOIN p b ON a.pid <> b.pid{where}), r AS (SELECT *, {r2} AS r2 FROM d) SELECT pid, {sums} FROM r GROUP BY pid"
 
 
 _FORCE = {f"f{a}": f"qt * qs * d{a} / (r2 * sqrt(r2))" for a in "xyz"} | {"pot": "qs / sqrt(r2)"}
