@@ -36,6 +36,11 @@ def _grams(hashes: Column, n: int, length: int) -> Column:
     return F.when(F.size(hashes) >= n, F.transform(at, packed)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _short_gram(words: Column, n: int) -> Column:
+    """The n-gram of an item of n words."""
+    return bind(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _grams(h, n, n))
+
+
 def fingerprints(words: Column, short: list[int]) -> Column:
     """array<bigint>: what winnowing keeps of a text, each with its position.
 
@@ -84,7 +89,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     # The fingerprints of an item: windows of 10 winnow, a short item gives its one n-gram.
     own = F.when(F.size("words") >= WINDOW, fingerprints(F.col("words"), []))
     for n in short:
-        own = F.when(F.size("words") == n, bind(F.transform("words", lambda w: F.xxhash64(w)), lambda h, n=n: _grams(h, n, n))).otherwise(own)
+        own = F.when(F.size("words") == n, _short_gram(F.col("words"), n)).otherwise(own)
     item_prints = _sized(checkpoint(item.select(F.explode(own).alias("p"), length.alias("length")).select(_hash(F.col("p")).alias("h"), "length").distinct()))
     item_windows = _sized(checkpoint(item.select("item_id", F.explode(_windows(F.col("words"))).alias("window")).groupBy("window").agg(F.collect_set("item_id").alias("ids"))))
 

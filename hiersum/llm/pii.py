@@ -132,7 +132,8 @@ def near_pairs(docs: DataFrame) -> DataFrame:
     """doc_id, entity, term: the terms that stand near each protected entity, once a document."""
     spans = docs.select("doc_id", base_spans(F.col("text"), NEAR).alias("spans")).where("size(spans) > 0").select("doc_id", F.explode("spans").alias("s"))
     # A word cut off at the edge of what is near is left out.
-    inner = F.concat_ws(" ", F.regexp_replace(F.col("s.left"), rf"^\S{{1,{NEAR}}}+", ""), F.regexp_replace(F.col("s.right"), r"(?<!\S)\S+$", ""))
+    cut = lambda side, edge: F.when(F.char_length(side) == NEAR, F.regexp_replace(side, edge, "")).otherwise(F.col(side))
+    inner = F.concat_ws(" ", cut("s.left", r"^\S+"), cut("s.right", r"(?<!\S)\S+$"))
     return spans.select("doc_id", _entity(F.col("s")).alias("entity"), F.explode(terms_of(inner)).alias("term")).distinct()
 
 
