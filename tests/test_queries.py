@@ -1,7 +1,7 @@
 """Every query of the engine against its SQL, or at least against its shape."""
 
 import pytest
-from sqlcheck import assert_same
+from tests.sqlcheck import assert_same
 
 from hiersum.queries import ORACLES, QUERIES
 
