@@ -31,7 +31,7 @@ def _cols(names, prefix: str = "") -> dict[str, Column]:
 class Query:
     """A query over ``targets`` and ``sources`` (pid, axes, q; other columns are ignored).
 
-    ``sources=None`` makes it a query of one set.  Null positions have no box
+    ``sources=None`` makes it a query of one set.  pid is a key.  Null positions have no box
     and take no part.  Coincident points divide by zero under singular
     kernels, and are the caller's to avoid.
     """

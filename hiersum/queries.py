@@ -20,6 +20,7 @@ from .operators import interactions, stats, tree
 from .plans.arrays import ArrayQuery
 from .plans.fmm import Query, direct
 from .sources import particles
+from .streaming import simulation
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -571,3 +572,14 @@ def generators(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = {"clustered": particles.clustered, "normal": particles.normal, "uniform": lambda s, n: particles.uniform(s, n, 2)}
     rows = [make(spark, 1000).agg(F.count(F.lit(1)).alias("n"), F.min((F.col("x").between(0, 1)) & F.col("y").between(0, 1)).alias("inside")).withColumn("kind", F.lit(kind)) for kind, make in sets.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+# Time steps
+
+
+@query("SELECT s_suppkey::BIGINT AS pid, ((s_suppkey * 2654435761) % 1048576 / 1048576.0::DOUBLE + 0.5) % 1 AS x, ((SELECT count(*) FROM supplier) - 1)::BIGINT AS rhs FROM supplier")
+def simulation_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two steps, each moving every particle a quarter of the box."""
+    x = F.col("x") + 0.25
+    move = lambda _: {"x": F.when(x >= 1, x - 1).otherwise(x)}
+    return simulation.simulate(suppliers(spark, sf_dir), CUBE, kernels.Count(), move, 2).select("pid", "x", "rhs")
