@@ -19,6 +19,8 @@ from .common import ascii_lower, bind, checkpoint
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1  # hashes that a window holds
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased.
+WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The items' fingerprints and windows are broadcast up to this many rows, and joined by a shuffle beyond.
 BROADCAST_ROWS = 500_000
 POSITION_BITS = 31
@@ -96,7 +98,9 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = base.select("doc_id", F.explode(fingerprints(words_of(F.col("text")), short)).alias("p"))
     hits = prints.select("doc_id", _hash(F.col("p")).alias("h"), F.col("p").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int").alias("at")).join(item_prints, "h")
-    anchors = hits.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set(F.struct("length", "at")).alias("anchors"))
+    anchors = checkpoint(hits.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set(F.struct("length", "at")).alias("anchors")))
+    if (anchors.agg(F.sum(F.size("anchors") + 4)).first()[0] or 0) <= BROADCAST_ROWS:
+        anchors = F.broadcast(anchors)  # then no text is shuffled
 
     # Extension: the windows that cover an anchor, then the comparison of words.
     def covering(words: Column, anchors: Column) -> Column:
@@ -104,9 +108,10 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
         inside = F.filter(F.array_distinct(starts), lambda x: (x["s"] >= 0) & (x["s"] + x["n"] <= F.size(words)))
         return F.transform(inside, lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), F.array_join(F.slice(words, x["s"] + 1, x["n"]), " ").alias("window")))
 
-    joined = base.join(anchors, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
-    worded = joined.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"), "anchors")
-    candidates = worded.select("doc_id", "text_hash", F.size("words").cast("bigint").alias("n_words"), F.when(F.col("anchors").isNotNull(), covering(F.col("words"), F.col("anchors"))).alias("c"))
+    counted = base.withColumn("text_hash", F.xxhash64("text")).withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("bigint"))
+    joined = counted.join(anchors, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    worded = joined.select("doc_id", "text_hash", "n_words", F.when(F.col("anchors").isNotNull(), words_of(F.col("text"))).alias("words"), "anchors")
+    candidates = worded.select("doc_id", "text_hash", "n_words", F.when(F.col("anchors").isNotNull(), covering(F.col("words"), F.col("anchors"))).alias("c"))
     rows = candidates.select("doc_id", "text_hash", "n_words", F.inline_outer("c")).join(item_windows, "window", "left")
     found = F.col("ids").isNotNull()
     by_doc = rows.groupBy("doc_id", "text_hash", "n_words").agg(
