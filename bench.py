@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -42,6 +43,7 @@ def main() -> None:
         began = time.perf_counter()
         QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
         taken[name] = round(time.perf_counter() - began, 3)
+        print(name, taken[name], file=sys.stderr, flush=True)
     n = spark.read.parquet(f"{SF_DIR}/orders.parquet").count()
     print(json.dumps({"metric": "headline queries", "value": round(sum(taken.values()), 3), "unit": "sec", "queries": taken, "sf": SF_DIR.rstrip("/").rsplit("sf", 1)[-1], "particles_per_sec": {q: round(n / taken[q]) for q in ("fmm_count_full", "harmonic_full", "lagrange_full")}}))
 

@@ -44,6 +44,13 @@ class SpatialConfig:
         object.__setattr__(self, "centre", tuple(self.centre[: self.dim]))
         object.__setattr__(self, "widths", tuple(self.widths[: self.dim]))
 
+    def for_count(self, n: int, per_leaf: int = 40) -> SpatialConfig:
+        """The same box at the height whose leaves hold about ``per_leaf`` of n evenly spread particles."""
+        height = 1
+        while n > per_leaf << (self.dim * (height - 1)):
+            height += 1
+        return replace(self, height=height)
+
     @cached_property
     def corner(self) -> tuple[float, ...]:
         return tuple(c - w / 2 for c, w in zip(self.centre, self.widths, strict=True))

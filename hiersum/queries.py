@@ -514,7 +514,8 @@ def m2l_log_locals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_direct_sql(PARTS2, 2, {"pot": "qs * ln(r2) * (-0.25 / pi())"}, scale=1))
 def fmm_log_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order 8 against direct sums, to a unit in some hundreds."""
-    return _rounded(_log(spark, sf_dir, 8).execute(), ["pot"], 1)
+    points = parts(spark, sf_dir, 2)
+    return _rounded(Query(PLANE.for_count(points.count()), kernels.Log2D(8), points).execute(), ["pot"], 1)
 
 
 @query("SELECT * FROM (VALUES ('harmonic', true, true), ('lagrange', true, true), ('log', true, true)) AS t(kernel, pot_ok, force_ok)")
@@ -534,12 +535,14 @@ def accuracy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lagrange_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ArrayQuery(CUBE, Lagrange(8), orders(spark, sf_dir)).execute()
+    points = orders(spark, sf_dir)
+    return ArrayQuery(CUBE.for_count(points.count()), Lagrange(8), points).execute()
 
 
 @query()
 def harmonic_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ArrayQuery(CUBE, Harmonic(8), orders(spark, sf_dir)).execute()
+    points = orders(spark, sf_dir)
+    return ArrayQuery(CUBE.for_count(points.count()), Harmonic(8), points).execute()
 
 
 @query()
