@@ -69,31 +69,39 @@ def expand_near(targets: DataFrame, cfg: SpatialConfig, own: bool = True, upper:
     return _expand(targets.withColumn("level", F.lit(cfg.leaf_level)), cfg, F.expr(f"array({_structs(offsets)})"))
 
 
-def _join(expanded: DataFrame, sources: DataFrame, cfg: SpatialConfig, keys: Sequence[str]) -> DataFrame:
+def _join(expanded: DataFrame, sources: DataFrame, cfg: SpatialConfig, keys: Sequence[str], how: str) -> DataFrame:
+    """``how`` names the strategy by the source side.
+
+    It is always given: Spark does not see that the expanded side grew by the
+    number of offsets, and might broadcast that one.
+    """
     renamed = sources.withColumnsRenamed({c: f"s_{c}" for c in sources.columns if c not in keys or c in cfg.boxes})
     on = [*(k for k in keys if k not in cfg.boxes), *(f"s_{b}" for b in cfg.boxes)]
-    return expanded.join(renamed, on)
+    return expanded.join(renamed.hint(how), on)
 
 
 def m2l_list(targets: DataFrame, sources: DataFrame, cfg: SpatialConfig) -> DataFrame:
     """Far pairs of existing cells: target columns, source columns as ``s_``, dx.. and ``code``."""
-    rows = _join(expand_far(targets, cfg), sources, cfg, ["level", *cfg.boxes])
+    rows = _join(expand_far(targets, cfg), sources, cfg, ["level", *cfg.boxes], "shuffle_hash")
     return rows.withColumn("code", ix.interaction_code([F.col(d) for d in DELTAS[: cfg.dim]]))
 
 
 def neighbour_list(targets: DataFrame, sources: DataFrame, cfg: SpatialConfig, own: bool = True, upper: bool = False) -> DataFrame:
     """Near pairs of existing leaves: target columns, source columns as ``s_``, dx.. and ``code``."""
-    rows = _join(expand_near(targets, cfg, own, upper), sources, cfg, cfg.boxes)
+    rows = _join(expand_near(targets, cfg, own, upper), sources, cfg, cfg.boxes, "shuffle_hash")
     return rows.withColumn("code", ix.neighbour_code([F.col(d) for d in DELTAS[: cfg.dim]]))
 
 
-def particle_pairs(targets: DataFrame, sources: DataFrame, cfg: SpatialConfig, same: bool) -> DataFrame:
+def particle_pairs(targets: DataFrame, sources: DataFrame, cfg: SpatialConfig, same: bool, small: bool = False) -> DataFrame:
     """Near pairs of encoded particles, both directions; source columns as ``s_``.
 
+    ``small`` says that the sources' size was checked and may be broadcast;
+    else both sides are sorted, which AQE can split at a crowded leaf.
+
     Source positions are those of the image that the target sees.  With one set
     (``same``) a particle does not meet itself, but does meet its own images.
     """
-    rows = _join(expand_near(targets, cfg), sources, cfg, cfg.boxes)
+    rows = _join(expand_near(targets, cfg), sources, cfg, cfg.boxes, "broadcast" if small else "merge")
     if cfg.periodic:
         rows = rows.withColumns({f"s_{a}": F.col(f"s_{a}") + F.col(f"w_{b}") * w for a, b, w in zip(cfg.axes, cfg.boxes, cfg.widths, strict=True)})
     if not same:

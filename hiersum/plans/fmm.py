@@ -22,6 +22,9 @@ from ..operators import interactions, tree
 from . import periodic
 from .staging import staged
 
+#: Source particles that a near field broadcasts, at most: some tens of MB.
+BROADCAST_SOURCES = 500_000
+
 
 def _cols(names, prefix: str = "") -> dict[str, Column]:
     return {n: F.col(f"{prefix}{n}") for n in names}
@@ -128,7 +131,11 @@ class Query:
         """Near field of the particles."""
         if self.kernel.by_count:
             return self._p2p_by_count()
-        pairs = interactions.particle_pairs(self.t, self.s, self.cfg, self.same)
+        # Pairs are the work, not the rows: targets are dealt evenly, whatever files or leaves they come from.
+        # A fixed number keeps small tables from being merged into one task, and pid is what the sum groups by.
+        n = int(self.t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        small = self.s.count() <= BROADCAST_SOURCES
+        pairs = interactions.particle_pairs(self.t.repartition(n, "pid"), self.s, self.cfg, self.same, small)
         d = [F.col(f"s_{a}") - F.col(a) for a in self.cfg.axes]
         pairs, d = staged(pairs, self.kernel, "p2p", d)
         out = self.kernel.p2p(d, F.col("q"), F.col("s_q"))
