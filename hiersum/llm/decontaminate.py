@@ -18,9 +18,10 @@ from .common import ascii_lower, bind, checkpoint
 
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1  # hashes that a window holds
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words are what is left without \x00-\x2F, \x3A-\x60 and \x7B-\x7F; named by what they hold, which matches faster.
+WORD = r"[a-z0-9\x{80}-\x{10FFFF}]++"
 #: The same words before A-Z are lower-cased.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD_ANY_CASE = r"[a-zA-Z0-9\x{80}-\x{10FFFF}]++"
 #: The items' fingerprints and windows are broadcast up to this many rows, and joined by a shuffle beyond.
 BROADCAST_ROWS = 500_000
 POSITION_BITS = 31
