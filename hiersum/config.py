@@ -41,6 +41,8 @@ class SpatialConfig:
     def __post_init__(self) -> None:
         if self.dim not in (2, 3) or self.height < 1 or self.extra_levels < -1:
             raise ValueError("dim is 2 or 3, height at least 1, extra_levels at least -1")
+        if self.periodic and self.extra_levels >= 0 and self.height < 2:
+            raise ValueError("images above the root need a height of 2")
         object.__setattr__(self, "centre", tuple(self.centre[: self.dim]))
         object.__setattr__(self, "widths", tuple(self.widths[: self.dim]))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import SpatialConfig
@@ -34,3 +36,13 @@ def accuracy(tested: DataFrame, reference: DataFrame, value: str, key: str = "pi
     relative = F.when(F.col("r") == 0, F.col("t")).otherwise(diff / F.abs("r"))
     sums = rows.agg(F.max(diff).alias("inf"), F.max("r").alias("top"), F.sum(diff * diff).alias("sd"), F.sum(F.col("r") * F.col("r")).alias("sr"), F.max(relative).alias("max_rel"), F.count(F.lit(1)).alias("n"))
     return sums.select(F.sqrt("sd").alias("l2"), F.sqrt(F.col("sd") / F.col("n")).alias("rms"), "inf", F.sqrt(F.col("sd") / F.col("sr")).alias("rel_l2"), (F.col("inf") / F.col("top")).alias("rel_inf"), "max_rel", "n")
+
+
+def stage_times(query) -> DataFrame:
+    """stage, seconds: every stage of a query, run to the end and dropped."""
+    taken = []
+    for stage in ("p2m", "m2m", "m2l", "l2l", "l2p", "p2p"):
+        began = time.perf_counter()
+        getattr(query, stage)().write.format("noop").mode("overwrite").save()
+        taken.append((stage, time.perf_counter() - began))
+    return query.t.sparkSession.createDataFrame(taken, "stage string, seconds double")

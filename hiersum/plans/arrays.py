@@ -25,6 +25,7 @@ from ..functions import index as ix
 from ..functions.expansions import SLOTS, Expansion
 from ..functions.kernels import InverseR, InverseR2
 from .fmm import Query
+from .periodic import scale_offsets
 
 #: Boxes per axis of a block, and particles of a block that one task evaluates.
 BLOCK_BITS, SHARE = 3, 50_000
@@ -62,7 +63,7 @@ def _boxes(m: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass
 class ArrayQuery:
-    """Potential and force of 1/r (or 1/r**2 under Lagrange) at ``targets``, in a plain 3D cube."""
+    """Potential and force of 1/r (or 1/r**2 under Lagrange) at ``targets``, in a 3D cube, plain or periodic."""
 
     cfg: SpatialConfig
     expansion: Expansion
@@ -71,8 +72,8 @@ class ArrayQuery:
     ops: Ops = Ops.ALL
 
     def __post_init__(self) -> None:
-        if self.cfg.dim != 3 or self.cfg.periodic or len(set(self.cfg.widths)) != 1:
-            raise ValueError("array expansions take a plain 3D cube")
+        if self.cfg.dim != 3 or len(set(self.cfg.widths)) != 1:
+            raise ValueError("array expansions take a 3D cube")
         near = InverseR() if self.expansion.degree == 1 else InverseR2()
         self.query = Query(self.cfg, near, self.targets, self.sources)
 
@@ -83,7 +84,7 @@ class ArrayQuery:
         rows = self.query.s.select(leaf.alias("leaf"), "pid", *cfg.axes, "q")
         # Ranges rather than hashes: a leaf with very many particles spans several tasks.
         rows = rows.repartitionByRange("leaf", "pid").sortWithinPartitions("leaf").select("leaf", *cfg.axes, "q")
-        corner, width, stop = np.array(cfg.corner), cfg.leaf_widths[0], cfg.stop_level
+        corner, width, stop = np.array(cfg.corner), cfg.leaf_widths[0], 0 if cfg.periodic else cfg.stop_level
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             up = [e.up(s) for s in range(8)]
@@ -109,6 +110,38 @@ class ArrayQuery:
 
         return rows.mapInArrow(run, CELL)
 
+    def _images(self, box: str, n: Column) -> Column:
+        """Box numbers of a source and its images from -3 to n + 2."""
+        first, last = F.ceil((-F.col(box) - 3) / n), F.floor((n + 2 - F.col(box)) / n)
+        return F.explode(F.transform(F.sequence(first, last), lambda k: F.col(box) + k * n))
+
+    def _above_root(self) -> np.ndarray | None:
+        """Locals of the root from the images beyond the nearest, on one row of moments."""
+        cfg, e = self.cfg, self.expansion
+        if not cfg.periodic or cfg.extra_levels < 0:
+            return None
+
+        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(e.size)
+            for batch in batches:
+                out += _rows(batch.column(0).to_pylist()).sum(0) if batch.num_rows else 0
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["c"])
+
+        # one row of each task
+        parts = self.upward().where("level = 0").select("c").mapInArrow(total, "c binary").collect()
+        m, coming = _rows([r["c"] for r in parts]).sum(0)[None], []
+        for scale in range(cfg.extra_levels + 1):
+            if scale:
+                m = sum(m @ e.up(slot) for slot in range(8))
+            seen = e.spectrum(m)
+            # an image at offset o acts like a source o boxes away
+            came = sum(e.transfer(o, seen) for o in scale_offsets(cfg, scale))
+            coming.append(e.unspectrum(came) * (2 / (cfg.widths[0] * (1 << scale))) ** e.degree)
+        local = coming[-1]
+        for lower in reversed(coming[:-1]):
+            local = local @ e.down(0) + lower
+        return local
+
     def _block(self, boxes: list[Column]) -> Column:
         return F.struct(*(F.shiftright(b, BLOCK_BITS).alias(n) for b, n in zip(boxes, ("bx", "by", "bz"), strict=True)))
 
@@ -116,9 +149,13 @@ class ArrayQuery:
         """Locals of the target cells from their interaction lists."""
         cfg, e, size, width = self.cfg, self.expansion, 1 << BLOCK_BITS, self.cfg.widths[0]
         boxes = [F.col(b) for b in cfg.boxes]
+        sent = self.upward().where(f"level >= {cfg.stop_level}")
+        if cfg.periodic:  # the images that reach into the box, under the numbers that their boxes would have
+            n = F.call_function("shiftleft", ix.long(1), F.col("level"))
+            for b in cfg.boxes:
+                sent = sent.withColumn(b, self._images(b, n))
         # Every block that a source may act on: those of the boxes at its reach.
         reach = [F.sequence(F.greatest(F.shiftright(b - 3, BLOCK_BITS), F.lit(0)), F.shiftright(F.least(b + 3, F.call_function("shiftleft", ix.long(1), F.col("level")) - 1), BLOCK_BITS)) for b in boxes]
-        sent = self.upward()
         for n, r in zip(("bx", "by", "bz"), reach, strict=True):
             sent = sent.withColumn(n, F.explode(r))
         targets = self.query.target_cells().select("level", *cfg.boxes, self._block(boxes).alias("b")).select("level", *cfg.boxes, "b.*")
@@ -162,6 +199,7 @@ class ArrayQuery:
         blocks = ["bx", "by", "bz"]
         shares = t.groupBy(*blocks).agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE)).cast("int").alias("n"))
         key = [*blocks, "share"]
+        root = self._above_root()
         particles = t.join(shares, blocks).withColumn("share", F.pmod(F.hash("pid"), F.col("n"))).drop("n")
         # Locals of a level cover a range of leaf blocks; of the leaf level, one.
         below = self.transfer()
@@ -181,7 +219,7 @@ class ArrayQuery:
             levels, where = c["level"].to_numpy(), _morton(c[["ix", "iy", "iz"]].to_numpy(), L)
             coefs = _rows(c["c"].tolist())
             down = [e.down(s) for s in range(8)]
-            above_keys, above = None, None
+            above_keys, above = (None, None) if root is None else (np.zeros(1, np.int64), root)
             for level in range(stop, L + 1):
                 wanted = np.unique(keys >> (3 * (L - level)))
                 total = np.zeros((len(wanted), e.size))

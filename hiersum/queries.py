@@ -556,6 +556,25 @@ def periodic_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Query(PLANE.with_(height=3, periodic=True, extra_levels=1), kernels.Log2D(8), parts(spark, sf_dir, 2)).execute()
 
 
+@query("SELECT * FROM (VALUES ('harmonic', -1, true), ('harmonic', 0, true), ('lagrange', -1, true), ('lagrange', 0, true)) AS t(kernel, extra_levels, ok)")
+def periodic_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expansions in a periodic cube against sums over all images."""
+    points, out = suppliers(spark, sf_dir), None
+    for n in (-1, 0):
+        cfg = WRAPPED.with_(extra_levels=n)
+        exact = direct(points, points, cfg, kernels.InverseR(), True)
+        for name, e in (("harmonic", Harmonic(6)), ("lagrange", Lagrange(6))):
+            row = stats.accuracy(ArrayQuery(cfg, e, points).execute(), exact, "pot").select(F.lit(name).alias("kernel"), F.lit(n).alias("extra_levels"), (F.col("rel_l2") < 1e-4).alias("ok"))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("SELECT unnest(['p2m', 'm2m', 'm2l', 'l2l', 'l2p', 'p2p']) AS stage, true AS timed")
+def stage_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage run by itself and timed; a stage's time includes what it builds on."""
+    return stats.stage_times(Query(CUBE, kernels.Count(), orders(spark, sf_dir))).select("stage", (F.col("seconds") > 0).alias("timed"))
+
+
 # Sources
 
 

@@ -110,3 +110,20 @@ def test_fma_file(spark, tmp_path):
     rows, box = particles.read_fma(spark, str(path))
     assert [tuple(r) for r in rows.orderBy("pid").collect()] == [(0, 0.1, 0.2, 0.3, 7.0), (1, 0.4, 0.5, 0.6, 8.0), (2, 0.7, 0.8, 0.9, 9.0)]
     assert tuple(box.first()) == (1.0, 0.5, 0.5, 0.5, 3, 2)
+
+
+@pytest.mark.parametrize(("height", "n"), [(2, -1), (3, 0), (2, 1)])
+@pytest.mark.parametrize("expansion", [Harmonic(6), Lagrange(6)])
+def test_periodic_expansions(spark, expansion, height, n):
+    points = particles.uniform(spark, 40, charge=0.01)
+    points, cfg = spark.createDataFrame(points.collect(), points.schema), SpatialConfig(height=height, periodic=True, extra_levels=n)
+    got, want = ArrayQuery(cfg, expansion, points).execute(), direct(points, points, cfg, kernels.InverseR(), True)
+    assert stats.accuracy(got, want, "pot").first()["rel_l2"] < 1e-4
+    assert stats.accuracy(got, want, "fy").first()["rel_l2"] < 9e-3
+
+
+def test_periodic_log(spark):
+    points = particles.uniform(spark, 40, 2)
+    points, cfg = spark.createDataFrame(points.collect(), points.schema), SpatialConfig(dim=2, height=3, periodic=True, extra_levels=1)
+    got, want = Query(cfg, kernels.Log2D(8), points).execute(), direct(points, points, cfg, kernels.Log2D(8), True)
+    assert stats.accuracy(got, want, "pot").first()["rel_l2"] < 1e-6

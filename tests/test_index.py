@@ -94,6 +94,8 @@ def test_lists_are_equi_joins(spark):
 def test_bad_config():
     with pytest.raises(ValueError):
         SpatialConfig(dim=4)
+    with pytest.raises(ValueError):
+        SpatialConfig(height=1, periodic=True, extra_levels=0)
 
 
 def test_image_intervals():
