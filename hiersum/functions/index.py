@@ -120,45 +120,63 @@ def far_offsets(dim: int) -> list[tuple[int, ...]]:
     return [o for o in product(range(-3, 4), repeat=dim) if max(map(abs, o)) > 1]
 
 
-def hilbert(boxes: Columns, bits: int) -> Column:
-    """Position along a Hilbert curve, for ordering; any number of axes.
+def _at(array: Column, k: int) -> Column:
+    return F.element_at(array, k + 1)
 
-    Gray-code transposition (J. Skilling, "Programming the Hilbert curve",
-    2004), unrolled over the bits into arithmetic on columns.
-    """
-    x = F.array(*boxes)
-    n = len(boxes)
-    get = lambda a, i: F.element_at(a, i + 1)
 
-    def bound(value: Column, body) -> Column:
-        return F.element_at(F.transform(F.array(value), body), 1)
+def _let(value: Column, body) -> Column:
+    """Evaluate once and use many times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def step(q: int, i: int):
-        p = long(q - 1)
 
-        def run(a: Column) -> Column:
-            swap = get(a, 0).bitwiseXOR(get(a, i)).bitwiseAND(p)
-            flip = get(a, i).bitwiseAND(long(q)) != 0
-            first = F.when(flip, get(a, 0).bitwiseXOR(p)).otherwise(get(a, 0).bitwiseXOR(swap))
-            other = F.when(flip, get(a, i)).otherwise(get(a, i).bitwiseXOR(swap))
-            return F.array(*((first if k == 0 else other if k == i else get(a, k)) for k in range(n)))
+def _turn(q: int, i: int, n: int):
+    """One step of the transposition, its own inverse: invert the low bits of axis 0, or swap them with axis i."""
+    p = long(q - 1)
 
-        return run
+    def run(a: Column) -> Column:
+        swap = _at(a, 0).bitwiseXOR(_at(a, i)).bitwiseAND(p)
+        flip = _at(a, i).bitwiseAND(long(q)) != 0
+        first = F.when(flip, _at(a, 0).bitwiseXOR(p)).otherwise(_at(a, 0).bitwiseXOR(swap))
+        other = F.when(flip, _at(a, i)).otherwise(_at(a, i).bitwiseXOR(swap))
+        return F.array(*(first if k == 0 else other if k == i else _at(a, k) for k in range(n)))
 
+    return run
+
+
+def hilbert(boxes: Columns, bits: int) -> Column:
+    """Position along a Hilbert curve, for ordering; any number of axes.
+
+    Gray-code transposition (J. Skilling, "Programming the Hilbert curve",
+    2004), unrolled over the bits into arithmetic on columns.
+    """
+    n, x = len(boxes), F.array(*boxes)
     for b in range(bits - 1, 0, -1):
         for i in range(n):
-            x = bound(x, step(1 << b, i))
+            x = _let(x, _turn(1 << b, i, n))
 
     def gray(a: Column) -> Column:
-        done = [get(a, 0)]
+        done = [_at(a, 0)]
         for k in range(1, n):
-            done.append(get(a, k).bitwiseXOR(done[-1]))
+            done.append(_at(a, k).bitwiseXOR(done[-1]))
         return F.array(*done)
 
     def finish(a: Column) -> Column:
         t = long(0)
         for b in range(bits - 1, 0, -1):
-            t = F.when(get(a, n - 1).bitwiseAND(long(1 << b)) != 0, t.bitwiseXOR(long((1 << b) - 1))).otherwise(t)
-        return bound(t, lambda m: morton([get(a, k).bitwiseXOR(m) for k in range(n)], bits))
+            t = F.when(_at(a, n - 1).bitwiseAND(long(1 << b)) != 0, t.bitwiseXOR(long((1 << b) - 1))).otherwise(t)
+        return _let(t, lambda m: morton([_at(a, k).bitwiseXOR(m) for k in range(n)], bits))
+
+    return _let(_let(x, gray), finish)
+
+
+def hilbert_boxes(index: Column, dim: int, bits: int) -> Column:
+    """Array of the boxes at a position along the curve: the inverse of ``hilbert``."""
+
+    def ungray(a: Column) -> Column:
+        return F.array(_at(a, 0).bitwiseXOR(F.shiftright(_at(a, dim - 1), 1)), *(_at(a, k).bitwiseXOR(_at(a, k - 1)) for k in range(1, dim)))
 
-    return bound(bound(x, gray), finish)
+    x = _let(F.array(*morton_boxes(index, dim, bits)), ungray)
+    for b in range(1, bits):
+        for i in range(dim - 1, -1, -1):
+            x = _let(x, _turn(1 << b, i, dim))
+    return x

@@ -136,6 +136,15 @@ def hilbert_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.leaf_counts(orders(spark, sf_dir), CUBE).select(*CUBE.boxes, "n", ix.hilbert(boxes, CUBE.leaf_level).alias("hilbert"))
 
 
+@query(f"SELECT ix, iy, iz, count(*) AS n FROM ({_boxed(ORDERS)}) GROUP BY 1, 2, 3")
+def hilbert_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes back from the position along the curve."""
+    at = ix.hilbert([F.col(b) for b in CUBE.boxes], CUBE.leaf_level)
+    rows = tree.leaf_counts(orders(spark, sf_dir), CUBE).select("n", at.alias("h"))
+    back = rows.withColumn("b", ix.hilbert_boxes(F.col("h"), 3, CUBE.leaf_level))
+    return back.select(*(F.col("b")[k].alias(b) for k, b in enumerate(CUBE.boxes)), "n")
+
+
 @query(f"SELECT ((ix % 3) * 9 + (iy % 3) * 3 + iz % 3)::BIGINT AS color, count(*) AS n_leaves FROM (SELECT DISTINCT ix, iy, iz FROM ({_boxed(ORDERS)})) GROUP BY 1")
 def leaf_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = tree.leaf_counts(orders(spark, sf_dir), CUBE)

@@ -56,6 +56,13 @@ def test_hilbert_is_a_bijection_along_neighbours(spark):
         assert abs(a["ix"] - b["ix"]) + abs(a["iy"] - b["iy"]) + abs(a["iz"] - b["iz"]) == 1
 
 
+@pytest.mark.parametrize(("dim", "bits"), [(2, 4), (3, 1), (3, 2), (3, 3)])
+def test_hilbert_decodes(spark, dim, bits):
+    rows = spark.range(1 << (dim * bits)).select(F.col("id"), ix.hilbert_boxes(F.col("id"), dim, bits).alias("b"))
+    again = rows.select("id", ix.hilbert([F.col("b")[k] for k in range(dim)], bits).alias("h"))
+    assert again.where("id <> h").count() == 0
+
+
 @pytest.mark.parametrize(("dim", "periodic"), [(2, False), (3, False), (3, True)])
 def test_far_lists_of_a_full_grid(spark, dim, periodic):
     cfg = SpatialConfig(dim=dim, height=4, periodic=periodic)
