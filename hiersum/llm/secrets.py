@@ -4,6 +4,11 @@ Base spans come from three patterns.  The method then looks at long base64,
 base64url and hex candidates, decodes each, and reports it only when the
 bytes parse as something that carries a key: a DER key encoding whose nested
 lengths add up, an SSH wire-format key, or a signed token with a JSON header.
+
+Lines are joined first, over line breaks and over written-out ones (\\n), and a
+key may start anywhere in what is joined.  Its own lengths say where it ends,
+and there the run must end too, so parts of certificates are not reported.
+Base64 of a PEM text is decoded again.  A span covers all lines of its key.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,8 +31,16 @@ ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 # A failing run is never tried again, and a run is failing or passing as a whole, so the length moves into the pattern.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-ENCODED = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
-HEXED = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
+# What may stand between two lines of one key: line breaks, also written out, and spaces after a long piece.
+BREAK = r"(?:(?:[ \t]*+(?:\r\n?|\n|\\++(?:[nr]|(?=[\r\n]))))++[ \t]*+|(?<=[A-Za-z0-9+/_-]{16})[ \t]++)"
+BREAKS = re.compile(BREAK)
+# How base64 of a SEQUENCE, of a short length, of the container's name and of PEM dashes before BEGIN (three alignments) can start.
+STARTS = r"M[A-I]|AAAA[B-P]|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi|LS0tQkVHSU4g|LS0tLUJFR0lO"
+PEM_END = re.compile(r"-{1,5}END [^-]*-{1,5}\s*")
+SSH_TYPE = re.compile(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d+)$")
+CONTAINER = b"openssh-key-v1\0"
+#: Characters of an encoded key, at least.
+LEAST = {6: 24, 4: 32}
 JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])")
 
 Span = tuple[int, int, int]
@@ -68,7 +82,7 @@ def der_ok(data: bytes) -> bool:
 
 def ssh_ok(data: bytes) -> bool:
     """Length-prefixed fields that fill ``data``, the first a known key type; or the private container."""
-    if data.startswith(b"openssh-key-v1\0"):
+    if data.startswith(CONTAINER):
         return True
     at, fields = 0, []
     while at < len(data):
@@ -77,7 +91,7 @@ def ssh_ok(data: bytes) -> bool:
             return False
         fields.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    return len(fields) >= 2 and re.match(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d+)$", fields[0]) is not None
+    return len(fields) >= 2 and SSH_TYPE.match(fields[0]) is not None
 
 
 def unbase64(token: str) -> bytes | None:
@@ -113,21 +127,158 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+class Run:
+    """Joined lines of one alphabet, of 6 or 4 bits a character, with their places in the text."""
+
+    def __init__(self, text: str, start: int, end: int, bits: int):
+        self.text, self.bits, pieces, at = text, bits, [], start
+        for m in BREAKS.finditer(text, start, end):
+            pieces.append((at, m.start()))
+            at = m.end()
+        pieces.append((at, end))
+        self.chars = "".join(text[a:b] for a, b in pieces)
+        self.pieces, self.offsets = pieces, [0]
+        for a, b in pieces:
+            self.offsets.append(self.offsets[-1] + b - a)
+
+    def place(self, k: int) -> int:
+        """Where character ``k`` stands in the text."""
+        i = bisect_right(self.offsets, k) - 1
+        return self.pieces[i][0] + k - self.offsets[i]
+
+    def size(self, n: int) -> int:
+        """Characters of ``n`` bytes."""
+        return -(-n * 8 // self.bits)
+
+    def held(self, s: int) -> int:
+        """Whole bytes from character ``s`` to the end."""
+        return (len(self.chars) - s) * self.bits // 8
+
+    def take(self, s: int, at: int, n: int) -> bytes:
+        """``n`` bytes, or what there is, from byte ``at`` of what starts at character ``s``."""
+        n = max(0, min(n, self.held(s) - at))
+        if self.bits == 4:
+            return bytes.fromhex(self.chars[s + 2 * at : s + 2 * (at + n)])
+        return (unbase64(self.chars[s + at // 3 * 4 : s + self.size(at + n)]) or b"")[at % 3 : at % 3 + n]
+
+    def end(self, s: int, n: int, anywhere: bool = False) -> int | None:
+        """Where ``n`` bytes from character ``s`` end in the text, with padding; None if the run goes on, unless ``anywhere``."""
+        k = s + self.size(n)
+        if k > len(self.chars):
+            return None
+        at = self.place(k - 1) + 1
+        if self.bits == 4:
+            return None if k < len(self.chars) and k not in self.offsets else at
+        for _ in range(-n % 3):
+            if pad := re.compile(f"{BREAK}?=").match(self.text, at):
+                at = pad.end()
+        after = self.text[at : at + 1]
+        if anywhere or not re.match("[A-Za-z0-9+/_=-]", after):
+            return at
+        # A character of the other base64 alphabet does not belong to the key.
+        return at if after in "+/-_" and after in ("+/" if re.search("[-_]", self.chars[s:k]) else "-_") else None
+
+
+def der_end(run: Run, s: int) -> int | None:
+    head = run.take(s, 0, 6)
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    if k > 4:
+        return None
+    n = 2 + k + (int.from_bytes(head[2 : 2 + k]) if k else head[1])
+    if run.size(n) < LEAST[run.bits] or n > run.held(s):
+        return None
+    end = run.end(s, n)
+    return end if end is not None and der_ok(run.take(s, 0, n)) else None
+
+
+def ssh_end(run: Run, s: int) -> int | None:
+    """The end of the last field with which the run can end, or of the private container."""
+
+    def field(at: int) -> int | None:
+        head = run.take(s, at, 4)
+        after = at + 4 + int.from_bytes(head)
+        return after if len(head) == 4 and after <= run.held(s) else None
+
+    if run.take(s, 0, len(CONTAINER)) == CONTAINER:
+        at: int | None = len(CONTAINER)
+        for _ in range(3):
+            at = at and field(at)
+        keys = int.from_bytes(run.take(s, at, 4)) if at else 0
+        at = at and at + 4
+        while at and keys >= 0:
+            at, keys = field(at), keys - 1
+        if at:
+            return run.end(s, at, anywhere=True)
+        # A broken container: what is left of it, with the long lines that follow.
+        i = last = bisect_right(run.offsets, s) - 1
+        while last + 1 < len(run.pieces) and run.offsets[last + 2] - run.offsets[last + 1] >= LEAST[run.bits]:
+            last += 1
+        return run.pieces[last][1] if run.offsets[last + 1] - max(s, run.offsets[i]) >= LEAST[run.bits] else None
+    at = field(0)
+    if at is None or at > 64 or not SSH_TYPE.match(run.take(s, 4, at - 4)):
+        return None
+    best = None
+    while (at := field(at)) is not None:
+        end = run.end(s, at)
+        best = end if end is not None and run.size(at) >= LEAST[run.bits] else best
+    return best
+
+
+def pem_end(run: Run, s: int) -> tuple[int, int] | None:
+    """(end, kind index) of base64 of a PEM text that holds a key."""
+    inner = run.take(s, 0, run.held(s)).decode("latin-1")
+    keys = sorted((b, k) for _, b, k in confirmed_spans(inner) if k != 5)
+    if not keys:
+        return None
+    last = keys[-1][0]
+    mark = PEM_END.search(inner, last)
+    return run.end(s, mark.end() if mark else last, anywhere=True), keys[0][1]
+
+
+def _searcher(alphabet: str, starts: str) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """Patterns of a start in a text, where a line may end in it, of a run, and of a start in a joined run."""
+    loose = "|".join(f"{BREAK}?".join(re.findall(r"\[.*?\]|\w", one)) for one in starts.split("|"))
+    return re.compile(loose), re.compile(rf"[{alphabet}]++(?:{BREAK}[{alphabet}]++)*+"), re.compile(starts)
+
+
+SEARCH = {6: _searcher("A-Za-z0-9+/_-", STARTS), 4: _searcher("0-9A-Fa-f", "30|000000")}
+
+
+def encoded_spans(text: str, bits: int) -> Iterator[Span]:
+    """Keys in base64 (6 bits a character) or hex (4)."""
+    loose, whole, strict = SEARCH[bits]
+    at = 0
+    while m := loose.search(text, at):
+        at = whole.match(text, m.start()).end()
+        if at - m.start() < LEAST[bits]:
+            continue
+        run, k, tried = Run(text, m.start(), at, bits), 0, set()
+        while len(run.chars) - k >= LEAST[bits] and (start := strict.search(run.chars, k)):
+            s = k = start.start()
+            end, kind = None, 3
+            if start[0].startswith("LS0t"):
+                # What failed once from an alignment holds no key further on either.
+                if s % 4 not in tried and (found := pem_end(run, s)):
+                    end, kind = found
+                tried.add(s % 4)
+            elif start[0] == "30" or start[0][0] == "M":
+                end = der_end(run, s)
+            else:
+                end, kind = ssh_end(run, s), 4
+            if end is None:
+                k += 1
+                continue
+            yield run.place(s), end, kind
+            tried.clear()
+            while k < len(run.chars) and run.place(k) < end:
+                k += 1
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """Candidates that decode to a key or signed token."""
-    out: list[Span] = []
-    for m in ENCODED.finditer(text):
-        # Key encodings start with a SEQUENCE tag, a four-byte length or the container's name.
-        if m[0][0] in "MAb" and (data := unbase64(m[0])):
-            if der_ok(data):
-                out.append((m.start(), m.end(), 3))
-            elif ssh_ok(data):
-                out.append((m.start(), m.end(), 4))
-    for m in HEXED.finditer(text):
-        if m[0].startswith("30") and der_ok(bytes.fromhex(m[0])):
-            out.append((m.start(), m.end(), 3))
-        elif m[0].startswith("000000") and ssh_ok(bytes.fromhex(m[0])):
-            out.append((m.start(), m.end(), 4))
+    out: list[Span] = [*encoded_spans(text, 6), *encoded_spans(text, 4)]
     if "eyJ" in text or ".ey" in text:
         out += [(m.start(), m.end(), 5) for m in JWT.finditer(text) if jwt_ok(m[0])]
     return out

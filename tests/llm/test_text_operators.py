@@ -251,3 +251,40 @@ def test_secrets(docs, no_docs):
     rows = secrets.scan(docs).collect()
     assert len(rows) == docs.count() and secrets.scan(no_docs).count() == 0
     assert rows[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def long_der():
+    number = lambda n: b"\x02\x82" + n.to_bytes(2) + bytes(1 + k % 100 for k in range(n))
+    body = b"\x02\x01\x00" + number(257) + b"\x02\x03\x01\x00\x01" + number(256)
+    return b"\x30\x82" + len(body).to_bytes(2) + body
+
+
+def wrapped(data, width=64, by="\n"):
+    line = base64.b64encode(data).decode()
+    return by.join(line[k : k + width] for k in range(0, len(line), width))
+
+
+@pytest.mark.parametrize("by", ["\n", "\r\n", "\n    ", "\\n", "\\r\\n", " "])
+def test_wrapped_keys(by):
+    field = lambda x: len(x).to_bytes(4) + x
+    public = field(b"ssh-ed25519") + field(bytes(32))
+    box = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4) + field(public) + field(bytes(range(136)))
+    for data, kind in ((long_der(), 3), (box, 4)):
+        key = wrapped(data, by=by)
+        for head, tail in ((f"-----BEGIN PRIVATE KEY-----{by}", f"{by}-----END PRIVATE KEY-----"), ("see ", ""), ("", f"{by}and then more words")):
+            assert secrets.confirmed_spans(head + key + tail) == [(len(head), len(head) + len(key), kind)]
+    assert secrets.confirmed_spans(wrapped(b"\x30\x82\x04\x00" + long_der(), by=by)) == []
+
+
+def test_keys_inside_a_run():
+    key = wrapped(der(), 10**6)
+    for head, tail in (("-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"), ("path/", ""), ("a_", "_b"), ("KEY=", "\n"), ('{"k": "', '"}')):
+        assert secrets.confirmed_spans(head + key + tail) == [(len(head), len(head) + len(key), 3)]
+    assert secrets.confirmed_spans(f"{key}\n{key}") == [(0, len(key), 3), (len(key) + 1, 2 * len(key) + 1, 3)]
+    for lead in ("", "x", "xy"):
+        pem = f"{lead}-----BEGIN PRIVATE KEY-----\n{wrapped(long_der())}\n-----END PRIVATE KEY-----\n"
+        (span,) = secrets.confirmed_spans(f"data: {wrapped(pem.encode(), 76)} rest")
+        assert span[1:] == (6 + len(wrapped(pem.encode(), 76)), 3)
+    assert secrets.confirmed_spans(wrapped(b"-----BEGIN NOTE-----\nnothing that is a key\n-----END NOTE-----")) == []
+    lines = long_der().hex()
+    assert secrets.confirmed_spans("\n".join(lines[k : k + 64] for k in range(0, len(lines), 64)))[0][0] == 0
