@@ -14,6 +14,13 @@ branches again while it holds more than one component.  What is still large at
 the last level is compared across components, so no pair is dropped for the
 size of its node.
 
+A pair meets in a tree with probability s to the power of the level at which
+its node became small, so deep documents need more trees.  For each document
+the chance to miss a link at the threshold is added up over the trees, and
+rounds of TREES more trees follow among the documents for which it exceeds
+MISS.  A pair whose one document is not deep has met already.  Rounds deal the
+same minwise tokens to trees anew.
+
 A comparison first looks at 128 one-bit minwise sketches and then confirms the
 link on the full sets.  The sketch alone never makes a link, and a pair at the
 threshold passes it but for a chance of 1e-7.
@@ -24,6 +31,7 @@ checkpoint; neither links nor components ever visit the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +42,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import checkpoint
 
 TREES, LEVELS, LEAF = 16, 8, 32
+#: Chance to miss a link at the threshold, at most, counting trees as independent.
+MISS = 1e-6
 #: Sketch bits that may differ.  A pair at similarity 0.8 differs in 12.8 of 128 on average, deviation 3.4.
 DIFFERING = 32
 #: Ids that are broadcast to pick texts, at most.
@@ -143,29 +153,42 @@ def _pair(a: Column, b: Column) -> Column:
 
 def _nodes(rows: DataFrame, level: int) -> DataFrame:
     """Adds the node of each row (id, tree, sig) at a level: the path of its minwise tokens."""
-    return rows.withColumn("node", F.xxhash64("tree", F.slice("sig", F.col("tree") * LEVELS + 1, F.lit(level)))).drop("sig")
+    return rows.withColumn("node", F.xxhash64("tree", F.slice("sig", F.col("tree") % TREES * LEVELS + 1, F.lit(level)))).drop("sig")
+
+
+def dealt(reps: DataFrame, turn: int) -> DataFrame:
+    """The minwise tokens in the order in which a round deals them to its trees."""
+    if turn == 0:
+        return reps
+    order = np.random.default_rng(turn).permutation(TREES * LEVELS)
+    return reps.withColumn("sig", F.transform(F.array(*(F.lit(int(k)) for k in order)), lambda k: F.get("sig", k)))
 
 
-def roots(reps: DataFrame) -> DataFrame:
-    """First level of all trees: id, tree, node, and the node's size and pivot.  Rows hold ids, not sketches."""
-    rows = _nodes(reps.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")), 1)
+def roots(reps: DataFrame, turn: int = 0) -> DataFrame:
+    """First level of a round's trees: id, tree, node, and the node's size and pivot.  Rows hold ids, not sketches."""
+    rows = _nodes(reps.select("id", "sig", F.explode(F.sequence(F.lit(turn * TREES), F.lit(turn * TREES + TREES - 1))).alias("tree")), 1)
     return rows.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1"), "node")
 
 
-def branch(first: DataFrame, reps: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def branch(first: DataFrame, reps: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Branch the large nodes of the first level on, as long as they hold more than one component.
 
     Returns star candidates (a, b), the members (node, d) of small nodes of
-    all levels, and those of nodes still large at the last level.
+    all levels, those of nodes still large at the last level, and (id, more),
+    by how much each document's nodes below the first level raise the logarithm
+    of its chance to miss a link.
     """
+    miss = lambda level: math.log1p(-((percent / 100) ** level))
     by_id = sketches.withColumn("id", F.col("d.id"))
     placed = lambda rows: rows.join(by_id, "id").select("node", "d")
     leaves, stars = [first.where(F.col("size").between(3, LEAF)).select("node", "id")], []
     large = checkpoint(first.where(F.col("size") > LEAF).select("id", "tree").join(by_id.select("id", F.col("d.c").alias("c")), "id"))
     ends = large.select(F.lit(0).cast("bigint").alias("node"), "id").limit(0)
+    deeper = [large.select("id", F.lit(0.0).alias("more")).limit(0)]
     for level in range(2, LEVELS + 1):
         if large.isEmpty():
             break
+        deeper.append(large.select("id", F.lit(miss(level) - miss(level - 1)).alias("more")))
         rows = _nodes(large.join(reps, "id"), level)
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").drop("low", "high")
         members = checkpoint(rows.join(sizes, "node"))
@@ -175,7 +198,26 @@ def branch(first: DataFrame, reps: DataFrame, sketches: DataFrame) -> tuple[Data
         ends, large = large.select("node", "id"), large.drop("node")
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     stars = union(stars).distinct() if stars else ends.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    return stars, placed(union(leaves)), placed(ends)
+    return stars, placed(union(leaves)), placed(ends), union(deeper).groupBy("id").agg(F.sum("more").alias("more"))
+
+
+def meetings(first: DataFrame, reps: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Star candidates and members as of ``branch``, of as many rounds of trees as the depth asks for."""
+    round_miss = TREES * math.log1p(-percent / 100) if percent < 100 else -math.inf
+    stars, leaves, large, deeper = branch(first, reps, sketches, percent)
+    so_far = reps.select("id", F.lit(0.0).alias("miss")) if round_miss > math.log(MISS) else deeper.select("id", F.lit(0.0).alias("miss"))
+    turn = 0
+    while True:
+        so_far = so_far.join(deeper, "id", "left").select("id", (F.col("miss") + round_miss + F.coalesce("more", F.lit(0.0))).alias("miss"))
+        so_far = checkpoint(so_far.where(F.col("miss") > math.log(MISS)))
+        if so_far.isEmpty():
+            return stars, leaves, large
+        turn += 1
+        deep = checkpoint(dealt(reps.join(so_far.select("id"), "id", "left_semi"), turn))
+        first = checkpoint(roots(deep, turn))
+        found = branch(first, deep, sketches, percent)
+        stars = stars.unionByName(first.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b"))).unionByName(found[0]).distinct()
+        leaves, large, deeper = leaves.unionByName(found[1]), large.unionByName(found[2]), found[3]
 
 
 def star_pairs(stars: DataFrame, sketches: DataFrame, test) -> DataFrame:
@@ -318,7 +360,7 @@ def find(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     links = confirm(star_pairs(stars, sketch(reps, F.col("id")), lambda x, y: _alike(x, y, percent)), slim, words, percent)
     joined = checkpoint(components(links))
     sketches = sketch(with_component(reps.drop("sig"), joined), F.col("component"))
-    stars, leaves, large = branch(first, reps.select("id", "sig"), sketches)
+    stars, leaves, large = meetings(first, reps.select("id", "sig"), sketches, percent)
     pairs = star_pairs(stars, sketches, lambda x, y: _open(x, y, percent)).unionByName(leaf_pairs(leaves, percent)).distinct()
     more = confirm(pairs, slim, words, percent)
     if not large.isEmpty():

@@ -151,6 +151,14 @@ def test_chain_of_links_is_one_component(spark):
     check_groups(spark, [(k, " ".join(words[k * 5 : k * 5 + 100])) for k in range(40)])
 
 
+def test_links_among_documents_on_a_template(spark):
+    """Nodes stay large down to the last level: two documents share 110 of 140 shingles, planted pairs 112 of 138."""
+    base, rows = [f"t{k}" for k in range(111)], []
+    for k in range(600):
+        rows.append((k, " ".join([*base, f"p{k // 2}", f"q{k // 2}", *(f"o{k}x{j}" for j in range(13))])))
+    check_groups(spark, rows)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="aB \t\né😀", max_size=40))
 def test_shingle_sets(text):
