@@ -46,7 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """All documents, with personal data and disclosing terms taken out of their texts."""
     found = pii.find(docs.select(*COLUMNS))
     text = pii.sanitised(F.col("text"), F.col("base"), F.col("added"), F.col("flagged"))
-    return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("base") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("base") + F.size("added") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,29 +6,28 @@ A pattern's matches and the gaps between them, from one ``split`` and one
 scanned in time linear in its length and nothing leaves the row.
 
 The method asks which other words give a protected entity away.  Over the
-whole corpus it counts, in documents, how often a term stands near an entity
-and how often it occurs at all.  Given the term, the entity is uncertain by
+whole corpus it counts, in documents, how often a term stands in one text with
+an entity and how often it occurs at all.  Given the term, the entity is uncertain by
 -log2 p(entity | term) bits; where that is at most ``MAX_BITS`` and the pair
-was seen in ``SUPPORT`` documents, the term discloses the entity.  In the
-documents that hold the entity, it is generalised to a placeholder, or removed
-where hardly any uncertainty is left.  A document without base spans protects
-nothing and is left as it is.
+was seen in ``SUPPORT`` documents, the term discloses the entity.  In every
+document that holds the term, with the entity or without, it is generalised to
+a placeholder, or removed where hardly any uncertainty is left.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bind
+from .common import bind, checkpoint
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 #: Bits of uncertainty about an entity that a term must leave, and at or below which it is removed.
 MAX_BITS, REMOVE_BITS = 0.5, 0.1
-#: Documents that must show a term near an entity.
+#: Documents that must show a term and an entity.
 SUPPORT = 5
-#: Characters on either side of an entity that are near it.
-NEAR = 60
+#: Entities or terms that are broadcast, at most.
+BROADCAST = 500_000
 
 # A run is tried from its start only, or from where the last match ended: any
 # other start in it would meet the same next character.  Possessive loops cannot
@@ -128,23 +127,30 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.lower(span["value"]))
 
 
-def near_pairs(docs: DataFrame) -> DataFrame:
-    """doc_id, entity, term: the terms that stand near each protected entity, once a document."""
-    spans = docs.select("doc_id", base_spans(F.col("text"), NEAR).alias("spans")).where("size(spans) > 0").select("doc_id", F.explode("spans").alias("s"))
-    # A word cut off at the edge of what is near is left out.
-    cut = lambda side, edge: F.when(F.char_length(side) == NEAR, F.regexp_replace(side, edge, "")).otherwise(F.col(side))
-    inner = F.concat_ws(" ", cut("s.left", r"^\S+"), cut("s.right", r"(?<!\S)\S+$"))
-    return spans.select("doc_id", _entity(F.col("s")).alias("entity"), F.explode(terms_of(inner)).alias("term")).distinct()
+def _small(rows: DataFrame) -> DataFrame:
+    """Computed once, and broadcast only under a checked count."""
+    rows = checkpoint(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
 
 
-def disclosing(docs: DataFrame, pairs: DataFrame | None = None, max_bits: float = MAX_BITS, support: int = SUPPORT) -> DataFrame:
+def entity_terms(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """entity, term, n_both: in how many documents both stand.  Entities of fewer than ``support`` documents are left out."""
+    entities = F.array_distinct(F.transform(base_spans(F.col("text")), _entity))
+    held = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.explode(entities).alias("entity"))
+    shared = held.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("entity")
+    pairs = held.join(_small(shared), "entity", "left_semi").select("doc_id", "entity", F.explode(terms_of(F.col("text"))).alias("term"))
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        pairs = pairs.distinct()
+    return pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
+
+
+def disclosing(docs: DataFrame, max_bits: float = MAX_BITS, support: int = SUPPORT) -> DataFrame:
     """entity, term, bits: the pairs above the disclosure threshold, estimated over all of ``docs``."""
-    pairs = near_pairs(docs) if pairs is None else pairs
-    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
+    together = checkpoint(entity_terms(docs, support))
     wanted = together.select("term").distinct()
-    by_term = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") >= support)
+    by_term = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") >= support).join(wanted, "term", "left_semi")
     bits = F.log2(F.greatest(F.col("n_term"), F.col("n_both")) / F.col("n_both"))
-    return together.join(by_term.join(wanted, "term", "left_semi"), "term").withColumn("bits", bits).where(F.col("bits") <= max_bits).select("entity", "term", "bits")
+    return together.join(by_term, "term").withColumn("bits", bits).where(F.col("bits") <= max_bits).select("entity", "term", "bits")
 
 
 def _term_spans(text: Column, flagged: Column) -> Column:
@@ -156,18 +162,19 @@ def find(docs: DataFrame, max_bits: float = MAX_BITS, support: int = SUPPORT) ->
     """All columns of ``docs`` and ``base``, ``added`` (arrays of spans) and ``flagged`` (map term -> bits).
 
     Needs doc_id and text.  Null and empty texts have no spans.  Rows that
-    share a doc_id count as one document when terms are counted near an entity
+    share a doc_id count as one document when terms are counted with an entity
     and share what is flagged; each keeps a row of its own.  A null doc_id has
     its base spans but takes no part in the counting.  An empty table gives an
     empty result.
     """
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    pairs = near_pairs(slim)
-    flagged = pairs.join(disclosing(slim, pairs, max_bits, support), ["entity", "term"]).groupBy(F.col("doc_id").alias("flag_id"), "term").agg(F.min("bits").alias("bits"))
+    terms = _small(disclosing(slim, max_bits, support).groupBy("term").agg(F.min("bits").alias("bits")))
+    held = slim.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("flag_id"), F.explode(terms_of(F.col("text"))).alias("term"))
+    flagged = held.join(terms, "term").groupBy("flag_id", "term").agg(F.min("bits").alias("bits"))
     by_doc = flagged.groupBy("flag_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "bits")))).alias("flagged"))
     based = docs.withColumn("base", base_spans(F.col("text").cast("string")))
     joined = based.join(by_doc, F.col("doc_id").cast("bigint") == F.col("flag_id"), "left").drop("flag_id")
-    return joined.withColumn("added", F.when(F.col("flagged").isNotNull() & (F.size("base") > 0), _term_spans(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("flagged"))).otherwise(F.array().cast(SPAN)))
+    return joined.withColumn("added", F.when(F.col("flagged").isNotNull(), _term_spans(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("flagged"))).otherwise(F.array().cast(SPAN)))
 
 
 def joined_spans(spans: Column) -> Column:
@@ -198,4 +205,4 @@ def sanitised(text: Column, base: Column, added: Column, flagged: Column) -> Col
         end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.array_join(F.slice(x["chars"], (acc["at"] + 1).cast("int"), F.size(x["chars"])), ""))
         return F.aggregate(x["spans"], start, step, end)
 
-    return F.when(F.size(base) == 0, text).otherwise(bind(F.struct(chars.alias("chars"), F.array_sort(everything).alias("spans")), rebuild))
+    return F.when(F.size(base) + F.size(added) == 0, text).otherwise(bind(F.struct(chars.alias("chars"), F.array_sort(everything).alias("spans")), rebuild))

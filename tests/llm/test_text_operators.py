@@ -221,6 +221,17 @@ def test_disclosing_terms(spark, docs, no_docs):
     assert pii.find(docs.select("doc_id", "text", "lang", "node", "level")).count() == docs.count()
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    gap = "common words of no account " * 5
+    rows = [(k, f"Zorblax {gap} wrote from zed@corp.example.com") for k in range(8)]
+    rows += [(100 + k, f"common words of no account wrote from week {k}") for k in range(40)]
+    rows += [(200, "Zorblax alone in a text")]
+    out = pii.find(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "text", pii.sanitised(F.col("text"), F.col("base"), F.col("added"), F.col("flagged")).alias("clean")).collect()
+    for r in out:
+        assert "Zorblax" not in r["clean"] and ("common words" in r["clean"] or r["doc_id"] == 200)
+        assert not 100 <= r["doc_id"] < 200 or r["clean"] == r["text"]
+
+
 def test_sanitised_keeps_the_rest(spark):
     text = "é a@b.cc, 10.0.0.1 +1 555 123 4567 end"
     row = pii.find(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).select(pii.sanitised(F.col("text"), F.col("base"), F.col("added"), F.col("flagged")).alias("t")).first()
