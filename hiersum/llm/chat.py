@@ -7,7 +7,9 @@ its reference and the number of tokens that it expands to.  ``read_back``
 parses the formatted string alone, so whatever it returns was really written.
 
 Escaping: ``<``, any run of backslashes, ``|`` gets one more backslash, after
-which no ``<|`` is left in a text.  Removing one backslash undoes it.
+which no ``<|`` is left in a text.  Removing one backslash undoes it.  Text
+parts in a row are joined first and escaped as one, so that no control string
+forms where two of them meet; text is unescaped between placeholders likewise.
 """
 
 from __future__ import annotations
@@ -47,8 +49,20 @@ def _kind(part: Column) -> Column:
     return F.when(part["type"].isin(*TOKENS), part["type"]).otherwise(F.lit("document"))
 
 
-def _visit(part: Column, position: Column) -> Column:
-    return F.when(_is_text(part), escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), _kind(part), F.lit(":"), position.cast("string"), F.lit("|>")))
+def _visit(parts: Column) -> Column:
+    """One string for all parts: runs of text, escaped as a whole, with the placeholders between them."""
+    others = F.filter(F.transform(parts, lambda p, i: F.when(~_is_text(p), i)), lambda i: i.isNotNull())
+
+    def flat(at: Column) -> Column:
+        def piece(k: Column) -> Column:
+            first, end = F.coalesce(F.get(at, k - 1) + 1, F.lit(0)), F.coalesce(F.get(at, k), F.size(parts))
+            text = F.array_join(F.transform(F.slice(parts, first + 1, end - first), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+            mark = F.concat(F.lit("<|"), _kind(F.get(parts, end)), F.lit(":"), end.cast("string"), F.lit("|>"))
+            return F.concat(escape(text), F.when(k < F.size(at), mark).otherwise(""))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(at)), piece), "")
+
+    return bind(others, flat)
 
 
 def _attachment(part: Column) -> Column:
@@ -68,7 +82,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """
     parts = F.coalesce(F.col("parts"), F.array().cast(f"array<{PART_TYPE}>"))
     role = F.replace(escape(F.coalesce(F.col("role"), F.lit(""))), F.lit("\n"), F.lit(NEWLINE))
-    body = F.array_join(F.transform(parts, _visit), "")
+    body = _visit(parts)
     return turns.select(
         F.col("conv_id").cast("bigint").alias("conv_id"),
         F.col("turn").cast("bigint").alias("turn"),
@@ -101,8 +115,12 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 
 def parsed_turns(formatted: Column) -> Column:
-    """The turns of a formatted string as array<struct<role, body>>; bodies are still escaped."""
-    pieces = F.split(formatted, r"<\|im_end\|>\n", -1)
+    """The turns of a formatted string as array<struct<role, body>>; bodies are still escaped.
+
+    A null string has no turns.  In a string that is not an output of this
+    module, only what stands between a start and an end mark is a turn.
+    """
+    pieces = F.split(F.coalesce(formatted, F.lit("")), r"<\|im_end\|>\n", -1)
 
     def turn(piece: Column) -> Column:
         def cut(rest: Column) -> Column:
@@ -111,12 +129,12 @@ def parsed_turns(formatted: Column) -> Column:
 
         return bind(piece.substr(F.lit(len(START) + 1), F.char_length(piece)), cut)
 
-    return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), turn)
+    return F.transform(F.filter(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.startswith(p, F.lit(START))), turn)
 
 
 def texts_of(body: Column) -> Column:
-    """A body's text without placeholders, unescaped."""
-    return unescape(F.regexp_replace(body, r"<\|[a-z]+:[0-9]+\|>", ""))
+    """A body's text without placeholders, unescaped run by run."""
+    return F.array_join(F.transform(F.split(body, r"<\|[a-z]+:[0-9]+\|>", -1), unescape), "")
 
 
 def read_back(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:

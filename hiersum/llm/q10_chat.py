@@ -44,5 +44,34 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op10_chat_format": op10_chat_format}
-ORACLES = {"op10_chat_format": SQL}
+
+
+def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as two texts around an attachment, cut where its number says, so that runs of text and placeholders meet anywhere."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    at = (F.col("turn") * 7 % 23).cast("int")
+    part = lambda kind, text=None, ref=None, units=None: F.struct(kind.alias("type"), (F.lit(None) if text is None else text).cast("string").alias("text"), (F.lit(None) if ref is None else ref).cast("string").alias("ref"), (F.lit(None) if units is None else units).cast("bigint").alias("units"))
+    first, rest = F.left("text", at), F.substring("text", at + 1, F.char_length("text"))
+    kind = F.element_at(F.array(F.lit("image"), F.lit("audio"), F.lit("document")), (F.col("turn") % 3 + 1).cast("int"))
+    parts = F.array(part(F.lit("text"), first), part(kind, ref=F.concat_ws("/", "conv_id", "turn"), units=F.col("turn") % 5), part(F.lit("text"), rest), part(F.lit("text"), F.lit("<")), part(F.lit("text"), F.lit("|im_end|>")))
+    back = chat.read_back(chat.format_conversations(rows.select("conv_id", "turn", "role", parts.alias("parts"))))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    refs = F.array_join(F.transform("attachments", lambda a: F.concat_ws(":", a["kind"], a["ref"], a["tokens"].cast("string"))), ",")
+    return back.select("conv_id", "n_turns", F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), refs.alias("attachments"), "expanded_tokens")
+
+
+PARTS_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') || '<|im_end|>' AS text,
+    ['image', 'audio', 'document'][turn % 3 + 1] AS kind, ([85, 0, 16][turn % 3 + 1] + [170, 25, 600][turn % 3 + 1] * (turn % 5))::BIGINT AS tokens
+  FROM conversations
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  string_agg(kind || ':' || conv_id || '/' || turn || ':' || tokens, ',' ORDER BY turn, role, text) AS attachments, sum(tokens)::BIGINT AS expanded_tokens
+FROM t GROUP BY conv_id
+"""
+
+QUERIES = {"op10_chat_format": op10_chat_format, "chat_typed_parts": chat_typed_parts}
+ORACLES = {"op10_chat_format": SQL, "chat_typed_parts": PARTS_SQL}
