@@ -5,16 +5,22 @@ source's target over its size.  The whole part is sure.  The fractional parts
 are rounded dependently: two documents are paired, and mass (words) moves from
 one to the other, in a random direction weighted so that no expectation
 changes, until one of the two is integral.  The sum of words never moves.
-Documents are paired with others of their size class (powers of two), so at
-the end each class of a source leaves one fractional document, and a few are held
-back.  These are
-rounded together, largest first, each against the error so far; as their sizes
-fall geometrically, the words taken end near the target.
+Documents are paired with others of their size class (powers of two), so that
+each class of a source leaves at most one fractional document.
 
 The reduction is a tree: documents are dealt by hash into small blocks of one
-source, each block folds to at most one fractional document, and those are
-dealt again.  A level is one shuffle of what is left, a 64th of the level
-before, and a source of any size is many blocks.
+source and class, each block folds to at most one fractional document, and
+those are dealt again.  A level is one shuffle of what is left, a 64th of the
+level before, and a source of any size is many blocks.
+
+About RESERVE documents of each source and class stay out of the tree.  They
+are the pool at its root: all have the same probability, and a document that is
+paired with the pool exchanges mass with all of it at once, in proportion to
+size.  First the fractional documents that the classes left meet the pool,
+then the pool's own documents, largest first, meet what is left of it.  Each
+becomes integral unless the pool runs empty or full; only then is a fraction
+rounded by itself, unbiased like every step before, and only there do the words
+taken leave the target.
 """
 
 from __future__ import annotations
@@ -26,10 +32,10 @@ from .common import bind, checkpoint
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK = 64
-#: So many documents of each source and size class are rounded at the end, against the error so far.
-RESERVE = 8
-#: Sources are joined by broadcast up to this many, and by a shuffle beyond.
-BROADCAST_SOURCES = 50_000
+#: Documents of each source and size class in the pool at the root, about.
+RESERVE = 32
+#: Sources' size classes are joined by broadcast up to this many, and by a shuffle beyond.
+BROADCAST_CLASSES = 500_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,7 +46,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """source, n_docs, source_size, target: shares of all words by weight, at most ``cap`` times a source's own.
+    """source, source_size, target: shares of all words by weight, at most ``cap`` times a source's own.
 
     Sources go by code point, null last, and take the weights in turn.  Excess
     over a cap is reshared by weight until no target is above its cap.  With
@@ -48,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     running sums find the final share without a loop.  Only the table of
     sources passes through the single window.
     """
-    by = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
+    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     ranked = by.withColumn("k", F.row_number().over(order) - 1).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("k") % len(weights) + 1).cast("int")).cast("double"))
     ranked = ranked.withColumn("cap", (F.col("source_size") * cap).cast("double"))
@@ -59,7 +65,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     ranked = ranked.withColumn("share", left / F.sum("weight").over(after)).withColumn("at_cap", F.col("share") * F.col("weight") > F.col("cap"))
     final = F.min_by(F.when(~F.col("at_cap"), F.col("share")), F.when(~F.col("at_cap"), F.struct(F.col("cap") / F.col("weight"), F.col("k")))).over(everything)
-    return ranked.select("source", "n_docs", "source_size", F.when(F.col("at_cap"), F.col("cap")).otherwise(F.least("cap", F.coalesce(final, F.lit(0.0)) * F.col("weight"))).alias("target"))
+    return ranked.select("source", "source_size", F.when(F.col("at_cap"), F.col("cap")).otherwise(F.least("cap", F.coalesce(final, F.lit(0.0)) * F.col("weight"))).alias("target"))
 
 
 def _chance(doc: Column, rep: Column, level: int, seed: int) -> Column:
@@ -101,57 +107,87 @@ def _fold(items: Column, level: int, seed: int) -> Column:
     return F.aggregate(items, start, move)
 
 
-def _settle(items: Column) -> Column:
-    """Round a source's last fractional documents, a few of each size class, so that their errors cancel."""
-    start = F.struct(F.lit(0.0).alias("error"), F.array().cast("array<struct<doc_id:bigint,size:bigint,p:bigint>>").alias("done"))
+def _settle(items: Column, p: Column, seed: int) -> Column:
+    """Round a source's last documents against its pool: array<struct<doc_id, rep, size, p>> with p 0 or 1.
+
+    ``items`` are structs (in_pool, negative size, doc_id, rep, p) in order;
+    ``p`` is the probability that the pool's documents have at first.
+    """
+    row = "struct<doc_id:bigint,rep:bigint,size:bigint,p:double>"
+    weight = F.aggregate(items, F.lit(0.0), lambda n, x: n + F.when(x["in_pool"] == 1, -x["minus"]).otherwise(0).cast("double"))
+    start = F.struct(p.alias("p"), weight.alias("left"), F.array().cast(f"array<{row}>").alias("done"))
 
     def step(state: Column, x: Column) -> Column:
-        up, down = state["error"] + (1 - x["p"]) * x["size"], state["error"] - x["p"] * x["size"]
-        taken = F.abs(up) < F.abs(down)
-        row = F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), taken.cast("bigint").alias("p"))
-        return F.struct(F.when(taken, up).otherwise(down).alias("error"), F.concat(state["done"], F.array(row)).alias("done"))
+        own = x["in_pool"] == 1
+        facts = F.struct((-x["minus"]).cast("double").alias("s"), F.when(own, state["p"]).otherwise(x["p"]).alias("p"), F.greatest(state["left"] + F.when(own, x["minus"]).otherwise(0).cast("double"), F.lit(0.0)).alias("left"))
+
+        def meet(f: Column) -> Column:
+            mass, room = state["p"] * f["left"], (1 - state["p"]) * f["left"]
+            amounts = F.struct(((1 - f["p"]) * f["s"]).alias("want"), (f["p"] * f["s"]).alias("have"), mass.alias("mass"), room.alias("room"))
+            return bind(amounts, lambda m: move(f, m, F.least(m["want"], m["mass"]), F.least(m["have"], m["room"])))
+
+        def move(f: Column, m: Column, up: Column, down: Column) -> Column:
+            rises = _chance(x["doc_id"], x["rep"], -1, seed) * (up + down) < down
+            own_p = F.when(rises, F.when(m["want"] <= m["mass"], F.lit(1.0)).otherwise(f["p"] + up / f["s"])).otherwise(F.when(m["have"] <= m["room"], F.lit(0.0)).otherwise(f["p"] - down / f["s"]))
+            pool = F.when(rises, F.when(m["mass"] <= m["want"], F.lit(0.0)).otherwise(state["p"] - up / f["left"])).otherwise(F.when(m["room"] <= m["have"], F.lit(1.0)).otherwise(state["p"] + down / f["left"]))
+            stuck = (up + down <= 0) | (f["left"] <= 0)
+            settled = F.struct(F.when(stuck, f["p"]).otherwise(own_p).alias("p"), F.when(stuck, state["p"]).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), pool))).alias("pool"))
+
+            def put(y: Column) -> Column:
+                taken = F.when(_chance(x["doc_id"], x["rep"], -2, seed) < y["p"], F.lit(1.0)).otherwise(F.lit(0.0))
+                done = F.struct(x["doc_id"].alias("doc_id"), x["rep"].alias("rep"), (-x["minus"]).alias("size"), taken.alias("p"))
+                return F.struct(y["pool"].alias("p"), f["left"].alias("left"), F.concat(state["done"], F.array(done)).alias("done"))
+
+            return bind(settled, put)
+
+        return bind(facts, meet)
 
     return F.aggregate(items, start, step, lambda state: state["done"])
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = 20) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = 20, reserve: int = RESERVE) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row per row of ``docs``.
 
-    A document never gets more than ``cap`` copies.  A document without words
+    A document never gets more than ``cap`` copies, and its expected number of
+    copies is its source's target over its size.  A document without words
     gets none.  Rows are told apart by doc_id, and rows that agree in doc_id,
-    source and size by a number, so repeats are rounded one by one.  An empty
-    table gives an empty result.  Other columns are ignored.
+    source and size by a number, so repeats are rounded one by one.  A null
+    source is a source.  An empty table gives an empty result.  Other columns
+    are ignored.
     """
-    spark = docs.sparkSession
-    sizes = sized(docs)
-    shares = checkpoint(targets(sizes, weights, cap))
-    row = shares.agg(F.count(F.lit(1)), F.max("n_docs")).first()
-    n_sources, most = row[0], row[1] or 0
-    small = F.broadcast(shares) if n_sources <= BROADCAST_SOURCES else shares
-    repeats = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("rep"))
-    joined = repeats.join(small, repeats["source"].eqNullSafe(small["source"]), "inner").drop(small["source"])
+    sizes = checkpoint(sized(docs).withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(F.lit(-1).cast("bigint"))))
+    by_class = checkpoint(sizes.groupBy("source", "class").agg(F.count(F.lit(1)).alias("n_class"), F.sum("size").alias("size")))
+    shares = targets(by_class, weights, cap).withColumnRenamed("source", "named")
+    classes = checkpoint(by_class.drop("size").join(shares, F.col("source").eqNullSafe(F.col("named"))).select(F.col("source").alias("named"), F.col("class").alias("in_class"), "n_class", "source_size", "target"))
+    n_classes, most = classes.agg(F.count(F.lit(1)), F.max("n_class")).first()
+    classes = F.broadcast(classes) if n_classes <= BROADCAST_CLASSES else classes
+    repeats = sizes.groupBy("doc_id", "source", "size", "class").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "source", "size", "class", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("rep"))
+    joined = repeats.join(classes, F.col("source").eqNullSafe(F.col("named")) & (F.col("class") == F.col("in_class"))).drop("named", "in_class")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rated = joined.withColumn("rate", rate).withColumn("sure", F.floor("rate")).withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.col("sure")).otherwise(F.lit(0.0)))
-    key = ["source", "source_size", "target", "n_docs", "sure", "class"]
+    key = ["source", "source_size", "target", "sure", "class", "n_class"]
     out = ["doc_id", "source", "size", "source_size", "target", "copies"]
     whole = rated.where("p = 0").select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("sure")).otherwise(F.lit(0)).alias("copies"))
-    open_, done, level, span = rated.where("p > 0").withColumn("class", F.floor(F.log2("size"))).select(*key, "doc_id", "rep", "size", "p"), [whole], 0, float(most)
+    open_ = rated.where("p > 0").select(*key, "doc_id", "rep", "size", "p")
+    pooled = _chance(F.col("doc_id"), F.col("rep"), 0, seed + 1) * F.col("n_class") < reserve
+    pool, open_ = open_.where(pooled), open_.where(~pooled)
+    done, level, span = [whole], 0, float(most or 0)
     while True:
         level, span = level + 1, span / block
-        last = span <= 1
-        n_blocks = F.lit(1) if last else F.greatest(F.lit(1), F.ceil(F.col("n_docs") / float(block**level))).cast("int")
+        n_blocks = F.greatest(F.lit(1), F.ceil(F.col("n_class") / float(block**level))).cast("int")
         dealt = open_.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(level), "doc_id", "rep"), n_blocks))
         folded = dealt.groupBy(*key, "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "rep", "size", "p"))).alias("items"))
-        # a few documents of the last block stay out of the fold, for the settlement
-        n_kept = F.lit(RESERVE if last else 0)
-        folded = folded.select(*key, F.slice("items", F.lit(1), n_kept).alias("kept"), _fold(F.slice("items", n_kept + 1, F.size("items")), level, seed).alias("f"))
-        rows = checkpoint(folded.select(*key, F.inline(F.filter(F.concat(F.col("kept"), F.array("f.held"), F.col("f.done")), lambda v: v.isNotNull()))))
+        folded = folded.select(*key, _fold(F.col("items"), level, seed).alias("f"))
+        rows = checkpoint(folded.select(*key, F.inline(F.filter(F.concat(F.array("f.held"), F.col("f.done")), lambda v: v.isNotNull()))))
         done.append(rows.where("p <= 0 OR p >= 1").select(*out[:-1], (F.col("sure") + F.col("p").cast("bigint")).alias("copies")))
         open_ = rows.where("p > 0 AND p < 1")
-        if last:
+        if span <= 1:
             break
-    left = open_.groupBy(*key[:-1]).agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "rep", "p")), asc=False).alias("items"))
-    done.append(left.select(*key[:-1], F.inline(_settle(F.col("items")))).select(*out[:-1], (F.col("sure") + F.col("p")).alias("copies")))
+    last = pool.withColumn("in_pool", F.lit(1)).unionByName(open_.withColumn("in_pool", F.lit(0)))
+    item = F.struct("in_pool", (-F.col("size")).alias("minus"), "doc_id", "rep", "p")
+    left = last.groupBy(*key[:4]).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    rate = F.col("target") / F.col("source_size") - F.col("sure")
+    done.append(left.select(*key[:4], F.inline(_settle(F.col("items"), rate, seed))).select(*out[:-1], (F.col("sure") + F.col("p").cast("bigint")).alias("copies")))
     result = done[0].select(*out)
     for more in done[1:]:
         result = result.unionByName(more.select(*out))
