@@ -38,7 +38,12 @@ BREAKS = re.compile(BREAK)
 STARTS = r"M[A-I]|AAAA[B-P]|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi|LS0tQkVHSU4g|LS0tLUJFR0lO"
 PEM_END = re.compile(r"-{1,5}END [^-]*-{1,5}\s*")
 SSH_TYPE = re.compile(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d+)$")
+CIPHER = re.compile(rb"[a-z0-9@.-]{2,64}")
 CONTAINER = b"openssh-key-v1\0"
+INTEGER, BITS, OCTETS, OID, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
+#: Tags that key encodings use, and those of them that hold further elements.
+DER_TAGS = frozenset((0x01, INTEGER, BITS, OCTETS, 0x05, OID, 0x0C, 0x13, 0x16, 0x17, 0x18, SEQUENCE, 0x31, 0x80, 0x81, 0xA0, 0xA1))
+DER_NESTED = frozenset((SEQUENCE, 0x31, 0xA0, 0xA1))
 #: Characters of an encoded key, at least.
 LEAST = {6: 24, 4: 32}
 JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])")
@@ -46,52 +51,58 @@ JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{2,}\.[A-Z
 Span = tuple[int, int, int]
 
 
+Item = tuple[int, int, int]
+
+
+def der_items(data: bytes, at: int, end: int) -> list[Item] | None:
+    """(tag, start, end) of the elements that fill a stretch; None if the lengths do not add up."""
+    out: list[Item] = []
+    while at < end:
+        if end - at < 2:
+            return None
+        tag, n, body = data[at], data[at + 1], at + 2
+        if n & 0x80:
+            k = n & 0x7F
+            if not 1 <= k <= 4 or body + k > end:
+                return None
+            n, body = int.from_bytes(data[body : body + k]), body + k
+        if body + n > end or tag not in DER_TAGS or (tag == INTEGER and n == 0):
+            return None
+        out.append((tag, body, body + n))
+        at = body + n
+    return out
+
+
 def der_ok(data: bytes) -> bool:
-    """A SEQUENCE that fills ``data`` and holds an INTEGER or nested SEQUENCE first, all lengths consistent.
+    """A SEQUENCE that fills ``data``, all nested lengths consistent, whose elements have the order of a key.
 
-    Walks with an explicit stack, so nesting costs no recursion.
+    That is a version and at least two more INTEGERs (RSA, DSA); a modulus and a small odd exponent
+    (RSA public); a version, then an algorithm or an OCTET STRING (PKCS#8, PKCS#12, EC); or an algorithm, then
+    a BIT or OCTET STRING (public, encrypted).  Two INTEGERs of one size are a
+    signature.  Walks with an explicit stack, so nesting costs no recursion.
     """
-    if len(data) < 16 or data[0] != 0x30:
+    whole = der_items(data, 0, len(data)) if len(data) >= 16 else None
+    if not whole or len(whole) != 1 or whole[0][0] != SEQUENCE:
+        return False
+    top = der_items(data, *whole[0][1:])
+    stack = list(top or ())
+    if not stack:
         return False
-    stack, seen_int, items = [(0, len(data))], False, 0
     while stack:
-        at, end = stack.pop()
-        while at < end:
-            if end - at < 2:
-                return False
-            tag, n, body = data[at], data[at + 1], at + 2
-            if n & 0x80:
-                k = n & 0x7F
-                if not 1 <= k <= 4 or body + k > end:
-                    return False
-                n, body = int.from_bytes(data[body : body + k]), body + k
-            if body + n > end:
-                return False
-            items += 1
-            if tag in (0x30, 0x31, 0xA0, 0xA1):
-                stack.append((body, body + n))
-            elif tag == 0x02:
-                if n == 0:
-                    return False
-                seen_int = True
-            elif tag not in (0x01, 0x03, 0x04, 0x05, 0x06, 0x0C, 0x13, 0x16, 0x17, 0x18, 0x80, 0x81):
+        tag, at, end = stack.pop()
+        if tag in DER_NESTED:
+            inside = der_items(data, at, end)
+            if inside is None:
                 return False
-            at = body + n
-    return seen_int and items >= 3
-
-
-def ssh_ok(data: bytes) -> bool:
-    """Length-prefixed fields that fill ``data``, the first a known key type; or the private container."""
-    if data.startswith(CONTAINER):
-        return True
-    at, fields = 0, []
-    while at < len(data):
-        n = int.from_bytes(data[at : at + 4])
-        if at + 4 + n > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return len(fields) >= 2 and SSH_TYPE.match(fields[0]) is not None
+            stack += inside
+    tags, value = [t for t, _, _ in top], lambda k: data[top[k][1] : top[k][2]]
+    algorithm = lambda k: data[top[k][1]] == OID if top[k][2] > top[k][1] else False
+    if tags[0] == INTEGER:
+        version = len(value(0)) == 1 and value(0)[0] <= 3
+        if set(tags) == {INTEGER}:
+            return (version and len(tags) >= 3) or (len(tags) == 2 and len(value(0)) >= 64 and len(value(1)) <= 8 and value(1)[-1] % 2 == 1)
+        return version and len(tags) >= 2 and ((tags[1] == SEQUENCE and algorithm(1)) or (tags[1] == OCTETS and len(value(1)) >= 16))
+    return tags[0] == SEQUENCE and len(tags) == 2 and tags[1] in (BITS, OCTETS) and algorithm(0)
 
 
 def unbase64(token: str) -> bytes | None:
@@ -201,21 +212,24 @@ def ssh_end(run: Run, s: int) -> int | None:
         after = at + 4 + int.from_bytes(head)
         return after if len(head) == 4 and after <= run.held(s) else None
 
+    def value(at: int) -> bytes:
+        return run.take(s, at + 4, (field(at) or at + 4) - at - 4)
+
     if run.take(s, 0, len(CONTAINER)) == CONTAINER:
+        # cipher, derivation, its options, number of keys, that many public keys, the private part in whole blocks
         at: int | None = len(CONTAINER)
-        for _ in range(3):
-            at = at and field(at)
-        keys = int.from_bytes(run.take(s, at, 4)) if at else 0
-        at = at and at + 4
-        while at and keys >= 0:
+        for name in (True, True, False):
+            if at is None or field(at) is None or (name and not CIPHER.fullmatch(value(at))):
+                return None
+            at = field(at)
+        keys, at = int.from_bytes(run.take(s, at, 4)), at + 4
+        while keys > 0 and at is not None:
+            inner = value(at)
+            if not SSH_TYPE.match(inner[4 : 4 + int.from_bytes(inner[:4])]):
+                return None
             at, keys = field(at), keys - 1
-        if at:
-            return run.end(s, at, anywhere=True)
-        # A broken container: what is left of it, with the long lines that follow.
-        i = last = bisect_right(run.offsets, s) - 1
-        while last + 1 < len(run.pieces) and run.offsets[last + 2] - run.offsets[last + 1] >= LEAST[run.bits]:
-            last += 1
-        return run.pieces[last][1] if run.offsets[last + 1] - max(s, run.offsets[i]) >= LEAST[run.bits] else None
+        after = field(at) if at is not None else None
+        return run.end(s, after, anywhere=True) if after and after - at - 4 >= 16 and (after - at - 4) % 8 == 0 else None
     at = field(0)
     if at is None or at > 64 or not SSH_TYPE.match(run.take(s, 4, at - 4)):
         return None
