@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,17 +20,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; pick one only where none is named (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "hiersum-checkpoints"))
+_open = threading.local()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder, so a lost executor costs only a read."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder.  A folder of its own is made only for a local session (tests)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "hiersum-checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame, outer: bool = False) -> DataFrame:
+    """Cut the lineage through a table in the shared folder, so a lost executor costs only a read.
+
+    A table is smaller than a checkpoint of rows, and Spark knows its size.
+    Inside ``scratch`` it lives as long as that, or (``outer``) as long as what is around it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    scopes = getattr(_open, "scopes", [])
+    if len(scopes) > outer:
+        scopes[-1 - outer].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are deleted at the end.  Nothing lazy that reads them may leave."""
+    scopes = _open.scopes = getattr(_open, "scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in scopes.pop():
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def ascii_lower(text: Column) -> Column:

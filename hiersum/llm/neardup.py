@@ -1,7 +1,10 @@
 """Near-duplicate detection by a chosen-path set similarity join.
 
 A document's set holds the 64-bit hashes of its word shingles.  Documents with
-the same set form a class, and one of each class takes part in the join.
+the same set form a class, and one of each class takes part in the join.  Sets
+count as the same if their sizes, sums and the sums of a second, independent
+hash of their shingles agree, 128 bits in all.  Rows that share a doc_id take
+part one by one, under ids of their own, and are linked with each other.
 
 Join: each of TREES independent trees branches the documents by the minwise
 token of their set under the hash of the tree and level, so that a pair of
@@ -15,18 +18,23 @@ the last level is compared across components, so no pair is dropped for the
 size of its node.
 
 A pair meets in a tree with probability s to the power of the level at which
-its node became small, so deep documents need more trees.  For each document
-the chance to miss a link at the threshold is added up over the trees, and
-rounds of TREES more trees follow among the documents for which it exceeds
-MISS.  A pair whose one document is not deep has met already.  Rounds deal the
-same minwise tokens to trees anew.
+its node became small, so deep documents need more trees.  A document counts as
+deep as the deepest large node in which it was: where it left the common path
+early, its partner is likelier than not to have stayed.  Rounds of TREES more
+trees follow among the documents that could miss a link at the threshold with
+more than a chance of MISS.  A pair whose one document is not deep has met
+already.  Rounds deal the same minwise tokens to trees anew.
 
 A comparison first looks at 128 one-bit minwise sketches and then confirms the
 link on the full sets.  The sketch alone never makes a link, and a pair at the
-threshold passes it but for a chance of 1e-7.
+threshold passes it but for a chance of 1e-7.  For confirmation the partners of
+a document are dealt to buckets of bounded size, and its text goes once to each.
 
 Links are contracted to components by alternating stars, each step cut by a
-checkpoint; neither links nor components ever visit the driver.
+checkpoint; neither links nor components ever visit the driver.  Whatever is
+joined on a key that may be very common (node, pivot, class, centre of a star)
+is joined with a table that is computed before, so that both sides of the join
+are plain shuffles, which adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -39,26 +47,27 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpoint
+from .common import checkpoint, scratch
 
-TREES, LEVELS, LEAF = 16, 8, 32
+TREES, LEVELS, LEAF = 16, 8, 256
 #: Chance to miss a link at the threshold, at most, counting trees as independent.
 MISS = 1e-6
-#: Sketch bits that may differ.  A pair at similarity 0.8 differs in 12.8 of 128 on average, deviation 3.4.
-DIFFERING = 32
+#: Bits of a sketch, and how many deviations beyond the mean of a pair at the threshold may differ.
+SKETCH, DEVIATIONS = 128, 5.6
 #: Ids that are broadcast to pick texts, at most.
 BROADCAST_IDS = 2_000_000
+#: Partners of a document that are confirmed in one place, about.
+BUCKET = 64
 #: Tokens of one side of a block of a large node, about.
 BLOCK_TOKENS = 1_000_000
 
 _rng = np.random.default_rng(64)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+_BYTES = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64)
 _ODD = _rng.integers(0, 2**62, TREES * LEVELS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_POWER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -67,41 +76,46 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _factors_to(n: int) -> np.ndarray:
+    """Unrelated odd factors of the places of a word, for both hashes: multilinear hashing."""
+    at = np.arange(1, 2 * n + 1, dtype=np.uint64).reshape(n, 2).T
+    return _mix(at * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def _powers_to(n: int) -> np.ndarray:
-    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _POWER, np.uint64))])
-
-
-_powers = _powers_to(64)
+_factors = _factors_to(64)
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z folded, split at ASCII white space."""
-    global _powers
+    """Two independent 64-bit hashes of each word (2 x words), A-Z folded, split at ASCII white space."""
+    global _factors
     data = _FOLD[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
     solid = ~_SPACE[data]
     at = np.flatnonzero(solid)
     if not len(at):
-        return np.zeros(0, np.uint64)
+        return np.zeros((2, 0), np.uint64)
     first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
     size = np.diff(first, append=len(at))
-    if size.max() > len(_powers):
-        _powers = _powers_to(2 * int(size.max()))
-    inside = np.arange(len(at)) - np.repeat(first, size)
-    return _mix(np.add.reduceat(_BYTE[data[at]] * _powers[inside], first) + size.astype(np.uint64))
+    if size.max() > _factors.shape[1]:
+        _factors = _factors_to(2 * int(size.max()))
+    inside, held = np.arange(len(at)) - np.repeat(first, size), data[at]
+    return _mix(np.stack([np.add.reduceat(b[held] * f[inside], first) for b, f in zip(_BYTES, _factors, strict=True)]) + size.astype(np.uint64))
 
 
-def shingle_set(text: str | None, words: int = 2) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; with fewer words, the whole sequence as one; none without words."""
+def shingle_hashes(text: str | None, words: int = 2) -> np.ndarray:
+    """Both hashes of every word shingle in order; with fewer words, the whole sequence as one; none without words."""
     h = word_hashes(text or "")
-    if not len(h):
+    n = min(words, h.shape[1])
+    if not n:
         return h
-    n = min(words, len(h))
-    x = np.zeros(len(h) - n + 1, np.uint64)
+    x = np.zeros((2, h.shape[1] - n + 1), np.uint64)
     for k in range(n):
-        x = _mix(x * np.uint64(0xD6E8FEB86659FD93) + h[k : len(h) - n + 1 + k])
-    return np.unique(x + np.uint64(n))
+        x = _mix(x * np.uint64(0xD6E8FEB86659FD93) + h[:, k : h.shape[1] - n + 1 + k])
+    return x + np.uint64(n)
+
+
+def shingle_set(text: str | None, words: int = 2) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles."""
+    return np.unique(shingle_hashes(text, words)[0])
 
 
 def minwise(x: np.ndarray) -> np.ndarray:
@@ -113,33 +127,40 @@ def minwise(x: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-SIGNATURE = "doc_id bigint, n bigint, f1 bigint, f2 bigint, s1 bigint, s2 bigint, sig array<int>"
+SIGNATURE = "id bigint, n bigint, f1 bigint, f2 bigint, s1 bigint, s2 bigint, sig array<int>"
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """Size, fingerprint, sketch and minwise tokens of each document's set."""
+def signatures(rows: DataFrame, words: int) -> DataFrame:
+    """Size, fingerprint, sketch and minwise tokens of each row's set (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[] for _ in range(6)]
             for text in batch.column(1):
-                x = shingle_set(text.as_py(), words)
+                both = shingle_hashes(text.as_py(), words)
+                x = np.unique(both[0])
                 sig = minwise(x)
                 bits = np.packbits((sig * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(bool)).view(np.int64)
-                prints = np.array([x.sum(dtype=np.uint64), np.bitwise_xor.reduce(_mix(x + np.uint64(1))) if len(x) else 0], np.uint64).view(np.int64)
+                prints = np.array([x.sum(dtype=np.uint64), _mix(np.unique(both[1])).sum(dtype=np.uint64)], np.uint64).view(np.int64)
                 for c, v in zip(columns, (len(x), prints[0], prints[1], bits[0], bits[1], sig.view(np.int32)), strict=True):
                     c.append(v)
             types = [pa.int64()] * 5 + [pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[f.split()[0] for f in SIGNATURE.split(", ")])
 
-    return docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "CAST(text AS string) AS text").mapInArrow(run, SIGNATURE)
+    return rows.select("id", "text").mapInArrow(run, SIGNATURE)
+
+
+def differing(percent: int) -> int:
+    """Sketch bits in which a linked pair may differ: half of what the sets do not share, and some deviations more."""
+    p = (1 - percent / 100) / 2
+    return math.ceil(SKETCH * p + DEVIATIONS * math.sqrt(SKETCH * p * (1 - p)))
 
 
 def _alike(a: Column, b: Column, percent: int) -> Column:
     """What any linked pair meets: sizes close enough, and sketches that mostly agree."""
     sizes = F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent
     differ = F.bit_count(a["s1"].bitwiseXOR(b["s1"])) + F.bit_count(a["s2"].bitwiseXOR(b["s2"]))
-    return sizes & (differ <= DIFFERING)
+    return sizes & (differ <= differing(percent))
 
 
 def _open(a: Column, b: Column, percent: int) -> Column:
@@ -147,10 +168,6 @@ def _open(a: Column, b: Column, percent: int) -> Column:
     return (a["c"] != b["c"]) & _alike(a, b, percent)
 
 
-def _pair(a: Column, b: Column) -> Column:
-    return F.struct(F.least(a["id"], b["id"]).alias("a"), F.greatest(a["id"], b["id"]).alias("b"))
-
-
 def _nodes(rows: DataFrame, level: int) -> DataFrame:
     """Adds the node of each row (id, tree, sig) at a level: the path of its minwise tokens."""
     return rows.withColumn("node", F.xxhash64("tree", F.slice("sig", F.col("tree") % TREES * LEVELS + 1, F.lit(level)))).drop("sig")
@@ -167,57 +184,62 @@ def dealt(reps: DataFrame, turn: int) -> DataFrame:
 def roots(reps: DataFrame, turn: int = 0) -> DataFrame:
     """First level of a round's trees: id, tree, node, and the node's size and pivot.  Rows hold ids, not sketches."""
     rows = _nodes(reps.select("id", "sig", F.explode(F.sequence(F.lit(turn * TREES), F.lit(turn * TREES + TREES - 1))).alias("tree")), 1)
-    return rows.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1"), "node")
+    return rows.join(checkpoint(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1")), "node")
 
 
 def branch(first: DataFrame, reps: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Branch the large nodes of the first level on, as long as they hold more than one component.
 
-    Returns star candidates (a, b), the members (node, d) of small nodes of
-    all levels, those of nodes still large at the last level, and (id, more),
-    by how much each document's nodes below the first level raise the logarithm
-    of its chance to miss a link.
+    Returns star candidates (a, b), the members (node, id) of small nodes of
+    all levels, those of nodes still large at the last level, and (id, depth),
+    the level to which the large nodes of a document had to branch.
     """
-    miss = lambda level: math.log1p(-((percent / 100) ** level))
-    by_id = sketches.withColumn("id", F.col("d.id"))
-    placed = lambda rows: rows.join(by_id, "id").select("node", "d")
     leaves, stars = [first.where(F.col("size").between(3, LEAF)).select("node", "id")], []
-    large = checkpoint(first.where(F.col("size") > LEAF).select("id", "tree").join(by_id.select("id", F.col("d.c").alias("c")), "id"))
+    large = checkpoint(first.where(F.col("size") > LEAF).select("id", "tree").join(sketches.select("d.id", "d.c"), "id"))
     ends = large.select(F.lit(0).cast("bigint").alias("node"), "id").limit(0)
-    deeper = [large.select("id", F.lit(0.0).alias("more")).limit(0)]
+    deeper = [large.select("id", F.lit(1).alias("depth")).limit(0)]
     for level in range(2, LEVELS + 1):
         if large.isEmpty():
             break
-        deeper.append(large.select("id", F.lit(miss(level) - miss(level - 1)).alias("more")))
+        deeper.append(large.select("id", F.lit(level).alias("depth")).distinct())
         rows = _nodes(large.join(reps, "id"), level)
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").drop("low", "high")
-        members = checkpoint(rows.join(sizes, "node"))
+        members = checkpoint(rows.join(checkpoint(sizes), "node"))
         stars.append(members.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         leaves.append(members.where(F.col("size").between(3, LEAF)).select("node", "id"))
         large = members.where(F.col("size") > LEAF).select("id", "tree", "c", "node")
         ends, large = large.select("node", "id"), large.drop("node")
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    stars = union(stars).distinct() if stars else ends.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    return stars, placed(union(leaves)), placed(ends), union(deeper).groupBy("id").agg(F.sum("more").alias("more"))
+    stars = union(stars) if stars else ends.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    return stars, union(leaves), ends, union(deeper).groupBy("id").agg(F.max("depth").alias("depth"))
+
 
+def meetings(first: DataFrame, reps: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Open pairs (a, b) that meet in some tree, and the members (node, d) of nodes that stayed large.
 
-def meetings(first: DataFrame, reps: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Star candidates and members as of ``branch``, of as many rounds of trees as the depth asks for."""
-    round_miss = TREES * math.log1p(-percent / 100) if percent < 100 else -math.inf
-    stars, leaves, large, deeper = branch(first, reps, sketches, percent)
-    so_far = reps.select("id", F.lit(0.0).alias("miss")) if round_miss > math.log(MISS) else deeper.select("id", F.lit(0.0).alias("miss"))
-    turn = 0
+    As many rounds of trees as the depth of the nodes asks for; each leaves its pairs and drops its trees.
+    """
+    spark = reps.sparkSession
+    by_id = sketches.withColumn("id", F.col("d.id"))
+    turn, pairs, large, so_far = 0, None, None, reps.select("id", F.lit(1).alias("depth"))
     while True:
-        so_far = so_far.join(deeper, "id", "left").select("id", (F.col("miss") + round_miss + F.coalesce("more", F.lit(0.0))).alias("miss"))
-        so_far = checkpoint(so_far.where(F.col("miss") > math.log(MISS)))
+        with scratch(spark):
+            deep = reps if turn == 0 else checkpoint(dealt(reps.join(so_far.select("id"), "id", "left_semi"), turn))
+            nodes = first if turn == 0 else checkpoint(roots(deep, turn))
+            stars, leaves, ends, deeper = branch(nodes, deep, sketches, percent)
+            if turn:
+                stars = stars.unionByName(nodes.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+            near = star_pairs(stars.distinct(), sketches, lambda x, y: _open(x, y, percent)).unionByName(leaf_pairs(leaves.join(by_id, "id").select("node", "d"), percent))
+            near = checkpoint(near.distinct(), outer=True)
+            still = checkpoint(ends.join(by_id, "id").select("node", "d"), outer=True)
+            # the depths at which all trees so far are not enough
+            wanting = [d for d in range(1, LEVELS + 1) if percent < 100 and (turn + 1) * TREES * math.log1p(-((percent / 100) ** d)) > math.log(MISS)]
+            reached = so_far.unionByName(deeper).groupBy("id").agg(F.max("depth").alias("depth"))
+            so_far = checkpoint(reached.where(F.col("depth").isin(wanting)), outer=True)
+        pairs, large = (near, still) if turn == 0 else (pairs.unionByName(near), large.unionByName(still))
         if so_far.isEmpty():
-            return stars, leaves, large
+            return pairs, large
         turn += 1
-        deep = checkpoint(dealt(reps.join(so_far.select("id"), "id", "left_semi"), turn))
-        first = checkpoint(roots(deep, turn))
-        found = branch(first, deep, sketches, percent)
-        stars = stars.unionByName(first.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b"))).unionByName(found[0]).distinct()
-        leaves, large, deeper = leaves.unionByName(found[1]), large.unionByName(found[2]), found[3]
 
 
 def star_pairs(stars: DataFrame, sketches: DataFrame, test) -> DataFrame:
@@ -228,19 +250,56 @@ def star_pairs(stars: DataFrame, sketches: DataFrame, test) -> DataFrame:
 
 
 def leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
-    """Open pairs of small nodes, by exhaustive comparison of at most LEAF members."""
-    grouped = leaves.groupBy("node").agg(F.sort_array(F.collect_list("d")).alias("ds"))
-    pairs = F.flatten(F.transform("ds", lambda x, i: F.transform(F.filter(F.slice("ds", i + 2, F.size("ds")), lambda y: _open(x, y, percent)), lambda y: _pair(x, y))))
-    return grouped.select(F.inline(pairs))
-
-
-def texts_of(ids: DataFrame, docs: DataFrame, n_ids: int) -> DataFrame:
-    """doc_id, text of the documents named by ``ids`` (doc_id)."""
-    ids = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
-    return docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    """Open pairs of small nodes (node, d), by exhaustive comparison of at most LEAF members.
 
+    Rows are dealt and sorted by node and read as a stream, one node at a time.
+    """
+    most = differing(percent)
+
+    def node_pairs(x: np.ndarray) -> np.ndarray:
+        """Rows (id, n, s1, s2, c) of one node -> pairs of ids."""
+        i, j = np.triu_indices(len(x), 1)
+        differ = x[i, 2:4] ^ x[j, 2:4]
+        bits = np.bitwise_count(differ.view(np.uint64)).sum(1, dtype=np.int64)
+        n, m = np.minimum(x[i, 1], x[j, 1]), np.maximum(x[i, 1], x[j, 1])
+        near = (bits <= most) & (x[i, 4] != x[j, 4]) & (n * 100 >= m * percent)
+        pair = np.stack([x[i[near], 0], x[j[near], 0]], 1)
+        return np.sort(pair, 1)
 
-def across(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_node = np.zeros((0, 5), np.int64), None
+        make = lambda parts: pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)).T], names=["a", "b"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node = batch.column(0).to_numpy()
+            rows = np.stack([batch.column(k).to_numpy() for k in range(1, 6)], 1)
+            first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            out = []
+            for k, (at, end) in enumerate(zip(first, [*first[1:], len(node)], strict=True)):
+                part = rows[at:end]
+                if k == 0 and node[0] == held_node:
+                    part = np.concatenate([held, part])
+                elif k == 0 and len(held) > 1:
+                    out.append(node_pairs(held))
+                if end == len(node):
+                    held, held_node = part, node[at]
+                elif len(part) > 1:
+                    out.append(node_pairs(part))
+            yield make(out)
+        if len(held) > 1:
+            yield make([node_pairs(held)])
+
+    flat = leaves.select("node", "d.id", "d.n", "d.s1", "d.s2", "d.c")
+    return flat.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint")
+
+
+def texts_of(ids: DataFrame, rows: DataFrame, n_ids: int) -> DataFrame:
+    """id, text of the rows named by ``ids`` (id)."""
+    return rows.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
+def across(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) in nodes that stayed large: what is outside a node's main component, against all of the node.
 
     The full sets travel once to each block of a node, not with each pair; an
@@ -251,14 +310,14 @@ def across(members: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     by_c = rows.groupBy("node", "c").agg(F.sum("n").alias("n"))
     main = by_c.groupBy("node").agg(F.max_by("c", "n").alias("main"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"), F.max("n").alias("most")).where("k > 1")
     blocks = main.select("node", "main", F.ceil(F.col("all") / BLOCK_TOKENS).cast("int").alias("n_m"), F.ceil((F.col("all") - F.col("most")) / BLOCK_TOKENS).cast("int").alias("n_s"))
-    some = checkpoint(rows.join(blocks, "node"))
-    ids = some.select(F.col("id").alias("doc_id")).distinct()
+    some = checkpoint(rows.join(checkpoint(blocks), "node"))
+    ids = some.select("id").distinct()
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "tokens"])
 
-    sets = texts_of(ids, docs, some.count()).mapInArrow(to_sets, "id bigint, tokens binary")
+    sets = texts_of(ids, texts, some.count()).select("id", "text").mapInArrow(to_sets, "id bigint, tokens binary")
     full = checkpoint(some.join(sets, "id"))
     deal = lambda n: F.pmod(F.hash("id"), F.col(n))
     key = ["node", "m", "s"]
@@ -291,28 +350,32 @@ def with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
     return rows.join(components.withColumnRenamed("id", "linked"), F.col("id") == F.col("linked"), "left").drop("linked").withColumn("component", F.coalesce("component", "id"))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.  Sets are made anew from the texts of the pairs alone."""
+def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough.  Sets are made anew from the texts of the pairs alone.
+
+    The partners of a document go to buckets, each behind a row with the
+    document's own text, and are read in that order as a stream.
+    """
     pairs = checkpoint(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = texts_of(ids, docs, pairs.count() * 2)
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts, pairs.count() * 2)
+    buckets = checkpoint(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET)).cast("int").alias("n")))
+    heads = buckets.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(F.col("a").alias("id"), "bucket").join(texts, "id").select(F.col("id").alias("a"), "bucket", F.lit(None).cast("bigint").alias("b"), "text")
+    tails = pairs.join(buckets, "a").select("a", F.pmod(F.hash("b"), F.col("n")).alias("bucket"), F.col("b").alias("id")).join(texts, "id").select("a", "bucket", F.col("id").alias("b"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_text, last_set = None, None
+        head = np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
-            for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
-                ta = ta.as_py()
-                if ta != last_text:
-                    last_text, last_set = ta, shingle_set(ta, words)
-                x = shingle_set(tb.as_py(), words)
-                common = len(last_set) + len(x) - len(np.union1d(last_set, x))
-                keep.append(100 * common >= percent * (len(last_set) + len(x) - common) and common > 0)
+            for b, text in zip(batch.column(1), batch.column(2), strict=True):
+                x = shingle_set(text.as_py(), words)
+                if not b.is_valid:
+                    head = x
+                common = len(head) + len(x) - len(np.union1d(head, x)) if b.is_valid else 0
+                keep.append(100 * common >= percent * (len(head) + len(x) - common) and common > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return checkpoint(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"))
+    dealt = heads.unionByName(tails).repartition("a", "bucket").sortWithinPartitions("a", "bucket", "b")
+    return checkpoint(dealt.select("a", "b", "text").mapInArrow(run, "a bigint, b bigint"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -327,9 +390,9 @@ def components(links: DataFrame) -> DataFrame:
     seen = mark(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        edges = checkpoint(both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        lowest = checkpoint(edges.groupBy("u").agg(F.min("v").alias("m")))
         edges = edges.join(lowest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = checkpoint(edges)
         now = mark(edges)
@@ -339,35 +402,67 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()).groupBy("id").agg(F.min("component").alias("component"))
 
 
+def by_row(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (id, text) whose ids are unique, and (id, doc_id, times) of the rows that had to get another id, if any.
+
+    New ids lie above all doc_ids.  A null doc_id stays null.
+    """
+    known = docs.where("doc_id IS NOT NULL")
+    many = checkpoint(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if many.isEmpty():
+        return docs.select(F.col("doc_id").alias("id"), "text"), None
+    many = F.broadcast(many) if many.count() <= BROADCAST_IDS else many
+    top = known.agg(F.max("doc_id")).first()[0]
+    each = known.join(many, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("times"))
+    each = checkpoint(each.withColumn("id", F.lit(top + 1) + F.monotonically_increasing_id()))
+    rows = docs.join(many, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "text").unionByName(each.select("id", "text"))
+    return rows, each.select("id", "doc_id", "times")
+
+
 def find(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text).
 
     Two documents are linked if 100 * common >= percent * union on their sets
     of ``words``-word shingles; a component is what links reach.  Null, empty
     and wordless texts have an empty set and are linked with nothing.  Equal
-    sets are linked.  Rows that share a doc_id count as one document; a null
+    sets are linked.  Rows that share a doc_id are one document, which has the
+    links of all its texts; each row has its own number of shingles.  A null
     doc_id has no component and is not kept.  An empty table gives an empty
     result.  Other columns are ignored.
     """
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = checkpoint(signatures(slim, words))
-    full = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.min_by("s1", "doc_id").alias("s1"), F.min_by("s2", "doc_id").alias("s2"), F.min_by("sig", "doc_id").alias("sig"))
-    reps = checkpoint(classes.select("id", "n", "s1", "s2", "sig"))
+    with scratch(docs.sparkSession):
+        return checkpoint(_find(docs, words, percent), outer=True)
+
+
+def _find(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    texts, repeats = by_row(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    key = ["n", "f1", "f2"]
+    signed = checkpoint(signatures(texts, words))
+    full = signed.where("n > 0 AND id IS NOT NULL")
+    classes = full.groupBy(*key).agg(F.min("id").alias("rep"), F.min_by("s1", "id").alias("s1"), F.min_by("s2", "id").alias("s2"), F.min_by("sig", "id").alias("sig"))
+    classes = checkpoint(classes.withColumnRenamed("rep", "id"))
+    reps = classes.select("id", "n", "s1", "s2", "sig")
+    sure = None
+    if repeats is not None:  # a document with several rows is the centre of a star of their classes
+        sure = checkpoint(full.select("id", *key).join(repeats, "id").join(classes.select(*key, F.col("id").alias("b")), key).select(F.col("doc_id").alias("a"), "b").distinct())
     sketch = lambda rows, c: checkpoint(rows.select(F.struct("id", "n", "s1", "s2", c.alias("c")).alias("d")))
     first = checkpoint(roots(reps.select("id", "sig")))
     stars = first.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = confirm(star_pairs(stars, sketch(reps, F.col("id")), lambda x, y: _alike(x, y, percent)), slim, words, percent)
-    joined = checkpoint(components(links))
+    links = confirm(star_pairs(stars, sketch(reps, F.col("id")), lambda x, y: _alike(x, y, percent)), texts, words, percent)
+    joined = checkpoint(components(links if sure is None else links.unionByName(sure)))
     sketches = sketch(with_component(reps.drop("sig"), joined), F.col("component"))
-    stars, leaves, large = meetings(first, reps.select("id", "sig"), sketches, percent)
-    pairs = star_pairs(stars, sketches, lambda x, y: _open(x, y, percent)).unionByName(leaf_pairs(leaves, percent)).distinct()
-    more = confirm(pairs, slim, words, percent)
+    pairs, large = meetings(first, reps.select("id", "sig"), sketches, percent)
+    more = confirm(pairs.distinct(), texts, words, percent)
     if not large.isEmpty():
-        more = checkpoint(more.unionByName(across(large, slim, words, percent)))
+        more = checkpoint(more.unionByName(across(large, texts, words, percent)))
     if not more.isEmpty():
         joined = checkpoint(components(more.unionByName(joined.select(F.col("id").alias("a"), F.col("component").alias("b")))))
-    placed = with_component(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id")), joined).drop("id")
-    everyone = signed.select("doc_id", "n", "f1", "f2").join(placed, ["n", "f1", "f2"], "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component")))
+    placed = checkpoint(with_component(classes.select(*key, "id"), joined).drop("id"))
+    everyone = signed.select("id", *key).join(placed, key, "left").select(F.col("id").alias("doc_id"), "n", "component", F.lit(1).cast("bigint").alias("times"))
+    if repeats is not None:
+        centres = joined.join(repeats.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"), F.col("component").alias("centre"))
+        renamed = repeats.select(F.col("id").alias("row_id"), F.col("doc_id").alias("own"), F.col("times").alias("n_times"))
+        named = everyone.join(renamed, F.col("doc_id") == F.col("row_id"), "left").select(F.coalesce("own", "doc_id").alias("doc_id"), "n", "component", F.coalesce("n_times", "times").alias("times"))
+        everyone = named.join(checkpoint(centres), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "centre").alias("component"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("times"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return everyone.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
