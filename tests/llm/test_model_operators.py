@@ -56,32 +56,77 @@ def test_codewords_differ(n):
         assert min((a != b).sum() for i, a in enumerate(code) for b in code[:i]) >= min(code.shape[1] // 4, 2 ** (n - 2))
 
 
-def test_neighbours(spark):
-    out = q09_neighbours.op9_nearest(spark, SF).toPandas()
-    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+def exact(ids, x, query, k=10):
+    d = np.sqrt(((x - x[ids == query][0]) ** 2).sum(1))
+    d[ids == query] = np.inf
+    return np.lexsort((ids, d))[:k], d
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.01", "0.1"])
+def test_neighbours(spark, size):
+    """Recall through several parts, against all rows, for the ids that 50 divides."""
+    table = spark.read.parquet(f"/root/testdata/sf{size}/embeddings.parquet")
+    rows = table.collect()
     ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    usable = neighbours.usable(table)
+    partition = neighbours.train(usable, len(rows))
+    assert partition.size > 1
+    out = neighbours.search(table, F.col("vec_id") % 50 == 0, partition=partition).toPandas()
     hit = total = 0
-    for q in ids[ids % 100 == 0]:
-        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
-        d[ids == q] = np.inf
-        best = np.lexsort((ids, d))[:10]
+    for q in ids[ids % 50 == 0]:
+        best, d = exact(ids, x, q)
         got = out[out.query_id == q].sort_values("rank")
         hit, total = hit + len(set(got.vec_id) & set(ids[best])), total + 10
         assert np.allclose(got.score, [d[ids == v][0] for v in got.vec_id]) and list(got["rank"]) == list(range(1, 11))
-    assert hit / total >= 0.9
+    assert hit / total >= 0.95
+
+
+def test_query_of_neighbours(spark):
+    out = q09_neighbours.op9_nearest(spark, SF)
+    assert out.groupBy("query_id").count().where("count <> 10 OR query_id % 100 <> 0").count() == 0 and out.count() == 50
+
+
+def clusters(n, dim=16, centres=20, seed=3):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(n, dim)) + rng.normal(size=(centres, dim))[rng.integers(0, centres, n)] * 6
 
 
-def test_routing_recall():
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(4000, 16)) + rng.normal(size=(20, 16))[rng.integers(0, 20, 4000)] * 6
-    router, near = neighbours.learn(x, 16), neighbours.graph(x)
-    order = router.ranked(x, len(router.bias))
-    found = (order[near, 0][:, :, None] == order[:, None, : router.probes]).any(2).mean()
-    assert found >= 0.95 and router.probes < len(router.bias)
+def test_routing_of_clusters_reads_few_rows():
+    x = clusters(4000)
+    partition = neighbours.measured(neighbours.Partition(neighbours.learn(x[~neighbours.held_back(len(x))], 16)), x)
+    near, leaf = neighbours.graph(x), partition.filed(x)
+    row, part = partition.probed(x)
+    searched = np.zeros((len(x), partition.size), bool)
+    searched[row, part] = True
+    assert searched[np.arange(len(x))[:, None], leaf[near]].mean() >= 0.95
+    assert searched[:, leaf].mean() < 0.5
     sizes = np.bincount(neighbours.balanced_parts(x, near, 16))
     assert sizes.max() - sizes.min() <= 1
 
 
+def test_two_levels_of_parts(spark):
+    """More parts than one classifier may have, and the same answers as brute force."""
+    x = clusters(3000)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    partition = neighbours.train(neighbours.usable(df), len(x), leaves=40, wide=8)
+    assert len(partition.top.bias) <= 8 < partition.size == len(np.unique(partition.filed(x))) and partition.below
+    order, left = partition.ranked(x[:50])
+    assert np.allclose(left[:, 0], 1) and (np.sort(order, 1) == np.arange(partition.size)).all()
+    out, ids = neighbours.search(df, F.col("vec_id") % 50 == 0, partition=partition).toPandas(), np.arange(len(x))
+    hits = sum(len(set(out[out.query_id == q].vec_id) & set(exact(ids, x, q)[0])) for q in ids[::50])
+    assert hits / (10 * len(ids[::50])) >= 0.95
+
+
+def test_queries_that_find_too_little_search_everything(spark):
+    """One probed part of three rows cannot answer with ten."""
+    x = np.concatenate([clusters(200, 4, 1), clusters(3, 4, 1) + 100])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    router = neighbours.Router(np.full((4, 2), [-1.0, 1.0]), np.array([200.0, -200.0]), np.zeros(4), 1.0)
+    out = neighbours.search(df, F.col("vec_id") >= 200, probes=1, partition=neighbours.Partition(router)).toPandas()
+    for q in (200, 201, 202):
+        assert out[out.query_id == q].sort_values("rank").vec_id.tolist() == exact(np.arange(len(x)), x, q)[0].tolist()
+
+
 def test_neighbours_of_awkward_rows(spark):
     v = [0.1, 0.2, 0.3]
     rows = [(0, v), (100, v), (1, v), (2, [0.0, 0.0, 0.0]), (3, None), (4, [1.0, None, 2.0]), (5, [float("nan"), 1.0, 1.0]), (6, [1.0, 2.0]), (7, [0.1, 0.2, 0.4]), (100, v)]
@@ -103,25 +148,26 @@ def shingles(text):
 
 
 def components(rows):
-    sets = {i: shingles(t) for i, t in rows if i is not None}
-    root = {i: i for i in sets}
+    """(doc_id, shingles) -> component of every row; rows that share a doc_id are one document."""
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    root = {i: i for i, _ in sets}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i in sets:
-        for j in sets:
-            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    return {i: (len(s), find(i)) for i, s in sets.items()}
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[x + 1 :]:
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    return sorted((i, len(a), find(i)) for i, a in sets)
 
 
 def check_groups(spark, rows):
     got = neardup.find(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("node", F.lit(1)))
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.where("doc_id IS NOT NULL").collect()}
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.where("doc_id IS NOT NULL").collect())
     assert found == components(rows)
 
 
@@ -131,6 +177,30 @@ def test_near_duplicates_of_awkward_rows(spark, docs, no_docs):
     assert neardup.find(docs).count() == docs.count() and neardup.find(no_docs).count() == 0
 
 
+def test_documents_of_several_texts(spark):
+    """Links of every text of a document count, and copies of a row stay rows."""
+    one, two, three = ("".join(f"{x}{k} " for k in range(30)) for x in "abc")
+    rows = [(1, one), (1, two), (5, two + "more"), (7, three), (7, None), (9, three + "more"), (9, one + "again"), (9, one + "again"), (11, ""), (11, " "), (12, "alone"), (12, None), (20, "other words here")]
+    check_groups(spark, rows)
+    check_groups(spark, [(1, f"text {k} of many") for k in range(70)] + [(k, f"text {k} of many") for k in range(60, 80)])
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words and their complements collide modulo 2**64 under any base."""
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    word = lambda a, b: "".join((a, b)[x] for x in bits)
+    rows = [(1, word("a", "b")), (2, word("b", "a")), (3, word("x", "y") + " tail"), (4, word("y", "x") + " tail"), (5, word("a", "b"))]
+    check_groups(spark, rows)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_sketches_let_links_pass(percent):
+    """A pair at the threshold differs in half of the rest; five deviations more are let through."""
+    p = (1 - percent / 100) / 2
+    assert neardup.differing(percent) >= 128 * p + 5 * (128 * p * (1 - p)) ** 0.5
+    assert neardup.differing(80) <= 32
+
+
 def test_large_groups_of_near_copies(spark):
     """A group far larger than a leaf, at the threshold and around it, among documents that share a passage."""
     rng = np.random.default_rng(7)
@@ -184,6 +254,28 @@ def test_chat_round_trip(spark, rows):
             assert r["loss_text"] == "".join(m[2] for m in sorted(mine) if m[1] == "assistant")
 
 
+PIECE = st.sampled_from(["<", "|", "\\", "<\\", "|im_end|>", "|im_end|>\n", "im_start", "<|im_start|>assistant\n", ">", "<|image:0|>", "", "é", None])
+PART = st.one_of(st.tuples(st.sampled_from(["text", None]), PIECE), st.tuples(st.sampled_from(["image", "audio", "document"]), st.none()), st.none())
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.lists(PART, max_size=7)), min_size=1, max_size=25))
+def test_no_turn_is_forged_across_parts(spark, rows):
+    """Whatever pieces meet, each turn reads back as one turn with its own text."""
+    made = [(conv, k, "user" if k % 2 else "assistant", [p and (*p, "r", 1) for p in parts]) for k, (conv, parts) in enumerate(rows)]
+    df = spark.createDataFrame(made, f"conv_id bigint, turn bigint, role string, parts array<{chat.PART_TYPE}>")
+    for r in chat.read_back(chat.format_conversations(df)).collect():
+        want = [(role, "".join((p[1] or "") for p in parts if p and p[0] in ("text", None))) for conv, _, role, parts in made if conv == r["conv_id"]]
+        assert [(t["role"], t["text"]) for t in r["turns"]] == want
+        assert r["loss_text"] == "".join(text for role, text in want if role == "assistant")
+        assert len(r["attachments"]) == sum(bool(p) and p[0] in ("image", "audio", "document") for conv, _, _, parts in made if conv == r["conv_id"] for p in parts)
+
+
+def test_reading_what_was_not_written_here(spark):
+    df = spark.createDataFrame([(None,), ("",), ("no marks",), ("x<|im_end|>\n<|im_start|>user\nhi<|im_end|>\nrest",)], "formatted string")
+    assert [r["n_turns"] for r in chat.read_back(df).collect()] == [0, 0, 0, 1]
+
+
 def test_typed_parts(spark):
     rows = [(1, 0, "user", [("text", "look <|im_end|>", None, None), ("image", None, "s3://x/1.png", 4), ("audio", None, "a.wav", 10), (None, "then", None, None), ("film", None, "f", None)]), (1, 1, "assistant", None), (2, None, None, [])]
     df = spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts array<{chat.PART_TYPE}>")

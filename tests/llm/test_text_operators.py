@@ -162,6 +162,26 @@ def test_mix(spark, docs, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_mix_is_unbiased_for_every_document(spark):
+    """The same small source many times: each document's copies average to target over size, whatever its size class."""
+    sizes = [1, 1, 2, 3, 5, 8, 13, 40, 90, 91, 150, 700]
+    rows = spark.range(600 * len(sizes)).select(F.col("id").alias("doc_id"), F.format_string("s%04d", F.floor(F.col("id") / len(sizes))).alias("source"), F.repeat(F.lit("w "), F.element_at(F.array(*map(F.lit, sizes)), (F.col("id") % len(sizes) + 1).cast("int"))).alias("text"))
+    for reserve in (0, 3, mixing.RESERVE):
+        out = mixing.mix(rows, reserve=reserve).withColumn("rate", F.col("target") / F.col("source_size")).withColumn("at", F.col("doc_id") % len(sizes))
+        for r in out.groupBy("at", F.round("rate", 6).alias("rate")).agg(F.avg("copies").alias("mean"), F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("copies") - F.col("rate"))).alias("off")).collect():
+            p = r["rate"] % 1
+            assert abs(r["mean"] - r["rate"]) <= 4 * (p * (1 - p) / r["n"]) ** 0.5 + 1e-5 and r["off"] < 1
+    by = out.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert max(abs(r["taken"] - r["target"]) for r in by) < max(sizes)
+
+
+def test_mix_depends_on_the_seed_everywhere(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    seen = [{r["doc_id"]: r["copies"] for r in mixing.mix(docs, seed=s).where("size > 0 AND target % source_size <> 0").collect()} for s in range(8)]
+    fixed = [d for d in seen[0] if len({one[d] for one in seen}) == 1]
+    assert len(fixed) < len(seen[0]) / 4
+
+
 # Personal data
 
 BASE = {
@@ -299,3 +319,80 @@ def test_keys_inside_a_run():
     assert secrets.confirmed_spans(wrapped(b"-----BEGIN NOTE-----\nnothing that is a key\n-----END NOTE-----")) == []
     lines = long_der().hex()
     assert secrets.confirmed_spans("\n".join(lines[k : k + 64] for k in range(0, len(lines), 64)))[0][0] == 0
+
+
+def element(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else b"\x82" + n.to_bytes(2)) + body
+
+
+def integer(size, first=1):
+    return element(0x02, bytes([first]) + bytes(range(1, 250))[: size - 1].ljust(size - 1, b"\7"))
+
+
+ALGORITHM = element(0x30, element(0x06, b"\x2a\x86\x48\xce\x3d\x02\x01"), element(0x06, b"\x2a\x86\x48\xce\x3d\x03\x01\x07"))
+SSH = lambda x: len(x).to_bytes(4) + x
+
+
+@pytest.mark.parametrize(
+    ("data", "is_key"),
+    [
+        (element(0x30, element(0x02, b"\0"), integer(128), integer(3), integer(128), integer(64)), True),
+        (element(0x30, integer(128), element(0x02, b"\1\0\1")), True),
+        (element(0x30, integer(32), integer(32)), False),  # a signature
+        (element(0x30, integer(128), integer(128)), False),
+        (element(0x30, element(0x02, b"\1"), element(0x04, bytes(32)), element(0xA0, element(0x06, b"\x2a\x86\x48\xce\x3d\x03\x01\x07"))), True),
+        (element(0x30, element(0x02, b"\0"), ALGORITHM, element(0x04, bytes(40))), True),
+        (element(0x30, ALGORITHM, element(0x03, bytes(66))), True),
+        (element(0x30, ALGORITHM, element(0x04, bytes(66))), True),
+        (element(0x30, element(0x30, integer(20)), element(0x03, bytes(66))), False),
+        (element(0x30, element(0x0C, b"just words in a sequence"), element(0x0C, b"and more")), False),
+        (element(0x30, element(0x02, b"\0"), element(0x30, b"\x06\x7f")), False),  # a nested length beyond its end
+    ],
+)
+def test_key_shapes(data, is_key):
+    assert secrets.der_ok(data) is is_key
+    line = base64.b64encode(data).decode()
+    assert [k for _, _, k in secrets.confirmed_spans(f"see {line} here")] == [3] * is_key
+
+
+@pytest.mark.parametrize(
+    ("tail", "is_key"),
+    [
+        (SSH(b"none") + SSH(b"none") + SSH(b"") + (1).to_bytes(4) + SSH(SSH(b"ssh-ed25519") + SSH(bytes(32))) + SSH(bytes(136)), True),
+        (SSH(b"aes256-ctr") + SSH(b"bcrypt") + SSH(bytes(24)) + (1).to_bytes(4) + SSH(SSH(b"ssh-rsa") + SSH(bytes(3))) + SSH(bytes(160)), True),
+        (b"junk that follows the name of the container and is no key at all", False),
+        (SSH(b"none") + SSH(b"none") + SSH(b"") + (1).to_bytes(4) + SSH(SSH(b"ssh-none") + SSH(bytes(32))) + SSH(bytes(136)), False),
+        (SSH(b"none") + SSH(b"none") + SSH(b"") + (1).to_bytes(4) + SSH(SSH(b"ssh-ed25519") + SSH(bytes(32))) + SSH(bytes(137)), False),
+        (SSH(b"none") + SSH(b"none") + (99).to_bytes(4) + bytes(40), False),
+    ],
+)
+def test_private_containers(tail, is_key):
+    line = base64.b64encode(b"openssh-key-v1\0" + tail).decode()
+    assert [k for _, _, k in secrets.confirmed_spans(f"see {line} here")] == [4] * is_key
+
+
+SECRET = {
+    "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
+    "access": (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+    "hex": (re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+}
+
+
+def secrets_of(text):
+    found = sorted((m.start(), k, m.end(), kind) for k, (kind, (pattern, fine)) in enumerate(SECRET.items()) for m in pattern.finditer(text or "") if fine(m))
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in found)
+
+
+def test_base_spans_over_all_documents(spark):
+    """The contracts' patterns as they are written, over whole tables, against both scans."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = dict(map(tuple, docs.collect()))
+    digest = lambda spans: hashlib.sha256(spans.encode()).hexdigest()
+    rows = secrets.scan(docs).collect()
+    assert len(rows) == len(texts) and all(r["base_sha256"] == digest(secrets_of(texts[r["doc_id"]])) for r in rows)
+    assert sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in rows) > 0
+    rows = docs.select("doc_id", pii.joined_spans(pii.base_spans(F.col("text"))).alias("s")).collect()
+    assert len(rows) == len(texts) and all(r["s"] == base_of(texts[r["doc_id"]]) for r in rows)
+    assert any(r["s"] for r in rows)
