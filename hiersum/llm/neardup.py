@@ -13,17 +13,20 @@ node are compared with one pivot, which links a large group of near copies at
 one comparison each; what the first level links is contracted, and from then
 on only pairs of different components are looked at, which loses no component.
 A node of at most LEAF documents is compared exhaustively, and a larger one
-branches again while it holds more than one component.  What is still large at
-the last level is compared across components, so no pair is dropped for the
-size of its node.
+branches again while it holds more than one component, down to level LEVELS.
 
 A pair meets in a tree with probability s to the power of the level at which
-its node became small, so deep documents need more trees.  A document counts as
-deep as the deepest large node in which it was: where it left the common path
-early, its partner is likelier than not to have stayed.  Rounds of TREES more
-trees follow among the documents that could miss a link at the threshold with
-more than a chance of MISS.  A pair whose one document is not deep has met
-already.  Rounds deal the same minwise tokens to trees anew.
+its node became small, so the target recall sets the number of trees: for
+links at the threshold, TREES of LEVELS levels leave a chance of MISS.  For
+lower thresholds rounds of TREES more trees follow among the documents whose
+nodes were deep enough to need them; rounds deal the same minwise tokens anew.
+
+Documents of nodes that are large at the last level too share much without
+being linked, a template or a passage, and no tree of this depth separates
+them.  They are compared with each other exactly: linked sets share a token
+among the rarest n - ceil(s n) + 1 of each, in any common order of all tokens.
+Such tokens are nodes again, small ones compared as above, and large ones in
+blocks of LEAF documents.
 
 A comparison first looks at 128 one-bit minwise sketches and then confirms the
 link on the full sets.  The sketch alone never makes a link, and a pair at the
@@ -43,13 +46,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import checkpoint, scratch
 
-TREES, LEVELS, LEAF = 16, 8, 256
+TREES, LEVELS, LEAF = 21, 3, 1024
+#: Minwise tokens that are kept for the trees.
+TOKENS = 64
 #: Chance to miss a link at the threshold, at most, counting trees as independent.
 MISS = 1e-6
 #: Bits of a sketch, and how many deviations beyond the mean of a pair at the threshold may differ.
@@ -58,12 +62,12 @@ SKETCH, DEVIATIONS = 128, 5.6
 BROADCAST_IDS = 2_000_000
 #: Partners of a document that are confirmed in one place, about.
 BUCKET = 64
-#: Tokens of one side of a block of a large node, about.
-BLOCK_TOKENS = 1_000_000
+#: Counters of token frequencies: their number is 2 to this power.
+COUNTER_BITS = 18
 
 _rng = np.random.default_rng(64)
 _BYTES = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64)
-_ODD = _rng.integers(0, 2**62, TREES * LEVELS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = _rng.integers(0, 2**62, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -142,7 +146,7 @@ def signatures(rows: DataFrame, words: int) -> DataFrame:
                 sig = minwise(x)
                 bits = np.packbits((sig * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(bool)).view(np.int64)
                 prints = np.array([x.sum(dtype=np.uint64), _mix(np.unique(both[1])).sum(dtype=np.uint64)], np.uint64).view(np.int64)
-                for c, v in zip(columns, (len(x), prints[0], prints[1], bits[0], bits[1], sig.view(np.int32)), strict=True):
+                for c, v in zip(columns, (len(x), prints[0], prints[1], bits[0], bits[1], sig[:TOKENS].view(np.int32)), strict=True):
                     c.append(v)
             types = [pa.int64()] * 5 + [pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[f.split()[0] for f in SIGNATURE.split(", ")])
@@ -168,6 +172,11 @@ def _open(a: Column, b: Column, percent: int) -> Column:
     return (a["c"] != b["c"]) & _alike(a, b, percent)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """Joined by a shuffle of both sides at every size, so that a plan at a tenth of the data is the plan at all of it."""
+    return df.hint("merge")
+
+
 def _nodes(rows: DataFrame, level: int) -> DataFrame:
     """Adds the node of each row (id, tree, sig) at a level: the path of its minwise tokens."""
     return rows.withColumn("node", F.xxhash64("tree", F.slice("sig", F.col("tree") % TREES * LEVELS + 1, F.lit(level)))).drop("sig")
@@ -177,75 +186,70 @@ def dealt(reps: DataFrame, turn: int) -> DataFrame:
     """The minwise tokens in the order in which a round deals them to its trees."""
     if turn == 0:
         return reps
-    order = np.random.default_rng(turn).permutation(TREES * LEVELS)
+    order = np.random.default_rng(turn).permutation(TOKENS)
     return reps.withColumn("sig", F.transform(F.array(*(F.lit(int(k)) for k in order)), lambda k: F.get("sig", k)))
 
 
 def roots(reps: DataFrame, turn: int = 0) -> DataFrame:
     """First level of a round's trees: id, tree, node, and the node's size and pivot.  Rows hold ids, not sketches."""
     rows = _nodes(reps.select("id", "sig", F.explode(F.sequence(F.lit(turn * TREES), F.lit(turn * TREES + TREES - 1))).alias("tree")), 1)
-    return rows.join(checkpoint(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1")), "node")
+    return rows.join(merged(checkpoint(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1"))), "node")
 
 
-def branch(first: DataFrame, reps: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def branch(first: DataFrame, reps: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Branch the large nodes of the first level on, as long as they hold more than one component.
 
     Returns star candidates (a, b), the members (node, id) of small nodes of
-    all levels, those of nodes still large at the last level, and (id, depth),
-    the level to which the large nodes of a document had to branch.
+    all levels, the documents (id) of nodes still large at the last level, and
+    (id, depth), the level to which the large nodes of a document had to branch.
     """
     leaves, stars = [first.where(F.col("size").between(3, LEAF)).select("node", "id")], []
-    large = checkpoint(first.where(F.col("size") > LEAF).select("id", "tree").join(sketches.select("d.id", "d.c"), "id"))
-    ends = large.select(F.lit(0).cast("bigint").alias("node"), "id").limit(0)
+    large = checkpoint(first.where(F.col("size") > LEAF).select("id", "tree").join(merged(sketches.select("d.id", "d.c")), "id"))
     deeper = [large.select("id", F.lit(1).alias("depth")).limit(0)]
     for level in range(2, LEVELS + 1):
         if large.isEmpty():
             break
         deeper.append(large.select("id", F.lit(level).alias("depth")).distinct())
-        rows = _nodes(large.join(reps, "id"), level)
+        rows = _nodes(large.join(merged(reps), "id"), level)
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").drop("low", "high")
-        members = checkpoint(rows.join(checkpoint(sizes), "node"))
+        members = checkpoint(rows.join(merged(checkpoint(sizes)), "node"))
         stars.append(members.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         leaves.append(members.where(F.col("size").between(3, LEAF)).select("node", "id"))
-        large = members.where(F.col("size") > LEAF).select("id", "tree", "c", "node")
-        ends, large = large.select("node", "id"), large.drop("node")
+        large = members.where(F.col("size") > LEAF).select("id", "tree", "c")
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    stars = union(stars) if stars else ends.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    return stars, union(leaves), ends, union(deeper).groupBy("id").agg(F.max("depth").alias("depth"))
+    stars = union(stars) if stars else large.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    return stars, union(leaves), large.select("id").distinct(), union(deeper).groupBy("id").agg(F.max("depth").alias("depth"))
 
 
 def meetings(first: DataFrame, reps: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Open pairs (a, b) that meet in some tree, and the members (node, d) of nodes that stayed large.
-
-    As many rounds of trees as the depth of the nodes asks for; each leaves its pairs and drops its trees.
-    """
+    """Open pairs (a, b) that meet in some tree, and the documents (id) of nodes that stayed large."""
     spark = reps.sparkSession
     by_id = sketches.withColumn("id", F.col("d.id"))
     turn, pairs, large, so_far = 0, None, None, reps.select("id", F.lit(1).alias("depth"))
     while True:
+        # the depths at which one more round is not enough either
+        wanting = [d for d in range(1, LEVELS + 1) if percent < 100 and (turn + 1) * TREES * math.log1p(-((percent / 100) ** d)) > math.log(MISS)]
         with scratch(spark):
-            deep = reps if turn == 0 else checkpoint(dealt(reps.join(so_far.select("id"), "id", "left_semi"), turn))
+            deep = reps if turn == 0 else checkpoint(dealt(reps.join(merged(so_far.select("id")), "id", "left_semi"), turn))
             nodes = first if turn == 0 else checkpoint(roots(deep, turn))
-            stars, leaves, ends, deeper = branch(nodes, deep, sketches, percent)
+            stars, leaves, ends, deeper = branch(nodes, deep, sketches)
             if turn:
                 stars = stars.unionByName(nodes.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-            near = star_pairs(stars.distinct(), sketches, lambda x, y: _open(x, y, percent)).unionByName(leaf_pairs(leaves.join(by_id, "id").select("node", "d"), percent))
-            near = checkpoint(near.distinct(), outer=True)
-            still = checkpoint(ends.join(by_id, "id").select("node", "d"), outer=True)
-            # the depths at which all trees so far are not enough
-            wanting = [d for d in range(1, LEVELS + 1) if percent < 100 and (turn + 1) * TREES * math.log1p(-((percent / 100) ** d)) > math.log(MISS)]
-            reached = so_far.unionByName(deeper).groupBy("id").agg(F.max("depth").alias("depth"))
-            so_far = checkpoint(reached.where(F.col("depth").isin(wanting)), outer=True)
+            near = star_pairs(stars.distinct(), sketches, lambda x, y: _open(x, y, percent)).unionByName(leaf_pairs(leaves.join(merged(by_id), "id").select("node", "d"), percent))
+            near, still = checkpoint(near.distinct(), outer=True), checkpoint(ends, outer=True)
+            if wanting:
+                reached = so_far.unionByName(deeper).groupBy("id").agg(F.max("depth").alias("depth"))
+                so_far = checkpoint(reached.where(F.col("depth").isin(wanting)), outer=True)
         pairs, large = (near, still) if turn == 0 else (pairs.unionByName(near), large.unionByName(still))
-        if so_far.isEmpty():
-            return pairs, large
+        if not wanting or so_far.isEmpty():
+            return pairs, large.distinct()
         turn += 1
 
 
 def star_pairs(stars: DataFrame, sketches: DataFrame, test) -> DataFrame:
     """The star candidates that pass a test on both sketches."""
-    with_b = stars.join(sketches.select(F.col("d.id").alias("b"), F.col("d").alias("d_b")), "b")
-    with_a = with_b.join(sketches.select(F.col("d.id").alias("a"), F.col("d").alias("d_a")), "a")
+    with_b = stars.join(merged(sketches.select(F.col("d.id").alias("b"), F.col("d").alias("d_b"))), "b")
+    with_a = with_b.join(merged(sketches.select(F.col("d.id").alias("a"), F.col("d").alias("d_a"))), "a")
     return with_a.where(test(F.col("d_a"), F.col("d_b"))).select("a", "b")
 
 
@@ -258,13 +262,15 @@ def leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
 
     def node_pairs(x: np.ndarray) -> np.ndarray:
         """Rows (id, n, s1, s2, c) of one node -> pairs of ids."""
-        i, j = np.triu_indices(len(x), 1)
-        differ = x[i, 2:4] ^ x[j, 2:4]
-        bits = np.bitwise_count(differ.view(np.uint64)).sum(1, dtype=np.int64)
-        n, m = np.minimum(x[i, 1], x[j, 1]), np.maximum(x[i, 1], x[j, 1])
-        near = (bits <= most) & (x[i, 4] != x[j, 4]) & (n * 100 >= m * percent)
-        pair = np.stack([x[i[near], 0], x[j[near], 0]], 1)
-        return np.sort(pair, 1)
+        out = []
+        for at in range(0, len(x), 256):
+            a, b = x[at : at + 256, None], x[None, at:]
+            near = (a[..., 4] != b[..., 4]) & (np.minimum(a[..., 1], b[..., 1]) * 100 >= np.maximum(a[..., 1], b[..., 1]) * percent)
+            i, j = np.nonzero(near & np.tri(len(a), b.shape[1], -1, bool).__invert__())
+            bits = np.bitwise_count((x[at + i, 2:4] ^ x[at + j, 2:4]).view(np.uint64)).sum(1, dtype=np.int64)
+            i, j = i[bits <= most], j[bits <= most]
+            out.append(np.stack([x[at + i, 0], x[at + j, 0]], 1))
+        return np.sort(np.concatenate(out), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_node = np.zeros((0, 5), np.int64), None
@@ -299,55 +305,64 @@ def texts_of(ids: DataFrame, rows: DataFrame, n_ids: int) -> DataFrame:
     return rows.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
-def across(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) in nodes that stayed large: what is outside a node's main component, against all of the node.
+def token_counts(texts: DataFrame, words: int) -> np.ndarray:
+    """How often tokens occur, by a hash of COUNTER_BITS bits: an array of fixed size, summed over all of ``texts`` (id, text)."""
+    chunk = 1 << (COUNTER_BITS - 6)
+    rows = lambda c: pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([v.tobytes() for v in c.reshape(64, chunk)], pa.binary())], names=["chunk", "n"])
 
-    The full sets travel once to each block of a node, not with each pair; an
-    inverted index of the block counts what is common, and only links come
-    out, one for each document and component.
-    """
-    rows = members.select("node", F.col("d.id").alias("id"), F.col("d.c").alias("c"), F.col("d.n").alias("n"))
-    by_c = rows.groupBy("node", "c").agg(F.sum("n").alias("n"))
-    main = by_c.groupBy("node").agg(F.max_by("c", "n").alias("main"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"), F.max("n").alias("most")).where("k > 1")
-    blocks = main.select("node", "main", F.ceil(F.col("all") / BLOCK_TOKENS).cast("int").alias("n_m"), F.ceil((F.col("all") - F.col("most")) / BLOCK_TOKENS).cast("int").alias("n_s"))
-    some = checkpoint(rows.join(checkpoint(blocks), "node"))
-    ids = some.select("id").distinct()
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column(1):
+                np.add.at(total, shingle_set(text.as_py(), words) >> np.uint64(64 - COUNTER_BITS), 1)
+        if total.any():
+            yield rows(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "tokens"])
-
-    sets = texts_of(ids, texts, some.count()).select("id", "text").mapInArrow(to_sets, "id bigint, tokens binary")
-    full = checkpoint(some.join(sets, "id"))
-    deal = lambda n: F.pmod(F.hash("id"), F.col(n))
-    key = ["node", "m", "s"]
-    left = full.withColumn("m", deal("n_m")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n_s") - 1))).select(*key, "id", "c", "tokens")
-    right = full.where("c <> main").withColumn("s", deal("n_s")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n_m") - 1))).select(*(F.col(k).alias(f"{k}2") for k in key), F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("tokens").alias("tokens2"))
-
-    def compare(m: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
-        if len(m) and len(y):
-            parts = [np.frombuffer(t, np.uint64) for t in m["tokens"]]
-            sizes, ids, cs = np.array([len(p) for p in parts]), m["id"].to_numpy(), m["c"].to_numpy()
-            tokens = np.concatenate(parts)
-            order = np.argsort(tokens, kind="stable")
-            owner, tokens = np.repeat(np.arange(len(parts)), sizes)[order], tokens[order]
-            for other, c, own in zip(y["id2"], y["c2"], y["tokens2"], strict=True):
-                own = np.frombuffer(own, np.uint64)
-                low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
-                n = high - low
-                at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                common = np.bincount(owner[at], minlength=len(parts))
-                hit = np.flatnonzero((100 * common >= percent * (sizes + len(own) - common)) & (cs != c))
-                out += [(int(other), int(ids[h])) for h in hit[np.unique(cs[hit], return_index=True)[1]]]
-        return pd.DataFrame({"a": np.array([p[0] for p in out], np.int64), "b": np.array([p[1] for p in out], np.int64)})
-
-    return left.groupBy(*key).cogroup(right.groupBy(*(f"{k}2" for k in key))).applyInPandas(compare, "a bigint, b bigint")
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(n.as_py(), np.int64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["chunk", "n"])
+
+    summed = texts.select("id", "text").mapInArrow(count, "chunk int, n binary").repartition("chunk").mapInArrow(add, "chunk int, n binary")
+    out = np.zeros((64, chunk), np.int64)
+    for r in summed.collect():  # 64 rows, 2 MB in all
+        out[r["chunk"]] += np.frombuffer(r["n"], np.int64)
+    return out.ravel()
+
+
+def among(large: DataFrame, texts: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
+    """Open pairs (a, b) of the documents ``large`` (id) that share one of their rarest tokens: every linked pair does."""
+    spark = large.sparkSession
+    some = texts_of(large, texts, large.count())
+    counts = spark.sparkContext.broadcast(token_counts(some, words))
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tokens = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = shingle_set(text.as_py(), words)
+                n = len(x) - -(-percent * len(x) // 100) + 1
+                order = np.argsort(counts.value[x >> np.uint64(64 - COUNTER_BITS)], kind="stable")[:n]
+                ids.append(np.full(len(order), doc, np.int64))
+                tokens.append(x[order].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens or [np.zeros(0, np.int64)])), pa.array(np.concatenate(ids or [np.zeros(0, np.int64)]))], names=["node", "id"])
+
+    rows = checkpoint(some.select("id", "text").mapInArrow(rarest, "node bigint, id bigint"))
+    sizes = checkpoint(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    shared = rows.join(merged(sizes), "node").join(merged(sketches.withColumn("id", F.col("d.id"))), "id")
+    small = shared.where(F.col("size") <= LEAF).select("node", "d")
+    n_blocks, own = F.ceil(F.col("size") / F.lit(LEAF)).cast("int"), F.pmod(F.hash("id"), F.ceil(F.col("size") / F.lit(LEAF)).cast("int"))
+    blocks = shared.where(F.col("size") > LEAF).select("node", "d", own.alias("own"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
+    blocks = blocks.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "d")
+    return leaf_pairs(small.unionByName(blocks), percent)
 
 
 def with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
     """Adds ``component`` to rows that have an ``id``; what has no link is its own."""
-    return rows.join(components.withColumnRenamed("id", "linked"), F.col("id") == F.col("linked"), "left").drop("linked").withColumn("component", F.coalesce("component", "id"))
+    return rows.join(merged(components.withColumnRenamed("id", "linked")), F.col("id") == F.col("linked"), "left").drop("linked").withColumn("component", F.coalesce("component", "id"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -359,8 +374,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     pairs = checkpoint(pairs)
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts, pairs.count() * 2)
     buckets = checkpoint(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET)).cast("int").alias("n")))
-    heads = buckets.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(F.col("a").alias("id"), "bucket").join(texts, "id").select(F.col("id").alias("a"), "bucket", F.lit(None).cast("bigint").alias("b"), "text")
-    tails = pairs.join(buckets, "a").select("a", F.pmod(F.hash("b"), F.col("n")).alias("bucket"), F.col("b").alias("id")).join(texts, "id").select("a", "bucket", F.col("id").alias("b"), "text")
+    heads = buckets.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(F.col("a").alias("id"), "bucket").join(merged(texts), "id").select(F.col("id").alias("a"), "bucket", F.lit(None).cast("bigint").alias("b"), "text")
+    tails = pairs.join(merged(buckets), "a").select("a", F.pmod(F.hash("b"), F.col("n")).alias("bucket"), F.col("b").alias("id")).join(merged(texts), "id").select("a", "bucket", F.col("id").alias("b"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.zeros(0, np.uint64)
@@ -391,9 +406,9 @@ def components(links: DataFrame) -> DataFrame:
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        edges = checkpoint(both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        edges = checkpoint(both.join(merged(lowest), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         lowest = checkpoint(edges.groupBy("u").agg(F.min("v").alias("m")))
-        edges = edges.join(lowest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        edges = edges.join(merged(lowest), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = checkpoint(edges)
         now = mark(edges)
         if now == seen:
@@ -454,11 +469,11 @@ def _find(docs: DataFrame, words: int, percent: int) -> DataFrame:
     pairs, large = meetings(first, reps.select("id", "sig"), sketches, percent)
     more = confirm(pairs.distinct(), texts, words, percent)
     if not large.isEmpty():
-        more = checkpoint(more.unionByName(across(large, texts, words, percent)))
+        more = more.unionByName(confirm(among(large, texts, sketches, words, percent).distinct(), texts, words, percent))
     if not more.isEmpty():
         joined = checkpoint(components(more.unionByName(joined.select(F.col("id").alias("a"), F.col("component").alias("b")))))
     placed = checkpoint(with_component(classes.select(*key, "id"), joined).drop("id"))
-    everyone = signed.select("id", *key).join(placed, key, "left").select(F.col("id").alias("doc_id"), "n", "component", F.lit(1).cast("bigint").alias("times"))
+    everyone = signed.select("id", *key).join(merged(placed), key, "left").select(F.col("id").alias("doc_id"), "n", "component", F.lit(1).cast("bigint").alias("times"))
     if repeats is not None:
         centres = joined.join(repeats.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"), F.col("component").alias("centre"))
         renamed = repeats.select(F.col("id").alias("row_id"), F.col("doc_id").alias("own"), F.col("times").alias("n_times"))
