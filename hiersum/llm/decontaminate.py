@@ -78,7 +78,7 @@ def _windows(words: Column) -> Column:
 
 
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, item_ids, contaminated: one row per doc_id and distinct text.
+    """doc_id, text_hash, n_words, n_hit, n_items, item_ids, contaminated: one row per doc_id and distinct text.
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are
     ignored.  Null, empty and wordless texts have no words and no windows;
@@ -94,7 +94,8 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     for n in short:
         own = F.when(F.size("words") == n, _short_gram(F.col("words"), n)).otherwise(own)
     item_prints = _sized(checkpoint(item.select(F.explode(own).alias("p"), length.alias("length")).select(_hash(F.col("p")).alias("h"), "length").distinct()))
-    item_windows = _sized(checkpoint(item.select("item_id", F.explode(_windows(F.col("words"))).alias("window")).groupBy("window").agg(F.collect_set("item_id").alias("ids"))))
+    held = checkpoint(item.select("item_id", F.explode(_windows(F.col("words"))).alias("window")).distinct())
+    windows = _sized(checkpoint(held.select("window").distinct()))
 
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = base.select("doc_id", F.explode(fingerprints(words_of(F.col("text")), short)).alias("p"))
@@ -113,13 +114,18 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     joined = counted.join(anchors, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     worded = joined.select("doc_id", "text_hash", "n_words", F.when(F.col("anchors").isNotNull(), words_of(F.col("text"))).alias("words"), "anchors")
     candidates = worded.select("doc_id", "text_hash", "n_words", F.when(F.col("anchors").isNotNull(), covering(F.col("words"), F.col("anchors"))).alias("c"))
-    rows = candidates.select("doc_id", "text_hash", "n_words", F.inline_outer("c")).join(item_windows, "window", "left")
-    found = F.col("ids").isNotNull()
-    by_doc = rows.groupBy("doc_id", "text_hash", "n_words").agg(
-        F.array_sort(F.collect_set(F.when(found, F.struct("s", "n")))).alias("found"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids"),
-    )
-    return by_doc.select("doc_id", "n_words", _covered(F.col("found")).alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"), "item_ids").withColumn("contaminated", F.col("n_hit") > 0)
+    # What was found is little; items are looked up for it, one row for each window of a document and item that holds it.
+    found = checkpoint(candidates.where("size(c) > 0").select("doc_id", "text_hash", F.inline("c")).join(windows, "window", "left_semi"))
+    key = ["doc_id", "text_hash"]
+    hit = found.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("s", "n"))).alias("found"))
+    ids = found.select(*key, "window").distinct().join(_sized(held), "window").where("item_id IS NOT NULL").select(*key, "item_id").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
+    hits = hit.join(ids, hit["doc_id"].eqNullSafe(ids["doc_id"]) & hit["text_hash"].eqNullSafe(ids["text_hash"]), "left").select(hit["doc_id"].alias("hit_id"), hit["text_hash"].alias("hit_hash"), "found", "ids")
+    everyone = counted.select("doc_id", "text_hash", "n_words").distinct()
+    rows = everyone.join(checkpoint(hits), F.col("doc_id").eqNullSafe(F.col("hit_id")) & F.col("text_hash").eqNullSafe(F.col("hit_hash")), "left")
+    none = F.array().cast("array<string>")
+    n_hit = F.when(F.col("found").isNotNull(), _covered(F.col("found"))).otherwise(F.lit(0).cast("bigint"))
+    rows = rows.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.coalesce("ids", none).alias("item_ids"))
+    return rows.select("doc_id", "text_hash", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def _covered(spans: Column) -> Column:
