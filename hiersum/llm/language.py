@@ -21,10 +21,11 @@ from .common import checkpoint
 
 UNKNOWN = "und"
 BUCKETS = 4096
-#: Texts of each language that are learnt from, at most about; and in all, at most.
+#: Texts of each language that are learnt from, at most about; and in all, at most (beyond that many languages: one of each).
 SAMPLE_PER_LANGUAGE, SAMPLE = 700, 6000
 BROADCAST_LANGUAGES = 100_000
-LETTER = re.compile(r"[^\W\d_]")
+#: Distances of codewords are looked at in so many random codes, or in fewer for many languages.
+CODES, MANY = 200, 64
 AMBIGUOUS_LEAD = 0.1
 
 
@@ -51,17 +52,23 @@ def codewords(n: int, bits: int = 31, seed: int = 5) -> np.ndarray:
         columns = np.arange(2 ** (n - 1) - 1)
         rows = [np.ones(len(columns))] + [np.where((columns >> (n - 2 - i)) & 1, 1.0, -1.0) for i in range(n - 1)]
         return np.array(rows)
-    rng, best = np.random.default_rng(seed), None
-    for _ in range(200):
-        code = rng.choice([-1.0, 1.0], (n, max(bits, 2 * int(np.ceil(np.log2(n))) + 1)))
-        if (np.abs(code.sum(0)) == n).any():
-            continue
-        apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i)) if n <= 64 else int((code[0] != code[1:]).sum(1).min())
-        if best is None or apart > best[0]:
+    rng, best, length = np.random.default_rng(seed), None, bits if n <= MANY else max(bits, 10 * int(np.ceil(np.log2(n))))
+    for _ in range(CODES if n <= MANY else max(3, CODES * MANY // n)):
+        code = rng.choice([-1.0, 1.0], (n, length))
+        alike = code @ code.T
+        np.fill_diagonal(alike, -length)
+        apart = int((length - alike.max()) / 2)
+        if not (np.abs(code.sum(0)) == n).any() and (best is None or apart > best[0]):
             best = (apart, code)
+    if best is None or best[0] == 0:  # two languages with one word: longer words
+        return codewords(n, length + 8, seed + 1)
     return best[1]
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -103,12 +110,20 @@ def fit(vectors: np.ndarray, labels: list[str], bits: int = 31, steps: int = 150
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE) -> DataFrame:
-    """A bounded sample (text, lang) with every language in it, chosen by a hash of doc_id and text."""
+    """A bounded sample (text, lang) with every language in it, chosen by a hash of doc_id and text.
+
+    Languages share ``most`` evenly; where the draw exceeds it, the most
+    frequent language gives way.
+    """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = checkpoint(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
-    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes  # else the texts would be dealt by language
-    chance = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    return known.join(sizes, "lang").where(chance * F.col("n") < per_language).select("text", "lang").orderBy(F.xxhash64("text"), "lang").limit(most)
+    sizes = checkpoint(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64(F.lit(11), "doc_id", "text")).alias("first")))
+    n_languages = sizes.count()
+    share = max(1, min(per_language, most // max(1, n_languages)))
+    sizes = F.broadcast(sizes) if n_languages <= BROADCAST_LANGUAGES else sizes  # else the texts would be dealt by language
+    drawn = F.xxhash64(F.lit(11), "doc_id", "text")
+    chance = F.pmod(drawn, F.lit(1 << 30)) / float(1 << 30)
+    chosen = known.join(sizes, "lang").where((chance * F.col("n") < share) | (drawn == F.col("first")))
+    return chosen.select("text", "lang", "n", (drawn != F.col("first")).alias("more")).orderBy("more", "n", F.xxhash64("text"), "lang").limit(max(most, n_languages)).select("text", "lang")
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE) -> Model | None:
@@ -150,7 +165,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             for at in range(0, len(ids), 256):
                 part = [texts[i].as_py() or "" for i in range(at, min(at + 256, len(ids)))]
                 lang, score, doubt = [UNKNOWN] * len(part), np.zeros(len(part)), np.zeros(len(part), bool)
-                some = [i for i, t in enumerate(part) if LETTER.search(t)] if model else []
+                some = [i for i, t in enumerate(part) if has_letter(t)] if model else []
                 if some:
                     best, share, close = model.score(np.stack([ngram_counts(part[i]) for i in some]))
                     for i, k, s, c in zip(some, best, share, close, strict=True):

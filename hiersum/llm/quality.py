@@ -179,11 +179,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
 
     The sample of label rows is bounded, so it is broadcast to the documents.
     Rows without a label or doc_id do not count; a doc_id labelled more than
-    once counts once, with its largest label.
+    once counts once, with its largest label, and one that several documents
+    share counts with the smallest of their texts.
     """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("double").alias("quality"), "text")
+    held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = held.groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"), F.min("text").alias("text")).select("quality", "text")
     got = rows.mapInArrow(_feature_batches, "quality double, x array<double>").toArrow()
     x = np.array(got.column("x").to_pylist() or np.zeros((0, len(FEATURES))))
     y = np.array(got.column("quality").to_pylist())

@@ -32,21 +32,33 @@ RULES = ("start", "end", "overlap", "split")
 
 
 @functools.cache
-def encoder(path: str, pattern: str):
-    """The encoder of a rank file, and its tokens' byte lengths."""
+def built(ranks_file: bytes, pattern: str):
+    """The encoder of a rank file's content, and its tokens' byte lengths."""
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
     sizes = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, rank in ranks.items():
         sizes[rank] = len(token)
     return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+@functools.cache
+def read(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def encoder(path: str, pattern: str):
+    return built(read(path), pattern)
+
+
 def token_char_spans(text: str, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """Character start and end of each token.  A token inside a character covers that character."""
-    enc, sizes = encoder(path, pattern)
+    return char_spans(text, *encoder(path, pattern))
+
+
+def char_spans(text: str, enc, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids = np.asarray(enc.encode_ordinary(text), np.int64)
     if not len(ids):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -106,20 +118,22 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, fields: Sequenc
     Rows are independent: no shuffle, and a batch is encoded row by row.  A
     null field is an empty one; a document without characters has no tokens
     and no sections.  Repeated rows repeat.  Other columns are ignored.
-    ``vocabulary`` must be readable on the executors.
+    ``vocabulary`` is read on the driver, and its content (a file of a few MB) is sent to the executors once.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     names = list(fields)
+    ranks = docs.sparkSession.sparkContext.broadcast(read(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, sizes = built(ranks.value, pattern)
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             columns = [batch.column(1 + k) for k in range(len(names))]
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 values = [c[i].as_py() or "" for c in columns]
                 text = "\n".join(values)
-                ts, te = token_char_spans(text, vocabulary, pattern)
+                ts, te = char_spans(text, enc, sizes)
                 owner, ss, se = section_spans(values)
                 counts, crossing = attribute(ts, te, np.asarray(ss, np.int64), np.asarray(se, np.int64), rule)
                 by_field = np.bincount(np.asarray(owner, np.int64), weights=counts, minlength=len(names)) if owner else np.zeros(len(names))
