@@ -26,6 +26,20 @@ def test_quality_of_awkward_rows(spark, docs, no_docs):
     assert quality.keep_good(docs, model, 0.0).columns == docs.columns
 
 
+def test_quality_sample_is_bounded(spark):
+    """One labelled doc_id of very many rows is one row of the sample."""
+    docs = spark.range(3000).select(F.lit(1).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text")).unionByName(spark.range(2, 40).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text")))
+    labels = spark.range(1, 40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    seen = []
+    fit, quality.fit = quality.fit, lambda x, y: seen.append(len(y)) or fit(x, y)
+    try:
+        quality.train(docs, labels, most=10)
+        quality.train(docs, labels)
+    finally:
+        quality.fit = fit
+    assert seen == [10, 39]
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((4000, 3))
@@ -48,7 +62,20 @@ def test_language_of_awkward_rows(docs, no_docs):
     assert {r["lang_pred"] for r in language.predict(docs, None).collect()} == {"und"}
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 9, 40])
+def test_rare_languages_are_learnt(spark):
+    rows = [(k, f"text {k} of a language", f"l{k % 19}") for k in range(9000)] + [(10_000 + k, f"rare text {k}", f"r{k}") for k in range(10)]
+    got = language.sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), most=2000).collect()
+    assert {r["lang"] for r in got} == {x[2] for x in rows} and len(got) <= 2000
+
+
+def test_no_letters(spark):
+    texts = ["½ ² ①", "1234", "_", "٣", "ª", "x", "日"]
+    model = language.fit(np.stack([language.ngram_counts(t) for t in ("abc def", "日本語")]), ["en", "ja"])
+    got = [r["lang_pred"] for r in language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).orderBy("doc_id").collect()]
+    assert [g == "und" for g in got] == [not any(map(str.isalpha, t)) for t in texts]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 9, 40, 300])
 def test_codewords_differ(n):
     code = language.codewords(n)
     assert len({tuple(w) for w in code}) == n
@@ -147,7 +174,7 @@ def shingles(text):
     return {tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} if w else set()
 
 
-def components(rows):
+def components(rows, percent=80):
     """(doc_id, shingles) -> component of every row; rows that share a doc_id are one document."""
     sets = [(i, shingles(t)) for i, t in rows if i is not None]
     root = {i: i for i, _ in sets}
@@ -159,16 +186,16 @@ def components(rows):
 
     for x, (i, a) in enumerate(sets):
         for j, b in sets[x + 1 :]:
-            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 low, high = sorted((find(i), find(j)))
                 root[high] = low
     return sorted((i, len(a), find(i)) for i, a in sets)
 
 
-def check_groups(spark, rows):
-    got = neardup.find(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("node", F.lit(1)))
+def check_groups(spark, rows, percent=80):
+    got = neardup.find(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("node", F.lit(1)), percent=percent)
     found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.where("doc_id IS NOT NULL").collect())
-    assert found == components(rows)
+    assert found == components(rows, percent)
 
 
 def test_near_duplicates_of_awkward_rows(spark, docs, no_docs):
@@ -201,8 +228,10 @@ def test_sketches_let_links_pass(percent):
     assert neardup.differing(80) <= 32
 
 
-def test_large_groups_of_near_copies(spark):
+@pytest.mark.parametrize("leaf", [16, 1024])
+def test_large_groups_of_near_copies(spark, monkeypatch, leaf):
     """A group far larger than a leaf, at the threshold and around it, among documents that share a passage."""
+    monkeypatch.setattr(neardup, "LEAF", leaf)
     rng = np.random.default_rng(7)
     base = [f"v{k}" for k in range(120)]
     rows = []
@@ -221,12 +250,39 @@ def test_chain_of_links_is_one_component(spark):
     check_groups(spark, [(k, " ".join(words[k * 5 : k * 5 + 100])) for k in range(40)])
 
 
-def test_links_among_documents_on_a_template(spark):
-    """Nodes stay large down to the last level: two documents share 110 of 140 shingles, planted pairs 112 of 138."""
-    base, rows = [f"t{k}" for k in range(111)], []
-    for k in range(600):
-        rows.append((k, " ".join([*base, f"p{k // 2}", f"q{k // 2}", *(f"o{k}x{j}" for j in range(13))])))
-    check_groups(spark, rows)
+def on_a_template(n):
+    base = [f"t{k}" for k in range(111)]
+    return [(k, " ".join([*base, f"p{k // 2}", f"q{k // 2}", *(f"o{k}x{j}" for j in range(13))])) for k in range(n)]
+
+
+@pytest.mark.parametrize("leaf", [16, 1024])
+def test_links_among_documents_on_a_template(spark, monkeypatch, leaf):
+    """Two documents share 110 of 140 shingles, planted pairs 112 of 138: with small leaves, nodes stay large to the last level."""
+    monkeypatch.setattr(neardup, "LEAF", leaf)
+    check_groups(spark, on_a_template(400))
+
+
+def test_a_lower_threshold(spark, monkeypatch):
+    """60 percent needs more rounds of trees; the template itself is below it."""
+    monkeypatch.setattr(neardup, "LEAF", 16)
+    base, rows = [f"t{k}" for k in range(40)], []
+    for k in range(120):
+        own = [f"o{k // 2}x{j}" for j in range(30)] + [f"u{k}x{j}" for j in range(10)]
+        rows.append((k, " ".join([*base, *own])))
+    check_groups(spark, rows, 60)
+
+
+def test_documents_of_large_nodes_are_compared_exactly(spark, monkeypatch):
+    """Every linked pair, through rare tokens and through blocks of common ones."""
+    monkeypatch.setattr(neardup, "LEAF", 8)
+    rows = on_a_template(60) + [(1000 + k, "a b c d e f") for k in range(1)] + [(2000 + k, f"a b c d e f{k % 2}") for k in range(2)]
+    rows += [(3000 + k, " ".join(f"t{j}" for j in range(20 + k % 3))) for k in range(30)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    sketches = neardup.signatures(df, 2).select(F.struct("id", "n", "s1", "s2", F.col("id").alias("c")).alias("d"))
+    found = neardup.confirm(neardup.among(df.select("id"), df, sketches, 2, 80).distinct(), df, 2, 80)
+    sets = {k: shingles(t) for k, t in rows}
+    want = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 400
 
 
 @settings(max_examples=100, deadline=None)

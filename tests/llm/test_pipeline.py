@@ -33,14 +33,46 @@ def test_stages(spark):
     assert mix.count() == seen[-1] and mix.where("taken > 3 * size").count() == 0
 
 
+def ids(df):
+    return sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in df.collect())
+
+
 def test_stages_on_awkward_rows(spark, docs, no_docs):
-    labels = f"{SF}"
-    for name, stage in corpus_pipeline.STAGES[1:]:
-        assert stage(spark, docs, labels).count() >= 9, name
-        assert stage(spark, no_docs, labels).count() == 0, name
-    assert corpus_pipeline.STAGES[0][1](spark, docs, labels).columns == no_docs.columns
+    everything = ids(docs)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, SF).count() == 0, name
+    kept = corpus_pipeline.quality_filter(spark, docs, SF)
+    assert kept.columns == no_docs.columns and set(ids(kept)) <= set(everything)
+    assert ids(kept).count((False, 1)) in (0, 2)  # repeated rows share one fate
+    clean = corpus_pipeline.decontamination(spark, docs, SF)
+    assert ids(clean) == everything  # nothing here is in the benchmark
+    private = corpus_pipeline.personal_data(spark, docs, SF)
+    assert ids(private) == everything and private.columns == no_docs.columns
+    texts = {r["doc_id"]: (r["text"], r["n_chars"]) for r in private.collect()}
+    assert texts[3] == (None, None) and texts[4] == ("", 0) and "<EMAIL>" in texts[8][0] and texts[8][1] == len(texts[8][0])
+    mix = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert ids(mix) == everything and mix.where("size = 0 AND taken <> 0").count() == 0
 
 
 def test_repeated_rows_leave_one(spark, docs):
     out = corpus_pipeline.near_duplicates(spark, docs, SF)
-    assert out.where("doc_id = 1").count() == 1 and out.where("doc_id = 2").count() == 0 and out.where("doc_id IS NULL").count() == 1
+    assert ids(out) == [(False, k) for k in (1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)] + [(True, 0)]
+
+
+def test_rows_without_an_id_are_judged_too(spark, no_docs):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = [(None, long, "en", "a", 1), (None, long + " end", "en", "a", 1), (None, item, "en", "a", 1), (None, "other text", "en", "a", 1), (5, long, "en", "a", 1), (7, item, "en", "a", 1), (7, "clean text of the same id", "en", "a", 1)]
+    df = spark.createDataFrame(rows, no_docs.schema)
+    texts = lambda out: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in out.collect())
+    assert texts(corpus_pipeline.near_duplicates(spark, df.where("doc_id IS NULL OR doc_id = 5"), SF)) == sorted([(False, 5, long), (True, 0, item), (True, 0, "other text")])
+    assert texts(corpus_pipeline.decontamination(spark, df, SF)) == sorted([(False, 5, long), (False, 7, "clean text of the same id"), (True, 0, long), (True, 0, long + " end"), (True, 0, "other text")])
+
+
+def test_shingles_of_five_words(spark, no_docs):
+    """Ten changed words in 100: a near copy by pairs of words, and none by runs of five."""
+    words = [f"v{k}" for k in range(200)]
+    other = [f"x{k}" if k % 20 == 10 else w for k, w in enumerate(words)]
+    rows = [(k, " ".join(w), "en", "a", 1) for k, w in enumerate((words, other, words[:-2]))]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, no_docs.schema), SF)
+    assert ids(out) == [(False, 0), (False, 1)]
