@@ -13,10 +13,17 @@ from hiersum.llm.common import checkpoint, table
 from hiersum.llm.q04_quality import trained
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words of a shingle.
+WORDS = 5
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Every row is judged by its own text, so repeated rows share one fate; null
+    and empty texts are judged by the all-zero features.  Other columns than
+    those of documents are dropped.  An empty table gives an empty result.
+    """
     docs = docs.select(*COLUMNS)
     return quality.keep_good(docs, trained(spark, sf_dir, docs))
 
@@ -24,33 +31,58 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id.
 
-    Rows that repeat a doc_id leave one row; rows without a doc_id stay.
+    Similarity is 0.8 or more on shingles of five words.  Rows that repeat a
+    doc_id leave one row, the smallest.  A row without a doc_id is a document of
+    its own, after all that have one.  Null, empty and wordless texts are no
+    copies of anything and stay.  An empty table gives an empty result.
     """
     docs = docs.select(*COLUMNS)
-    groups = neardup.find(docs, words=2, percent=80)
-    kept = docs.join(groups.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti")
-    repeats = checkpoint(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    nameless = docs.where("doc_id IS NULL")
+    keyed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("key"), *COLUMNS)
+    if not nameless.isEmpty():
+        top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+        keyed = keyed.unionByName(checkpoint(nameless.select((F.lit(top + 1) + F.monotonically_increasing_id()).alias("key"), *COLUMNS)))
+    groups = neardup.find(keyed.select(F.col("key").alias("doc_id"), "text"), words=WORDS, percent=80)
+    kept = keyed.join(groups.where("NOT kept").select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti")
+    repeats = checkpoint(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     if not repeats.isEmpty():
-        kept = kept.join(repeats, "doc_id", "left_anti").unionByName(kept.join(repeats, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*"))
+        one = kept.join(repeats, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("key", "row.*")
+        kept = kept.join(repeats, "key", "left_anti").unionByName(one)
     return kept.select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage.
+
+    Every row is judged by its own text, with a doc_id or without; null and
+    empty texts hold nothing and stay.  An empty table gives an empty result,
+    and without benchmark items everything stays.
+    """
     docs = docs.select(*COLUMNS)
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    hit = found.where("contaminated").select(F.col("doc_id").alias("hit_id"), "text_hash").distinct()
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("text_hash"))
+    return docs.join(hit, same, "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and disclosing terms taken out of their texts."""
+    """All documents, with personal data and disclosing terms taken out of their texts.
+
+    n_chars follows where a text changes.  Null texts stay null.  Repeated rows
+    stay, and rows that share a doc_id share what is flagged.  An empty table
+    gives an empty result.
+    """
     found = pii.find(docs.select(*COLUMNS))
     text = pii.sanitised(F.col("text"), F.col("base"), F.col("added"), F.col("flagged"))
     return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("base") + F.size("added") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: how often each document is taken, and the words that makes."""
+    """The mix: how often each document is taken, and the words that makes.
+
+    One row per row of ``docs``; null and empty texts are taken zero times, and
+    a null source is a source.  An empty table gives an empty result.
+    """
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
