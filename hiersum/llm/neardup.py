@@ -25,16 +25,18 @@ Documents of nodes that are large at the last level too share much without
 being linked, a template or a passage, and no tree of this depth separates
 them.  They are compared with each other exactly: linked sets share a token
 among the rarest n - ceil(s n) + 1 of each, in any common order of all tokens.
-Such tokens are nodes again, small ones compared as above, and large ones in
-blocks of LEAF documents.
+Such tokens are nodes again.  Small ones are compared as above; in large ones
+whatever is outside the main component is compared with all of the node by the
+full sets, in blocks, and only links leave a block.
 
 A comparison first looks at 128 one-bit minwise sketches and then confirms the
 link on the full sets.  The sketch alone never makes a link, and a pair at the
 threshold passes it but for a chance of 1e-7.  For confirmation the partners of
 a document are dealt to buckets of bounded size, and its text goes once to each.
 
-Links are contracted to components by alternating stars, each step cut by a
-checkpoint; neither links nor components ever visit the driver.  Whatever is
+Links are contracted to components by one task while they are few, and beyond
+a checked count by alternating stars, each step cut by a checkpoint; neither
+links nor components ever visit the driver.  Whatever is
 joined on a key that may be very common (node, pivot, class, centre of a star)
 is joined with a table that is computed before, so that both sides of the join
 are plain shuffles, which adaptive execution can split.
@@ -46,6 +48,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -62,6 +65,10 @@ SKETCH, DEVIATIONS = 128, 5.6
 BROADCAST_IDS = 2_000_000
 #: Partners of a document that are confirmed in one place, about.
 BUCKET = 64
+#: Links that one task contracts, at most: some 200 MB.
+LINKS_AT_ONCE = 2_000_000
+#: Tokens of one side of a block of a large node, about.
+BLOCK_TOKENS = 1_000_000
 #: Counters of token frequencies: their number is 2 to this power.
 COUNTER_BITS = 18
 
@@ -199,11 +206,11 @@ def roots(reps: DataFrame, turn: int = 0) -> DataFrame:
 def branch(first: DataFrame, reps: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Branch the large nodes of the first level on, as long as they hold more than one component.
 
-    Returns star candidates (a, b), the members (node, id) of small nodes of
+    Returns star candidates (a, b), the members (node, id, tree) of small nodes of
     all levels, the documents (id) of nodes still large at the last level, and
     (id, depth), the level to which the large nodes of a document had to branch.
     """
-    leaves, stars = [first.where(F.col("size").between(3, LEAF)).select("node", "id")], []
+    leaves, stars = [first.where(F.col("size").between(3, LEAF)).select("node", "id", "tree")], []
     large = checkpoint(first.where(F.col("size") > LEAF).select("id", "tree").join(merged(sketches.select("d.id", "d.c")), "id"))
     deeper = [large.select("id", F.lit(1).alias("depth")).limit(0)]
     for level in range(2, LEVELS + 1):
@@ -214,17 +221,16 @@ def branch(first: DataFrame, reps: DataFrame, sketches: DataFrame) -> tuple[Data
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").drop("low", "high")
         members = checkpoint(rows.join(merged(checkpoint(sizes)), "node"))
         stars.append(members.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-        leaves.append(members.where(F.col("size").between(3, LEAF)).select("node", "id"))
+        leaves.append(members.where(F.col("size").between(3, LEAF)).select("node", "id", "tree"))
         large = members.where(F.col("size") > LEAF).select("id", "tree", "c")
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     stars = union(stars) if stars else large.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     return stars, union(leaves), large.select("id").distinct(), union(deeper).groupBy("id").agg(F.max("depth").alias("depth"))
 
 
-def meetings(first: DataFrame, reps: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def meetings(first: DataFrame, reps: DataFrame, sketches: DataFrame, seen: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Open pairs (a, b) that meet in some tree, and the documents (id) of nodes that stayed large."""
     spark = reps.sparkSession
-    by_id = sketches.withColumn("id", F.col("d.id"))
     turn, pairs, large, so_far = 0, None, None, reps.select("id", F.lit(1).alias("depth"))
     while True:
         # the depths at which one more round is not enough either
@@ -235,7 +241,7 @@ def meetings(first: DataFrame, reps: DataFrame, sketches: DataFrame, percent: in
             stars, leaves, ends, deeper = branch(nodes, deep, sketches)
             if turn:
                 stars = stars.unionByName(nodes.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-            near = star_pairs(stars.distinct(), sketches, lambda x, y: _open(x, y, percent)).unionByName(leaf_pairs(leaves.join(merged(by_id), "id").select("node", "d"), percent))
+            near = star_pairs(stars.distinct(), sketches, lambda x, y: _open(x, y, percent)).unionByName(leaf_pairs(leaves.join(merged(seen), "id"), percent, turn == 0))
             near, still = checkpoint(near.distinct(), outer=True), checkpoint(ends, outer=True)
             if wanting:
                 reached = so_far.unionByName(deeper).groupBy("id").agg(F.max("depth").alias("depth"))
@@ -253,50 +259,65 @@ def star_pairs(stars: DataFrame, sketches: DataFrame, test) -> DataFrame:
     return with_a.where(test(F.col("d_a"), F.col("d_b"))).select("a", "b")
 
 
-def leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
-    """Open pairs of small nodes (node, d), by exhaustive comparison of at most LEAF members.
+def first_level(first: DataFrame, reps: DataFrame, sketches: DataFrame) -> DataFrame:
+    """id, d, small, tokens: what leaves compare, with the trees whose first level is small for a document, as bits, and its tokens there."""
+    small = first.where(F.col("size") <= LEAF).groupBy("id").agg(F.expr("bit_or(shiftleft(1L, tree))").alias("small"))
+    tokens = reps.select("id", F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.get("sig", k * LEVELS)).alias("tokens"))
+    both = tokens.join(merged(sketches.withColumn("id", F.col("d.id"))), "id").join(merged(small), "id", "left")
+    return checkpoint(both.select("id", "d", F.coalesce("small", F.lit(0).cast("bigint")).alias("small"), "tokens"))
+
+
+def leaf_pairs(leaves: DataFrame, percent: int, once: bool = True) -> DataFrame:
+    """Open pairs of small nodes (node, tree, and columns of ``first_level``), by exhaustive comparison of at most LEAF members.
 
     Rows are dealt and sorted by node and read as a stream, one node at a time.
+    ``once``: a pair that has met in a small first level of an earlier tree is left out.
     """
     most = differing(percent)
 
-    def node_pairs(x: np.ndarray) -> np.ndarray:
-        """Rows (id, n, s1, s2, c) of one node -> pairs of ids."""
+    def node_pairs(x: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Rows (tree, id, n, s1, s2, c, small) of one node, and their tokens -> pairs of ids."""
         out = []
+        before = (np.int64(1) << np.arange(tokens.shape[1])) * (np.arange(tokens.shape[1]) < x[0, 0]) if once else None
         for at in range(0, len(x), 256):
             a, b = x[at : at + 256, None], x[None, at:]
-            near = (a[..., 4] != b[..., 4]) & (np.minimum(a[..., 1], b[..., 1]) * 100 >= np.maximum(a[..., 1], b[..., 1]) * percent)
-            i, j = np.nonzero(near & np.tri(len(a), b.shape[1], -1, bool).__invert__())
-            bits = np.bitwise_count((x[at + i, 2:4] ^ x[at + j, 2:4]).view(np.uint64)).sum(1, dtype=np.int64)
-            i, j = i[bits <= most], j[bits <= most]
-            out.append(np.stack([x[at + i, 0], x[at + j, 0]], 1))
+            near = (a[..., 5] != b[..., 5]) & (np.minimum(a[..., 2], b[..., 2]) * 100 >= np.maximum(a[..., 2], b[..., 2]) * percent)
+            i, j = np.nonzero(near & ~np.tri(len(a), b.shape[1], -1, dtype=bool))
+            i, j = i + at, j + at
+            alike = np.bitwise_count((x[i, 3:5] ^ x[j, 3:5]).view(np.uint64)).sum(1, dtype=np.int64) <= most
+            i, j = i[alike], j[alike]
+            if once and len(i):
+                fresh = ~((tokens[i] == tokens[j]) & ((x[i, 6:7] & before) != 0)).any(1)
+                i, j = i[fresh], j[fresh]
+            out.append(np.stack([x[i, 1], x[j, 1]], 1))
         return np.sort(np.concatenate(out), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_node = np.zeros((0, 5), np.int64), None
+        held, held_tokens, held_node = np.zeros((0, 7), np.int64), np.zeros((0, TREES), np.int32), None
         make = lambda parts: pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)).T], names=["a", "b"])
         for batch in batches:
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy()
-            rows = np.stack([batch.column(k).to_numpy() for k in range(1, 6)], 1)
+            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(1, 8)], 1)
+            tokens = np.asarray(batch.column(8).flatten()).reshape(len(rows), -1)
             first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
             out = []
             for k, (at, end) in enumerate(zip(first, [*first[1:], len(node)], strict=True)):
-                part = rows[at:end]
+                part, own = rows[at:end], tokens[at:end]
                 if k == 0 and node[0] == held_node:
-                    part = np.concatenate([held, part])
+                    part, own = np.concatenate([held, part]), np.concatenate([held_tokens, own])
                 elif k == 0 and len(held) > 1:
-                    out.append(node_pairs(held))
+                    out.append(node_pairs(held, held_tokens))
                 if end == len(node):
-                    held, held_node = part, node[at]
+                    held, held_tokens, held_node = part, own, node[at]
                 elif len(part) > 1:
-                    out.append(node_pairs(part))
+                    out.append(node_pairs(part, own))
             yield make(out)
         if len(held) > 1:
-            yield make([node_pairs(held)])
+            yield make([node_pairs(held, held_tokens)])
 
-    flat = leaves.select("node", "d.id", "d.n", "d.s1", "d.s2", "d.c")
+    flat = leaves.select("node", "tree", "d.id", "d.n", "d.s1", "d.s2", "d.c", "small", "tokens")
     return flat.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -333,8 +354,11 @@ def token_counts(texts: DataFrame, words: int) -> np.ndarray:
     return out.ravel()
 
 
-def among(large: DataFrame, texts: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
-    """Open pairs (a, b) of the documents ``large`` (id) that share one of their rarest tokens: every linked pair does."""
+def among(large: DataFrame, texts: DataFrame, seen: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The documents ``large`` (id) by their rarest tokens, of which every linked pair shares one.
+
+    Returns the open pairs (a, b) of tokens that few share, and the members (node, d) of the others.
+    """
     spark = large.sparkSession
     some = texts_of(large, texts, large.count())
     counts = spark.sparkContext.broadcast(token_counts(some, words))
@@ -352,12 +376,53 @@ def among(large: DataFrame, texts: DataFrame, sketches: DataFrame, words: int, p
 
     rows = checkpoint(some.select("id", "text").mapInArrow(rarest, "node bigint, id bigint"))
     sizes = checkpoint(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    shared = rows.join(merged(sizes), "node").join(merged(sketches.withColumn("id", F.col("d.id"))), "id")
-    small = shared.where(F.col("size") <= LEAF).select("node", "d")
-    n_blocks, own = F.ceil(F.col("size") / F.lit(LEAF)).cast("int"), F.pmod(F.hash("id"), F.ceil(F.col("size") / F.lit(LEAF)).cast("int"))
-    blocks = shared.where(F.col("size") > LEAF).select("node", "d", own.alias("own"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
-    blocks = blocks.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "d")
-    return leaf_pairs(small.unionByName(blocks), percent)
+    shared = checkpoint(rows.join(merged(sizes), "node").join(merged(seen), "id").withColumn("tree", F.lit(TREES)))
+    return leaf_pairs(shared.where(F.col("size") <= LEAF), percent), shared.where(F.col("size") > LEAF).select("node", "d")
+
+
+def across(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) in large nodes (node, d): what is outside a node's main component, against all of the node.
+
+    The full sets travel once to each block of a node, not with each pair; an
+    inverted index of the block counts what is common, and only links come
+    out, one for each document and component.
+    """
+    rows = members.select("node", F.col("d.id").alias("id"), F.col("d.c").alias("c"), F.col("d.n").alias("n"))
+    by_c = rows.groupBy("node", "c").agg(F.sum("n").alias("n"))
+    main = by_c.groupBy("node").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"), F.max("n").alias("most")).where("k > 1")
+    blocks = main.select("node", "main", F.ceil(F.col("all") / BLOCK_TOKENS).cast("int").alias("n_m"), F.ceil((F.col("all") - F.col("most")) / BLOCK_TOKENS).cast("int").alias("n_s"))
+    some = checkpoint(rows.join(merged(checkpoint(blocks)), "node"))
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "tokens"])
+
+    sets = texts_of(some.select("id").distinct(), texts, some.count()).select("id", "text").mapInArrow(to_sets, "id bigint, tokens binary")
+    full = checkpoint(some.join(merged(sets), "id"))
+    deal = lambda n: F.pmod(F.hash("id"), F.col(n))
+    key = ["node", "m", "s"]
+    left = full.withColumn("m", deal("n_m")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n_s") - 1))).select(*key, "id", "c", "tokens")
+    right = full.where("c <> main").withColumn("s", deal("n_s")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n_m") - 1))).select(*(F.col(k).alias(f"{k}2") for k in key), F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("tokens").alias("tokens2"))
+
+    def compare(m: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        if len(m) and len(y):
+            parts = [np.frombuffer(t, np.uint64) for t in m["tokens"]]
+            sizes, ids, cs = np.array([len(p) for p in parts]), m["id"].to_numpy(), m["c"].to_numpy()
+            tokens = np.concatenate(parts)
+            order = np.argsort(tokens, kind="stable")
+            owner, tokens = np.repeat(np.arange(len(parts)), sizes)[order], tokens[order]
+            for other, c, own in zip(y["id2"], y["c2"], y["tokens2"], strict=True):
+                own = np.frombuffer(own, np.uint64)
+                low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+                n = high - low
+                at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(parts))
+                hit = np.flatnonzero((100 * common >= percent * (sizes + len(own) - common)) & (cs != c))
+                out += [(int(other), int(ids[h])) for h in hit[np.unique(cs[hit], return_index=True)[1]]]
+        return pd.DataFrame({"a": np.array([p[0] for p in out], np.int64), "b": np.array([p[1] for p in out], np.int64)})
+
+    return left.groupBy(*key).cogroup(right.groupBy(*(f"{k}2" for k in key))).applyInPandas(compare, "a bigint, b bigint")
 
 
 def with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
@@ -374,8 +439,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     pairs = checkpoint(pairs)
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts, pairs.count() * 2)
     buckets = checkpoint(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET)).cast("int").alias("n")))
+    several = buckets.where("n > 1")
     heads = buckets.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(F.col("a").alias("id"), "bucket").join(merged(texts), "id").select(F.col("id").alias("a"), "bucket", F.lit(None).cast("bigint").alias("b"), "text")
-    tails = pairs.join(merged(buckets), "a").select("a", F.pmod(F.hash("b"), F.col("n")).alias("bucket"), F.col("b").alias("id")).join(merged(texts), "id").select("a", "bucket", F.col("id").alias("b"), "text")
+    tails = pairs.join(several, "a", "left").select("a", F.coalesce(F.pmod(F.hash("b"), F.col("n")), F.lit(0)).alias("bucket"), F.col("b").alias("id")).join(merged(texts), "id").select("a", "bucket", F.col("id").alias("b"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.zeros(0, np.uint64)
@@ -393,14 +459,38 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return checkpoint(dealt.select("a", "b", "text").mapInArrow(run, "a bigint, b bigint"))
 
 
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all links that come (u, v), by hooking roots to smaller ones and following them."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    u, v = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while len(u):
+        a, b = root[u], root[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["id", "component"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """id, component: the smallest id reachable, for every id that has a link.
+    """id, component: the smallest id reachable, for every id that has a link."""
+    edges = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.count() <= LINKS_AT_ONCE:
+        return edges.repartition(1).mapInArrow(contract, "id bigint, component bigint")
+    return stars(edges)
+
 
-    Alternating stars.  Large star: a node points its larger neighbours to its
-    smallest.  Small star: it points its smaller ones and itself there.  Both
-    only rewire links, and at the fixed point every component is one star.
+def stars(edges: DataFrame) -> DataFrame:
+    """Components of links (u > v, distinct) by alternating stars.
+
+    Large star: a node points its larger neighbours to its smallest.  Small
+    star: it points its smaller ones and itself there.  Both only rewire
+    links, and at the fixed point every component is one star.
     """
-    edges = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     seen = mark(edges)
     while seen[0]:
@@ -466,10 +556,12 @@ def _find(docs: DataFrame, words: int, percent: int) -> DataFrame:
     links = confirm(star_pairs(stars, sketch(reps, F.col("id")), lambda x, y: _alike(x, y, percent)), texts, words, percent)
     joined = checkpoint(components(links if sure is None else links.unionByName(sure)))
     sketches = sketch(with_component(reps.drop("sig"), joined), F.col("component"))
-    pairs, large = meetings(first, reps.select("id", "sig"), sketches, percent)
+    seen = first_level(first, reps, sketches)
+    pairs, large = meetings(first, reps.select("id", "sig"), sketches, seen, percent)
     more = confirm(pairs.distinct(), texts, words, percent)
     if not large.isEmpty():
-        more = more.unionByName(confirm(among(large, texts, sketches, words, percent).distinct(), texts, words, percent))
+        pairs, members = among(large, texts, seen, words, percent)
+        more = checkpoint(more.unionByName(confirm(pairs.distinct(), texts, words, percent)).unionByName(across(members, texts, words, percent)))
     if not more.isEmpty():
         joined = checkpoint(components(more.unionByName(joined.select(F.col("id").alias("a"), F.col("component").alias("b")))))
     placed = checkpoint(with_component(classes.select(*key, "id"), joined).drop("id"))
