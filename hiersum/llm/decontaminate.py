@@ -110,17 +110,17 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
         inside = F.filter(F.array_distinct(starts), lambda x: (x["s"] >= 0) & (x["s"] + x["n"] <= F.size(words)))
         return F.transform(inside, lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), F.array_join(F.slice(words, x["s"] + 1, x["n"]), " ").alias("window")))
 
-    counted = base.withColumn("text_hash", F.xxhash64("text")).withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("bigint"))
-    joined = counted.join(anchors, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
-    worded = joined.select("doc_id", "text_hash", "n_words", F.when(F.col("anchors").isNotNull(), words_of(F.col("text"))).alias("words"), "anchors")
-    candidates = worded.select("doc_id", "text_hash", "n_words", F.when(F.col("anchors").isNotNull(), covering(F.col("words"), F.col("anchors"))).alias("c"))
+    hashed = base.withColumn("text_hash", F.xxhash64("text"))
+    worded = hashed.join(anchors, F.col("doc_id").eqNullSafe(F.col("hit_id"))).select("doc_id", "text_hash", words_of(F.col("text")).alias("words"), "anchors")
+    candidates = worded.select("doc_id", "text_hash", covering(F.col("words"), F.col("anchors")).alias("c"))
     # What was found is little; items are looked up for it, one row for each window of a document and item that holds it.
-    found = checkpoint(candidates.where("size(c) > 0").select("doc_id", "text_hash", F.inline("c")).join(windows, "window", "left_semi"))
+    found = checkpoint(candidates.select("doc_id", "text_hash", F.inline("c")).join(windows, "window", "left_semi"))
     key = ["doc_id", "text_hash"]
     hit = found.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("s", "n"))).alias("found"))
     ids = found.select(*key, "window").distinct().join(_sized(held), "window").where("item_id IS NOT NULL").select(*key, "item_id").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
     hits = hit.join(ids, hit["doc_id"].eqNullSafe(ids["doc_id"]) & hit["text_hash"].eqNullSafe(ids["text_hash"]), "left").select(hit["doc_id"].alias("hit_id"), hit["text_hash"].alias("hit_hash"), "found", "ids")
-    everyone = counted.select("doc_id", "text_hash", "n_words").distinct()
+    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("bigint")
+    everyone = hashed.select("doc_id", "text_hash", n_words.alias("n_words")).distinct()
     rows = everyone.join(checkpoint(hits), F.col("doc_id").eqNullSafe(F.col("hit_id")) & F.col("text_hash").eqNullSafe(F.col("hit_hash")), "left")
     none = F.array().cast("array<string>")
     n_hit = F.when(F.col("found").isNotNull(), _covered(F.col("found"))).otherwise(F.lit(0).cast("bigint"))
