@@ -111,8 +111,8 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
         return F.transform(inside, lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), F.array_join(F.slice(words, x["s"] + 1, x["n"]), " ").alias("window")))
 
     hashed = base.withColumn("text_hash", F.xxhash64("text"))
-    worded = hashed.join(anchors, F.col("doc_id").eqNullSafe(F.col("hit_id"))).select("doc_id", "text_hash", words_of(F.col("text")).alias("words"), "anchors")
-    candidates = worded.select("doc_id", "text_hash", covering(F.col("words"), F.col("anchors")).alias("c"))
+    anchored = hashed.join(anchors, F.col("doc_id").eqNullSafe(F.col("hit_id")))
+    candidates = anchored.select("doc_id", "text_hash", bind(words_of(F.col("text")), lambda words: covering(words, F.col("anchors"))).alias("c"))
     # What was found is little; items are looked up for it, one row for each window of a document and item that holds it.
     found = checkpoint(candidates.select("doc_id", "text_hash", F.inline("c")).join(windows, "window", "left_semi"))
     key = ["doc_id", "text_hash"]
