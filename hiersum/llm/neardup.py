@@ -54,7 +54,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import checkpoint, scratch
 
-TREES, LEVELS, LEAF = 21, 3, 128
+TREES, LEVELS, LEAF = 21, 3, 64
 #: Minwise tokens that are kept for the trees.
 TOKENS = 64
 #: Chance to miss a link at the threshold, at most, counting trees as independent.
