@@ -228,7 +228,7 @@ def test_sketches_let_links_pass(percent):
     assert neardup.differing(80) <= 32
 
 
-@pytest.mark.parametrize("leaf", [16, 128])
+@pytest.mark.parametrize("leaf", [16, 64])
 def test_large_groups_of_near_copies(spark, monkeypatch, leaf):
     """A group far larger than a leaf, at the threshold and around it, among documents that share a passage."""
     monkeypatch.setattr(neardup, "LEAF", leaf)
@@ -257,7 +257,7 @@ def on_a_template(n):
     return [(k, " ".join([*base, f"p{k // 2}", f"q{k // 2}", *(f"o{k}x{j}" for j in range(13))])) for k in range(n)]
 
 
-@pytest.mark.parametrize("leaf", [16, 128])
+@pytest.mark.parametrize("leaf", [16, 64])
 def test_links_among_documents_on_a_template(spark, monkeypatch, leaf):
     """Two documents share 110 of 140 shingles, planted pairs 112 of 138: with small leaves, nodes stay large to the last level."""
     monkeypatch.setattr(neardup, "LEAF", leaf)
