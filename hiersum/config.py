@@ -121,10 +121,24 @@ class SpatialConfig:
         n, r = self.extra_levels, self.repetitions
         return (-1, 1) if n == -1 else (-3, 3) if n == 0 else (-(r // 2), r // 2 - 1)
 
+    @property
+    def levels_above(self) -> int:
+        """Levels between the root of a plain tree that holds all images and the box itself."""
+        return self.extra_levels + 3 if self.periodic else 0
+
     @property
     def extended_height(self) -> int:
-        """Height of a plain tree that holds all images."""
-        return self.height + self.extra_levels + 5
+        """Height of that plain tree, down to the same leaves."""
+        return self.height + self.levels_above
+
+    @property
+    def extended(self) -> SpatialConfig:
+        """The plain box that holds all images; its lowest corner is that of the first image."""
+        if not self.periodic:
+            return self
+        widths = tuple(w * (1 << self.levels_above) for w in self.widths)
+        centre = tuple(c + self.image_interval[0] * w + b / 2 for c, w, b in zip(self.corner, self.widths, widths, strict=True))
+        return replace(self, height=self.extended_height, centre=centre, widths=widths, periodic=False, extra_levels=-1)
 
     def with_(self, **changes) -> SpatialConfig:
         return replace(self, **changes)

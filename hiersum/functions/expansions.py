@@ -2,7 +2,8 @@
 
 Coordinates are relative to a box centre and scaled so that the box is
 [-1, 1]**3.  A unit system per level keeps every translation matrix the same
-at all levels; only the transfer carries the level, as a power of the width.
+at all levels; only the transfer carries the level: as a power of the width
+where the kernel is homogeneous, else through spectra of its own.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from itertools import product
 
 import numpy as np
 
+from .kernels import InverseR, InverseR2, Pairwise
+
 SLOTS = np.array(list(product((0, 1), repeat=3)))
 
 
@@ -19,7 +22,8 @@ class Expansion:
     """Contract of the array kernels.  ``size`` values (float64) describe a box."""
 
     size: int
-    degree = 1  # the kernel scales as distance ** -degree
+    #: The interaction itself, for the near field.  Its ``degree`` says how it scales.
+    near: Pairwise
 
     def p2m(self, x: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Contribution of each particle: n x size."""
@@ -37,10 +41,14 @@ class Expansion:
         """Moments as the transfer wants them."""
         return moments
 
-    def transfer(self, offset: tuple[int, int, int], spectrum: np.ndarray) -> np.ndarray:
-        """What boxes at an offset (source minus target, in boxes) send."""
+    def transfer(self, offset: tuple[int, int, int], spectrum: np.ndarray, width: float) -> np.ndarray:
+        """What boxes of a width send over an offset (source minus target, in boxes)."""
         raise NotImplementedError
 
+    def scale(self, width: float) -> float:
+        """From scaled to real distances, for boxes of a width; 1 where ``transfer`` sees to it."""
+        return 1.0 if self.near.degree is None else (2 / width) ** self.near.degree
+
     def unspectrum(self, total: np.ndarray) -> np.ndarray:
         return total
 
@@ -50,21 +58,21 @@ class Expansion:
 
 
 class Lagrange(Expansion):
-    """Interpolation at ``order`` equispaced nodes per axis; any smooth radial kernel.
+    """Interpolation at ``order`` equispaced nodes per axis; any kernel that is smooth away from zero.
 
     The transfer is a convolution over nodes, done as a product of spectra.
+    ``kernel`` is a Pairwise kernel (or "1/r", "1/r2"), of which only
+    ``at_distance`` and ``degree`` are asked here.
     """
 
-    def __init__(self, order: int = 8, kernel: str = "1/r"):
-        self.order, self.kernel = order, kernel
-        self.degree = {"1/r": 1, "1/r2": 2}[kernel]
+    NAMED = {"1/r": InverseR, "1/r2": InverseR2}
+
+    def __init__(self, order: int = 8, kernel: Pairwise | str = "1/r"):
+        self.order, self.near = order, self.NAMED[kernel]() if isinstance(kernel, str) else kernel
         self.size = order**3
         self.nodes = np.linspace(-1, 1, order)
         self._spectra: dict[tuple, np.ndarray] = {}
 
-    def _value(self, r2: np.ndarray) -> np.ndarray:
-        return 1 / np.sqrt(r2) if self.kernel == "1/r" else 1 / r2
-
     @cached_property
     def _weights(self) -> np.ndarray:
         d = self.nodes[:, None] - self.nodes[None] + np.eye(self.order)
@@ -107,14 +115,14 @@ class Lagrange(Expansion):
         n = 2 * self.order - 1
         return np.fft.rfftn(moments.reshape(-1, *[self.order] * 3), (n, n, n), axes=(1, 2, 3))
 
-    def transfer(self, offset, spectrum):
-        if offset not in self._spectra:
+    def transfer(self, offset, spectrum, width):
+        unit = 1.0 if self.near.degree is not None else width / 2
+        if (offset, unit) not in self._spectra:
             n, step = 2 * self.order - 1, 2 / (self.order - 1)
             lag = np.where(np.arange(n) < self.order, np.arange(n), np.arange(n) - n) * step
-            d = [lag - 2.0 * o for o in offset]  # target node minus source node
-            r2 = d[0][:, None, None] ** 2 + d[1][None, :, None] ** 2 + d[2][None, None] ** 2
-            self._spectra[offset] = np.fft.rfftn(self._value(r2))
-        return spectrum * self._spectra[offset]
+            d = np.meshgrid(*((2.0 * o - lag) * unit for o in offset), indexing="ij")  # source node minus target node
+            self._spectra[offset, unit] = np.fft.rfftn(self.near.at_distance(d))
+        return spectrum * self._spectra[offset, unit]
 
     def unspectrum(self, total):
         n, p = 2 * self.order - 1, self.order
@@ -142,7 +150,7 @@ class Harmonic(Expansion):
     """
 
     def __init__(self, order: int = 8):
-        self.order = order
+        self.order, self.near = order, InverseR()
         self.index = {(n, m): n * n + n + m for n in range(2 * order + 1) for m in range(-n, n + 1)}
         self.count = (order + 1) ** 2
         self.size = 2 * self.count
@@ -216,7 +224,7 @@ class Harmonic(Expansion):
     def spectrum(self, moments):
         return self._unpack(moments).conj()
 
-    def transfer(self, offset, spectrum):
+    def transfer(self, offset, spectrum, width):
         if offset not in self._matrices:
             t = self._irregular(-2.0 * np.array([offset], float), 2 * self.order)[0]
             c = np.zeros((self.count, self.count), complex)

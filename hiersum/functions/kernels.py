@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import factorial, pi
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 Columns = Sequence[Column]
@@ -178,12 +179,25 @@ def _square(d: Columns) -> Column:
 
 
 class Pairwise(Kernel):
-    """P2P only: a radial interaction k(r) given by its value and derivative over r as functions of r squared."""
+    """P2P only: a radial interaction k(r) given by its value and derivative over r as functions of r squared.
+
+    ``degree``: k scales as r ** -degree; None, if it does not scale.  The
+    array expansions take the same numbers from ``field``.
+    """
+
+    degree: int | None = None
 
     def __init__(self, dim: int = 3):
         self.dim = dim
         self.outputs = (*(f"f{a}" for a in "xyz"[:dim]), "pot")
 
+    def field(self, d: Sequence[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """k, and its derivatives by the target's position, on arrays of distances (source minus target)."""
+        raise NotImplementedError
+
+    def at_distance(self, d: Sequence[np.ndarray]) -> np.ndarray:
+        return self.field(d)[0]
+
     def value(self, r2: Column) -> Column:
         raise NotImplementedError
 
@@ -200,6 +214,13 @@ class Pairwise(Kernel):
 class InverseR(Pairwise):
     """1 / r.  The force points to the source for like charges."""
 
+    degree = 1
+
+    def field(self, d):
+        k = 1 / np.sqrt(sum(v * v for v in d))
+        cube = k * k * k
+        return k, [cube * v for v in d]
+
     def value(self, r2):
         return 1 / F.sqrt(r2)
 
@@ -210,6 +231,12 @@ class InverseR(Pairwise):
 class InverseR2(Pairwise):
     """1 / r**2."""
 
+    degree = 2
+
+    def field(self, d):
+        k = 1 / sum(v * v for v in d)
+        return k, [2 * k * k * v for v in d]
+
     def value(self, r2):
         return 1 / r2
 
@@ -220,6 +247,12 @@ class InverseR2(Pairwise):
 class LennardJones(Pairwise):
     """r**-12 - r**-6."""
 
+    def field(self, d):
+        r2 = sum(v * v for v in d)
+        k6 = 1 / (r2 * r2 * r2)
+        pull = (12 * k6 * k6 - 6 * k6) / r2
+        return k6 * k6 - k6, [pull * v for v in d]
+
     def value(self, r2):
         r6 = r2 * r2 * r2
         return 1 / (r6 * r6) - 1 / r6
@@ -236,6 +269,10 @@ class OneOverAPlusR2(Pairwise):
         super().__init__(dim)
         self.a = a
 
+    def field(self, d):
+        k = 1 / (self.a + sum(v * v for v in d))
+        return k, [2 * k * k * v for v in d]
+
     def value(self, r2):
         return 1 / (r2 + self.a)
 
@@ -246,10 +283,17 @@ class OneOverAPlusR2(Pairwise):
 class AnisotropicInverseR(Pairwise):
     """1 / r after stretching each axis; the stretch is a parameter."""
 
+    degree = 1
+
     def __init__(self, stretch: Sequence[float] = (1.0, 1.0, 1.0)):
         super().__init__(len(stretch))
         self.stretch = stretch
 
+    def field(self, d):
+        k = 1 / np.sqrt(sum((v * s) ** 2 for v, s in zip(d, self.stretch, strict=True)))
+        cube = k * k * k
+        return k, [cube * v * (s * s) for v, s in zip(d, self.stretch, strict=True)]
+
     def p2p(self, d, q_target, q_source):
         e = [v * s for v, s in zip(d, self.stretch, strict=True)]
         r2 = _square(e)
@@ -257,6 +301,20 @@ class AnisotropicInverseR(Pairwise):
         return {f"f{a}": pull * v * s for a, v, s in zip("xyz", e, self.stretch, strict=False)} | {"pot": q_source / F.sqrt(r2)}
 
 
+class Polynomial(Pairwise):
+    """1 + r**2 + r**4: interpolation reproduces it, so a far field of it is exact but for rounding."""
+
+    def field(self, d):
+        r2 = sum(v * v for v in d)
+        return 1 + r2 + r2 * r2, [-(2 + 4 * r2) * v for v in d]
+
+    def value(self, r2):
+        return 1 + r2 + r2 * r2
+
+    def slope(self, r2):
+        return 2 + 4 * r2
+
+
 class RTensor(Pairwise):
     """delta_ij / r - r_i r_j / r**3: six entries of the symmetric tensor, no force."""
 

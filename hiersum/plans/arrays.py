@@ -1,13 +1,18 @@
-"""The far field of 3D array expansions, on Arrow batches.
+"""3D array expansions, on Arrow batches.
 
-Three steps, each with groups of bounded size and sums that may come in parts:
+Three steps for the far field, each with groups of bounded size and sums that
+may come in parts:
 
-* up: particles in leaf order make partial leaf moments, and these partial
-  moments of all ancestors, within each batch;
+* up: particles in leaf order make the moments of leaves and of all ancestors;
+  each task sends a cell once, and where tasks are many, what they send of the
+  few upper cells is summed before it goes on;
 * transfer: cells of a level go to every block of target boxes within their
   reach, and a block makes its locals;
 * down: locals go to the leaf blocks below them, where they are moved to the
   leaves and evaluated for a bounded share of the block's particles.
+
+The near field goes by blocks of leaves too: a block's targets meet the
+particles of the block and of the leaves around it, in bounded shares of both.
 """
 
 from __future__ import annotations
@@ -22,13 +27,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import Ops, SpatialConfig
 from ..functions import index as ix
-from ..functions.expansions import SLOTS, Expansion
-from ..functions.kernels import InverseR, InverseR2
+from ..functions.expansions import Expansion
 from .fmm import Query
 from .periodic import scale_offsets
 
 #: Boxes per axis of a block, and particles of a block that one task evaluates.
 BLOCK_BITS, SHARE = 3, 50_000
+#: The same for the near field: boxes, targets and sources; and pairs that are held at once.
+NEAR_BITS, NEAR_TARGETS, NEAR_SOURCES, PAIRS = 2, 20_000, 100_000, 1 << 18
+#: So many parts of an upper cell are summed where they are used; more are summed in between.
+PARTS = 64
 
 CELL = "level int, ix bigint, iy bigint, iz bigint, c binary"
 
@@ -61,9 +69,41 @@ def _boxes(m: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+class Climb:
+    """Sums of rows that come in leaf order, one row for each cell of each level.  What is open is one cell a level."""
+
+    def __init__(self, e: Expansion, top: int, leaf: int):
+        self.e, self.top, self.leaf, self.up = e, top, leaf, [e.up(s) for s in range(8)]
+        self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, level: int, keys: np.ndarray, values: np.ndarray, last: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Yields (level, keys, values) of the cells that are complete."""
+        if level in self.open:
+            k, v = self.open.pop(level)
+            keys, values = _sum_by(np.concatenate([k, keys]), np.concatenate([v, values]))
+        if not last and len(keys):
+            self.open[level] = keys[-1:], values[-1:]
+            keys, values = keys[:-1], values[:-1]
+        if len(keys):
+            yield level, keys, values
+        if level > self.top and (len(keys) or last):
+            moved = np.empty_like(values)
+            for s in range(8):
+                at = (keys & 7) == s
+                moved[at] = values[at] @ self.up[s]
+            sums = _sum_by(keys >> 3, moved) if len(keys) else (keys, moved)
+            yield from self.add(level - 1, *sums, last)
+
+    def end(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        yield from self.add(self.leaf, np.zeros(0, np.int64), np.zeros((0, self.e.size)), True)
+
+
 @dataclass
 class ArrayQuery:
-    """Potential and force of 1/r (or 1/r**2 under Lagrange) at ``targets``, in a 3D cube, plain or periodic."""
+    """Potential and force of an expansion's kernel at ``targets``, in a 3D cube, plain or periodic.
+
+    ``ops`` works as in ``Query``.
+    """
 
     cfg: SpatialConfig
     expansion: Expansion
@@ -74,41 +114,62 @@ class ArrayQuery:
     def __post_init__(self) -> None:
         if self.cfg.dim != 3 or len(set(self.cfg.widths)) != 1:
             raise ValueError("array expansions take a 3D cube")
-        near = InverseR() if self.expansion.degree == 1 else InverseR2()
-        self.query = Query(self.cfg, near, self.targets, self.sources)
+        self.query = Query(self.cfg, self.expansion.near, self.targets, self.sources, self.ops)
 
     def upward(self) -> DataFrame:
-        """Partial moments of all far cells (several rows of a cell add up)."""
+        """Moments of all far cells (several rows of a cell add up)."""
         cfg, e, L = self.cfg, self.expansion, self.cfg.leaf_level
         leaf = ix.morton([F.col(b) for b in cfg.boxes], L)
         rows = self.query.s.select(leaf.alias("leaf"), "pid", *cfg.axes, "q")
         # Ranges rather than hashes: a leaf with very many particles spans several tasks.
         rows = rows.repartitionByRange("leaf", "pid").sortWithinPartitions("leaf").select("leaf", *cfg.axes, "q")
-        corner, width, stop = np.array(cfg.corner), cfg.leaf_widths[0], 0 if cfg.periodic else cfg.stop_level
+        corner, width = np.array(cfg.corner), cfg.leaf_widths[0]
+        stop = L if not self.ops & Ops.M2M else 0 if cfg.periodic else cfg.stop_level
+        names = ["level", "ix", "iy", "iz", "c"]
+
+        def packed(level: int, keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(keys), 4096):
+                b, part = _boxes(keys[at : at + 4096], L), values[at : at + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), level, np.int32)), *(pa.array(b[:, k]) for k in range(3)), pa.array([v.tobytes() for v in part], pa.binary())], names=names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            up = [e.up(s) for s in range(8)]
+            climb = Climb(e, stop, L)
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 leaf = batch.column(0).to_numpy()
                 x = np.stack([batch.column(k).to_numpy() for k in (1, 2, 3)], 1)
                 q = batch.column(4).to_numpy()
-                centre = corner + (_boxes(leaf, L) + 0.5) * width
-                scaled = (x - centre) * (2 / width)
+                scaled = (x - corner - (_boxes(leaf, L) + 0.5) * width) * (2 / width)
                 parts = [_sum_by(leaf[i : i + 4096], e.p2m(scaled[i : i + 4096], q[i : i + 4096])) for i in range(0, len(q), 4096)]
-                keys, values = _sum_by(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-                for level in range(L, stop - 1, -1):
-                    b = _boxes(keys, L)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), level, np.int32)), *(pa.array(b[:, k]) for k in range(3)), pa.array([v.tobytes() for v in values], pa.binary())], names=["level", "ix", "iy", "iz", "c"])
-                    if level > stop:
-                        moved = np.empty_like(values)
-                        for s in range(8):
-                            at = (keys & 7) == s
-                            moved[at] = values[at] @ up[s]
-                        keys, values = _sum_by(keys >> 3, moved)
-
-        return rows.mapInArrow(run, CELL)
+                for cells in climb.add(L, *_sum_by(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))):
+                    yield from packed(*cells)
+            for cells in climb.end():
+                yield from packed(*cells)
+
+        made = rows.mapInArrow(run, CELL)
+        tasks = int(self.query.t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        if tasks <= PARTS:
+            return made
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                keys = zip(batch.column(0).to_pylist(), _morton(np.stack([batch.column(k).to_numpy() for k in (1, 2, 3)], 1), L).tolist(), strict=True) if batch.num_rows else ()
+                for key, c in zip(keys, batch.column(4), strict=True):
+                    v = np.frombuffer(c.as_py(), np.float64)
+                    held[key] = held[key] + v if key in held else v
+                if len(held) > 16_384:  # parts may come in parts
+                    for (level, key), v in held.items():
+                        yield from packed(level, np.array([key]), v[None])
+                    held = {}
+            for (level, key), v in held.items():
+                yield from packed(level, np.array([key]), v[None])
+
+        # Few cells have parts from many tasks: those of the levels with fewer cells than tasks.  They go to a few tasks each.
+        upper = F.expr(f"shiftleft(1L, 3 * level) <= {tasks}")
+        salt = F.when(upper, F.pmod(F.spark_partition_id(), F.lit(PARTS))).otherwise(0)
+        return made.withColumn("salt", salt).repartition("level", "ix", "iy", "iz", "salt").drop("salt").mapInArrow(summed, CELL)
 
     def _images(self, box: str, n: Column) -> Column:
         """Box numbers of a source and its images from -3 to n + 2."""
@@ -118,7 +179,7 @@ class ArrayQuery:
     def _above_root(self) -> np.ndarray | None:
         """Locals of the root from the images beyond the nearest, on one row of moments."""
         cfg, e = self.cfg, self.expansion
-        if not cfg.periodic or cfg.extra_levels < 0:
+        if not cfg.periodic or cfg.extra_levels < 0 or not (self.ops & Ops.M2M and self.ops & Ops.L2L):
             return None
 
         def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +194,10 @@ class ArrayQuery:
         for scale in range(cfg.extra_levels + 1):
             if scale:
                 m = sum(m @ e.up(slot) for slot in range(8))
-            seen = e.spectrum(m)
+            seen, width = e.spectrum(m), cfg.widths[0] * (1 << scale)
             # an image at offset o acts like a source o boxes away
-            came = sum(e.transfer(o, seen) for o in scale_offsets(cfg, scale))
-            coming.append(e.unspectrum(came) * (2 / (cfg.widths[0] * (1 << scale))) ** e.degree)
+            came = sum(e.transfer(o, seen, width) for o in scale_offsets(cfg, scale))
+            coming.append(e.unspectrum(came) * e.scale(width))
         local = coming[-1]
         for lower in reversed(coming[:-1]):
             local = local @ e.down(0) + lower
@@ -149,7 +210,7 @@ class ArrayQuery:
         """Locals of the target cells from their interaction lists."""
         cfg, e, size, width = self.cfg, self.expansion, 1 << BLOCK_BITS, self.cfg.widths[0]
         boxes = [F.col(b) for b in cfg.boxes]
-        sent = self.upward().where(f"level >= {cfg.stop_level}")
+        sent = self.upward().where(f"level >= {cfg.stop_level}")  # one row of a cell, or a few
         if cfg.periodic:  # the images that reach into the box, under the numbers that their boxes would have
             n = F.call_function("shiftleft", ix.long(1), F.col("level"))
             for b in cfg.boxes:
@@ -184,16 +245,16 @@ class ArrayQuery:
                 found = where[flat(other[at])]
                 at, found = at[found >= 0], found[found >= 0]
                 if len(at):
-                    total[at] += e.transfer(o, spectrum[found])
-            scale = (2 ** (level + 1) / width) ** e.degree
-            local = e.unspectrum(total) * scale
+                    total[at] += e.transfer(o, spectrum[found], width / (1 << level))
+            local = e.unspectrum(total) * e.scale(width / (1 << level))
             return pd.DataFrame({"level": np.int32(level), "ix": tb[:, 0], "iy": tb[:, 1], "iz": tb[:, 2], "c": [v.tobytes() for v in local]})
 
         return targets.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(run, CELL)
 
     def far(self) -> DataFrame:
         """pid, fx, fy, fz, pot of the far field."""
-        cfg, e, L, stop = self.cfg, self.expansion, self.cfg.leaf_level, self.cfg.stop_level
+        cfg, e, L = self.cfg, self.expansion, self.cfg.leaf_level
+        stop = cfg.stop_level if self.ops & Ops.L2L else L
         boxes, width, corner = [F.col(b) for b in cfg.boxes], cfg.leaf_widths[0], np.array(cfg.corner)
         t = self.query.t.select("pid", *cfg.axes, "q", *cfg.boxes, self._block(boxes).alias("b")).select("pid", *cfg.axes, "q", *cfg.boxes, "b.*")
         blocks = ["bx", "by", "bz"]
@@ -202,7 +263,7 @@ class ArrayQuery:
         root = self._above_root()
         particles = t.join(shares, blocks).withColumn("share", F.pmod(F.hash("pid"), F.col("n"))).drop("n")
         # Locals of a level cover a range of leaf blocks; of the leaf level, one.
-        below = self.transfer()
+        below = self.transfer().where(f"level >= {stop}")
         for b, n in zip(cfg.boxes, blocks, strict=True):
             first = F.expr(f"shiftright(shiftleft({b}, {L} - level), {BLOCK_BITS})")
             last = F.expr(f"shiftright(shiftleft({b} + 1L, {L} - level) - 1L, {BLOCK_BITS})")
@@ -245,11 +306,75 @@ class ArrayQuery:
 
         return particles.groupBy(*key).cogroup(below.groupBy(*key)).applyInPandas(run, "pid bigint, fx double, fy double, fz double, pot double")
 
+    def near(self) -> DataFrame:
+        """pid, fx, fy, fz, pot of the near field, in shares of blocks."""
+        cfg, kernel, L, same = self.cfg, self.expansion.near, self.cfg.leaf_level, self.query.same
+        blocks, n, width = ["bx", "by", "bz"], 1 << L, cfg.widths[0]
+        t, s = self.query.t, self.query.s.withColumn("home", F.lit(True))
+        for b, a in zip(cfg.boxes, cfg.axes, strict=True):
+            if cfg.periodic:  # the images that touch the box
+                s = s.withColumn("image", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).where((F.col(b) + F.col("image") * n).between(-1, n))
+                s = s.withColumns({b: F.col(b) + F.col("image") * n, a: F.col(a) + F.col("image") * width, "home": F.col("home") & (F.col("image") == 0)}).drop("image")
+        for b, k in zip(cfg.boxes, blocks, strict=True):
+            t = t.withColumn(k, F.shiftright(b, NEAR_BITS))
+            low, high = F.greatest(F.col(b) - 1, F.lit(0)), F.least(F.col(b) + 1, F.lit(n - 1))
+            s = s.withColumn(k, F.explode(F.array_distinct(F.array(F.shiftright(low, NEAR_BITS), F.shiftright(high, NEAR_BITS)))))
+        ceil = lambda share, name: F.ceil(F.count(F.lit(1)) / F.lit(share)).cast("int").alias(name)
+        shares = t.groupBy(*blocks).agg(ceil(NEAR_TARGETS, "n_t")).join(s.groupBy(*blocks).agg(ceil(NEAR_SOURCES, "n_s")), blocks)
+        columns = ["pid", *cfg.axes, "q", *cfg.boxes]
+        deal = lambda c: F.pmod(F.hash("pid"), F.col(c))
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        key = [*blocks, "t", "s"]
+        left = t.join(shares, blocks).withColumn("t", deal("n_t")).withColumn("s", every("n_s")).select(*key, *columns)
+        right = s.join(shares, blocks).withColumn("s", deal("n_s")).withColumn("t", every("n_t")).select(*(F.col(c).alias(f"of_{c}") for c in (*key, *columns, "home")))
+
+        def run(p: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+            if not len(p) or not len(o):
+                return pd.DataFrame({"pid": np.array([], np.int64), "fx": [], "fy": [], "fz": [], "pot": []})
+            o = o.rename(columns=lambda c: c.removeprefix("of_"))
+            base = (p[["ix", "iy", "iz"]].to_numpy().min(0) >> NEAR_BITS << NEAR_BITS) - 1
+            side = (1 << NEAR_BITS) + 2
+            flat = lambda f: ((f["ix"].to_numpy() - base[0]) * side + f["iy"].to_numpy() - base[1]) * side + f["iz"].to_numpy() - base[2]
+            cell = flat(o)
+            order = np.argsort(cell, kind="stable")
+            start = np.searchsorted(cell[order], np.arange(side**3 + 1))
+            source = [o[c].to_numpy()[order] for c in ("x", "y", "z", "q")]
+            ids = np.where(o["home"].to_numpy()[order], o["pid"].to_numpy()[order], np.iinfo(np.int64).min) if same else None
+            own = flat(p)
+            at, pid, q = np.argsort(own, kind="stable"), p["pid"].to_numpy(), p["q"].to_numpy()
+            x = [p[c].to_numpy() for c in ("x", "y", "z")]
+            pot, force = np.zeros(len(p)), np.zeros((len(p), 3))
+            leaves, first = np.unique(own[at], return_index=True)
+            for leaf, a, b in zip(leaves, first, [*first[1:], len(at)], strict=True):
+                # leaves in a row along z are one run of sources
+                runs = [slice(start[leaf + dx + dy - 1], start[leaf + dx + dy + 2]) for dx in (-side * side, 0, side * side) for dy in (-side, 0, side)]
+                sx, sy, sz, sq = (np.concatenate([v[r] for r in runs]) for v in source)
+                if not len(sq):
+                    continue
+                sid = np.concatenate([ids[r] for r in runs]) if same else None
+                step = max(1, PAIRS // len(sq))
+                for i in range(a, b, step):
+                    rows = at[i : min(i + step, b)]
+                    d = [sv[None] - tv[rows][:, None] for sv, tv in zip((sx, sy, sz), x, strict=True)]
+                    self_ = sid[None] == pid[rows][:, None] if same else None
+                    if same and self_.any():
+                        d[0][self_] = 1.0
+                    value, pull = kernel.field(d)
+                    if same and self_.any():
+                        for v in (value, *pull):
+                            v[self_] = 0.0
+                    pot[rows] = value @ sq
+                    force[rows] = np.stack([v @ sq for v in pull], 1)
+            force *= q[:, None]
+            return pd.DataFrame({"pid": pid, "fx": force[:, 0], "fy": force[:, 1], "fz": force[:, 2], "pot": pot})
+
+        return left.groupBy(*key).cogroup(right.groupBy(*(f"of_{k}" for k in key))).applyInPandas(run, "pid bigint, fx double, fy double, fz double, pot double")
+
     def execute(self) -> DataFrame:
         out = ("fx", "fy", "fz", "pot")
         rows = self.query.t.select("pid", *(F.lit(0.0).alias(o) for o in out))
-        if self.ops & Ops.FAR == Ops.FAR and len(self.cfg.far_levels):
+        if self.query.far_wanted():
             rows = rows.unionByName(self.far())
         if self.ops & Ops.P2P:
-            rows = rows.unionByName(self.query.p2p())
+            rows = rows.unionByName(self.near())
         return rows.groupBy("pid").agg(*(F.sum(o).alias(o) for o in out))

@@ -2,8 +2,9 @@
 
 The kernels re-centre exactly, so no plan loops over levels: all moments come
 from one roll-up of the leaves, and each leaf gathers the locals of all its
-ancestors at once.  That is three shuffles for the far field at any height,
-and what is shuffled are cells, not particles.
+ancestors at once.  Particles are read twice, to make the leaves and to take
+the results; in between are tables of cells, each computed once, and a number
+of shuffles that does not depend on the height.
 
 A query on one set is a query of the set against itself in which a particle
 does not meet itself; sources and targets are always two tables here.
@@ -12,6 +13,7 @@ does not meet itself; sources and targets are always two tables here.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,10 +22,10 @@ from ..functions import index as ix
 from ..functions.kernels import Kernel
 from ..operators import interactions, tree
 from . import periodic
-from .staging import staged
+from ..staging import once, staged
 
-#: Source particles that a near field broadcasts, at most: some tens of MB.
-BROADCAST_SOURCES = 500_000
+#: Source particles that a near field broadcasts, at most, and source cells: some tens of MB.
+BROADCAST_SOURCES, BROADCAST_CELLS = 500_000, 100_000
 
 
 def _cols(names, prefix: str = "") -> dict[str, Column]:
@@ -35,8 +37,12 @@ class Query:
     """A query over ``targets`` and ``sources`` (pid, axes, q; other columns are ignored).
 
     ``sources=None`` makes it a query of one set.  pid is a key.  Null positions have no box
-    and take no part.  Coincident points divide by zero under singular
-    kernels, and are the caller's to avoid.
+    and take no part; a position outside the box fails the query.  Coincident
+    points divide by zero under singular kernels, and are the caller's to avoid.
+
+    ``ops`` names the stages that run, and what they would hand on to others is
+    lost: without M2M only leaves have moments, without L2L only the locals of
+    the leaves themselves reach particles.
     """
 
     cfg: SpatialConfig
@@ -48,8 +54,14 @@ class Query:
     def __post_init__(self) -> None:
         keep = ["pid", *self.cfg.axes, "q"]
         self.same = self.sources is None
-        self.t = tree.encode(self._slim(self.targets, keep), self.cfg)
-        self.s = self.t if self.same else tree.encode(self._slim(self.sources, keep), self.cfg)
+        self.t = self._encoded(self.targets, keep)
+        self.s = self.t if self.same else self._encoded(self.sources, keep)
+
+    def _encoded(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """With leaf boxes; a position outside the box is an error."""
+        rows, n = tree.encode(self._slim(df, keep), self.cfg), self.cfg.boxes_at(self.cfg.leaf_level)
+        outside = F.raise_error(F.concat_ws(" ", F.lit("outside the box: particle"), F.col("pid").cast("string"))).cast("bigint")
+        return rows.withColumns({b: F.when(F.col(b).between(0, n - 1), F.col(b)).otherwise(outside) for b in self.cfg.boxes})
 
     def _slim(self, df: DataFrame, keep: list[str]) -> DataFrame:
         inside = F.lit(True)
@@ -66,6 +78,42 @@ class Query:
     def _level_width(self, axis: int) -> Column:
         return F.lit(self.cfg.widths[axis]) / F.expr("shiftleft(1L, CAST(level AS int))").cast("double")
 
+    # Tables of cells that several stages read
+
+    @cached_property
+    def leaves(self) -> DataFrame:
+        """Moments of the sources' leaves."""
+        return once(self.p2m())
+
+    @cached_property
+    def target_leaves(self) -> DataFrame:
+        """Boxes of the targets' leaves."""
+        if self.same and self.kernel.moments:
+            return self.leaves.select(*self.cfg.boxes)
+        return once(self.t.select(*self.cfg.boxes).distinct())
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """Moments of the cells of all far levels."""
+        return once(self.m2m())
+
+    @cached_property
+    def locals_(self) -> DataFrame:
+        """Locals of the target cells from their lists."""
+        return once(self.m2l())
+
+    @cached_property
+    def leaf_locals(self) -> DataFrame:
+        """Locals of the target leaves with all that comes down to them."""
+        return once(self._gather([self.cfg.leaf_level]))
+
+    def _kept(self, name: str, plan) -> DataFrame:
+        """A table that has been computed already, or the plan of it."""
+        return self.__dict__[name] if name in self.__dict__ else plan()
+
+    def _all_cells(self, leaves: DataFrame, levels) -> DataFrame:
+        return tree.roll_up(leaves, self.cfg, levels, {"n": F.lit(1)}).drop("n")
+
     # Stages
 
     def p2m(self) -> DataFrame:
@@ -77,34 +125,35 @@ class Query:
 
     def m2m(self, levels=None) -> DataFrame:
         """Moments of the cells of ``levels`` (all far levels, or more)."""
-        levels = list(self.cfg.far_levels if levels is None else levels)
+        if levels is None:
+            levels = self.cfg.far_levels if self.ops & Ops.M2M else [self.cfg.leaf_level]
         leaf, up = self._centres(self._boxes(), F.lit(self.cfg.leaf_level)), self._centres(self._boxes("p_"), F.col("level"))
-        rows, d = staged(tree.raised(self.p2m(), self.cfg, levels), self.kernel, "m2m", [a - b for a, b in zip(leaf, up, strict=True)])
+        rows, d = staged(tree.raised(self.leaves, self.cfg, list(levels)), self.kernel, "m2m", [a - b for a, b in zip(leaf, up, strict=True)])
         return tree.summed_up(rows, self.cfg, self.kernel.m2m(d, _cols(self.kernel.moments)))
 
     def target_cells(self) -> DataFrame:
-        return tree.roll_up(self.t.select(*self.cfg.boxes).distinct(), self.cfg, self.cfg.far_levels, {"n": F.lit(1)}).drop("n")
+        return self._all_cells(self.target_leaves, self.cfg.far_levels)
 
     def m2l(self) -> DataFrame:
         """Locals of the cells, from their own interaction lists."""
-        moments = self.m2m()
-        pairs = interactions.m2l_list(moments.select("level", *self.cfg.boxes) if self.same else self.target_cells(), moments, self.cfg)
+        moments = self.cells
+        pairs = interactions.m2l_list(moments.select("level", *self.cfg.boxes) if self.same else self.target_cells(), moments, self.cfg, moments.count() <= BROADCAST_CELLS)
         d = [-F.col(x).cast("double") * self._level_width(k) for k, x in enumerate(interactions.DELTAS[: self.cfg.dim])]
         pairs, d = staged(pairs, self.kernel, "m2l", d)
         out = self.kernel.m2l(d, _cols(self.kernel.moments, "s_"))
         return pairs.groupBy("level", *self.cfg.boxes).agg(*(F.sum(e).alias(k) for k, e in out.items()))
 
     def _all_locals(self) -> DataFrame:
-        out = self.m2l()
-        if self.cfg.periodic and self.cfg.extra_levels >= 0:
+        out = self._kept("locals_", self.m2l)
+        if self.cfg.periodic and self.cfg.extra_levels >= 0 and self.ops & Ops.M2M and self.ops & Ops.L2L:
             out = out.unionByName(periodic.root_locals(self.m2m([0]), self.cfg, self.kernel))
         return out
 
     def _gather(self, levels: list[int]) -> DataFrame:
         """Sum of a cell's own and its ancestors' locals, for the cells of ``levels``."""
         start = 0 if self.cfg.periodic else self.cfg.stop_level
-        cells = tree.roll_up(self.t.select(*self.cfg.boxes).distinct(), self.cfg, levels, {"n": F.lit(1)}).drop("n")
-        above = cells.withColumn("up", F.explode(F.sequence(F.lit(start), F.col("level"))))
+        cells = self._all_cells(self.target_leaves, levels)
+        above = cells.withColumn("up", F.explode(F.sequence(F.lit(start) if self.ops & Ops.L2L else F.col("level"), F.col("level"))))
         for b in self.cfg.boxes:
             above = above.withColumn(f"p_{b}", F.expr(f"shiftright({b}, level - up)"))
         found = self._all_locals().select(F.col("level").alias("up"), *(F.col(b).alias(f"p_{b}") for b in self.cfg.boxes), *self.kernel.locals_)
@@ -118,14 +167,14 @@ class Query:
         """Locals of all cells with what comes down to them."""
         return self._gather(list(self.cfg.far_levels))
 
-    def l2p(self) -> DataFrame:
-        """Far field of the particles."""
-        leaves = self._gather([self.cfg.leaf_level]).drop("level")
-        rows = self.t.join(leaves, list(self.cfg.boxes))
+    def l2p(self, all_targets: bool = False) -> DataFrame:
+        """Far field of the particles; ``all_targets``: null where there is none, with the boxes."""
+        leaves = self._kept("leaf_locals", lambda: self._gather([self.cfg.leaf_level])).drop("level")
+        rows = self.t.join(leaves, list(self.cfg.boxes), "left" if all_targets else "inner")
         c = self._centres(self._boxes(), F.lit(self.cfg.leaf_level))
         d = [F.col(a) - m for a, m in zip(self.cfg.axes, c, strict=True)]
         rows, d = staged(rows, self.kernel, "l2p", d)
-        return rows.select("pid", *(e.alias(k) for k, e in self.kernel.l2p(d, _cols(self.kernel.locals_), F.col("q")).items()))
+        return rows.select("pid", *(self.cfg.boxes if all_targets else ()), *(e.alias(k) for k, e in self.kernel.l2p(d, _cols(self.kernel.locals_), F.col("q")).items()))
 
     def p2p(self) -> DataFrame:
         """Near field of the particles."""
@@ -141,29 +190,40 @@ class Query:
         out = self.kernel.p2p(d, F.col("q"), F.col("s_q"))
         return pairs.groupBy("pid").agg(*(F.sum(e).alias(k) for k, e in out.items()))
 
+    def _near_counts(self) -> DataFrame:
+        """Counts need the leaves only: boxes and n, no pair of particles is made."""
+        sources = self.leaves.withColumnRenamed(self.kernel.moments[0], "n")
+        near = interactions.neighbour_list(self.target_leaves, sources, self.cfg, small=self.leaves.count() <= BROADCAST_CELLS).groupBy(*self.cfg.boxes)
+        return near.agg((F.sum("s_n") - (1 if self.same else 0)).alias("n"))
+
     def _p2p_by_count(self) -> DataFrame:
-        """Counts need the leaves only: no pair of particles is made."""
-        sources = self.s.groupBy(*self.cfg.boxes).agg(F.count(F.lit(1)).alias("n"))
-        targets = sources.select(*self.cfg.boxes) if self.same else self.t.select(*self.cfg.boxes).distinct()
-        near = interactions.neighbour_list(targets, sources, self.cfg).groupBy(*self.cfg.boxes).agg(F.sum("s_n").alias("n"))
-        return self.t.join(near, list(self.cfg.boxes)).select("pid", (F.col("n") - (1 if self.same else 0)).alias(self.kernel.outputs[0]))
+        return self.t.join(self._near_counts(), list(self.cfg.boxes)).select("pid", F.col("n").alias(self.kernel.outputs[0]))
+
+    def far_wanted(self) -> bool:
+        """Whether the stages of ``ops`` bring anything from afar to particles."""
+        if not self.ops & (Ops.P2P | Ops.L2P):
+            raise ValueError("these stages end in cells: see moments and locals")
+        chain = Ops.P2M | Ops.M2L | Ops.L2P
+        return self.ops & chain == chain and len(self.cfg.far_levels) > 0
 
     def execute(self) -> DataFrame:
         """pid and outputs of every target; zero where nothing acts on it."""
-        zero = self.t.select("pid", *(F.lit(0).cast("bigint" if self.kernel.by_count else "double").alias(o) for o in self.kernel.outputs))
-        parts = [zero]
-        if self.ops & Ops.FAR == Ops.FAR and self.kernel.moments and len(self.cfg.far_levels):
-            parts.append(self.l2p())
-        if self.ops & Ops.P2P:
-            parts.append(self.p2p())
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        return rows.groupBy("pid").agg(*(F.sum(o).alias(o) for o in self.kernel.outputs))
-
-
-def direct(targets: DataFrame, sources: DataFrame, cfg: SpatialConfig, kernel: Kernel, same: bool) -> DataFrame:
-    """All pairs, images included: the oracle for small sets.  Quadratic by definition."""
+        outputs, far = self.kernel.outputs, self.far_wanted() and self.kernel.moments
+        zero = F.lit(0).cast("bigint" if self.kernel.by_count else "double")
+        rows = self.l2p(all_targets=True) if far else self.t.select("pid", *self.cfg.boxes, *(zero.alias(o) for o in outputs))
+        rows = rows.select("pid", *self.cfg.boxes, *(F.coalesce(o, zero).alias(o) for o in outputs))
+        if self.ops & Ops.P2P and self.kernel.by_count:
+            rows = rows.join(self._near_counts(), list(self.cfg.boxes), "left").withColumn(outputs[0], F.col(outputs[0]) + F.coalesce("n", zero))
+        rows = rows.select("pid", *outputs)
+        if self.ops & Ops.P2P and not self.kernel.by_count:
+            rows = rows.unionByName(self.p2p()).groupBy("pid").agg(*(F.sum(o).alias(o) for o in outputs))
+        return rows
+
+
+def direct(targets: DataFrame, sources: DataFrame, cfg: SpatialConfig, kernel: Kernel, same: bool, far: bool = False) -> DataFrame:
+    """All pairs (``far``: only those of leaves that are no neighbours), images included: the oracle for small sets.  Quadratic by definition, and refused beyond."""
+    if sources.count() > BROADCAST_SOURCES:
+        raise ValueError(f"direct sums are for at most {BROADCAST_SOURCES} sources")
     rows = targets.select("pid", *cfg.axes, "q").crossJoin(F.broadcast(sources.select(*(F.col(c).alias(f"s_{c}") for c in ("pid", *cfg.axes, "q")))))
     here = F.lit(True)
     if cfg.periodic:
@@ -173,5 +233,10 @@ def direct(targets: DataFrame, sources: DataFrame, cfg: SpatialConfig, kernel: K
             here = here & (F.col(f"w_{a}") == 0)
     if same:
         rows = rows.where(~((F.col("pid") == F.col("s_pid")) & here))
+    if far:
+        near = F.lit(True)
+        for b, s in zip(ix.boxes_of(cfg), ix.boxes_of(cfg, [F.col(f"s_{a}") for a in cfg.axes]), strict=True):
+            near = near & (F.abs(b - s) <= 1)
+        rows = rows.where(~near)
     rows, d = staged(rows, kernel, "p2p", [F.col(f"s_{a}") - F.col(a) for a in cfg.axes])
     return rows.groupBy("pid").agg(*(F.sum(e).alias(k) for k, e in kernel.p2p(d, F.col("q"), F.col("s_q")).items()))

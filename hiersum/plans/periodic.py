@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import SpatialConfig
 from ..functions.kernels import Kernel
-from .staging import staged
+from ..staging import staged
 
 
 def scale_offsets(cfg: SpatialConfig, scale: int) -> list[tuple[int, ...]]:

@@ -42,19 +42,20 @@ def parse_fma(lines: DataFrame, values: int = 1) -> DataFrame:
     Three header lines: an ignored number and the number of data values of a
     row; the number of rows; half the width and the centre of the box.  Rows
     beyond that number are not read; data values beyond ``values`` are dropped,
-    and missing ones are null.
+    and missing ones are null, as is what is no number.  Without a number of
+    rows there are none.
     """
     fields = F.split(F.trim("value"), r"\s+")
-    header = lines.where("line = 1").select(F.element_at(fields, 1).cast("bigint").alias("n"))
+    header = lines.where("line = 1").select(F.get(fields, F.lit(0)).try_cast("bigint").alias("n"))
     rows = lines.where("line >= 3").select((F.col("line") - 3).alias("pid"), fields.alias("f"))
-    number = lambda k: F.get("f", F.lit(k)).cast("double")
+    number = lambda k: F.get("f", F.lit(k)).try_cast("double")
     return rows.join(F.broadcast(header), F.col("pid") < F.col("n")).select("pid", *(number(k).alias(a) for k, a in enumerate(AXES)), *(number(3 + k).alias(f"v{k}") for k in range(values)))
 
 
 def parse_fma_box(lines: DataFrame) -> DataFrame:
     """width, cx, cy, cz, n, n_values: the header."""
     f = F.split(F.trim("value"), r"\s+")
-    at = lambda line, k, kind: F.max(F.when(F.col("line") == line, F.element_at(f, k).cast(kind)))
+    at = lambda line, k, kind: F.max(F.when(F.col("line") == line, F.get(f, F.lit(k - 1)).try_cast(kind)))
     return lines.where("line < 3").agg((at(2, 1, "double") * 2).alias("width"), at(2, 2, "double").alias("cx"), at(2, 3, "double").alias("cy"), at(2, 4, "double").alias("cz"), at(1, 1, "bigint").alias("n"), at(0, 2, "bigint").alias("n_values"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.kernels import Kernel
+from .functions.kernels import Kernel
 
 
 def staged(rows: DataFrame, kernel: Kernel, stage: str, d: list[Column]) -> tuple[DataFrame, list[Column]]:
@@ -13,3 +13,15 @@ def staged(rows: DataFrame, kernel: Kernel, stage: str, d: list[Column]) -> tupl
     d = [F.col(f"_d{k}") for k in range(len(d))]
     extra = kernel.prepare(stage, d)
     return (rows.withColumns(extra) if extra else rows), d
+
+
+def once(df: DataFrame) -> DataFrame:
+    """Computed now and read from then on: a checkpoint where the session names a folder, else the cache.
+
+    For tables of cells, which several steps of a plan read.
+    """
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    kept = df.persist()
+    kept.count()
+    return kept
