@@ -70,7 +70,7 @@ def expand_near(targets: DataFrame, cfg: SpatialConfig, own: bool = True, upper:
 
 
 def _join(expanded: DataFrame, sources: DataFrame, cfg: SpatialConfig, keys: Sequence[str], how: str) -> DataFrame:
-    """``how`` names the strategy by the source side.
+    """``how`` names the strategy by the source side: broadcast, if its size was checked, or merge.
 
     It is always given: Spark does not see that the expanded side grew by the
     number of offsets, and might broadcast that one.
@@ -80,15 +80,15 @@ def _join(expanded: DataFrame, sources: DataFrame, cfg: SpatialConfig, keys: Seq
     return expanded.join(renamed.hint(how), on)
 
 
-def m2l_list(targets: DataFrame, sources: DataFrame, cfg: SpatialConfig) -> DataFrame:
+def m2l_list(targets: DataFrame, sources: DataFrame, cfg: SpatialConfig, small: bool = False) -> DataFrame:
     """Far pairs of existing cells: target columns, source columns as ``s_``, dx.. and ``code``."""
-    rows = _join(expand_far(targets, cfg), sources, cfg, ["level", *cfg.boxes], "shuffle_hash")
+    rows = _join(expand_far(targets, cfg), sources, cfg, ["level", *cfg.boxes], "broadcast" if small else "merge")
     return rows.withColumn("code", ix.interaction_code([F.col(d) for d in DELTAS[: cfg.dim]]))
 
 
-def neighbour_list(targets: DataFrame, sources: DataFrame, cfg: SpatialConfig, own: bool = True, upper: bool = False) -> DataFrame:
+def neighbour_list(targets: DataFrame, sources: DataFrame, cfg: SpatialConfig, own: bool = True, upper: bool = False, small: bool = False) -> DataFrame:
     """Near pairs of existing leaves: target columns, source columns as ``s_``, dx.. and ``code``."""
-    rows = _join(expand_near(targets, cfg, own, upper), sources, cfg, cfg.boxes, "shuffle_hash")
+    rows = _join(expand_near(targets, cfg, own, upper), sources, cfg, cfg.boxes, "broadcast" if small else "merge")
     return rows.withColumn("code", ix.neighbour_code([F.col(d) for d in DELTAS[: cfg.dim]]))
 
 
