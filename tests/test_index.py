@@ -90,12 +90,35 @@ def test_upper_face_is_in_the_last_box(spark):
     assert tree.encode(rows, cfg).select(*cfg.boxes).first() == (7, 0, 4)
 
 
-def test_lists_are_equi_joins(spark):
-    """No nested loops: neighbours are found by key."""
+@pytest.mark.parametrize("far", [False, True])
+def test_lists_are_equi_joins(spark, far):
+    """No nested loops: partners are found by key, in the plan that ran."""
     cfg = SpatialConfig(height=4)
-    leaves = grid(spark, 3, 3).drop("level").withColumn("n", F.lit(1))
-    plan = interactions.neighbour_list(leaves, leaves, cfg)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join Inner, (((" in plan or "Join Inner, ((" in plan
+    made = grid(spark, 3, 3).withColumn("n", F.lit(1))
+    cells = spark.createDataFrame(made.collect(), made.schema)
+    pairs = interactions.m2l_list(cells.select("level", *cfg.boxes), cells, cfg) if far else interactions.neighbour_list(cells.drop("level"), cells.drop("level"), cfg)
+    assert pairs.count() > 0
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "Join" in plan
+
+
+def test_running_sums_by_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), (F.col("id") % 5).alias("n"))
+    got = [tuple(r) for r in tree.running(rows, ["k"], "n", "before").orderBy("k").select("n", "before").collect()]
+    total = 0
+    for n, before in got:
+        assert before == total
+        total += n
+    assert tree.running(rows.limit(0), ["k"], "n", "before").count() == 0
+
+
+def test_extended_box_holds_all_images():
+    for n in (-1, 0, 1, 2):
+        cfg = SpatialConfig(periodic=True, extra_levels=n, centre=(1.0, 2.0, 3.0))
+        low, high = cfg.image_interval
+        for c, w, big, big_w in zip(cfg.corner, cfg.widths, cfg.extended.corner, cfg.extended.widths, strict=True):
+            assert big == c + low * w and big + big_w >= c + (high + 1) * w
+        assert cfg.extended.leaf_widths == cfg.leaf_widths
 
 
 def test_bad_config():
