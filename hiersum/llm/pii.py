@@ -135,11 +135,15 @@ def _small(rows: DataFrame) -> DataFrame:
 
 def entity_terms(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     """entity, term, n_both: in how many documents both stand.  Entities of fewer than ``support`` documents are left out."""
+    known = docs.where("doc_id IS NOT NULL")
     entities = F.array_distinct(F.transform(base_spans(F.col("text")), _entity))
-    held = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.explode(entities).alias("entity"))
-    shared = held.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("entity")
-    pairs = held.join(_small(shared), "entity", "left_semi").select("doc_id", "entity", F.explode(terms_of(F.col("text"))).alias("term"))
-    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+    held = checkpoint(known.select("doc_id", F.explode(entities).alias("entity")).distinct())
+    shared = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("entity")
+    # texts are read again for documents with such an entity only
+    by_doc = _small(held.join(_small(shared), "entity", "left_semi").groupBy(F.col("doc_id").alias("held_id")).agg(F.collect_set("entity").alias("entities")))
+    terms = known.join(by_doc, F.col("doc_id") == F.col("held_id")).select("doc_id", "entities", F.explode(terms_of(F.col("text"))).alias("term"))
+    pairs = terms.select("doc_id", "term", F.explode("entities").alias("entity"))
+    if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
         pairs = pairs.distinct()
     return pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
 
