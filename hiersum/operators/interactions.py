@@ -122,6 +122,16 @@ def block_pairs(pairs: DataFrame, leaf_blocks: DataFrame, cfg: SpatialConfig) ->
     return coded.join(t, "leaf").join(s, "source").groupBy("target_block", "source_block").agg(F.count(F.lit(1)).alias("n"))
 
 
+def block_interactions(pairs: DataFrame, leveled: DataFrame, cfg: SpatialConfig) -> DataFrame:
+    """level, target_block, source_block, inside, n: far pairs of cells by block of ``tree.level_blocks``; ``inside``: of one block."""
+    bits = max(cfg.leaf_level, 1)
+    coded = pairs.select("level", ix.morton([F.col(b) for b in cfg.boxes], bits).alias("cell"), ix.morton([F.col(f"s_{b}") for b in cfg.boxes], bits).alias("source"))
+    t = leveled.select("level", "cell", F.col("block").alias("target_block"))
+    s = leveled.select("level", F.col("cell").alias("source"), F.col("block").alias("source_block"))
+    placed = coded.join(t, ["level", "cell"]).join(s, ["level", "source"])
+    return placed.groupBy("level", "target_block", "source_block", (F.col("target_block") == F.col("source_block")).alias("inside")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def needs_shift(cfg: SpatialConfig) -> Column:
     """Whether an expanded row reaches through a face of the box."""
     out = F.lit(False)

@@ -119,6 +119,17 @@ def block_size_estimate(particles: DataFrame, cfg: SpatialConfig, threads: int,
     return found.select("n_leaves", size.cast("bigint").alias("block_size"))
 
 
+def find_in_blocks(wanted: DataFrame, leveled: DataFrame) -> DataFrame:
+    """Adds block and in_block of rows (level, cell) from ``level_blocks``; null where there is no such cell."""
+    return wanted.join(leveled.select("level", "cell", "block", "in_block"), ["level", "cell"], "left")
+
+
+def children_in_blocks(leveled: DataFrame, dim: int) -> DataFrame:
+    """level, parent, block, first, n: where in each block of the level below the children of a parent stand, one after another."""
+    low = leveled.where("level > 0").withColumn("level", F.col("level") - 1)
+    return low.groupBy("level", ix.parent(F.col("cell"), dim).alias("parent"), "block").agg(F.min("in_block").alias("first"), F.count(F.lit(1)).alias("n"))
+
+
 def find_cells(wanted: DataFrame, existing: DataFrame, cfg: SpatialConfig) -> DataFrame:
     """Adds ``found`` to rows (level, cell): whether that cell exists."""
     have = with_index(existing, cfg).select("level", "cell", F.lit(True).alias("found"))

@@ -276,6 +276,19 @@ def block_size_estimate_tsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.block_size_estimate(suppliers(spark, sf_dir), CUBE, THREADS, customers(spark, sf_dir))
 
 
+@query(f"WITH b AS ({_ALL_BLOCKS}) SELECT r.level::INTEGER AS level, r.cell, coalesce(b.block, -1) AS block, coalesce(b.in_block, -1) AS in_block FROM (SELECT * FROM range(0, 4) AS l(level), range(0, 512) AS c(cell)) r LEFT JOIN b ON b.level = r.level AND b.cell = r.cell")
+def block_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block and place of any cell of any level."""
+    wanted = spark.range(2048).select(F.floor(F.col("id") / 512).cast("int").alias("level"), (F.col("id") % 512).alias("cell"))
+    found = tree.find_in_blocks(wanted, tree.level_blocks(suppliers(spark, sf_dir), CUBE, BLOCK))
+    return found.select("level", "cell", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("block", "in_block")))
+
+
+@query(f"SELECT (level - 1)::INTEGER AS level, cell >> 3 AS parent, block, min(in_block) AS first, count(*) AS n FROM ({_ALL_BLOCKS}) WHERE level > 0 GROUP BY 1, 2, 3")
+def block_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.children_in_blocks(tree.level_blocks(suppliers(spark, sf_dir), CUBE, BLOCK), 3)
+
+
 _MOVED = f"SELECT pid, CASE WHEN x + 0.25 >= 1 THEN x - 0.75 ELSE x + 0.25 END AS x, y, z, q FROM ({PARTS})"
 
 
@@ -338,6 +351,37 @@ def neighbor_list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("code") > 13, 1)).alias("n_upper"))
 
 
+@query(
+    f"WITH k AS ({_ALL_BLOCKS}), c AS (SELECT *, {LEAF} AS cell FROM ({_cells(SUPPLIERS, 2)})) SELECT a.level, t.block AS target_block, s.block AS source_block, t.block = s.block AS inside, count(*) AS n "
+    f"FROM c a JOIN c b ON {_far()} JOIN k t ON t.level = a.level AND t.cell = a.cell JOIN k s ON s.level = b.level AND s.cell = b.cell GROUP BY 1, 2, 3, 4"
+)
+def block_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Far pairs by block, those of one block and those between two."""
+    points = suppliers(spark, sf_dir)
+    cells = tree.cells(points, CUBE, CUBE.far_levels)
+    return interactions.block_interactions(interactions.m2l_list(cells.select("level", *CUBE.boxes), cells, CUBE), tree.level_blocks(points, CUBE, BLOCK), CUBE)
+
+
+_HILBERT_LEAVES = _hilbert_sql(f"SELECT DISTINCT ix, iy, iz, 3 AS level FROM ({_boxed(SUPPLIERS)})")
+
+
+def _hilbert_pairs(pairs: DataFrame, kind: str) -> DataFrame:
+    at = lambda prefix: ix.hilbert([F.col(f"{prefix}{b}") for b in CUBE.boxes], CUBE.leaf_level)
+    return pairs.select(F.lit(kind).alias("kind"), at("").alias("target"), at("s_").alias("source"), F.col("code"))
+
+
+@query(
+    f"WITH h AS ({_HILBERT_LEAVES}) SELECT 'near' AS kind, a.hilbert AS target, b.hilbert AS source, {_NEIGHBOUR}::BIGINT AS code FROM h a JOIN h b ON {_near()} "
+    f"UNION ALL SELECT 'far', a.hilbert, b.hilbert, ((b.ix - a.ix + 3) * 49 + (b.iy - a.iy + 3) * 7 + b.iz - a.iz + 3)::BIGINT FROM h a JOIN h b ON {_far()}"
+)
+def hilbert_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near (own leaf included) and far lists of leaves that go by their place on the Hilbert curve."""
+    leaves = tree.leaf_counts(suppliers(spark, sf_dir), CUBE)
+    cells = leaves.withColumn("level", F.lit(CUBE.leaf_level))
+    near = _hilbert_pairs(interactions.neighbour_list(leaves, leaves, CUBE), "near")
+    return near.unionByName(_hilbert_pairs(interactions.m2l_list(cells.select("level", *CUBE.boxes), cells, CUBE), "far"))
+
+
 WRAPPED = SpatialConfig(dim=3, height=3, periodic=True)
 
 
