@@ -481,10 +481,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     if edges.count() <= LINKS_AT_ONCE:
         return edges.repartition(1).mapInArrow(contract, "id bigint, component bigint")
-    return stars(edges)
+    return alternating_stars(edges)
 
 
-def stars(edges: DataFrame) -> DataFrame:
+def alternating_stars(edges: DataFrame) -> DataFrame:
     """Components of links (u > v, distinct) by alternating stars.
 
     Large star: a node points its larger neighbours to its smallest.  Small
