@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q01_tokens", "q02_decontaminate", "q03_mixing", "q04_quality", "q05_pii", "q06_neardup", "q07_language", "q08_secrets", "q09_neighbours", "q10_chat", "q11_fingerprints", "q13_ranking")
+MODULES = ("q01_tokens", "q02_decontaminate", "q03_mixing", "q04_quality", "q05_pii", "q06_neardup", "q07_language", "q08_secrets", "q09_neighbours", "q10_chat", "q11_fingerprints", "q12_repair", "q13_ranking")
 
 
 def _gather(what: str) -> dict:
