@@ -24,6 +24,9 @@ class Kernel:
     moments: tuple[str, ...] = ()
     locals_: tuple[str, ...] = ()
     outputs: tuple[str, ...] = ()
+    #: Columns of a particle, besides its position, that the kernel reads.  With ``q`` alone the methods get that column,
+    #: else a dict of columns by name.  They come from the particles, or by pid from the query's ``data``.
+    values: tuple[str, ...] = ("q",)
     #: Whether P2P needs nothing but the number of particles of a leaf.
     by_count = False
 
@@ -63,7 +66,7 @@ class Kernel:
 class Count(Kernel):
     """Every particle counts all others: the exact check of any list or plan."""
 
-    moments, locals_, outputs, by_count = ("m",), ("l",), ("rhs",), True
+    moments, locals_, outputs, values, by_count = ("m",), ("l",), ("rhs",), (), True
 
     def p2m(self, d, q):
         return {"m": F.lit(1).cast("bigint")}
@@ -182,21 +185,40 @@ class Pairwise(Kernel):
     """P2P only: a radial interaction k(r) given by its value and derivative over r as functions of r squared.
 
     ``degree``: k scales as r ** -degree; None, if it does not scale.  The
-    array expansions take the same numbers from ``field``.
+    array expansions take the same numbers from ``parts``: an interaction may
+    have several components, and ``channels`` say which component of which
+    value adds to which field.  Components are even functions of the distance.
     """
 
     degree: int | None = None
+    #: (value, component, field), by number.
+    channels: tuple[tuple[int, int, int], ...] = ((0, 0, 0),)
+    #: Whether the results ask for the fields' gradients.
+    gradients = True
 
     def __init__(self, dim: int = 3):
         self.dim = dim
         self.outputs = (*(f"f{a}" for a in "xyz"[:dim]), "pot")
 
+    @property
+    def fields(self) -> int:
+        return 1 + max(f for _, _, f in self.channels)
+
     def field(self, d: Sequence[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
         """k, and its derivatives by the target's position, on arrays of distances (source minus target)."""
         raise NotImplementedError
 
-    def at_distance(self, d: Sequence[np.ndarray]) -> np.ndarray:
-        return self.field(d)[0]
+    def parts(self, d: Sequence[np.ndarray]) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+        """``field`` of each component; no derivatives where nothing asks for gradients."""
+        return [self.field(d)]
+
+    def at_distance(self, d: Sequence[np.ndarray]) -> list[np.ndarray]:
+        """Each component."""
+        return [k for k, _ in self.parts(d)]
+
+    def results(self, pot: np.ndarray, grad: np.ndarray, q: np.ndarray) -> dict[str, np.ndarray]:
+        """The outputs from the fields (n x fields), their gradients (n x fields x 3) and the particles' own values (n x values)."""
+        return {f"f{a}": grad[:, 0, k] * q[:, 0] for k, a in enumerate("xyz"[: self.dim])} | {"pot": pot[:, 0]}
 
     def value(self, r2: Column) -> Column:
         raise NotImplementedError
@@ -315,16 +337,65 @@ class Polynomial(Pairwise):
         return 2 + 4 * r2
 
 
+class Many(Pairwise):
+    """One interaction for several charges of a particle at once; outputs are named after the charge.
+
+    Lists, distances and spectra are shared; each charge has moments and a field of its own.
+    """
+
+    def __init__(self, kernel: Pairwise, values: Sequence[str]):
+        super().__init__(kernel.dim)
+        self.kernel, self.values, self.degree = kernel, tuple(values), kernel.degree
+        self.channels = tuple((v, 0, v) for v in range(len(values)))
+        self.outputs = tuple(f"{o}_{v}" for v in values for o in kernel.outputs)
+
+    def parts(self, d):
+        return self.kernel.parts(d)
+
+    def results(self, pot, grad, q):
+        each = (self.kernel.results(pot[:, [k]], grad[:, [k]], q[:, [k]]) for k in range(len(self.values)))
+        return {f"{o}_{v}": c for v, out in zip(self.values, each, strict=True) for o, c in out.items()}
+
+    def p2p(self, d, q_target, q_source):
+        return {f"{o}_{v}": c for v in self.values for o, c in self.kernel.p2p(d, q_target[v], q_source[v]).items()}
+
+
 class RTensor(Pairwise):
     """delta_ij / r - r_i r_j / r**3: six entries of the symmetric tensor, no force."""
 
     PAIRS = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
+    degree = 1
+    channels = tuple((0, c, c) for c in range(6))
+    gradients = False
 
     def __init__(self):
         super().__init__(3)
         self.outputs = tuple(f"r{i}{j}" for i, j in self.PAIRS)
 
+    def parts(self, d):
+        inverse = 1 / np.sqrt(sum(v * v for v in d))
+        cube = inverse * inverse * inverse
+        return [((inverse if i == j else 0.0) - d[i] * d[j] * cube, []) for i, j in self.PAIRS]
+
+    def results(self, pot, grad, q):
+        return {name: pot[:, k] for k, name in enumerate(self.outputs)}
+
     def p2p(self, d, q_target, q_source):
         inverse = 1 / F.sqrt(_square(d))
         cube = inverse * inverse * inverse
         return {f"r{i}{j}": q_source * ((inverse if i == j else F.lit(0.0)) - d[i] * d[j] * cube) for i, j in self.PAIRS}
+
+
+class RTensorProduct(RTensor):
+    """The same tensor times a vector that each source carries: three values in, three fields out."""
+
+    def __init__(self, values: Sequence[str] = ("qx", "qy", "qz")):
+        super().__init__()
+        self.values, self.outputs = tuple(values), ("ux", "uy", "uz")
+        self.channels = tuple((j, self.PAIRS.index((min(i, j), max(i, j))), i) for i in range(3) for j in range(3))
+
+    def p2p(self, d, q_target, q_source):
+        inverse = 1 / F.sqrt(_square(d))
+        cube = inverse * inverse * inverse
+        along = d[0] * q_source[self.values[0]] + d[1] * q_source[self.values[1]] + d[2] * q_source[self.values[2]]
+        return {o: inverse * q_source[v] - d[k] * along * cube for k, (o, v) in enumerate(zip(self.outputs, self.values, strict=True))}

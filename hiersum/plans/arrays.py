@@ -1,24 +1,28 @@
 """3D array expansions, on Arrow batches.
 
-Three steps for the far field, each with groups of bounded size and sums that
-may come in parts:
+Particles are dealt once, by ranges of (leaf, pid), and kept in leaf order.
+Everything after reads that table:
 
-* up: particles in leaf order make the moments of leaves and of all ancestors;
-  each task sends a cell once, and where tasks are many, what they send of the
-  few upper cells is summed before it goes on;
+* up: particles in leaf order make the moments of leaves and of all ancestors,
+  without a shuffle of particles; each task sends a cell once, and where tasks
+  are many, what they send of the few upper cells is summed before it goes on;
 * transfer: cells of a level go to every block of target boxes within their
   reach, and a block makes its locals;
-* down: locals go to the leaf blocks below them, where they are moved to the
-  leaves and evaluated for a bounded share of the block's particles.
-
-The near field goes by blocks of leaves too: a block's targets meet the
-particles of the block and of the leaves around it, in bounded shares of both.
+* evaluate: a block of leaves meets the locals of its boxes and of those above,
+  and the particles of the block and around it.  Locals are moved to the leaves
+  and evaluated, and pairs of near particles are summed, in bounded shares of
+  the block's targets and of what they meet.
+
+Within one set every pair of particles is evaluated once, by the block of the
+first of the two leaves, and adds to both; so a block meets the leaves of the
+upper half of its neighbourhood only, and sends sums for their particles too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -28,16 +32,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import Ops, SpatialConfig
 from ..functions import index as ix
 from ..functions.expansions import Expansion
+from ..operators import tree
+from ..staging import once
 from .fmm import Query
 from .periodic import scale_offsets
 
-#: Boxes per axis of a block, and particles of a block that one task evaluates.
-BLOCK_BITS, SHARE = 3, 50_000
-#: The same for the near field: boxes, targets and sources; and pairs that are held at once.
-NEAR_BITS, NEAR_TARGETS, NEAR_SOURCES, PAIRS = 2, 20_000, 100_000, 1 << 18
+#: Boxes per axis of a block, as bits; fewer where the tree is flat, so that there are 64 blocks or more.
+BLOCK_BITS = 3
+#: Targets of a block that one task evaluates, and particles that they meet; and pairs that are held at once.
+TARGETS, SOURCES, PAIRS = 20_000, 100_000, 1 << 18
 #: So many parts of an upper cell are summed where they are used; more are summed in between.
 PARTS = 64
 
+BLOCK = ("bx", "by", "bz")
+#: Target blocks whose shares are broadcast, at most.
+BROADCAST_BLOCKS = 500_000
 CELL = "level int, ix bigint, iy bigint, iz bigint, c binary"
 
 
@@ -73,7 +82,7 @@ class Climb:
     """Sums of rows that come in leaf order, one row for each cell of each level.  What is open is one cell a level."""
 
     def __init__(self, e: Expansion, top: int, leaf: int):
-        self.e, self.top, self.leaf, self.up = e, top, leaf, [e.up(s) for s in range(8)]
+        self.e, self.top, self.leaf = e, top, leaf
         self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def add(self, level: int, keys: np.ndarray, values: np.ndarray, last: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -90,19 +99,19 @@ class Climb:
             moved = np.empty_like(values)
             for s in range(8):
                 at = (keys & 7) == s
-                moved[at] = values[at] @ self.up[s]
+                moved[at] = self.e.lift(s, values[at])
             sums = _sum_by(keys >> 3, moved) if len(keys) else (keys, moved)
             yield from self.add(level - 1, *sums, last)
 
     def end(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        yield from self.add(self.leaf, np.zeros(0, np.int64), np.zeros((0, self.e.size)), True)
+        yield from self.add(self.leaf, np.zeros(0, np.int64), np.zeros((0, self.e.charges * self.e.size)), True)
 
 
 @dataclass
 class ArrayQuery:
-    """Potential and force of an expansion's kernel at ``targets``, in a 3D cube, plain or periodic.
+    """The outputs of an expansion's kernel at ``targets``, in a 3D cube, plain or periodic.
 
-    ``ops`` works as in ``Query``.
+    ``ops`` and ``data`` work as in ``Query``.
     """
 
     cfg: SpatialConfig
@@ -110,20 +119,47 @@ class ArrayQuery:
     targets: DataFrame
     sources: DataFrame | None = None
     ops: Ops = Ops.ALL
+    data: DataFrame | None = None
 
     def __post_init__(self) -> None:
         if self.cfg.dim != 3 or len(set(self.cfg.widths)) != 1:
             raise ValueError("array expansions take a 3D cube")
-        self.query = Query(self.cfg, self.expansion.near, self.targets, self.sources, self.ops)
+        self.query = Query(self.cfg, self.expansion.near, self.targets, self.sources, self.ops, self.data)
+        self.values = list(self.expansion.near.values)
+        self.bits = max(0, min(BLOCK_BITS, self.cfg.leaf_level - 2))
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """Particles in leaf order.  Ranges rather than hashes: a leaf with very many particles spans several tasks."""
+        leaf = ix.morton([F.col(b) for b in self.cfg.boxes], self.cfg.leaf_level)
+        return once(rows.withColumn("leaf", leaf).repartitionByRange("leaf", "pid").sortWithinPartitions("leaf"))
+
+    @cached_property
+    def s(self) -> DataFrame:
+        return self._placed(self.query.s)
+
+    @cached_property
+    def t(self) -> DataFrame:
+        return self.s if self.query.same else self._placed(self.query.t)
+
+    @cached_property
+    def source_leaves(self) -> DataFrame:
+        """Boxes and n."""
+        return once(self.s.groupBy(*self.cfg.boxes).agg(F.count(F.lit(1)).alias("n")))
+
+    @cached_property
+    def target_leaves(self) -> DataFrame:
+        return self.source_leaves if self.query.same else once(self.t.groupBy(*self.cfg.boxes).agg(F.count(F.lit(1)).alias("n")))
+
+    @cached_property
+    def moments(self) -> DataFrame:
+        """``upward``, computed once."""
+        return once(self.upward())
 
     def upward(self) -> DataFrame:
         """Moments of all far cells (several rows of a cell add up)."""
         cfg, e, L = self.cfg, self.expansion, self.cfg.leaf_level
-        leaf = ix.morton([F.col(b) for b in cfg.boxes], L)
-        rows = self.query.s.select(leaf.alias("leaf"), "pid", *cfg.axes, "q")
-        # Ranges rather than hashes: a leaf with very many particles spans several tasks.
-        rows = rows.repartitionByRange("leaf", "pid").sortWithinPartitions("leaf").select("leaf", *cfg.axes, "q")
-        corner, width = np.array(cfg.corner), cfg.leaf_widths[0]
+        rows = self.s.select("leaf", *cfg.axes, *self.values)
+        corner, width, n_values = np.array(cfg.corner), cfg.leaf_widths[0], len(self.values)
         stop = L if not self.ops & Ops.M2M else 0 if cfg.periodic else cfg.stop_level
         names = ["level", "ix", "iy", "iz", "c"]
 
@@ -139,9 +175,9 @@ class ArrayQuery:
                     continue
                 leaf = batch.column(0).to_numpy()
                 x = np.stack([batch.column(k).to_numpy() for k in (1, 2, 3)], 1)
-                q = batch.column(4).to_numpy()
+                q = np.stack([batch.column(4 + k).to_numpy() for k in range(n_values)], 1)
                 scaled = (x - corner - (_boxes(leaf, L) + 0.5) * width) * (2 / width)
-                parts = [_sum_by(leaf[i : i + 4096], e.p2m(scaled[i : i + 4096], q[i : i + 4096])) for i in range(0, len(q), 4096)]
+                parts = [_sum_by(leaf[i : i + 4096], e.p2m(scaled[i : i + 4096], q[i : i + 4096])) for i in range(0, len(leaf), 4096)]
                 for cells in climb.add(L, *_sum_by(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))):
                     yield from packed(*cells)
             for cells in climb.end():
@@ -183,59 +219,58 @@ class ArrayQuery:
             return None
 
         def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(e.size)
+            out = np.zeros(e.charges * e.size)
             for batch in batches:
                 out += _rows(batch.column(0).to_pylist()).sum(0) if batch.num_rows else 0
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["c"])
 
         # one row of each task
-        parts = self.upward().where("level = 0").select("c").mapInArrow(total, "c binary").collect()
+        parts = self.moments.where("level = 0").select("c").mapInArrow(total, "c binary").collect()
         m, coming = _rows([r["c"] for r in parts]).sum(0)[None], []
         for scale in range(cfg.extra_levels + 1):
             if scale:
-                m = sum(m @ e.up(slot) for slot in range(8))
+                m = sum(e.lift(slot, m) for slot in range(8))
             seen, width = e.spectrum(m), cfg.widths[0] * (1 << scale)
             # an image at offset o acts like a source o boxes away
             came = sum(e.transfer(o, seen, width) for o in scale_offsets(cfg, scale))
             coming.append(e.unspectrum(came) * e.scale(width))
         local = coming[-1]
         for lower in reversed(coming[:-1]):
-            local = local @ e.down(0) + lower
+            local = e.lower(0, local) + lower
         return local
 
-    def _block(self, boxes: list[Column]) -> Column:
-        return F.struct(*(F.shiftright(b, BLOCK_BITS).alias(n) for b, n in zip(boxes, ("bx", "by", "bz"), strict=True)))
-
     def transfer(self) -> DataFrame:
         """Locals of the target cells from their interaction lists."""
-        cfg, e, size, width = self.cfg, self.expansion, 1 << BLOCK_BITS, self.cfg.widths[0]
+        cfg, e, bits, size, width = self.cfg, self.expansion, self.bits, 1 << self.bits, self.cfg.widths[0]
         boxes = [F.col(b) for b in cfg.boxes]
-        sent = self.upward().where(f"level >= {cfg.stop_level}")  # one row of a cell, or a few
+        moments = self.moments if cfg.periodic and cfg.extra_levels >= 0 else self.upward()
+        sent = moments.where(f"level >= {cfg.stop_level}")  # one row of a cell, or a few
         if cfg.periodic:  # the images that reach into the box, under the numbers that their boxes would have
             n = F.call_function("shiftleft", ix.long(1), F.col("level"))
             for b in cfg.boxes:
                 sent = sent.withColumn(b, self._images(b, n))
         # Every block that a source may act on: those of the boxes at its reach.
-        reach = [F.sequence(F.greatest(F.shiftright(b - 3, BLOCK_BITS), F.lit(0)), F.shiftright(F.least(b + 3, F.call_function("shiftleft", ix.long(1), F.col("level")) - 1), BLOCK_BITS)) for b in boxes]
-        for n, r in zip(("bx", "by", "bz"), reach, strict=True):
+        reach = [F.sequence(F.greatest(F.shiftright(b - 3, bits), F.lit(0)), F.shiftright(F.least(b + 3, F.call_function("shiftleft", ix.long(1), F.col("level")) - 1), bits)) for b in boxes]
+        for n, r in zip(BLOCK, reach, strict=True):
             sent = sent.withColumn(n, F.explode(r))
-        targets = self.query.target_cells().select("level", *cfg.boxes, self._block(boxes).alias("b")).select("level", *cfg.boxes, "b.*")
+        cells = tree.roll_up(self.target_leaves, cfg, cfg.far_levels, {"n": F.col("n")})
+        targets = cells.select("level", *cfg.boxes, *(F.shiftright(b, bits).alias(n) for b, n in zip(boxes, BLOCK, strict=True)))
         offsets = [o for o in ix.far_offsets(3)]
-        key = ["level", "bx", "by", "bz"]
+        key = ["level", *BLOCK]
 
         def run(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
             if not len(t) or not len(s):
                 return pd.DataFrame({k: [] for k in ("level", "ix", "iy", "iz", "c")})
             level = int(t["level"].iloc[0])
             tb, sb = t[["ix", "iy", "iz"]].to_numpy(), s[["ix", "iy", "iz"]].to_numpy()
-            base = (tb.min(0) >> BLOCK_BITS << BLOCK_BITS) - 3
+            base = (tb.min(0) >> bits << bits) - 3
             side = size + 6
             flat = lambda b: ((b[:, 0] - base[0]) * side + b[:, 1] - base[1]) * side + b[:, 2] - base[2]
             cells, moments = _sum_by(flat(sb), _rows(s["c"].tolist()))
             where = np.full(side**3, -1)
             where[cells] = np.arange(len(cells))
             spectrum = e.spectrum(moments)
-            total = np.zeros((len(tb), *spectrum.shape[1:]), spectrum.dtype)
+            total = np.zeros((len(tb), e.fields, *spectrum.shape[2:]), spectrum.dtype)
             for o in offsets:
                 other = tb + np.array(o)
                 fits = (np.abs((other >> 1) - (tb >> 1)).max(1) <= 1) & (other >= base).all(1) & (other < base + side).all(1)
@@ -251,39 +286,74 @@ class ArrayQuery:
 
         return targets.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(run, CELL)
 
-    def far(self) -> DataFrame:
-        """pid, fx, fy, fz, pot of the far field."""
-        cfg, e, L = self.cfg, self.expansion, self.cfg.leaf_level
-        stop = cfg.stop_level if self.ops & Ops.L2L else L
-        boxes, width, corner = [F.col(b) for b in cfg.boxes], cfg.leaf_widths[0], np.array(cfg.corner)
-        t = self.query.t.select("pid", *cfg.axes, "q", *cfg.boxes, self._block(boxes).alias("b")).select("pid", *cfg.axes, "q", *cfg.boxes, "b.*")
-        blocks = ["bx", "by", "bz"]
-        shares = t.groupBy(*blocks).agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE)).cast("int").alias("n"))
-        key = [*blocks, "share"]
-        root = self._above_root()
-        particles = t.join(shares, blocks).withColumn("share", F.pmod(F.hash("pid"), F.col("n"))).drop("n")
-        # Locals of a level cover a range of leaf blocks; of the leaf level, one.
-        below = self.transfer().where(f"level >= {stop}")
-        for b, n in zip(cfg.boxes, blocks, strict=True):
-            first = F.expr(f"shiftright(shiftleft({b}, {L} - level), {BLOCK_BITS})")
-            last = F.expr(f"shiftright(shiftleft({b} + 1L, {L} - level) - 1L, {BLOCK_BITS})")
+    def _around(self, sources: DataFrame) -> DataFrame:
+        """Sources (or their leaves, with boxes) with every block that meets them, images included: ``BLOCK``, and ``home`` for no image."""
+        cfg, n, mutual = self.cfg, self.cfg.boxes_at(self.cfg.leaf_level), self.query.same
+        rows = sources.withColumn("home", F.lit(True))
+        for k, (b, a, name) in enumerate(zip(cfg.boxes, cfg.axes, BLOCK, strict=True)):
+            if cfg.periodic:  # the images that touch the box
+                rows = rows.withColumn("image", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).where((F.col(b) + F.col("image") * n).between(-1, n))
+                moved = {a: F.col(a) + F.col("image") * cfg.widths[0]} if a in rows.columns else {}
+                rows = rows.withColumns(moved | {b: F.col(b) + F.col("image") * n, "home": F.col("home") & (F.col("image") == 0)}).drop("image")
+            # the upper half of a neighbourhood never goes back along the first axis
+            low, high = F.greatest(F.col(b) - 1, F.lit(0)), F.least(F.col(b) + (0 if mutual and k == 0 else 1), F.lit(n - 1))
+            rows = rows.withColumn(name, F.explode(F.sequence(F.shiftright(low, self.bits), F.shiftright(high, self.bits))))
+        return rows
+
+    def _shares(self) -> DataFrame:
+        """BLOCK, n_t, n_s: shares of each target block and of what it meets, from the leaves' counts."""
+        block = [F.shiftright(F.col(b), self.bits).alias(n) for b, n in zip(self.cfg.boxes, BLOCK, strict=True)]
+        share = lambda most, name: F.ceil(F.sum("n") / F.lit(most)).cast("int").alias(name)
+        t = self.target_leaves.groupBy(*block).agg(share(TARGETS, "n_t"))
+        s = self._around(self.source_leaves).groupBy(*BLOCK).agg(share(SOURCES, "n_s"))
+        return once(t.join(s, list(BLOCK), "left").select(*BLOCK, "n_t", F.coalesce("n_s", F.lit(1)).alias("n_s")))
+
+    def _small(self, shares: DataFrame) -> DataFrame:
+        """Broadcast where the checked number of blocks allows it."""
+        return F.broadcast(shares) if shares.count() <= BROADCAST_BLOCKS else shares
+
+    def _below(self, shares: DataFrame) -> DataFrame:
+        """Locals with the target blocks below them, for the first share of what these meet."""
+        cfg, L = self.cfg, self.cfg.leaf_level
+        below = self.transfer().where(f"level >= {cfg.stop_level if self.ops & Ops.L2L else L}")
+        for b, n in zip(cfg.boxes, BLOCK, strict=True):
+            first = F.expr(f"shiftright(shiftleft({b}, {L} - level), {self.bits})")
+            last = F.expr(f"shiftright(shiftleft({b} + 1L, {L} - level) - 1L, {self.bits})")
             below = below.withColumn(n, F.explode(F.sequence(first, last)))
-        below = below.join(shares, blocks).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+        return below.join(shares, list(BLOCK)).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n_t") - 1))).withColumn("s", F.lit(0))
 
-        def run(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-            none = pd.DataFrame({"pid": np.array([], np.int64), "fx": [], "fy": [], "fz": [], "pot": []})
-            if not len(p) or not len(c):
-                return none
-            box = p[["ix", "iy", "iz"]].to_numpy()
+    def evaluate(self, far: bool, near: bool) -> DataFrame:
+        """pid and the outputs: several rows of a particle add up, and every target has one."""
+        cfg, e, L, bits = self.cfg, self.expansion, self.cfg.leaf_level, self.bits
+        kernel, mutual, values, width, corner = e.near, self.query.same, self.values, cfg.leaf_widths[0], np.array(cfg.corner)
+        stop = cfg.stop_level if self.ops & Ops.L2L else L
+        shares = self._shares()
+        small = self._small(shares)
+        root = self._above_root() if far else None
+        deal = lambda c: F.pmod(F.hash("pid"), F.col(c))
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        key, columns = [*BLOCK, "t", "s"], ["pid", *cfg.axes, *values, *cfg.boxes]
+        block = {n: F.shiftright(F.col(b), bits) for b, n in zip(cfg.boxes, BLOCK, strict=True)}
+        left = self.t.withColumns(block).join(small, list(BLOCK)).withColumn("t", deal("n_t")).withColumn("s", every("n_s") if near else F.lit(0)).select(*key, *columns)
+        kinds = {"level": "int", "pid": "bigint", **dict.fromkeys((*cfg.axes, *values), "double"), **dict.fromkeys(cfg.boxes, "bigint"), "home": "boolean", "c": "binary"}
+        whole = lambda df: df.select(*(F.col(k).alias(f"of_{k}") for k in key), *((F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(f"of_{c}") for c, kind in kinds.items()))
+        right = []
+        if near:
+            right.append(whole(self._around(self.s).join(small, list(BLOCK)).withColumn("s", deal("n_s")).withColumn("t", every("n_t")).select(*key, *columns, "home")))
+        if far:
+            right.append(whole(self._below(small).select(*key, "level", *cfg.boxes, "c")))
+        if not right:
+            right.append(whole(left.limit(0)))
+
+        def lowered(box: np.ndarray, c: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            """Locals of the leaves that ``box`` names, and each particle's place in them."""
             leaf = _morton(box, L)
             keys = np.unique(leaf)
-            levels, where = c["level"].to_numpy(), _morton(c[["ix", "iy", "iz"]].to_numpy(), L)
-            coefs = _rows(c["c"].tolist())
-            down = [e.down(s) for s in range(8)]
+            levels, where, coefs = c["level"].to_numpy(), _morton(c[["ix", "iy", "iz"]].to_numpy().astype(np.int64), L), _rows(c["c"].tolist()) if len(c) else np.zeros((0, e.fields * e.size))
             above_keys, above = (None, None) if root is None else (np.zeros(1, np.int64), root)
             for level in range(stop, L + 1):
                 wanted = np.unique(keys >> (3 * (L - level)))
-                total = np.zeros((len(wanted), e.size))
+                total = np.zeros((len(wanted), e.fields * e.size))
                 own = levels == level
                 if own.any():
                     k, v = _sum_by(where[own], coefs[own])
@@ -292,89 +362,92 @@ class ArrayQuery:
                     total[at[hit]] += v[hit]
                 if above is not None:
                     parent = np.searchsorted(above_keys, wanted >> 3)
-                    for s in range(8):
-                        at = np.flatnonzero((wanted & 7) == s)
-                        total[at] += above[parent[at]] @ down[s]
+                    for slot in range(8):
+                        at = np.flatnonzero((wanted & 7) == slot)
+                        if len(at):
+                            total[at] += e.lower(slot, above[parent[at]])
                 above_keys, above = wanted, total
+            return above, np.searchsorted(above_keys, leaf)
+
+        def far_of(p: pd.DataFrame, c: pd.DataFrame, pot: np.ndarray, grad: np.ndarray) -> None:
+            box = p[["ix", "iy", "iz"]].to_numpy()
             x = (p[["x", "y", "z"]].to_numpy() - corner - (box + 0.5) * width) * (2 / width)
-            local, q = np.searchsorted(above_keys, leaf), p["q"].to_numpy()
-            pot, grad = np.zeros(len(p)), np.zeros((len(p), 3))
+            local, at = lowered(box, c)
             for i in range(0, len(p), 2048):
-                pot[i : i + 2048], grad[i : i + 2048] = e.l2p(x[i : i + 2048], above[local[i : i + 2048]])
-            force = grad * (2 / width) * q[:, None]
-            return pd.DataFrame({"pid": p["pid"], "fx": force[:, 0], "fy": force[:, 1], "fz": force[:, 2], "pot": pot})
-
-        return particles.groupBy(*key).cogroup(below.groupBy(*key)).applyInPandas(run, "pid bigint, fx double, fy double, fz double, pot double")
-
-    def near(self) -> DataFrame:
-        """pid, fx, fy, fz, pot of the near field, in shares of blocks."""
-        cfg, kernel, L, same = self.cfg, self.expansion.near, self.cfg.leaf_level, self.query.same
-        blocks, n, width = ["bx", "by", "bz"], 1 << L, cfg.widths[0]
-        t, s = self.query.t, self.query.s.withColumn("home", F.lit(True))
-        for b, a in zip(cfg.boxes, cfg.axes, strict=True):
-            if cfg.periodic:  # the images that touch the box
-                s = s.withColumn("image", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).where((F.col(b) + F.col("image") * n).between(-1, n))
-                s = s.withColumns({b: F.col(b) + F.col("image") * n, a: F.col(a) + F.col("image") * width, "home": F.col("home") & (F.col("image") == 0)}).drop("image")
-        for b, k in zip(cfg.boxes, blocks, strict=True):
-            t = t.withColumn(k, F.shiftright(b, NEAR_BITS))
-            low, high = F.greatest(F.col(b) - 1, F.lit(0)), F.least(F.col(b) + 1, F.lit(n - 1))
-            s = s.withColumn(k, F.explode(F.array_distinct(F.array(F.shiftright(low, NEAR_BITS), F.shiftright(high, NEAR_BITS)))))
-        ceil = lambda share, name: F.ceil(F.count(F.lit(1)) / F.lit(share)).cast("int").alias(name)
-        shares = t.groupBy(*blocks).agg(ceil(NEAR_TARGETS, "n_t")).join(s.groupBy(*blocks).agg(ceil(NEAR_SOURCES, "n_s")), blocks)
-        columns = ["pid", *cfg.axes, "q", *cfg.boxes]
-        deal = lambda c: F.pmod(F.hash("pid"), F.col(c))
-        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        key = [*blocks, "t", "s"]
-        left = t.join(shares, blocks).withColumn("t", deal("n_t")).withColumn("s", every("n_s")).select(*key, *columns)
-        right = s.join(shares, blocks).withColumn("s", deal("n_s")).withColumn("t", every("n_t")).select(*(F.col(c).alias(f"of_{c}") for c in (*key, *columns, "home")))
-
-        def run(p: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
-            if not len(p) or not len(o):
-                return pd.DataFrame({"pid": np.array([], np.int64), "fx": [], "fy": [], "fz": [], "pot": []})
-            o = o.rename(columns=lambda c: c.removeprefix("of_"))
-            base = (p[["ix", "iy", "iz"]].to_numpy().min(0) >> NEAR_BITS << NEAR_BITS) - 1
-            side = (1 << NEAR_BITS) + 2
+                value, slope = e.l2p(x[i : i + 2048], local, at[i : i + 2048])
+                pot[i : i + 2048] += value
+                grad[i : i + 2048] += slope * (2 / width)
+
+        def near_of(p: pd.DataFrame, o: pd.DataFrame, pot: np.ndarray, grad: np.ndarray) -> pd.DataFrame | None:
+            """Adds to the targets' sums; returns those of the others, if pairs count for both."""
+            base = (p[["ix", "iy", "iz"]].to_numpy().min(0) >> bits << bits) - 1
+            side = (1 << bits) + 2
             flat = lambda f: ((f["ix"].to_numpy() - base[0]) * side + f["iy"].to_numpy() - base[1]) * side + f["iz"].to_numpy() - base[2]
-            cell = flat(o)
+            cell = flat(o).astype(np.int64)
             order = np.argsort(cell, kind="stable")
             start = np.searchsorted(cell[order], np.arange(side**3 + 1))
-            source = [o[c].to_numpy()[order] for c in ("x", "y", "z", "q")]
-            ids = np.where(o["home"].to_numpy()[order], o["pid"].to_numpy()[order], np.iinfo(np.int64).min) if same else None
-            own = flat(p)
-            at, pid, q = np.argsort(own, kind="stable"), p["pid"].to_numpy(), p["q"].to_numpy()
-            x = [p[c].to_numpy() for c in ("x", "y", "z")]
-            pot, force = np.zeros(len(p)), np.zeros((len(p), 3))
+            sx, sq, ids = ([o[c].to_numpy()[order] for c in cols] for cols in (("x", "y", "z"), values, ("pid",)))
+            sq, ids = np.stack(sq, 1), ids[0].astype(np.int64)
+            own, pid = flat(p).astype(np.int64), p["pid"].to_numpy()
+            at, q, x = np.argsort(own, kind="stable"), p[values].to_numpy(), [p[c].to_numpy() for c in ("x", "y", "z")]
+            back_pot, back_grad = np.zeros((len(ids), pot.shape[1])), np.zeros((len(ids), *grad.shape[1:]))
+            touched = np.zeros(len(ids), bool)
             leaves, first = np.unique(own[at], return_index=True)
+            # leaves in a row along z are one run of sources; the first run begins at the leaf itself if pairs count for both
+            rows_ = [(0, 0, 0, 2), (0, side, -1, 2), *((side * side, dy, -1, 2) for dy in (-side, 0, side))] if mutual else [(dx, dy, -1, 2) for dx in (-side * side, 0, side * side) for dy in (-side, 0, side)]
             for leaf, a, b in zip(leaves, first, [*first[1:], len(at)], strict=True):
-                # leaves in a row along z are one run of sources
-                runs = [slice(start[leaf + dx + dy - 1], start[leaf + dx + dy + 2]) for dx in (-side * side, 0, side * side) for dy in (-side, 0, side)]
-                sx, sy, sz, sq = (np.concatenate([v[r] for r in runs]) for v in source)
-                if not len(sq):
+                found = np.concatenate([np.arange(start[leaf + dx + dy + z0], start[leaf + dx + dy + z1]) for dx, dy, z0, z1 in rows_])
+                if not len(found):
                     continue
-                sid = np.concatenate([ids[r] for r in runs]) if same else None
-                step = max(1, PAIRS // len(sq))
+                n_own = start[leaf + 1] - start[leaf] if mutual else 0
+                fx, fq = [v[found] for v in sx], sq[found]
+                step = max(1, PAIRS // len(found))
                 for i in range(a, b, step):
                     rows = at[i : min(i + step, b)]
-                    d = [sv[None] - tv[rows][:, None] for sv, tv in zip((sx, sy, sz), x, strict=True)]
-                    self_ = sid[None] == pid[rows][:, None] if same else None
-                    if same and self_.any():
-                        d[0][self_] = 1.0
-                    value, pull = kernel.field(d)
-                    if same and self_.any():
-                        for v in (value, *pull):
-                            v[self_] = 0.0
-                    pot[rows] = value @ sq
-                    force[rows] = np.stack([v @ sq for v in pull], 1)
-            force *= q[:, None]
-            return pd.DataFrame({"pid": pid, "fx": force[:, 0], "fy": force[:, 1], "fz": force[:, 2], "pot": pot})
-
-        return left.groupBy(*key).cogroup(right.groupBy(*(f"of_{k}" for k in key))).applyInPandas(run, "pid bigint, fx double, fy double, fz double, pot double")
+                    d = [sv[None] - tv[rows][:, None] for sv, tv in zip(fx, x, strict=True)]
+                    # of two particles of one leaf, the one with the smaller pid sees the other
+                    off = np.zeros((len(rows), len(found)), bool)
+                    off[:, :n_own] = ids[found[:n_own]][None] <= pid[rows][:, None]
+                    if n_own:
+                        d[0][off] = 1.0
+                    parts = kernel.parts(d)
+                    if n_own:
+                        for k, slopes in parts:
+                            for v in (k, *slopes):
+                                v[off] = 0.0
+                    for value, component, field in kernel.channels:
+                        k, slopes = parts[component]
+                        pot[rows, field] += k @ fq[:, value]
+                        for axis, v in enumerate(slopes if kernel.gradients else ()):
+                            grad[rows, field, axis] += v @ fq[:, value]
+                        if mutual:
+                            mine = q[rows, value]
+                            back_pot[found, field] += mine @ k
+                            for axis, v in enumerate(slopes if kernel.gradients else ()):
+                                back_grad[found, field, axis] -= mine @ v
+                if mutual:
+                    touched[found] = True
+            if not touched.any():
+                return None
+            return pd.DataFrame({"pid": ids[touched], **kernel.results(back_pot[touched], back_grad[touched], sq[touched])})
+
+        def run(p: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+            pot, grad, more = np.zeros((len(p), e.fields)), np.zeros((len(p), e.fields, 3 if kernel.gradients else 0)), None
+            if not len(p):
+                return pd.DataFrame({"pid": np.array([], np.int64), **{c: [] for c in kernel.outputs}})
+            o = o.rename(columns=lambda c: c.removeprefix("of_"))
+            local = o["level"].notna()
+            if far and p["s"].iloc[0] == 0 and (local.any() or root is not None):
+                far_of(p, o[local], pot, grad)
+            if near and not local.all():
+                more = near_of(p, o[~local], pot, grad)
+            out = pd.DataFrame({"pid": p["pid"], **kernel.results(pot, grad, p[values].to_numpy())})
+            return out if more is None else pd.concat([out, more])
+
+        met = right[0] if len(right) == 1 else right[0].unionByName(right[1])
+        return left.groupBy(*key).cogroup(met.groupBy(*(f"of_{k}" for k in key))).applyInPandas(run, ", ".join(["pid bigint", *(f"{c} double" for c in kernel.outputs)]))
 
     def execute(self) -> DataFrame:
-        out = ("fx", "fy", "fz", "pot")
-        rows = self.query.t.select("pid", *(F.lit(0.0).alias(o) for o in out))
-        if self.query.far_wanted():
-            rows = rows.unionByName(self.far())
-        if self.ops & Ops.P2P:
-            rows = rows.unionByName(self.near())
-        return rows.groupBy("pid").agg(*(F.sum(o).alias(o) for o in out))
+        """pid and the outputs of every target; zero where nothing acts on it."""
+        rows = self.evaluate(self.query.far_wanted(), bool(self.ops & Ops.P2P))
+        return rows.groupBy("pid").agg(*(F.sum(o).alias(o) for o in self.expansion.near.outputs))

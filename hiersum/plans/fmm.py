@@ -34,7 +34,11 @@ def _cols(names, prefix: str = "") -> dict[str, Column]:
 
 @dataclass
 class Query:
-    """A query over ``targets`` and ``sources`` (pid, axes, q; other columns are ignored).
+    """A query over ``targets`` and ``sources`` (pid, axes and the kernel's values; other columns are ignored).
+
+    A ``q`` that is missing is 1.  ``data`` is a table of the user's own, keyed
+    by pid, that brings the kernel's values instead of the particles, which
+    then are positions with an id; a particle without a row there is an error.
 
     ``sources=None`` makes it a query of one set.  pid is a key.  Null positions have no box
     and take no part; a position outside the box fails the query.  Coincident
@@ -50,24 +54,35 @@ class Query:
     targets: DataFrame
     sources: DataFrame | None = None
     ops: Ops = Ops.ALL
+    data: DataFrame | None = None
 
     def __post_init__(self) -> None:
-        keep = ["pid", *self.cfg.axes, "q"]
         self.same = self.sources is None
-        self.t = self._encoded(self.targets, keep)
-        self.s = self.t if self.same else self._encoded(self.sources, keep)
+        self.t = self._encoded(self.targets)
+        self.s = self.t if self.same else self._encoded(self.sources)
 
-    def _encoded(self, df: DataFrame, keep: list[str]) -> DataFrame:
+    def _encoded(self, df: DataFrame) -> DataFrame:
         """With leaf boxes; a position outside the box is an error."""
-        rows, n = tree.encode(self._slim(df, keep), self.cfg), self.cfg.boxes_at(self.cfg.leaf_level)
+        rows, n = tree.encode(self._slim(df), self.cfg), self.cfg.boxes_at(self.cfg.leaf_level)
         outside = F.raise_error(F.concat_ws(" ", F.lit("outside the box: particle"), F.col("pid").cast("string"))).cast("bigint")
         return rows.withColumns({b: F.when(F.col(b).between(0, n - 1), F.col(b)).otherwise(outside) for b in self.cfg.boxes})
 
-    def _slim(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        inside = F.lit(True)
+    def _slim(self, df: DataFrame) -> DataFrame:
+        inside, values = F.lit(True), self.kernel.values
         for a in self.cfg.axes:
             inside = inside & F.col(a).isNotNull()
-        return df.withColumn("q", F.col("q") if "q" in df.columns else F.lit(1.0)).select(*keep).where(inside)
+        if self.data is not None:
+            own = self.data.select(F.col("pid").alias("of"), *values, F.lit(True).alias("known"))
+            rows = df.select("pid", *self.cfg.axes).where(inside).join(own, F.col("pid") == F.col("of"), "left")
+            known = F.when(F.col("known"), F.col("pid")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("no data of particle"), F.col("pid").cast("string"))).cast("bigint"))
+            return rows.select(known.alias("pid"), *self.cfg.axes, *values)
+        if values == ("q",) and "q" not in df.columns:
+            df = df.withColumn("q", F.lit(1.0))
+        return df.select("pid", *self.cfg.axes, *values).where(inside)
+
+    def _values(self, prefix: str = "") -> Column | dict[str, Column]:
+        """What the kernel's methods get of a particle."""
+        return F.col(f"{prefix}q") if self.kernel.values == ("q",) else {v: F.col(f"{prefix}{v}") for v in self.kernel.values}
 
     def _centres(self, boxes: list[Column], level: Column) -> list[Column]:
         return [ix.centre_of(b, k, self.cfg, level) for k, b in enumerate(boxes)]
@@ -121,7 +136,7 @@ class Query:
         c = self._centres(self._boxes(), F.lit(self.cfg.leaf_level))
         d = [F.col(a) - m for a, m in zip(self.cfg.axes, c, strict=True)]
         rows, d = staged(self.s, self.kernel, "p2m", d)
-        return rows.groupBy(*self.cfg.boxes).agg(*(F.sum(e).alias(k) for k, e in self.kernel.p2m(d, F.col("q")).items()))
+        return rows.groupBy(*self.cfg.boxes).agg(*(F.sum(e).alias(k) for k, e in self.kernel.p2m(d, self._values()).items()))
 
     def m2m(self, levels=None) -> DataFrame:
         """Moments of the cells of ``levels`` (all far levels, or more)."""
@@ -174,7 +189,7 @@ class Query:
         c = self._centres(self._boxes(), F.lit(self.cfg.leaf_level))
         d = [F.col(a) - m for a, m in zip(self.cfg.axes, c, strict=True)]
         rows, d = staged(rows, self.kernel, "l2p", d)
-        return rows.select("pid", *(self.cfg.boxes if all_targets else ()), *(e.alias(k) for k, e in self.kernel.l2p(d, _cols(self.kernel.locals_), F.col("q")).items()))
+        return rows.select("pid", *(self.cfg.boxes if all_targets else ()), *(e.alias(k) for k, e in self.kernel.l2p(d, _cols(self.kernel.locals_), self._values()).items()))
 
     def p2p(self) -> DataFrame:
         """Near field of the particles."""
@@ -187,7 +202,7 @@ class Query:
         pairs = interactions.particle_pairs(self.t.repartition(n, "pid"), self.s, self.cfg, self.same, small)
         d = [F.col(f"s_{a}") - F.col(a) for a in self.cfg.axes]
         pairs, d = staged(pairs, self.kernel, "p2p", d)
-        out = self.kernel.p2p(d, F.col("q"), F.col("s_q"))
+        out = self.kernel.p2p(d, self._values(), self._values("s_"))
         return pairs.groupBy("pid").agg(*(F.sum(e).alias(k) for k, e in out.items()))
 
     def _near_counts(self) -> DataFrame:
@@ -224,7 +239,8 @@ def direct(targets: DataFrame, sources: DataFrame, cfg: SpatialConfig, kernel: K
     """All pairs (``far``: only those of leaves that are no neighbours), images included: the oracle for small sets.  Quadratic by definition, and refused beyond."""
     if sources.count() > BROADCAST_SOURCES:
         raise ValueError(f"direct sums are for at most {BROADCAST_SOURCES} sources")
-    rows = targets.select("pid", *cfg.axes, "q").crossJoin(F.broadcast(sources.select(*(F.col(c).alias(f"s_{c}") for c in ("pid", *cfg.axes, "q")))))
+    columns = ("pid", *cfg.axes, *kernel.values)
+    rows = targets.select(*columns).crossJoin(F.broadcast(sources.select(*(F.col(c).alias(f"s_{c}") for c in columns))))
     here = F.lit(True)
     if cfg.periodic:
         low, high = cfg.image_interval
@@ -239,4 +255,5 @@ def direct(targets: DataFrame, sources: DataFrame, cfg: SpatialConfig, kernel: K
             near = near & (F.abs(b - s) <= 1)
         rows = rows.where(~near)
     rows, d = staged(rows, kernel, "p2p", [F.col(f"s_{a}") - F.col(a) for a in cfg.axes])
-    return rows.groupBy("pid").agg(*(F.sum(e).alias(k) for k, e in kernel.p2p(d, F.col("q"), F.col("s_q")).items()))
+    q = [F.col(f"{p}q") if kernel.values == ("q",) else {v: F.col(f"{p}{v}") for v in kernel.values} for p in ("", "s_")]
+    return rows.groupBy("pid").agg(*(F.sum(e).alias(k) for k, e in kernel.p2p(d, *q).items()))

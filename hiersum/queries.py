@@ -644,7 +644,10 @@ for _name, (_kernel, _value) in _MATRIX.items():
     ORACLES[f"p2p_{_name}"] = _sql.replace(f"round(sum({_value}) * 1000.0)", f"round(ln(sum({_value})) * 1000.0)") if _name == "lennard_jones" else _sql
 
 
-@query(_direct_sql(SUPPLIERS, 3, {f"r{i}{j}": ("1 / sqrt(r2) - " if i == j else "0 - ") + f"d{'xyz'[i]} * d{'xyz'[j]} / (r2 * sqrt(r2))" for i, j in kernels.RTensor.PAIRS}))
+_TENSOR = {f"r{i}{j}": ("1 / sqrt(r2) - " if i == j else "0 - ") + f"d{'xyz'[i]} * d{'xyz'[j]} / (r2 * sqrt(r2))" for i, j in kernels.RTensor.PAIRS}
+
+
+@query(_direct_sql(SUPPLIERS, 3, _TENSOR))
 def p2p_r_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(Query(CUBE.with_(height=2), kernels.RTensor(), suppliers(spark, sf_dir)).execute(), list(kernels.RTensor().outputs))
 
@@ -784,6 +787,70 @@ def lagrange_polynomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ArrayQuery(CUBE.for_count(points.count()), Lagrange(6, kernels.Polynomial()), points).execute().select("pid", "pot"), ["pot"], 10)
 
 
+# Several values of a particle, and interactions of several components
+
+
+@query(_direct_sql(PARTS, 3, _TENSOR, far=True, ok=True))
+def lagrange_r_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The far field alone: one set of moments, six spectra, six fields."""
+    points, kernel = parts(spark, sf_dir), kernels.RTensor()
+    got = ArrayQuery(CUBE, Lagrange(8, kernel), points, ops=Ops.FAR).execute()
+    return _checked(got, direct(points, points, CUBE, kernel, True, far=True), dict.fromkeys(kernel.outputs, 1e-5), unit="r00")
+
+
+_CHARGES = {"qx": "(p_partkey % 7 - 3)", "qy": "(p_partkey % 5 - 1)", "qz": "(p_partkey % 3)"}
+PARTS_CHARGED = f"SELECT p.*, {', '.join(f'{v}::DOUBLE AS {k}' for k, v in _CHARGES.items())} FROM ({PARTS}) p JOIN part ON p.pid = p_partkey"
+
+
+def charged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with three charges of either sign."""
+    return parts(spark, sf_dir).withColumns({k: F.expr(v.replace("p_partkey", "pid")).cast("double") for k, v in _CHARGES.items()})
+
+
+def _charged_sql(values: dict[str, str], far: bool = False) -> str:
+    """``values`` in terms of d, r2 and the charges of target (t_) and source (s_)."""
+    d = ", ".join([*(f"b.{a} - a.{a} AS d{a}" for a in "xyz"), *(f"{p}.{q} AS {n}_{q}" for p, n in (("a", "t"), ("b", "s")) for q in _CHARGES)])
+    sums = ", ".join(f"coalesce(round(sum({v}) * 1000.0)::BIGINT, 0) AS {n}" for n, v in values.items())
+    where = f" AND NOT ({_near()})" if far else ""
+    return f"WITH p AS ({_boxed(PARTS_CHARGED)}), d AS (SELECT a.pid, {d} FROM p a LEFT JOIN p b ON a.pid <> b.pid{where}), r AS (SELECT *, dx * dx + dy * dy + dz * dz AS r2 FROM d) SELECT pid, {sums}, true AS ok FROM r GROUP BY pid"
+
+
+@query(_charged_sql({f"u{a}": f"s_q{a} / sqrt(r2) - d{a} * (dx * s_qx + dy * s_qy + dz * s_qz) / (r2 * sqrt(r2))" for a in "xyz"}))
+def r_tensor_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tensor times a vector of each source: three sets of moments, six spectra, three fields."""
+    points, kernel = charged_parts(spark, sf_dir), kernels.RTensorProduct()
+    size = direct(points.withColumns(dict.fromkeys(_CHARGES, F.lit(1.0))), points.withColumns(dict.fromkeys(_CHARGES, F.lit(1.0))), CUBE, kernels.Many(kernels.InverseR(), ("qx",)), True).select("pid", F.col("pot_qx").alias("size"))
+    exact = direct(points, points, CUBE, kernel, True).join(size, "pid")
+    return _checked(ArrayQuery(CUBE, Lagrange(8, kernel), points).execute(), exact, dict.fromkeys(kernel.outputs, 1e-4), unit="size")
+
+
+_BOTH_CHARGES = {f"{o}_{q}": v.format(q=q) for q in ("qx", "qy") for o, v in {**{f"f{a}": f"t_{{q}} * s_{{q}} * d{a} / (r2 * sqrt(r2))" for a in "xyz"}, "pot": "s_{q} / sqrt(r2)"}.items()}
+
+
+@query(_charged_sql(_BOTH_CHARGES))
+def two_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Potentials and forces of two charges of a particle, in one pass over lists, boxes and pairs."""
+    points = charged_parts(spark, sf_dir)
+    expansion = Harmonic(12, ("qx", "qy"))
+    exact, unit = direct(points, points, CUBE, expansion.near, True), direct(points, points, CUBE, kernels.InverseR(), True)
+    got = ArrayQuery(CUBE, expansion, points).execute()
+    # charges of both signs cancel, so what all of them would add is the measure
+    exact = exact.join(unit.select("pid", (F.col("pot") * 4).alias("size")), "pid")
+    return _checked(got, exact, {c: 5e-4 if c.startswith("f") else 1e-5 for c in expansion.near.outputs}, unit="size")
+
+
+@query(
+    f"WITH p AS (SELECT p.*, s_acctbal::DOUBLE AS v FROM ({SUPPLIERS}) p JOIN supplier ON pid = s_suppkey), d AS (SELECT a.pid, b.v, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM p a JOIN p b ON a.pid <> b.pid) "
+    "SELECT pid, round(sum(v / (dx * dx + dy * dy + dz * dz)))::BIGINT AS pot FROM d GROUP BY pid"
+)
+def values_by_pid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Particles that are positions with an id only; what they weigh is looked up in a table of the user's own."""
+    points = suppliers(spark, sf_dir).drop("q")
+    table = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("bigint").alias("pid"), F.col("s_acctbal").cast("double").alias("balance"), "s_name")
+    got = Query(CUBE.with_(height=2), kernels.Many(kernels.InverseR2(), ("balance",)), points, data=table).execute()
+    return _rounded(got.select("pid", F.col("pot_balance").alias("pot")), ["pot"], 1)
+
+
 SUPPLIERS2 = _points("supplier", "s_suppkey", 2)
 
 
