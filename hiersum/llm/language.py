@@ -110,12 +110,12 @@ def fit(vectors: np.ndarray, labels: list[str], bits: int = 31, steps: int = 150
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE) -> DataFrame:
-    """A bounded sample (text, lang) with every language in it, chosen by a hash of doc_id and text.
+    """A bounded sample (text, lang) with every language in it, chosen by a hash of doc_id and text.  Other columns are ignored.
 
     Languages share ``most`` evenly; where the draw exceeds it, the most
     frequent language gives way.
     """
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
+    known = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = checkpoint(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64(F.lit(11), "doc_id", "text")).alias("first")))
     n_languages = sizes.count()
     share = max(1, min(per_language, most // max(1, n_languages)))

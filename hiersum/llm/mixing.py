@@ -21,6 +21,14 @@ then the pool's own documents, largest first, meet what is left of it.  Each
 becomes integral unless the pool runs empty or full; only then is a fraction
 rounded by itself, unbiased like every step before, and only there do the words
 taken leave the target.
+
+In a source of few documents that last fraction may be a large share of the
+target, and where a document outweighs the others no rounding keeps both the
+target and every expectation.  With ``within`` the target goes first: of a
+source that ended outside of it, up to ``LEVERS`` open documents of all sizes
+are taken together, every choice between one copy more or less for each is
+tried, and the one that comes within the bound with the fewest changes is made,
+or else the nearest.
 """
 
 from __future__ import annotations
@@ -34,6 +42,8 @@ CAP = 3
 BLOCK = 64
 #: Documents of each source and size class in the pool at the root, about.
 RESERVE = 32
+#: Documents that are chosen together where a source missed its target, and those of a size class that may be among them, about.
+LEVERS, PER_CLASS = 12, 6
 #: Sources' size classes are joined by broadcast up to this many, and by a shuffle beyond.
 BROADCAST_CLASSES = 500_000
 
@@ -145,12 +155,44 @@ def _settle(items: Column, p: Column, seed: int) -> Column:
     return F.aggregate(items, start, step, lambda state: state["done"])
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = 20, reserve: int = RESERVE) -> DataFrame:
+def _steered(rows: DataFrame, within: float, seed: int) -> DataFrame:
+    """Rounded rows (``OUT``), with other copies of a few documents in each source that is further than ``within`` of its target from it."""
+    of = lambda df: F.col("source").eqNullSafe(df["of"])
+    taken = rows.groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
+    band = F.greatest(F.col("target") * within, F.lit(0.5))
+    off = checkpoint(taken.select(F.col("source").alias("of"), (F.col("taken") - F.col("target")).alias("over"), band.alias("band")).where("abs(over) > band"))
+    if off.isEmpty():
+        return rows
+    sure, more = F.floor(F.col("target") / F.col("source_size")), F.col("target") / F.col("source_size")
+    open_ = rows.join(off, of(off)).where((F.col("size") > 0) & (more > sure)).withColumn("class", F.floor(F.log2("size")))
+    open_ = checkpoint(open_.select("of", "over", "band", "class", "size", "doc_id", "rep", F.when(F.col("copies") > sure, -F.col("size")).otherwise(F.col("size")).alias("delta")))
+    many = open_.groupBy(F.col("of").alias("in"), F.col("class").alias("in_class")).agg(F.count(F.lit(1)).alias("n"))
+    some = open_.join(many, F.col("of").eqNullSafe(F.col("in")) & (F.col("class") == F.col("in_class"))).where(_chance(F.col("doc_id"), F.col("rep"), 0, seed + 2) * F.col("n") < PER_CLASS)
+    held = some.groupBy("of", "over", "band").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "rep", "delta")), asc=False).alias("items"))
+    # the three largest, and others down to the smallest
+    spread = lambda items: F.transform(F.sequence(F.lit(0), F.lit(LEVERS - 1)), lambda i: F.get(items, F.when((F.size(items) <= LEVERS) | (i < 3), i).otherwise(3 + F.floor((i - 3) * (F.size(items) - 4) / (LEVERS - 4)).cast("int"))))
+    levers = held.select("of", "over", "band", F.filter(spread(F.col("items")), lambda x: x.isNotNull()).alias("levers"))
+    sums = F.aggregate("levers", F.array(F.lit(0).cast("bigint")), lambda s, x: F.concat(s, F.transform(s, lambda v: v + x["delta"])))
+    miss = lambda v: F.abs(F.col("over") + v)
+    choice = F.transform(sums, lambda v, i: F.struct(F.greatest(miss(v) - F.col("band"), F.lit(0.0)).alias("outside"), F.bit_count(i).alias("changed"), miss(v).alias("miss"), i.alias("mask")))
+    chosen = levers.withColumn("mask", F.array_min(choice)["mask"])
+    picked = F.filter(F.transform("levers", lambda x, k: F.when(F.call_function("shiftright", F.col("mask"), k).bitwiseAND(F.lit(1)) == 1, x)), lambda x: x.isNotNull())
+    change = checkpoint(chosen.select(F.col("of"), F.inline(picked)).select("of", F.col("doc_id").alias("its_id"), F.col("rep").alias("its_rep"), F.col("size").alias("its_size"), "delta"))
+    same = of(change) & F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("rep") == F.col("its_rep")) & (F.col("size") == F.col("its_size"))
+    return rows.join(change, same, "left").withColumn("copies", F.col("copies") + F.coalesce(F.sign("delta").cast("bigint"), F.lit(0))).select(*OUT)
+
+
+OUT = ("doc_id", "rep", "source", "size", "source_size", "target", "copies")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = 20, reserve: int = RESERVE, within: float | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row per row of ``docs``.
 
     A document never gets more than ``cap`` copies, and its expected number of
-    copies is its source's target over its size.  A document without words
-    gets none.  Rows are told apart by doc_id, and rows that agree in doc_id,
+    copies is its source's target over its size.  ``within`` (a share of the
+    target) puts the target before that expectation in sources that would end
+    further from it; copies still differ from the expectation by less than one.
+    A document without words gets none.  Rows are told apart by doc_id, and rows that agree in doc_id,
     source and size by a number, so repeats are rounded one by one.  A null
     source is a source.  An empty table gives an empty result.  Other columns
     are ignored.
@@ -166,8 +208,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blo
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rated = joined.withColumn("rate", rate).withColumn("sure", F.floor("rate")).withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.col("sure")).otherwise(F.lit(0.0)))
     key = ["source", "source_size", "target", "sure", "class", "n_class"]
-    out = ["doc_id", "source", "size", "source_size", "target", "copies"]
-    whole = rated.where("p = 0").select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("sure")).otherwise(F.lit(0)).alias("copies"))
+    whole = rated.where("p = 0").select("doc_id", "rep", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("sure")).otherwise(F.lit(0)).alias("copies"))
     open_ = rated.where("p > 0").select(*key, "doc_id", "rep", "size", "p")
     pooled = _chance(F.col("doc_id"), F.col("rep"), 0, seed + 1) * F.col("n_class") < reserve
     pool, open_ = open_.where(pooled), open_.where(~pooled)
@@ -179,7 +220,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blo
         folded = dealt.groupBy(*key, "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "rep", "size", "p"))).alias("items"))
         folded = folded.select(*key, _fold(F.col("items"), level, seed).alias("f"))
         rows = checkpoint(folded.select(*key, F.inline(F.filter(F.concat(F.array("f.held"), F.col("f.done")), lambda v: v.isNotNull()))))
-        done.append(rows.where("p <= 0 OR p >= 1").select(*out[:-1], (F.col("sure") + F.col("p").cast("bigint")).alias("copies")))
+        done.append(rows.where("p <= 0 OR p >= 1").select(*OUT[:-1], (F.col("sure") + F.col("p").cast("bigint")).alias("copies")))
         open_ = rows.where("p > 0 AND p < 1")
         if span <= 1:
             break
@@ -187,8 +228,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blo
     item = F.struct("in_pool", (-F.col("size")).alias("minus"), "doc_id", "rep", "p")
     left = last.groupBy(*key[:4]).agg(F.sort_array(F.collect_list(item)).alias("items"))
     rate = F.col("target") / F.col("source_size") - F.col("sure")
-    done.append(left.select(*key[:4], F.inline(_settle(F.col("items"), rate, seed))).select(*out[:-1], (F.col("sure") + F.col("p").cast("bigint")).alias("copies")))
-    result = done[0].select(*out)
+    done.append(left.select(*key[:4], F.inline(_settle(F.col("items"), rate, seed))).select(*OUT[:-1], (F.col("sure") + F.col("p").cast("bigint")).alias("copies")))
+    result = done[0].select(*OUT)
     for more in done[1:]:
-        result = result.unionByName(more.select(*out))
-    return result.withColumn("copies", F.col("copies").cast("bigint")).withColumn("taken", F.col("copies") * F.col("size"))
+        result = result.unionByName(more.select(*OUT))
+    result = result.withColumn("copies", F.col("copies").cast("bigint"))
+    if within is not None:
+        result = _steered(result, within, seed)
+    return result.drop("rep").withColumn("taken", F.col("copies") * F.col("size"))

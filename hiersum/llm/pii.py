@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bind, checkpoint
+from .common import bind, checkpoint, unused
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -133,28 +133,45 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST else rows
 
 
-def entity_terms(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """entity, term, n_both: in how many documents both stand.  Entities of fewer than ``support`` documents are left out."""
+def _signature() -> list[Column]:
+    """Aggregates that are equal for things that stand in the same rows: their number and two sums of hashes of doc_id."""
+    low = lambda k: F.xxhash64(F.lit(k), "doc_id").bitwiseAND(F.lit((1 << 40) - 1))
+    return [F.count(F.lit(1)).alias("n"), F.sum(low(1)).alias("s1"), F.sum(low(2)).alias("s2")]
+
+
+CLASS = ("n", "s1", "s2")
+
+
+def disclosing(docs: DataFrame, max_bits: float = MAX_BITS, support: int = SUPPORT) -> DataFrame:
+    """entity, term, bits: the pairs above the disclosure threshold, estimated over all of ``docs`` (doc_id, text).
+
+    Entities of the same documents are one class, and so are terms, and only
+    classes are paired: a list of addresses that always stands whole counts
+    once, whatever its length.  A term of n rows discloses nothing that stands in
+    less than n / 2**max_bits documents, so only terms of ``support`` rows, and
+    of no more than an entity allows, meet it.
+    """
     known = docs.where("doc_id IS NOT NULL")
     entities = F.array_distinct(F.transform(base_spans(F.col("text")), _entity))
     held = checkpoint(known.select("doc_id", F.explode(entities).alias("entity")).distinct())
-    shared = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("entity")
+    shared = checkpoint(held.groupBy("entity").agg(*_signature()).where(F.col("n") >= support))
+    most = shared.agg(F.max("n")).first()[0]
+    if most is None:
+        return docs.sparkSession.createDataFrame([], "entity string, term string, bits double")
+    allowed = 2.0**max_bits
+    by_term = docs.select("doc_id", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(*_signature())
+    by_term = _small(by_term.where(F.col("n").between(support, most * allowed)))
     # texts are read again for documents with such an entity only
-    by_doc = _small(held.join(_small(shared), "entity", "left_semi").groupBy(F.col("doc_id").alias("held_id")).agg(F.collect_set("entity").alias("entities")))
-    terms = known.join(by_doc, F.col("doc_id") == F.col("held_id")).select("doc_id", "entities", F.explode(terms_of(F.col("text"))).alias("term"))
-    pairs = terms.select("doc_id", "term", F.explode("entities").alias("entity"))
-    if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
-        pairs = pairs.distinct()
-    return pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
-
-
-def disclosing(docs: DataFrame, max_bits: float = MAX_BITS, support: int = SUPPORT) -> DataFrame:
-    """entity, term, bits: the pairs above the disclosure threshold, estimated over all of ``docs``."""
-    together = checkpoint(entity_terms(docs, support))
-    wanted = together.select("term").distinct()
-    by_term = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") >= support).join(wanted, "term", "left_semi")
-    bits = F.log2(F.greatest(F.col("n_term"), F.col("n_both")) / F.col("n_both"))
-    return together.join(by_term, "term").withColumn("bits", bits).where(F.col("bits") <= max_bits).select("entity", "term", "bits")
+    by_doc = held.join(_small(shared), "entity").select(F.col("doc_id").alias("held_id"), F.struct(*CLASS).alias("entity_class")).distinct()
+    by_doc = _small(by_doc.groupBy("held_id").agg(F.collect_list("entity_class").alias("entity_classes")))
+    terms = known.join(by_doc, F.col("doc_id") == F.col("held_id")).select("doc_id", "entity_classes", F.explode(terms_of(F.col("text"))).alias("term"))
+    classes = terms.join(by_term, "term").select("doc_id", "entity_classes", F.struct(*CLASS).alias("term_class")).distinct()
+    met = classes.select("term_class", F.explode("entity_classes").alias("entity_class")).where(F.col("term_class.n") <= F.col("entity_class.n") * allowed)
+    counted = met.groupBy("term_class", "entity_class").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
+    bits = F.log2(F.greatest(F.col("term_class.n"), F.col("n_both")) / F.col("n_both"))
+    found = checkpoint(counted.withColumn("bits", bits).where(F.col("bits") <= max_bits).select("term_class", "entity_class", "bits"))
+    named = found.join(by_term.select(F.struct(*CLASS).alias("term_class"), "term"), "term_class")
+    return named.join(shared.select(F.struct(*CLASS).alias("entity_class"), "entity"), "entity_class").select("entity", "term", "bits")
 
 
 def _term_spans(text: Column, flagged: Column) -> Column:
@@ -165,7 +182,7 @@ def _term_spans(text: Column, flagged: Column) -> Column:
 def find(docs: DataFrame, max_bits: float = MAX_BITS, support: int = SUPPORT) -> DataFrame:
     """All columns of ``docs`` and ``base``, ``added`` (arrays of spans) and ``flagged`` (map term -> bits).
 
-    Needs doc_id and text.  Null and empty texts have no spans.  Rows that
+    Needs doc_id and text.  Columns of ``docs`` with one of those three names give way to the results.  Null and empty texts have no spans.  Rows that
     share a doc_id count as one document when terms are counted with an entity
     and share what is flagged; each keeps a row of its own.  A null doc_id has
     its base spans but takes no part in the counting.  An empty table gives an
@@ -173,11 +190,12 @@ def find(docs: DataFrame, max_bits: float = MAX_BITS, support: int = SUPPORT) ->
     """
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     terms = _small(disclosing(slim, max_bits, support).groupBy("term").agg(F.min("bits").alias("bits")))
-    held = slim.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("flag_id"), F.explode(terms_of(F.col("text"))).alias("term"))
-    flagged = held.join(terms, "term").groupBy("flag_id", "term").agg(F.min("bits").alias("bits"))
-    by_doc = flagged.groupBy("flag_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "bits")))).alias("flagged"))
-    based = docs.withColumn("base", base_spans(F.col("text").cast("string")))
-    joined = based.join(by_doc, F.col("doc_id").cast("bigint") == F.col("flag_id"), "left").drop("flag_id")
+    held = slim.where("doc_id IS NOT NULL").select("doc_id", F.explode(terms_of(F.col("text"))).alias("term"))
+    flagged = held.join(terms, "term").groupBy("doc_id", "term").agg(F.min("bits").alias("bits"))
+    own, key = docs.drop("base", "added", "flagged"), unused(docs, "flag_id")
+    by_doc = flagged.groupBy(F.col("doc_id").alias(key)).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "bits")))).alias("flagged"))
+    based = own.withColumn("base", base_spans(F.col("text").cast("string")))
+    joined = based.join(by_doc, F.col("doc_id").cast("bigint") == F.col(key), "left").drop(key)
     return joined.withColumn("added", F.when(F.col("flagged").isNotNull(), _term_spans(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("flagged"))).otherwise(F.array().cast(SPAN)))
 
 

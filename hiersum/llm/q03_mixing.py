@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import mixing
 from .common import table
 
+#: A source's words end within this share of its target, where any choice of copies does.
+WITHIN = 0.01
+
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents"), within=WITHIN).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
