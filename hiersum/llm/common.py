@@ -34,11 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame, outer: bool = False) -> DataFrame:
+def checkpoint(df: DataFrame, outer: int = 0) -> DataFrame:
     """Cut the lineage through a table in the shared folder, so a lost executor costs only a read.
 
     A table is smaller than a checkpoint of rows, and Spark knows its size.
-    Inside ``scratch`` it lives as long as that, or (``outer``) as long as what is around it.
+    Inside ``scratch`` it lives as long as that, or as the one ``outer`` levels around it; without any it stays.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
