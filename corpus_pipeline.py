@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hiersum.llm import decontaminate, mixing, neardup, pii, quality
-from hiersum.llm.common import checkpoint, table
+from hiersum.llm.common import checkpoint, scratch, table
+from hiersum.llm.q03_mixing import WITHIN
 from hiersum.llm.q04_quality import trained
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -83,7 +84,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     One row per row of ``docs``; null and empty texts are taken zero times, and
     a null source is a source.  An empty table gives an empty result.
     """
-    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return mixing.mix(docs, within=WITHIN).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 STAGES = [
@@ -99,10 +100,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, with a cut of lineage between them."""
+    """All stages over the documents, with a cut of lineage between them.
+
+    What a stage wrote on its way is deleted when its result is written, and
+    the stages' results when the mix is, which is the one table that stays.
+    """
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = checkpoint(docs)
+    with scratch(spark):
+        for k, (_, stage) in enumerate(STAGES):
+            with scratch(spark):
+                docs = checkpoint(stage(spark, docs, sf_dir), outer=1 if k + 1 < len(STAGES) else 2)
     return docs
