@@ -180,3 +180,57 @@ def hilbert_boxes(index: Column, dim: int, bits: int) -> Column:
         for i in range(dim - 1, -1, -1):
             x = _let(x, _turn(1 << b, i, dim))
     return x
+
+
+# The other Hilbert order, by a state machine.  A state turns the axes of a triplet r times and then flips the axes in
+# f.  In the first state the curve visits the triplets of ``GRAY``, and the k-th of them goes on in the state ``TURNS[k]``.
+#: The order of triplets, and (r, f) of each child.
+GRAY = (0, 1, 3, 2, 6, 7, 5, 4)
+TURNS = ((1, 0), (2, 0), (2, 0), (0, 3), (0, 3), (2, 6), (2, 6), (1, 5))
+
+
+def _turned_axes(t: Column, r: Column) -> Column:
+    """Bits of a triplet moved up r places, around."""
+    wide = t.bitwiseOR(F.shiftleft(t, 3)).cast("int")
+    return F.call_function("shiftright", F.call_function("shiftleft", wide, r), F.lit(3)).bitwiseAND(F.lit(7)).cast("int")
+
+
+def _listed(values: Sequence[int], k: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(v) for v in values)), k + 1)
+
+
+def _walk(index: Column, bits: int, height: int, back: bool) -> Column:
+    """Morton index to place on the curve, or ``back``: one state for each triplet from the top."""
+    start = F.struct(F.lit((height - bits) % 3).alias("r"), F.lit(0).alias("f"), long(0).alias("out"))
+
+    def step(state: Column, level: Column) -> Column:
+        given = F.call_function("shiftright", index, 3 * level).bitwiseAND(long(7)).cast("int")
+        if back:
+            place = given
+            out = _turned_axes(_listed(GRAY, given), state["r"]).bitwiseXOR(state["f"])
+        else:  # undo the flips and the turn, then look up the place
+            place = out = _listed([GRAY.index(t) for t in range(8)], _turned_axes(given.bitwiseXOR(state["f"]), F.pmod(3 - state["r"], F.lit(3))))
+        turn, flip = _listed([t[0] for t in TURNS], place), _listed([t[1] for t in TURNS], place)
+        return F.struct(
+            F.pmod(state["r"] + turn, F.lit(3)).alias("r"),
+            _turned_axes(flip, state["r"]).bitwiseXOR(state["f"]).alias("f"),
+            F.shiftleft(state["out"], 3).bitwiseOR(out.cast("bigint")).alias("out"),
+        )
+
+    if bits == 0:
+        return index * 0
+    return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda state: state["out"])
+
+
+def hilbert_states(boxes: Columns, bits: int, height: int) -> Column:
+    """Place of a 3D box along the state machine's curve, in a tree of ``height`` levels.
+
+    The machine reads ``height`` triplets whatever the level, so each level
+    above the leaves begins one turn of the axes further.
+    """
+    return _walk(morton(boxes, bits), bits, height, False)
+
+
+def hilbert_states_boxes(index: Column, bits: int, height: int) -> list[Column]:
+    """Boxes at a place along the curve."""
+    return morton_boxes(_walk(index, bits, height, True), 3, bits)

@@ -132,6 +132,13 @@ def block_interactions(pairs: DataFrame, leveled: DataFrame, cfg: SpatialConfig)
     return placed.groupBy("level", "target_block", "source_block", (F.col("target_block") == F.col("source_block")).alias("inside")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def pairs_by_block(pairs: DataFrame, blocks: DataFrame, cfg: SpatialConfig) -> DataFrame:
+    """target_block, source_block, n of pairs of leaves, for blocks of leaves (boxes, block) in any order."""
+    t = blocks.select(*cfg.boxes, F.col("block").alias("target_block"))
+    s = blocks.select(*(F.col(b).alias(f"s_{b}") for b in cfg.boxes), F.col("block").alias("source_block"))
+    return pairs.join(t, list(cfg.boxes)).join(s, [f"s_{b}" for b in cfg.boxes]).groupBy("target_block", "source_block").agg(F.count(F.lit(1)).alias("n"))
+
+
 def needs_shift(cfg: SpatialConfig) -> Column:
     """Whether an expanded row reaches through a face of the box."""
     out = F.lit(False)

@@ -81,6 +81,12 @@ def blocks(particles: DataFrame, cfg: SpatialConfig, size: int) -> DataFrame:
     return placed.withColumn("offset", F.sum("n").over(Window.partitionBy("block").orderBy("leaf")) - F.col("n")).select("leaf", "n", "block", "in_block", "offset")
 
 
+def ordered_blocks(leaves: DataFrame, key: Column, size: int) -> DataFrame:
+    """Leaves with ``key``, ``block`` and ``in_block``: ``size`` consecutive leaves in the order of the key make a block."""
+    placed = running(leaves.withColumns({"key": key, "one": F.lit(1)}), ["key"], "one", "at")
+    return placed.withColumns({"block": F.floor(F.col("at") / size), "in_block": F.col("at") % size}).drop("one", "at")
+
+
 def level_blocks(particles: DataFrame, cfg: SpatialConfig, size: int) -> DataFrame:
     """level, cell, block, in_block: ``size`` consecutive cells of a level make a block, at every level."""
     existing = with_index(cells(particles, cfg), cfg).select("level", "cell", F.lit(1).alias("one"))

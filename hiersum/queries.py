@@ -19,7 +19,8 @@ from .functions.expansions import Harmonic, Lagrange
 from .operators import interactions, stats, tree
 from .plans.arrays import ArrayQuery
 from .plans.fmm import Query, direct
-from .sources import particles
+from .sources import particles, stored
+from .staging import folder, once
 from .streaming import simulation
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -178,16 +179,34 @@ def hilbert_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("hilbert", "parent", "slot", *(F.col("up")[k].alias(f"p{a}") for k, a in enumerate("xyz")), *(c.alias(a) for c, a in zip(corner, "xyz", strict=True)))
 
 
-@query("SELECT k AS hilbert, 1::BIGINT AS step FROM range(1, 512) AS r(k)")
+@query(f"WITH h AS ({_hilbert_sql(_LEAF_N)}) SELECT b.hilbert, (abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz))::BIGINT AS step, (a.n + b.n)::BIGINT AS n FROM h a JOIN h b ON b.hilbert = a.hilbert + 1")
 def hilbert_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Along the whole curve, every box touches the box before by a face."""
-    every = spark.range(512).select(*(b.alias(n) for b, n in zip(ix.morton_boxes(F.col("id"), 3, 3), CUBE.boxes, strict=True)))
-    placed = every.select(ix.hilbert([F.col(b) for b in CUBE.boxes], 3).alias("hilbert"), *CUBE.boxes)
-    before = placed.select((F.col("hilbert") + 1).alias("hilbert"), *(F.col(b).alias(f"b_{b}") for b in CUBE.boxes))
+    """Leaves that follow each other on the curve touch by a face; and the particles of both."""
+    placed = tree.leaf_counts(orders(spark, sf_dir), CUBE).select(ix.hilbert([F.col(b) for b in CUBE.boxes], 3).alias("hilbert"), *CUBE.boxes, "n")
+    before = placed.select((F.col("hilbert") + 1).alias("hilbert"), *(F.col(b).alias(f"b_{b}") for b in (*CUBE.boxes, "n")))
     step = F.lit(0).cast("bigint")
     for b in CUBE.boxes:
         step = step + F.abs(F.col(b) - F.col(f"b_{b}"))
-    return placed.join(before, "hilbert").select("hilbert", step.alias("step"))
+    return placed.join(before, "hilbert").select("hilbert", step.alias("step"), (F.col("n") + F.col("b_n")).alias("n"))
+
+
+def _states_sql(rows: str, bits: int, height: int) -> str:
+    """``rows`` (ix, iy, iz, ...) with ``place`` on the state machine's curve, one subquery a triplet."""
+    turned = lambda t, r: f"(((({t}) | (({t}) << 3)) << ({r})) >> 3) & 7"
+    listed = lambda values, k: f"{list(values)}[({k}) + 1]"
+    sql = f"SELECT *, {(height - bits) % 3} AS r, 0 AS f, 0::BIGINT AS place FROM ({rows})"
+    for b in range(bits - 1, -1, -1):
+        triplet = f"(((ix >> {b}) & 1) * 4 + ((iy >> {b}) & 1) * 2 + ((iz >> {b}) & 1))::INTEGER"
+        sql = f"SELECT *, {listed([ix.GRAY.index(t) for t in range(8)], turned(f'xor({triplet}, f)', '(3 - r) % 3'))} AS k FROM ({sql})"
+        sql = f"SELECT * EXCLUDE (k) REPLACE ((r + {listed([t[0] for t in ix.TURNS], 'k')}) % 3 AS r, xor({turned(listed([t[1] for t in ix.TURNS], 'k'), 'r')}, f) AS f, place * 8 + k AS place) FROM ({sql})"
+    return f"SELECT * EXCLUDE (r, f) FROM ({sql})"
+
+
+@query(f"SELECT ix, iy, iz, n, place, ix AS b_ix, iy AS b_iy, iz AS b_iz FROM ({_states_sql(_LEAF_N, 3, 4)})")
+def hilbert_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state machine's order of the leaves, and the boxes back from it."""
+    rows = tree.leaf_counts(orders(spark, sf_dir), CUBE).withColumn("place", ix.hilbert_states([F.col(b) for b in CUBE.boxes], CUBE.leaf_level, CUBE.height))
+    return rows.select("*", *(b.alias(f"b_{n}") for b, n in zip(ix.hilbert_states_boxes(F.col("place"), CUBE.leaf_level, CUBE.height), CUBE.boxes, strict=True)))
 
 
 @query(f"SELECT ((ix % 3) * 9 + (iy % 3) * 3 + iz % 3)::BIGINT AS color, count(*) AS n_leaves FROM (SELECT DISTINCT ix, iy, iz FROM ({_boxed(ORDERS)})) GROUP BY 1")
@@ -382,6 +401,24 @@ def hilbert_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.unionByName(_hilbert_pairs(interactions.m2l_list(cells.select("level", *CUBE.boxes), cells, CUBE), "far"))
 
 
+_STATE_BLOCKS = f"SELECT *, (row_number() OVER (ORDER BY place) - 1) // {BLOCK} AS block FROM ({_states_sql(f'SELECT DISTINCT ix, iy, iz, 3 AS level FROM ({_boxed(SUPPLIERS)})', 3, 4)})"
+
+
+@query(
+    f"WITH h AS ({_STATE_BLOCKS}) SELECT 'near' AS kind, a.block AS target_block, b.block AS source_block, count(*) AS n FROM h a JOIN h b ON {_near()} GROUP BY 2, 3 "
+    f"UNION ALL SELECT 'far', a.block, b.block, count(*) FROM h a JOIN h b ON {_far()} GROUP BY 2, 3"
+)
+def hilbert_block_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near and far lists of leaves by block, where a block is a run of leaves on the state machine's curve."""
+    leaves = tree.leaf_counts(suppliers(spark, sf_dir), CUBE)
+    blocks = once(tree.ordered_blocks(leaves, ix.hilbert_states([F.col(b) for b in CUBE.boxes], CUBE.leaf_level, CUBE.height), BLOCK).select(*CUBE.boxes, "block"))
+    boxes = blocks.select(*CUBE.boxes)
+    cells = boxes.withColumn("level", F.lit(CUBE.leaf_level))
+    lists = {"near": interactions.neighbour_list(boxes, boxes, CUBE), "far": interactions.m2l_list(cells, cells, CUBE)}
+    near, far = (interactions.pairs_by_block(pairs, blocks, CUBE).select(F.lit(kind).alias("kind"), "target_block", "source_block", "n") for kind, pairs in lists.items())
+    return near.unionByName(far)
+
+
 WRAPPED = SpatialConfig(dim=3, height=3, periodic=True)
 
 
@@ -949,14 +986,43 @@ def fma_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return particles.parse_fma(rows.unionByName(head))
 
 
-@query("SELECT 1000::BIGINT AS n, true AS inside, 'clustered' AS kind UNION ALL SELECT 1000, true, 'normal' UNION ALL SELECT 1000, true, 'uniform'")
+@query("SELECT count(*) AS n, true AS inside, kind FROM supplier, (SELECT unnest(['clustered', 'normal', 'uniform']) AS kind) GROUP BY kind")
 def generators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated sets stay in the box."""
+    """Generated sets, as many as there are suppliers, stay in the box."""
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
     sets = {"clustered": particles.clustered, "normal": particles.normal, "uniform": lambda s, n: particles.uniform(s, n, 2)}
-    rows = [make(spark, 1000).agg(F.count(F.lit(1)).alias("n"), F.min((F.col("x").between(0, 1)) & F.col("y").between(0, 1)).alias("inside")).withColumn("kind", F.lit(kind)) for kind, make in sets.items()]
+    rows = [make(spark, n).agg(F.count(F.lit(1)).alias("n"), F.min((F.col("x").between(0, 1)) & F.col("y").between(0, 1)).alias("inside")).withColumn("kind", F.lit(kind)) for kind, make in sets.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+@query(f"SELECT pid, x, y, z, q AS v0, (SELECT count(*) FROM orders) AS n, 1.0::DOUBLE AS width FROM ({ORDERS})")
+def fma_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders written as an FMA folder and read again, in splits."""
+    path = folder(spark, "fma")
+    points = orders(spark, sf_dir)
+    # rows are numbered by their line, so the key goes along as a value
+    particles.write_fma(points.withColumn("key", F.col("pid")), path, 0.5, CUBE.centre, ("q", "key"))
+    rows, box = particles.read_fma(spark, path, 2)
+    return rows.crossJoin(F.broadcast(box.select("n", "width"))).select(F.col("v1").cast("bigint").alias("pid"), "x", "y", "z", "v0", "n", "width")
+
+
+@query(
+    f"WITH k AS ({_ALL_BLOCKS}), c AS (SELECT *, {LEAF} AS cell FROM ({_cells(SUPPLIERS, 0)})) "
+    f"SELECT c.level, c.cell, c.ix, c.iy, c.iz, c.n, (SELECT min(b.block) FROM ({_BLOCKS}) b WHERE b.leaf >> (3 * (3 - c.level)) = c.cell) AS block, (SELECT count(*) FROM supplier) AS particles, (SELECT count(*) FROM k WHERE level = 3) AS leaves FROM c WHERE c.level = 2"
+)
+def stored_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree written, opened again and asked for one level, with its header."""
+    kept = stored.StoredTree(spark, stored.write(suppliers(spark, sf_dir), CUBE, folder(spark, "tree"), BLOCK).path)
+    head = kept.header
+    return kept.cells(kept.cfg.leaf_level - 1).withColumns({k: F.lit(head[k]).cast("bigint") for k in ("particles", "leaves")})
+
+
+@query(f"SELECT p.pid, p.x, p.y, p.z, p.q, b.leaf, b.block FROM (SELECT *, {LEAF} AS leaf FROM ({_boxed(SUPPLIERS)})) p JOIN ({_BLOCKS}) b ON b.leaf = p.leaf WHERE b.block BETWEEN 1 AND 2")
+def stored_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Particles of two blocks of a stored tree."""
+    return stored.write(suppliers(spark, sf_dir), CUBE, folder(spark, "tree"), BLOCK).particles(1, 2)
+
+
 # Time steps
 
 

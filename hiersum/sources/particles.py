@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import AXES
@@ -59,12 +61,44 @@ def parse_fma_box(lines: DataFrame) -> DataFrame:
     return lines.where("line < 3").agg((at(2, 1, "double") * 2).alias("width"), at(2, 2, "double").alias("cx"), at(2, 3, "double").alias("cy"), at(2, 4, "double").alias("cz"), at(1, 1, "bigint").alias("n"), at(0, 2, "bigint").alias("n_values"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line, value: the lines of a file from 0, whatever splits it is read in.  A folder of files is one file, by path.
+
+    The lines of a split stay together and in order in the partition that reads
+    it, so a line's number is that of the split's first line plus its distance
+    from there.  One row a split, its number of lines, goes through the driver.
+    """
+    split = ("path", "start")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    found = lines.groupBy(*split).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low")).collect()
+    first, rows = 0, []
+    for r in sorted(found, key=lambda r: (r["path"], r["start"])):
+        rows.append((r["path"], r["start"], first - r["low"]))
+        first += r["n"]
+    shifts = F.broadcast(spark.createDataFrame(rows, "path string, start bigint, shift bigint"))
+    return lines.join(shifts, list(split)).select((F.col("at") + F.col("shift")).alias("line"), "value")
+
+
 def read_fma(spark: SparkSession, path: str, values: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Particles and header of an FMA file.
+    """Particles and header of an FMA file, in as many splits as it has.
 
-    Line numbers need the file in order, so it is read as one split per file;
-    large sets belong in parquet, and this is the way in.
+    Line ends are those that Spark's text reader knows; a blank line is a row without numbers.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line", "value"))
-    lines = whole.withColumn("line", F.col("line").cast("bigint"))
+    lines = numbered_lines(spark, path)
     return parse_fma(lines, values), parse_fma_box(lines)
+
+
+def write_fma(particles: DataFrame, path: str, half_width: float, centre: tuple[float, float, float], values: Sequence[str] = ("q",)) -> None:
+    """An FMA folder: a header and rows in order of pid, one part file for each range of it.
+
+    Part files go by name, and the header's sorts before all others.
+    """
+    n = particles.count()
+    numbers = lambda *v: " ".join(map(repr, v))
+    head = [f"8 {len(values)}", str(n), numbers(float(half_width), *map(float, centre))]
+    order = F.col("pid")
+    body = particles.select(order, F.concat_ws(" ", *(F.col(c).cast("double").cast("string") for c in (*AXES, *values))).alias("value"))
+    spark = particles.sparkSession
+    header = spark.createDataFrame([(k, line) for k, line in enumerate(head)], "pid bigint, value string").coalesce(1).sortWithinPartitions("pid")
+    header.select("value").write.text(f"{path}/part=0")
+    body.repartitionByRange("pid").sortWithinPartitions("pid").select("value").write.text(f"{path}/part=1")

@@ -14,19 +14,19 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import SpatialConfig
 from ..functions.kernels import Kernel
 from ..plans.fmm import Query
+from ..staging import once
 
 
 def simulate(particles: DataFrame, cfg: SpatialConfig, kernel: Kernel, move: Callable[[list[str]], dict[str, Column]], steps: int) -> DataFrame:
     """Particles after ``steps`` moves, with the outputs of the last evaluation.
 
     ``move`` gets the output names and returns new values of columns as
-    expressions over positions and outputs.  Each step is cut by a checkpoint
-    in the session's shared folder where one is set, so the plan does not grow.
+    expressions over positions and outputs.  Each step is computed once and
+    kept, in the session's shared folder where one is set, so the plan does not grow.
     """
     state = particles
     for _ in range(steps):
-        moved = state.drop(*kernel.outputs).join(Query(cfg, kernel, state).execute(), "pid").withColumns(move(list(kernel.outputs)))
-        state = moved.checkpoint() if particles.sparkSession.sparkContext.getCheckpointDir() else moved
+        state = once(state.drop(*kernel.outputs).join(Query(cfg, kernel, state).execute(), "pid").withColumns(move(list(kernel.outputs))))
     return state
 
 
