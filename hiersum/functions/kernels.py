@@ -8,12 +8,14 @@ these kernels re-centre exactly, so one step may span any number of levels.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from math import factorial, pi
 
 import numpy as np
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..keeping import once
 
 Columns = Sequence[Column]
 
@@ -29,6 +31,16 @@ class Kernel:
     values: tuple[str, ...] = ("q",)
     #: Whether P2P needs nothing but the number of particles of a leaf.
     by_count = False
+    #: Whether a plan of columns makes the near field in batches, through ``parts`` and ``results`` (see ``Pairwise``).
+    batched = False
+
+    def watch(self, stage: str, rows: DataFrame, **counts: Column) -> DataFrame:
+        """Called with the rows of every stage that runs, and with aggregates that count its calls."""
+        return rows
+
+    def finish(self, stage: str, make: Callable[[], DataFrame], keep: bool) -> DataFrame:
+        """The table that ends a stage, ``keep``: computed here and now."""
+        return once(make()) if keep else make()
 
     def prepare(self, stage: str, d: Columns) -> dict[str, Column]:
         """Columns to add before a stage's own expressions, which then refer to them by name.
@@ -126,6 +138,7 @@ class Log2D(Kernel):
     """
 
     outputs = ("pot",)
+    batched, gradients, channels, fields = True, False, ((0, 0, 0),), 1
 
     def __init__(self, order: int = 8):
         self.order = order
@@ -173,6 +186,12 @@ class Log2D(Kernel):
     def p2p(self, d, q_target, q_source):
         return {"pot": q_source * F.log(d[0] * d[0] + d[1] * d[1]) * (-0.25 / pi)}
 
+    def parts(self, d):
+        return [(np.log(d[0] * d[0] + d[1] * d[1]) * (-0.25 / pi), [])]
+
+    def results(self, pot, grad, q):
+        return {"pot": pot[:, 0]}
+
 
 def _square(d: Columns) -> Column:
     out = d[0] * d[0]

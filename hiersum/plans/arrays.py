@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -107,6 +108,15 @@ class Climb:
         yield from self.add(self.leaf, np.zeros(0, np.int64), np.zeros((0, self.e.charges * self.e.size)), True)
 
 
+class NearOnly(Expansion):
+    """A kernel's pairs in batches, in two or three dimensions, for plans whose far field is made elsewhere."""
+
+    size = 0
+
+    def __init__(self, near):
+        self.near = near
+
+
 @dataclass
 class ArrayQuery:
     """The outputs of an expansion's kernel at ``targets``, in a 3D cube, plain or periodic.
@@ -122,8 +132,9 @@ class ArrayQuery:
     data: DataFrame | None = None
 
     def __post_init__(self) -> None:
-        if self.cfg.dim != 3 or len(set(self.cfg.widths)) != 1:
+        if not isinstance(self.expansion, NearOnly) and (self.cfg.dim != 3 or len(set(self.cfg.widths)) != 1):
             raise ValueError("array expansions take a 3D cube")
+        self.block = BLOCK[: self.cfg.dim]
         self.query = Query(self.cfg, self.expansion.near, self.targets, self.sources, self.ops, self.data)
         self.values = list(self.expansion.near.values)
         self.bits = max(0, min(BLOCK_BITS, self.cfg.leaf_level - 2))
@@ -290,10 +301,10 @@ class ArrayQuery:
         """Sources (or their leaves, with boxes) with every block that meets them, images included: ``BLOCK``, and ``home`` for no image."""
         cfg, n, mutual = self.cfg, self.cfg.boxes_at(self.cfg.leaf_level), self.query.same
         rows = sources.withColumn("home", F.lit(True))
-        for k, (b, a, name) in enumerate(zip(cfg.boxes, cfg.axes, BLOCK, strict=True)):
+        for k, (b, a, name) in enumerate(zip(cfg.boxes, cfg.axes, self.block, strict=True)):
             if cfg.periodic:  # the images that touch the box
                 rows = rows.withColumn("image", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).where((F.col(b) + F.col("image") * n).between(-1, n))
-                moved = {a: F.col(a) + F.col("image") * cfg.widths[0]} if a in rows.columns else {}
+                moved = {a: F.col(a) + F.col("image") * cfg.widths[k]} if a in rows.columns else {}
                 rows = rows.withColumns(moved | {b: F.col(b) + F.col("image") * n, "home": F.col("home") & (F.col("image") == 0)}).drop("image")
             # the upper half of a neighbourhood never goes back along the first axis
             low, high = F.greatest(F.col(b) - 1, F.lit(0)), F.least(F.col(b) + (0 if mutual and k == 0 else 1), F.lit(n - 1))
@@ -302,11 +313,11 @@ class ArrayQuery:
 
     def _shares(self) -> DataFrame:
         """BLOCK, n_t, n_s: shares of each target block and of what it meets, from the leaves' counts."""
-        block = [F.shiftright(F.col(b), self.bits).alias(n) for b, n in zip(self.cfg.boxes, BLOCK, strict=True)]
+        block = [F.shiftright(F.col(b), self.bits).alias(n) for b, n in zip(self.cfg.boxes, self.block, strict=True)]
         share = lambda most, name: F.ceil(F.sum("n") / F.lit(most)).cast("int").alias(name)
         t = self.target_leaves.groupBy(*block).agg(share(TARGETS, "n_t"))
-        s = self._around(self.source_leaves).groupBy(*BLOCK).agg(share(SOURCES, "n_s"))
-        return once(t.join(s, list(BLOCK), "left").select(*BLOCK, "n_t", F.coalesce("n_s", F.lit(1)).alias("n_s")))
+        s = self._around(self.source_leaves).groupBy(*self.block).agg(share(SOURCES, "n_s"))
+        return once(t.join(s, list(self.block), "left").select(*self.block, "n_t", F.coalesce("n_s", F.lit(1)).alias("n_s")))
 
     def _small(self, shares: DataFrame) -> DataFrame:
         """Broadcast where the checked number of blocks allows it."""
@@ -320,26 +331,26 @@ class ArrayQuery:
             first = F.expr(f"shiftright(shiftleft({b}, {L} - level), {self.bits})")
             last = F.expr(f"shiftright(shiftleft({b} + 1L, {L} - level) - 1L, {self.bits})")
             below = below.withColumn(n, F.explode(F.sequence(first, last)))
-        return below.join(shares, list(BLOCK)).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n_t") - 1))).withColumn("s", F.lit(0))
+        return below.join(shares, list(self.block)).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n_t") - 1))).withColumn("s", F.lit(0))
 
     def evaluate(self, far: bool, near: bool) -> DataFrame:
         """pid and the outputs: several rows of a particle add up, and every target has one."""
         cfg, e, L, bits = self.cfg, self.expansion, self.cfg.leaf_level, self.bits
         kernel, mutual, values, width, corner = e.near, self.query.same, self.values, cfg.leaf_widths[0], np.array(cfg.corner)
-        stop = cfg.stop_level if self.ops & Ops.L2L else L
+        stop, boxes, axes = cfg.stop_level if self.ops & Ops.L2L else L, list(cfg.boxes), cfg.axes
         shares = self._shares()
         small = self._small(shares)
         root = self._above_root() if far else None
         deal = lambda c: F.pmod(F.hash("pid"), F.col(c))
         every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        key, columns = [*BLOCK, "t", "s"], ["pid", *cfg.axes, *values, *cfg.boxes]
-        block = {n: F.shiftright(F.col(b), bits) for b, n in zip(cfg.boxes, BLOCK, strict=True)}
-        left = self.t.withColumns(block).join(small, list(BLOCK)).withColumn("t", deal("n_t")).withColumn("s", every("n_s") if near else F.lit(0)).select(*key, *columns)
+        key, columns = [*self.block, "t", "s"], ["pid", *cfg.axes, *values, *cfg.boxes]
+        block = {n: F.shiftright(F.col(b), bits) for b, n in zip(cfg.boxes, self.block, strict=True)}
+        left = self.t.withColumns(block).join(small, list(self.block)).withColumn("t", deal("n_t")).withColumn("s", every("n_s") if near else F.lit(0)).select(*key, *columns)
         kinds = {"level": "int", "pid": "bigint", **dict.fromkeys((*cfg.axes, *values), "double"), **dict.fromkeys(cfg.boxes, "bigint"), "home": "boolean", "c": "binary"}
         whole = lambda df: df.select(*(F.col(k).alias(f"of_{k}") for k in key), *((F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(f"of_{c}") for c, kind in kinds.items()))
         right = []
         if near:
-            right.append(whole(self._around(self.s).join(small, list(BLOCK)).withColumn("s", deal("n_s")).withColumn("t", every("n_t")).select(*key, *columns, "home")))
+            right.append(whole(self._around(self.s).join(small, list(self.block)).withColumn("s", deal("n_s")).withColumn("t", every("n_t")).select(*key, *columns, "home")))
         if far:
             right.append(whole(self._below(small).select(*key, "level", *cfg.boxes, "c")))
         if not right:
@@ -380,23 +391,26 @@ class ArrayQuery:
 
         def near_of(p: pd.DataFrame, o: pd.DataFrame, pot: np.ndarray, grad: np.ndarray) -> pd.DataFrame | None:
             """Adds to the targets' sums; returns those of the others, if pairs count for both."""
-            base = (p[["ix", "iy", "iz"]].to_numpy().min(0) >> bits << bits) - 1
+            base = (p[boxes].to_numpy().min(0) >> bits << bits) - 1
             side = (1 << bits) + 2
-            flat = lambda f: ((f["ix"].to_numpy() - base[0]) * side + f["iy"].to_numpy() - base[1]) * side + f["iz"].to_numpy() - base[2]
-            cell = flat(o).astype(np.int64)
+            strides = side ** np.arange(len(boxes) - 1, -1, -1)
+            flat = lambda f: (f[boxes].to_numpy().astype(np.int64) - base) @ strides
+            cell = flat(o)
             order = np.argsort(cell, kind="stable")
-            start = np.searchsorted(cell[order], np.arange(side**3 + 1))
-            sx, sq, ids = ([o[c].to_numpy()[order] for c in cols] for cols in (("x", "y", "z"), values, ("pid",)))
-            sq, ids = np.stack(sq, 1), ids[0].astype(np.int64)
-            own, pid = flat(p).astype(np.int64), p["pid"].to_numpy()
-            at, q, x = np.argsort(own, kind="stable"), p[values].to_numpy(), [p[c].to_numpy() for c in ("x", "y", "z")]
+            start = np.searchsorted(cell[order], np.arange(side ** len(boxes) + 1))
+            sx, ids = [o[c].to_numpy()[order] for c in axes], o["pid"].to_numpy()[order].astype(np.int64)
+            sq = o[values].to_numpy().astype(float)[order]
+            own, pid = flat(p), p["pid"].to_numpy()
+            at, q, x = np.argsort(own, kind="stable"), p[values].to_numpy().astype(float), [p[c].to_numpy() for c in axes]
             back_pot, back_grad = np.zeros((len(ids), pot.shape[1])), np.zeros((len(ids), *grad.shape[1:]))
             touched = np.zeros(len(ids), bool)
             leaves, first = np.unique(own[at], return_index=True)
-            # leaves in a row along z are one run of sources; the first run begins at the leaf itself if pairs count for both
-            rows_ = [(0, 0, 0, 2), (0, side, -1, 2), *((side * side, dy, -1, 2) for dy in (-side, 0, side))] if mutual else [(dx, dy, -1, 2) for dx in (-side * side, 0, side * side) for dy in (-side, 0, side)]
+            # leaves in a row along the last axis are one run of sources; if pairs count for both, the first run begins at the leaf itself
+            middle = (0,) * (len(boxes) - 1)
+            ahead = [o for o in product((-1, 0, 1), repeat=len(middle)) if not mutual or o >= middle]
+            runs = [(int(np.dot(o, strides[:-1])), 0 if mutual and o == middle else -1) for o in ahead]
             for leaf, a, b in zip(leaves, first, [*first[1:], len(at)], strict=True):
-                found = np.concatenate([np.arange(start[leaf + dx + dy + z0], start[leaf + dx + dy + z1]) for dx, dy, z0, z1 in rows_])
+                found = np.concatenate([np.arange(start[leaf + away + first_], start[leaf + away + 2]) for away, first_ in runs])
                 if not len(found):
                     continue
                 n_own = start[leaf + 1] - start[leaf] if mutual else 0
@@ -432,7 +446,7 @@ class ArrayQuery:
             return pd.DataFrame({"pid": ids[touched], **kernel.results(back_pot[touched], back_grad[touched], sq[touched])})
 
         def run(p: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
-            pot, grad, more = np.zeros((len(p), e.fields)), np.zeros((len(p), e.fields, 3 if kernel.gradients else 0)), None
+            pot, grad, more = np.zeros((len(p), e.fields)), np.zeros((len(p), e.fields, len(boxes) if kernel.gradients else 0)), None
             if not len(p):
                 return pd.DataFrame({"pid": np.array([], np.int64), **{c: [] for c in kernel.outputs}})
             o = o.rename(columns=lambda c: c.removeprefix("of_"))
@@ -441,7 +455,7 @@ class ArrayQuery:
                 far_of(p, o[local], pot, grad)
             if near and not local.all():
                 more = near_of(p, o[~local], pot, grad)
-            out = pd.DataFrame({"pid": p["pid"], **kernel.results(pot, grad, p[values].to_numpy())})
+            out = pd.DataFrame({"pid": p["pid"], **kernel.results(pot, grad, p[values].to_numpy().astype(float))})
             return out if more is None else pd.concat([out, more])
 
         met = right[0] if len(right) == 1 else right[0].unionByName(right[1])

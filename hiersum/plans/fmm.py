@@ -98,7 +98,7 @@ class Query:
     @cached_property
     def leaves(self) -> DataFrame:
         """Moments of the sources' leaves."""
-        return once(self.p2m())
+        return self.kernel.finish("p2m", self.p2m, True)
 
     @cached_property
     def target_leaves(self) -> DataFrame:
@@ -110,17 +110,20 @@ class Query:
     @cached_property
     def cells(self) -> DataFrame:
         """Moments of the cells of all far levels."""
-        return once(self.m2m())
+        return self.kernel.finish("m2m", self.m2m, True)
 
     @cached_property
     def locals_(self) -> DataFrame:
         """Locals of the target cells from their lists."""
-        return once(self.m2l())
+        return self.kernel.finish("m2l", self.m2l, True)
 
     @cached_property
     def leaf_locals(self) -> DataFrame:
         """Locals of the target leaves with all that comes down to them."""
-        return once(self._gather([self.cfg.leaf_level]))
+        return self.kernel.finish("l2l", self._leaf_locals, True)
+
+    def _leaf_locals(self) -> DataFrame:
+        return self.kernel.watch("l2p", self._gather([self.cfg.leaf_level]), l2p=F.count(F.lit(1)))
 
     def _kept(self, name: str, plan) -> DataFrame:
         """A table that has been computed already, or the plan of it."""
@@ -136,7 +139,8 @@ class Query:
         c = self._centres(self._boxes(), F.lit(self.cfg.leaf_level))
         d = [F.col(a) - m for a, m in zip(self.cfg.axes, c, strict=True)]
         rows, d = staged(self.s, self.kernel, "p2m", d)
-        return rows.groupBy(*self.cfg.boxes).agg(*(F.sum(e).alias(k) for k, e in self.kernel.p2m(d, self._values()).items()))
+        leaves = rows.groupBy(*self.cfg.boxes).agg(*(F.sum(e).alias(k) for k, e in self.kernel.p2m(d, self._values()).items()))
+        return self.kernel.watch("p2m", leaves, p2m=F.count(F.lit(1)))
 
     def m2m(self, levels=None) -> DataFrame:
         """Moments of the cells of ``levels`` (all far levels, or more)."""
@@ -144,7 +148,8 @@ class Query:
             levels = self.cfg.far_levels if self.ops & Ops.M2M else [self.cfg.leaf_level]
         leaf, up = self._centres(self._boxes(), F.lit(self.cfg.leaf_level)), self._centres(self._boxes("p_"), F.col("level"))
         rows, d = staged(tree.raised(self.leaves, self.cfg, list(levels)), self.kernel, "m2m", [a - b for a, b in zip(leaf, up, strict=True)])
-        return tree.summed_up(rows, self.cfg, self.kernel.m2m(d, _cols(self.kernel.moments)))
+        cells = tree.summed_up(rows, self.cfg, self.kernel.m2m(d, _cols(self.kernel.moments)))
+        return self.kernel.watch("m2m", cells, m2m=F.count_if(F.col("level") > self.cfg.stop_level))
 
     def target_cells(self) -> DataFrame:
         return self._all_cells(self.target_leaves, self.cfg.far_levels)
@@ -152,14 +157,17 @@ class Query:
     def m2l(self) -> DataFrame:
         """Locals of the cells, from their own interaction lists."""
         moments = self.cells
-        pairs = interactions.m2l_list(moments.select("level", *self.cfg.boxes) if self.same else self.target_cells(), moments, self.cfg, moments.count() <= BROADCAST_CELLS)
+        cells = moments.select("level", *self.cfg.boxes) if self.same else self.target_cells()
+        cells = self.kernel.watch("l2l", cells, l2l=F.count_if(F.col("level") > self.cfg.stop_level))
+        pairs = interactions.m2l_list(cells, moments, self.cfg, moments.count() <= BROADCAST_CELLS)
+        pairs = self.kernel.watch("m2l", pairs, m2l=F.count(F.lit(1)))
         d = [-F.col(x).cast("double") * self._level_width(k) for k, x in enumerate(interactions.DELTAS[: self.cfg.dim])]
         pairs, d = staged(pairs, self.kernel, "m2l", d)
         out = self.kernel.m2l(d, _cols(self.kernel.moments, "s_"))
         return pairs.groupBy("level", *self.cfg.boxes).agg(*(F.sum(e).alias(k) for k, e in out.items()))
 
     def _all_locals(self) -> DataFrame:
-        out = self._kept("locals_", self.m2l)
+        out = self._kept("locals_", lambda: self.kernel.finish("m2l", self.m2l, False))
         if self.cfg.periodic and self.cfg.extra_levels >= 0 and self.ops & Ops.M2M and self.ops & Ops.L2L:
             out = out.unionByName(periodic.root_locals(self.m2m([0]), self.cfg, self.kernel))
         return out
@@ -184,7 +192,7 @@ class Query:
 
     def l2p(self, all_targets: bool = False) -> DataFrame:
         """Far field of the particles; ``all_targets``: null where there is none, with the boxes."""
-        leaves = self._kept("leaf_locals", lambda: self._gather([self.cfg.leaf_level])).drop("level")
+        leaves = self._kept("leaf_locals", lambda: self.kernel.finish("l2l", self._leaf_locals, False)).drop("level")
         rows = self.t.join(leaves, list(self.cfg.boxes), "left" if all_targets else "inner")
         c = self._centres(self._boxes(), F.lit(self.cfg.leaf_level))
         d = [F.col(a) - m for a, m in zip(self.cfg.axes, c, strict=True)]
@@ -195,12 +203,18 @@ class Query:
         """Near field of the particles."""
         if self.kernel.by_count:
             return self._p2p_by_count()
+        if self.kernel.batched:
+            from .arrays import ArrayQuery, NearOnly  # which is made of this class
+
+            return ArrayQuery(self.cfg, NearOnly(self.kernel), self.targets, self.sources, Ops.NEAR, self.data).execute()
         # Pairs are the work, not the rows: targets are dealt evenly, whatever files or leaves they come from.
         # A fixed number keeps small tables from being merged into one task, and pid is what the sum groups by.
         n = int(self.t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         small = self.s.count() <= BROADCAST_SOURCES
         pairs = interactions.particle_pairs(self.t.repartition(n, "pid"), self.s, self.cfg, self.same, small)
         d = [F.col(f"s_{a}") - F.col(a) for a in self.cfg.axes]
+        own = F.greatest(F.lit(0), *(F.abs(x) for x in interactions.DELTAS[: self.cfg.dim])) == 0
+        pairs = self.kernel.watch("p2p", pairs, p2p=F.floor(F.count_if(~own) / (2 if self.same else 1)), p2p_inner=F.count_if(own))
         pairs, d = staged(pairs, self.kernel, "p2p", d)
         out = self.kernel.p2p(d, self._values(), self._values("s_"))
         return pairs.groupBy("pid").agg(*(F.sum(e).alias(k) for k, e in out.items()))
@@ -208,7 +222,11 @@ class Query:
     def _near_counts(self) -> DataFrame:
         """Counts need the leaves only: boxes and n, no pair of particles is made."""
         sources = self.leaves.withColumnRenamed(self.kernel.moments[0], "n")
-        near = interactions.neighbour_list(self.target_leaves, sources, self.cfg, small=self.leaves.count() <= BROADCAST_CELLS).groupBy(*self.cfg.boxes)
+        targets = self.leaves.withColumnRenamed(self.kernel.moments[0], "t_n") if self.same else self.target_leaves.withColumn("t_n", F.lit(None).cast("bigint"))
+        pairs = interactions.neighbour_list(targets, sources, self.cfg, small=self.leaves.count() <= BROADCAST_CELLS)
+        middle, n = (3**self.cfg.dim) // 2, F.col("t_n") * F.col("s_n")
+        count = lambda which, v: F.coalesce(F.sum(F.when(which, v)), F.lit(0)).cast("bigint")
+        near = self.kernel.watch("p2p", pairs, p2p=count(F.col("code") > middle, n), p2p_inner=count(F.col("code") == middle, n - F.col("t_n"))).groupBy(*self.cfg.boxes)
         return near.agg((F.sum("s_n") - (1 if self.same else 0)).alias("n"))
 
     def _p2p_by_count(self) -> DataFrame:
@@ -225,13 +243,13 @@ class Query:
         """pid and outputs of every target; zero where nothing acts on it."""
         outputs, far = self.kernel.outputs, self.far_wanted() and self.kernel.moments
         zero = F.lit(0).cast("bigint" if self.kernel.by_count else "double")
-        rows = self.l2p(all_targets=True) if far else self.t.select("pid", *self.cfg.boxes, *(zero.alias(o) for o in outputs))
+        rows = self.kernel.finish("l2p", lambda: self.l2p(all_targets=True), False) if far else self.t.select("pid", *self.cfg.boxes, *(zero.alias(o) for o in outputs))
         rows = rows.select("pid", *self.cfg.boxes, *(F.coalesce(o, zero).alias(o) for o in outputs))
         if self.ops & Ops.P2P and self.kernel.by_count:
-            rows = rows.join(self._near_counts(), list(self.cfg.boxes), "left").withColumn(outputs[0], F.col(outputs[0]) + F.coalesce("n", zero))
+            rows = rows.join(self.kernel.finish("p2p", self._near_counts, False), list(self.cfg.boxes), "left").withColumn(outputs[0], F.col(outputs[0]) + F.coalesce("n", zero))
         rows = rows.select("pid", *outputs)
         if self.ops & Ops.P2P and not self.kernel.by_count:
-            rows = rows.unionByName(self.p2p()).groupBy("pid").agg(*(F.sum(o).alias(o) for o in outputs))
+            rows = rows.unionByName(self.kernel.finish("p2p", self.p2p, False)).groupBy("pid").agg(*(F.sum(o).alias(o) for o in outputs))
         return rows
 
 
