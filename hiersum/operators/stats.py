@@ -11,17 +11,21 @@ from ..functions import index as ix
 from ..staging import once
 from . import interactions, tree
 
+#: Leaves whose table, and that of their cells, is broadcast, at most.
+SMALL = 50_000
+
 
 def interaction_counters(particles: DataFrame, cfg: SpatialConfig) -> DataFrame:
     """One row with the number of calls or pairs of each operator."""
-    leaves = tree.leaf_counts(particles, cfg)
-    cells = tree.cells(particles, cfg, cfg.far_levels)
+    leaves = once(tree.leaf_counts(particles, cfg))
+    cells = once(tree.roll_up(leaves, cfg, cfg.far_levels, {"n": F.col("n")}))
     far = len(cfg.far_levels) > 0
+    small = leaves.count() <= SMALL
     zero = lambda df: df if far else df.limit(0)
     n_leaves = leaves.agg(F.count(F.lit(1)).alias("leaves"), F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("n")), F.lit(0)).alias("p2p_inner"))
     n_cells = zero(cells.where(f"level > {cfg.stop_level}")).agg(F.count(F.lit(1)).alias("m2m"))
-    m2l = zero(interactions.m2l_list(cells.select("level", *cfg.boxes), cells, cfg)).agg(F.count(F.lit(1)).alias("m2l"))
-    near = interactions.neighbour_list(leaves, leaves, cfg, own=False, upper=True).agg(F.coalesce(F.sum(F.col("n") * F.col("s_n")), F.lit(0)).alias("p2p"))
+    m2l = zero(interactions.m2l_list(cells.select("level", *cfg.boxes), cells, cfg, small)).agg(F.count(F.lit(1)).alias("m2l"))
+    near = interactions.neighbour_list(leaves, leaves, cfg, own=False, upper=True, small=small).agg(F.coalesce(F.sum(F.col("n") * F.col("s_n")), F.lit(0)).alias("p2p"))
     row = n_leaves.crossJoin(n_cells).crossJoin(m2l).crossJoin(near)  # one row each
     outer = F.col("leaves") if far else F.lit(0).cast("bigint")
     return row.select(outer.alias("p2m"), "m2m", "m2l", F.col("m2m").alias("l2l"), outer.alias("l2p"), "p2p", "p2p_inner")

@@ -345,8 +345,8 @@ def rebuild_two_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH c AS ({_cells(ORDERS, 2)}) SELECT a.level, {_code(['a.ix', 'a.iy', 'a.iz'], 3)} AS cell, count(*) AS n FROM c a JOIN c b ON {_far()} GROUP BY 1, 2")
 def m2l_list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = tree.cells(orders(spark, sf_dir), CUBE, CUBE.far_levels)
-    pairs = interactions.m2l_list(cells.select("level", *CUBE.boxes), cells, CUBE)
+    cells = once(tree.cells(orders(spark, sf_dir), CUBE, CUBE.far_levels))
+    pairs = interactions.m2l_list(cells.select("level", *CUBE.boxes), cells, CUBE, cells.count() <= stats.SMALL)
     return tree.with_index(pairs, CUBE).groupBy("level", "cell").agg(F.count(F.lit(1)).alias("n"))
 
 
