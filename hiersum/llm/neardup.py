@@ -25,9 +25,13 @@ Documents of nodes that are large at the last level too share much without
 being linked, a template or a passage, and no tree of this depth separates
 them.  They are compared with each other exactly: linked sets share a token
 among the rarest n - ceil(s n) + 1 of each, in any common order of all tokens.
-Such tokens are nodes again.  Small ones are compared as above; in large ones
-whatever is outside the main component is compared with all of the node by the
-full sets, in blocks, and only links leave a block.
+Such tokens are nodes again, and the place of a token among a document's
+rarest bounds the size of whom it can lead to: what comes before the first
+common token is not shared.  A token leads nowhere unless it stands early
+enough in the smaller set, so a template that many unlinked documents share
+makes no node.  Small nodes are compared as above; in large ones documents
+meet by classes of sizes that these bounds allow, and whatever is outside the
+main component is compared by the full sets, in blocks; only links leave one.
 
 A comparison first looks at 128 one-bit minwise sketches and then confirms the
 link on the full sets.  The sketch alone never makes a link, and a pair at the
@@ -69,7 +73,9 @@ BUCKET = 64
 LINKS_AT_ONCE = 2_000_000
 #: Tokens of one side of a block of a large node, about.
 BLOCK_TOKENS = 1_000_000
-#: Counters of token frequencies: their number is 2 to this power.
+#: Ratio of the sizes at both ends of a size class of a large node.
+SIZE_CLASS = 1.05
+#: Counters of token frequencies: two rows, each of 2 to this power.
 COUNTER_BITS = 18
 
 _rng = np.random.default_rng(64)
@@ -326,16 +332,23 @@ def texts_of(ids: DataFrame, rows: DataFrame, n_ids: int) -> DataFrame:
     return rows.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
+def counters(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counters of tokens in both rows; the smaller count is the nearer one."""
+    low = x >> np.uint64(64 - 2 * COUNTER_BITS) & np.uint64((1 << COUNTER_BITS) - 1)
+    return x >> np.uint64(64 - COUNTER_BITS), low + np.uint64(1 << COUNTER_BITS)
+
+
 def token_counts(texts: DataFrame, words: int) -> np.ndarray:
-    """How often tokens occur, by a hash of COUNTER_BITS bits: an array of fixed size, summed over all of ``texts`` (id, text)."""
-    chunk = 1 << (COUNTER_BITS - 6)
+    """How often tokens occur, by ``counters``: an array of fixed size, summed over all of ``texts`` (id, text)."""
+    chunk = 1 << (COUNTER_BITS - 5)
     rows = lambda c: pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([v.tobytes() for v in c.reshape(64, chunk)], pa.binary())], names=["chunk", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTER_BITS, np.int64)
+        total = np.zeros(2 << COUNTER_BITS, np.int64)
         for batch in batches:
             for text in batch.column(1):
-                np.add.at(total, shingle_set(text.as_py(), words) >> np.uint64(64 - COUNTER_BITS), 1)
+                for row in counters(shingle_set(text.as_py(), words)):
+                    np.add.at(total, row, 1)
         if total.any():
             yield rows(total)
 
@@ -349,7 +362,7 @@ def token_counts(texts: DataFrame, words: int) -> np.ndarray:
 
     summed = texts.select("id", "text").mapInArrow(count, "chunk int, n binary").repartition("chunk").mapInArrow(add, "chunk int, n binary")
     out = np.zeros((64, chunk), np.int64)
-    for r in summed.collect():  # 64 rows, 2 MB in all
+    for r in summed.collect():  # 64 rows, 4 MB in all
         out[r["chunk"]] += np.frombuffer(r["n"], np.int64)
     return out.ravel()
 
@@ -357,7 +370,10 @@ def token_counts(texts: DataFrame, words: int) -> np.ndarray:
 def among(large: DataFrame, texts: DataFrame, seen: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The documents ``large`` (id) by their rarest tokens, of which every linked pair shares one.
 
-    Returns the open pairs (a, b) of tokens that few share, and the members (node, d) of the others.
+    Returns the open pairs (a, b) of tokens that few share, and the members (node, d, hi) of the others.
+    ``hi`` is the size of the largest set that a document can be linked with if
+    the token is the first of its own that both hold; a node needs a document
+    for which that is its own size or more, the smaller one of a linked pair.
     """
     spark = large.sparkSession
     some = texts_of(large, texts, large.count())
@@ -365,33 +381,66 @@ def among(large: DataFrame, texts: DataFrame, seen: DataFrame, words: int, perce
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tokens = [], []
+            out = [np.zeros((4, 0), np.int64)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 x = shingle_set(text.as_py(), words)
                 n = len(x) - -(-percent * len(x) // 100) + 1
-                order = np.argsort(counts.value[x >> np.uint64(64 - COUNTER_BITS)], kind="stable")[:n]
-                ids.append(np.full(len(order), doc, np.int64))
-                tokens.append(x[order].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens or [np.zeros(0, np.int64)])), pa.array(np.concatenate(ids or [np.zeros(0, np.int64)]))], names=["node", "id"])
+                order = np.argsort(np.minimum(*(counts.value[k] for k in counters(x))), kind="stable")[:n]
+                hi = (len(x) - np.arange(len(order))) * (100 + percent) // percent - len(x)
+                out.append(np.stack([x[order].view(np.int64), np.full(len(order), doc), hi, hi >= len(x)]))
+            node, ids, hi, home = np.concatenate(out, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(ids), pa.array(hi), pa.array(home.astype(bool))], names=["node", "id", "hi", "home"])
+
+    rows = checkpoint(some.select("id", "text").mapInArrow(rarest, "node bigint, id bigint, hi bigint, home boolean"))
+    sizes = checkpoint(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("home").alias("home")).where("size > 1 AND home").drop("home"))
+    shared = checkpoint(rows.drop("home").join(merged(sizes), "node").join(merged(seen), "id").withColumn("tree", F.lit(TREES)))
+    return leaf_pairs(shared.where(F.col("size") <= LEAF), percent), shared.where(F.col("size") > LEAF).select("node", "d", "hi")
 
-    rows = checkpoint(some.select("id", "text").mapInArrow(rarest, "node bigint, id bigint"))
-    sizes = checkpoint(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    shared = checkpoint(rows.join(merged(sizes), "node").join(merged(seen), "id").withColumn("tree", F.lit(TREES)))
-    return leaf_pairs(shared.where(F.col("size") <= LEAF), percent), shared.where(F.col("size") > LEAF).select("node", "d")
+
+def size_cells(members: DataFrame, percent: int) -> DataFrame:
+    """Where the members (node, d, hi) of large nodes meet: node, cell, home, id, c, n, hi.
+
+    A cell is a class of sizes.  A document is at home in the class of its own
+    size, if it can be the smaller one of a linked pair, and visits the classes
+    of the smaller ones that it can be linked with.  Who fits none of the
+    others of a cell leaves it; a cell of one component goes.
+    """
+    size_class = lambda n: F.floor(F.log(n) / math.log(SIZE_CLASS)).cast("int")
+    rows = members.select("node", F.col("d.id").alias("id"), F.col("d.c").alias("c"), F.col("d.n").alias("n"), "hi")
+    lo, upper = F.ceil(F.col("n") * percent / 100), F.least("hi", "n")
+    at_home = rows.where("hi >= n").withColumn("cell", size_class(F.col("n"))).withColumn("home", F.lit(True))
+    visits = rows.withColumn("cell", F.explode(F.sequence(size_class(lo), size_class(upper)))).withColumn("home", F.lit(False))
+    both = checkpoint(at_home.unionByName(visits))
+    of = lambda home, value: F.when(F.col("home") == home, value)
+    ends = both.groupBy("node", "cell").agg(F.max(of(True, F.col("hi"))).alias("far"), F.min(of(True, F.col("n"))).alias("low"), F.max(of(True, F.col("n"))).alias("high"), F.max(of(False, upper)).alias("reach"), F.min(of(False, lo)).alias("least"), F.min("c").alias("c1"), F.max("c").alias("c2"))
+    ends = checkpoint(ends.where("low IS NOT NULL AND c1 <> c2").drop("c1", "c2"))
+    fits = F.when(F.col("home"), F.col("n").between(F.col("least"), F.col("reach"))).otherwise((F.col("n") <= F.col("far")) & (upper >= F.col("low")) & (lo <= F.col("high")))
+    return both.join(merged(ends), ["node", "cell"]).where(fits).select("node", "cell", "home", "id", "c", "n", "hi")
 
 
 def across(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) in large nodes (node, d): what is outside a node's main component, against all of the node.
+    """Links (a, b) in large nodes (node, d, hi): those at home in a cell with its visitors, but for pairs inside its main component.
 
-    The full sets travel once to each block of a node, not with each pair; an
-    inverted index of the block counts what is common, and only links come
-    out, one for each document and component.
+    The full sets travel once to each block of a cell, not with each pair; an
+    inverted index of the block counts what is common, or the sets themselves
+    where sizes leave few to compare.  Only links come out, one for each
+    document and component.
     """
-    rows = members.select("node", F.col("d.id").alias("id"), F.col("d.c").alias("c"), F.col("d.n").alias("n"))
-    by_c = rows.groupBy("node", "c").agg(F.sum("n").alias("n"))
-    main = by_c.groupBy("node").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"), F.max("n").alias("most")).where("k > 1")
-    blocks = main.select("node", "main", F.ceil(F.col("all") / BLOCK_TOKENS).cast("int").alias("n_m"), F.ceil((F.col("all") - F.col("most")) / BLOCK_TOKENS).cast("int").alias("n_s"))
-    some = checkpoint(rows.join(merged(checkpoint(blocks)), "node"))
+    cells = checkpoint(size_cells(members, percent))
+    cell = ["node", "cell"]
+    of = lambda home: F.coalesce(F.sum(F.when(F.col("home") == home, F.col("n"))), F.lit(0))
+    by_c = cells.groupBy(*cell, "c").agg(of(True).alias("h"), of(False).alias("v"))
+    heaviest = F.max_by(F.struct("c", "h", "v"), F.struct(F.col("h") + F.col("v"), F.col("c"))).alias("top")
+    main = by_c.groupBy(*cell).agg(heaviest, F.sum("h").alias("h"), F.sum("v").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    blocks = lambda tokens: F.ceil(tokens / BLOCK_TOKENS).cast("int")
+    # outside the main component at home, with all visitors; the main component at home, with visitors of others
+    turns = F.array(
+        F.struct(F.lit(0).alias("turn"), blocks(F.col("v")).alias("n_m"), blocks(F.col("h") - F.col("top.h")).alias("n_s")),
+        F.struct(F.lit(1).alias("turn"), blocks(F.col("top.h")).alias("n_m"), blocks(F.col("v") - F.col("top.v")).alias("n_s")),
+    )
+    plan = main.select(*cell, F.col("top.c").alias("main"), F.explode(turns).alias("t")).select(*cell, "main", "t.*").where("n_m > 0 AND n_s > 0")
+    part = cells.join(merged(checkpoint(plan)), cell).withColumn("right", F.col("home") == (F.col("turn") == 0))
+    some = checkpoint(part.where(F.when(F.col("right"), F.col("c") != F.col("main")).otherwise((F.col("turn") == 0) | (F.col("c") == F.col("main")))))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,29 +449,38 @@ def across(members: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     sets = texts_of(some.select("id").distinct(), texts, some.count()).select("id", "text").mapInArrow(to_sets, "id bigint, tokens binary")
     full = checkpoint(some.join(merged(sets), "id"))
     deal = lambda n: F.pmod(F.hash("id"), F.col(n))
-    key = ["node", "m", "s"]
-    left = full.withColumn("m", deal("n_m")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n_s") - 1))).select(*key, "id", "c", "tokens")
-    right = full.where("c <> main").withColumn("s", deal("n_s")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n_m") - 1))).select(*(F.col(k).alias(f"{k}2") for k in key), F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("tokens").alias("tokens2"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key, carried = [*cell, "turn", "m", "s"], ["id", "c", "n", "hi", "tokens"]
+    one = full.where("NOT right").withColumn("m", deal("n_m")).withColumn("s", every("n_s")).select(*key, *carried)
+    other = full.where("right").withColumn("s", deal("n_s")).withColumn("m", every("n_m")).select(*(F.col(k).alias(f"{k}2") for k in (*key, *carried)))
 
     def compare(m: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         if len(m) and len(y):
             parts = [np.frombuffer(t, np.uint64) for t in m["tokens"]]
-            sizes, ids, cs = np.array([len(p) for p in parts]), m["id"].to_numpy(), m["c"].to_numpy()
+            ids, cs, sizes, hi = (m[k].to_numpy() for k in ("id", "c", "n", "hi"))
             tokens = np.concatenate(parts)
             order = np.argsort(tokens, kind="stable")
             owner, tokens = np.repeat(np.arange(len(parts)), sizes)[order], tokens[order]
-            for other, c, own in zip(y["id2"], y["c2"], y["tokens2"], strict=True):
+            for i, c, n, far, own in zip(y["id2"], y["c2"], y["n2"], y["hi2"], y["tokens2"], strict=True):
+                near = np.flatnonzero((cs != c) & (sizes <= far) & (hi >= n) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                if not len(near):
+                    continue
                 own = np.frombuffer(own, np.uint64)
-                low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
-                n = high - low
-                at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                common = np.bincount(owner[at], minlength=len(parts))
-                hit = np.flatnonzero((100 * common >= percent * (sizes + len(own) - common)) & (cs != c))
-                out += [(int(other), int(ids[h])) for h in hit[np.unique(cs[hit], return_index=True)[1]]]
+                if len(near) * 8 < len(parts):
+                    theirs = np.concatenate([parts[k] for k in near])
+                    held = own[np.minimum(np.searchsorted(own, theirs), n - 1)] == theirs
+                    common = np.add.reduceat(held, np.cumsum(sizes[near]) - sizes[near], dtype=np.int64)
+                else:
+                    low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+                    run = high - low
+                    at = np.repeat(low - np.cumsum(run) + run, run) + np.arange(run.sum())
+                    common = np.bincount(owner[at], minlength=len(parts))[near]
+                hit = near[100 * common >= percent * (sizes[near] + n - common)]
+                out += [(int(i), int(ids[h])) for h in hit[np.unique(cs[hit], return_index=True)[1]]]
         return pd.DataFrame({"a": np.array([p[0] for p in out], np.int64), "b": np.array([p[1] for p in out], np.int64)})
 
-    return left.groupBy(*key).cogroup(right.groupBy(*(f"{k}2" for k in key))).applyInPandas(compare, "a bigint, b bigint")
+    return one.groupBy(*key).cogroup(other.groupBy(*(f"{k}2" for k in key))).applyInPandas(compare, "a bigint, b bigint")
 
 
 def with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
