@@ -63,6 +63,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(conf).delete(where, True)
 
 
+def small(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` computed once, and broadcast if they are at most ``most``; beyond that joins shuffle."""
+    rows = checkpoint(rows)
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  Pure ASCII rows take the fast built-in, which is the same there."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_LOWER))

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bind, checkpoint, unused
+from .common import bind, checkpoint, small, unused
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -129,8 +129,7 @@ def _entity(span: Column) -> Column:
 
 def _small(rows: DataFrame) -> DataFrame:
     """Computed once, and broadcast only under a checked count."""
-    rows = checkpoint(rows)
-    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+    return small(rows, BROADCAST)
 
 
 def _signature() -> list[Column]:
@@ -193,9 +192,11 @@ def find(docs: DataFrame, max_bits: float = MAX_BITS, support: int = SUPPORT) ->
     held = slim.where("doc_id IS NOT NULL").select("doc_id", F.explode(terms_of(F.col("text"))).alias("term"))
     flagged = held.join(terms, "term").groupBy("doc_id", "term").agg(F.min("bits").alias("bits"))
     own, key = docs.drop("base", "added", "flagged"), unused(docs, "flag_id")
+    flagged = checkpoint(flagged)
+    few = flagged.count() <= BROADCAST  # then no text is shuffled
     by_doc = flagged.groupBy(F.col("doc_id").alias(key)).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "bits")))).alias("flagged"))
     based = own.withColumn("base", base_spans(F.col("text").cast("string")))
-    joined = based.join(by_doc, F.col("doc_id").cast("bigint") == F.col(key), "left").drop(key)
+    joined = based.join(F.broadcast(by_doc) if few else by_doc, F.col("doc_id").cast("bigint") == F.col(key), "left").drop(key)
     return joined.withColumn("added", F.when(F.col("flagged").isNotNull(), _term_spans(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("flagged"))).otherwise(F.array().cast(SPAN)))
 
 
