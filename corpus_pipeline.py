@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hiersum.llm import decontaminate, mixing, neardup, pii, quality
-from hiersum.llm.common import checkpoint, scratch, table
+from hiersum.llm.common import checkpoint, scratch, small, table
 from hiersum.llm.q03_mixing import WITHIN
 from hiersum.llm.q04_quality import trained
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words of a shingle.
 WORDS = 5
+#: Keys of documents that go, at most, for them to be broadcast; beyond that the texts are shuffled.
+BROADCAST = 500_000
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
         keyed = keyed.unionByName(checkpoint(nameless.select((F.lit(top + 1) + F.monotonically_increasing_id()).alias("key"), *COLUMNS)))
     groups = neardup.find(keyed.select(F.col("key").alias("doc_id"), "text"), words=WORDS, percent=80)
-    kept = keyed.join(groups.where("NOT kept").select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti")
+    gone = small(groups.where("NOT kept").select(F.col("doc_id").alias("key")).distinct(), BROADCAST)
+    kept = keyed.join(gone, "key", "left_anti")
     repeats = checkpoint(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     if not repeats.isEmpty():
         one = kept.join(repeats, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("key", "row.*")
@@ -61,7 +64,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     docs = docs.select(*COLUMNS)
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select(F.col("doc_id").alias("hit_id"), "text_hash").distinct()
+    hit = small(found.where("contaminated").select(F.col("doc_id").alias("hit_id"), "text_hash").distinct(), BROADCAST)
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("text_hash"))
     return docs.join(hit, same, "left_anti").select(*COLUMNS)
 
