@@ -31,7 +31,7 @@ class Counter(Wrapper):
     """Calls of each stage, as metrics that Spark observes on the stages as they run.
 
     ``p2p`` counts every pair of particles of neighbouring leaves once within
-    one set, ``p2p_inner`` both ways.  Pairs of batches are not seen.
+    one set, ``p2p_inner`` both ways; pairs that go in batches are counted from lists of leaves.
     """
 
     def __init__(self, kernel: Kernel | Wrapper):
