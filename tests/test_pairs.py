@@ -59,3 +59,40 @@ def test_points_that_coincide_do_nothing_to_each_other(spark, monkeypatch, batch
         assert [r["pot"] for r in got] == pytest.approx(want) and [r["fz"] for r in got] == pytest.approx([4, 4, -8] if sources is None else [4, 4, -4])
     assert [r["pot"] for r in direct(points, points, cfg, kernels.InverseR(), True).orderBy("pid").collect()] == pytest.approx([2, 2, 4])
     assert [r["pot"] for r in direct(points, points, cfg, kernels.OneOverAPlusR2(1.0), True).orderBy("pid").collect()] == pytest.approx([1.8, 1.8, 1.6])
+
+
+def _sums(kernel, seed=0):
+    """Fields and gradients of both sides, with points that coincide and pairs that do not count."""
+    draw, values = np.random.default_rng(seed), len(kernel.values)
+    x = [draw.random(70) for _ in range(3)]
+    sx = [np.r_[v[:5], draw.random(1200)] for v in x]
+    into, back = pairs.nothing(kernel, 70, 3), pairs.nothing(kernel, 1205, 3)
+    pairs.add(kernel, x, draw.random((70, values)), sx, draw.random((1205, values)), into, back, lambda r, c: np.add.outer(np.arange(r.start, r.stop), np.arange(c.start, c.stop)) % 7 == 0)
+    return [*into, *back]
+
+
+@pytest.mark.parametrize("kernel", [kernels.InverseR(), kernels.InverseR2(), kernels.LennardJones(), kernels.OneOverAPlusR2(0.5), kernels.AnisotropicInverseR((1.0, 2.0, 0.5)), kernels.Polynomial(), kernels.Many(kernels.InverseR(), ("a", "b"))], ids=lambda k: type(k).__name__)
+def test_sums_by_squared_distance_are_those_by_distance(monkeypatch, kernel):
+    assert pairs._radial(kernel)
+    fast = _sums(kernel)
+    monkeypatch.setattr(pairs, "_radial", lambda _: False)
+    slow = _sums(kernel)
+    assert all(np.allclose(a, b, rtol=1e-13, atol=1e-13 * np.abs(b).max()) for a, b in zip(fast, slow, strict=True))
+
+
+def test_a_field_of_ones_own_is_asked():
+    class Twice(kernels.InverseR):
+        def field(self, d):
+            k, slopes = super().field(d)
+            return 2 * k, [2 * v for v in slopes]
+
+    assert not pairs._radial(Twice()) and pairs._radial(kernels.InverseR()) and not pairs._radial(kernels.RTensor())
+    assert all(np.allclose(a, 2 * b) for a, b in zip(_sums(Twice()), _sums(kernels.InverseR()), strict=True))
+
+
+def test_potentials_without_forces(spark):
+    points, kernel = _points(spark, 90), kernels.AnisotropicInverseR((1.0, 2.0, 0.5))
+    cfg = SpatialConfig(height=3)
+    whole, alone = (direct(points, points, cfg, k, True, far=True).orderBy("pid").toPandas() for k in (kernel, kernel.potential()))
+    assert list(alone) == ["pid", "pot"] and alone["pot"].tolist() == whole["pot"].tolist()
+    assert kernel.gradients and kernel.outputs == ("fx", "fy", "fz", "pot")
