@@ -96,3 +96,13 @@ def test_potentials_without_forces(spark):
     whole, alone = (direct(points, points, cfg, k, True, far=True).orderBy("pid").toPandas() for k in (kernel, kernel.potential()))
     assert list(alone) == ["pid", "pot"] and alone["pot"].tolist() == whole["pot"].tolist()
     assert kernel.gradients and kernel.outputs == ("fx", "fy", "fz", "pot")
+
+
+def test_rounded_fields_are_rounded_direct_sums(spark):
+    from hiersum import queries as q
+
+    points, cfg = q.parts(spark, "/root/testdata/sf0.01", 2), q.PLANE.with_(height=5)
+    rounded = lambda df: {r["pid"]: r["pot"] for r in q._rounded(df.select("pid", "pot"), ["pot"], 1e3).collect()}
+    want = rounded(direct(points, points, cfg, kernels.Log2D(4), True))
+    assert rounded(Query(cfg, kernels.Log2D(4), points).execute()) != want
+    assert rounded(q._settled(points, cfg, (4,), 1e3)) == want
