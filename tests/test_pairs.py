@@ -105,4 +105,18 @@ def test_rounded_fields_are_rounded_direct_sums(spark):
     rounded = lambda df: {r["pid"]: r["pot"] for r in q._rounded(df.select("pid", "pot"), ["pot"], 1e3).collect()}
     want = rounded(direct(points, points, cfg, kernels.Log2D(4), True))
     assert rounded(Query(cfg, kernels.Log2D(4), points).execute()) != want
-    assert rounded(q._settled(points, cfg, (4,), 1e3)) == want
+    assert rounded(q._settled(points, cfg, kernels.Log2D(4), [lambda: Query(cfg, kernels.Log2D(4), points).execute()], 1e3)) == want
+
+
+def test_fine_sums_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "CHUNK", 30)
+    points, kernel = _points(spark, 2000), kernels.Polynomial().potential()
+    x = points.orderBy("pid").toPandas()[["x", "y", "z"]].to_numpy()
+    r2 = ((x[:, None] - x[None, :40]) ** 2).sum(2)
+    # charges of 2**20 bring rounding into sums of groups, and the sum of all of a row is known to the last digit
+    big = points.withColumn("q", F.lit(float(1 << 20)))
+    got = direct(big.where("pid < 40"), big, SpatialConfig(), kernel, True, fine=True).orderBy("pid").toPandas()["pot"].to_numpy()
+    from math import fsum
+
+    want = np.array([fsum(((1 + v + v * v) * (1 << 20)).tolist()) - (1 << 20) for v in r2.T])
+    assert np.abs(got - want).max() <= 2 * np.spacing(want.max())
