@@ -120,3 +120,39 @@ def test_fine_sums_of_many_groups(spark, monkeypatch):
 
     want = np.array([fsum(((1 + v + v * v) * (1 << 20)).tolist()) - (1 << 20) for v in r2.T])
     assert np.abs(got - want).max() <= 2 * np.spacing(want.max())
+
+
+GRID = [kernels.InverseR(), kernels.InverseR2().potential(), kernels.OneOverAPlusR2(0.5), kernels.AnisotropicInverseR((1.0, 2.0, 0.5)), kernels.Polynomial(), kernels.Many(kernels.InverseR(), ("a", "b")), kernels.RTensor(), kernels.RTensorProduct(), kernels.Log2D(4)]
+
+
+@pytest.mark.parametrize("alike", [False, True])
+@pytest.mark.parametrize("kernel", GRID, ids=lambda k: type(k).__name__)
+def test_sums_on_a_grid_are_those_of_pairs(monkeypatch, kernel, alike):
+    """With points that coincide, pairs that do not count, close pairs, an image, and a crowd that is summed by its pairs."""
+    draw, values, dim = np.random.default_rng(1), len(kernel.values), 2 if isinstance(kernel, kernels.Log2D) else 3
+    x = [draw.integers(0, 1 << 20, 301) / 2.0**20 for _ in range(dim)]
+    others = [np.r_[v[:5], draw.integers(0, 1 << 20, 700) / 2.0**20, draw.integers(0, 1 << 10, 513) / 2.0**20] for v in x]
+    x = [np.r_[v, draw.integers(0, 1 << 10, 300) / 2.0**20] for v in x]
+    q, sq = (np.ones((n, values)) if alike else draw.random((n, values)) for n in (601, 1218))
+    monkeypatch.setattr(pairs, "CLOSE", 1000)
+    for shift in (0.0, 2.0):
+        sx, sums = [v + shift for v in others], []
+        for add in (pairs._add_on_grid, pairs._add_apart):
+            into, back = pairs.nothing(kernel, 601, dim), pairs.nothing(kernel, 1218, dim)
+            done = add(kernel, x, q, sx, sq, into, back, lambda r, c: np.add.outer(np.arange(r.start, r.stop), np.arange(c.start, c.stop)) % 7 == 0)
+            sums.append([*into, *back])
+        assert all(np.allclose(a, b, rtol=1e-11, atol=1e-14 * np.abs(b).max(initial=0.0)) for a, b in zip(*sums, strict=True))
+    assert not pairs._add_on_grid(kernel, [v + 1e-9 for v in x], q, sx, sq, into, None, None)
+
+
+def test_flat_trees_meet_by_chunks(spark, monkeypatch):
+    """Two chunks meet once; a position outside of the box is still an error."""
+    monkeypatch.setattr(kernels.Pairwise, "batched_from", 0)
+    points, met = _points(spark, 90), []
+    monkeypatch.setattr("hiersum.plans.fmm.direct", lambda *a: met.append(a[-1]) or direct(*a))
+    for cfg in (SpatialConfig(height=1), SpatialConfig(height=2)):
+        got, want = (df.orderBy("pid").toPandas() for df in (Query(cfg, kernels.InverseR(), points).execute(), direct(points, points, cfg, kernels.InverseR(), True)))
+        assert np.allclose(got["pot"], want["pot"], rtol=1e-13) and np.allclose(got["fx"], want["fx"], rtol=1e-11)
+    assert met == [True, True]
+    with pytest.raises(Exception, match="outside the box: particle 3"):
+        Query(SpatialConfig(height=2), kernels.InverseR(), points.withColumn("x", F.when(F.col("pid") == 3, 1.5).otherwise(F.col("x")))).execute().collect()
