@@ -156,3 +156,14 @@ def test_flat_trees_meet_by_chunks(spark, monkeypatch):
     assert met == [True, True]
     with pytest.raises(Exception, match="outside the box: particle 3"):
         Query(SpatialConfig(height=2), kernels.InverseR(), points.withColumn("x", F.when(F.col("pid") == 3, 1.5).otherwise(F.col("x")))).execute().collect()
+
+
+def test_a_finer_order_where_a_row_is_out_of_bound(spark, tmp_path):
+    """Two boxes apart by one, the particles at the far corners of the expansion: order 12 is off by more than the bound."""
+    from hiersum import queries as q
+
+    spark.createDataFrame([(k,) for k in (25785, 62304, 9362, 39623, 14951)], "p_partkey bigint").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    run = q.QUERIES["lagrange_lennard_jones"]
+    assert not all(r["ok"] for r in run(spark, str(tmp_path), orders=(12,)).collect())
+    got = run(spark, str(tmp_path)).collect()
+    assert len(got) == 5 and all(r["ok"] for r in got)
